@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cuespan.llm.exact_dedup import exact_dedup
+from cuespan.llm.language_id import identify_languages
 from cuespan.llm.mixing import mix
+from cuespan.llm.pieces import piece_report
 from cuespan.llm.sharding import interleave_shards
+from cuespan.llm.token_store import token_report
 from cuespan.llm.warc import warc_round_trip
 
 
@@ -16,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))["documents"]
 
@@ -24,6 +32,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(table(spark, sf_dir, "documents"))
 
@@ -33,4 +49,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_exact_dedup, op9_sharding, op10_warc)}
+    return {f.__name__: f for f in (op1_token_output, op4_mixing, op5_exact_dedup, op6_language_id, op7_pieces, op9_sharding, op10_warc)}
