@@ -47,6 +47,7 @@ def lookup_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     `size` in `groups` counts the rows of the key. Keys above 1/HOT_SHARE of the total are
     fewer than HOT_SHARE, so they are broadcast; the other rows meet in a sort-merge join, and
     rows already served get a key of their own there, made from `spread`, to stay spread out.
+    Keys are strings, binary values, or numbers that are not negative.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     cut = total // HOT_SHARE + 1
@@ -55,8 +56,11 @@ def lookup_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     hot = groups.where(F.col(size) > cut).select(key, served.alias("_hot"))
     cold = groups.where(F.col(size) <= cut).select(F.col(key).alias("_key"), served.alias("_cold"))
     kind = dict(groups.dtypes)[key]
-    own = F.sha2(F.concat(F.lit("row "), F.coalesce(F.col(spread).cast("string"), F.lit(""))), 256)
-    own = F.unhex(own) if kind == "binary" else own.cast(kind)
+    if kind == "bigint":
+        own = -1 - F.shiftrightunsigned(F.xxhash64(spread), 1)
+    else:
+        own = F.sha2(F.concat(F.lit("row "), F.coalesce(F.col(spread).cast("string"), F.lit(""))), 256)
+        own = F.unhex(own) if kind == "binary" else own
     out = rows.join(F.broadcast(hot), key, "left")
     out = out.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(own)).join(cold, "_key", "left")
     found = F.coalesce("_hot", "_cold")

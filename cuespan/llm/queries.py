@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cuespan.llm.exact_dedup import exact_dedup
 from cuespan.llm.language_id import identify_languages
+from cuespan.llm.minhash_dedup import near_groups
 from cuespan.llm.mixing import mix
 from cuespan.llm.pieces import piece_report
 from cuespan.llm.sharding import interleave_shards
@@ -40,6 +41,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(table(spark, sf_dir, "documents"))
 
@@ -49,4 +54,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op4_mixing, op5_exact_dedup, op6_language_id, op7_pieces, op9_sharding, op10_warc)}
+    return {f.__name__: f for f in (op1_token_output, op4_mixing, op5_exact_dedup, op6_language_id, op7_pieces, op8_minhash_near_dedup, op9_sharding, op10_warc)}
