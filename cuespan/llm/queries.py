@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cuespan.llm.embedding_dedup import near_vectors
 from cuespan.llm.exact_dedup import exact_dedup
 from cuespan.llm.language_id import identify_languages
 from cuespan.llm.minhash_dedup import near_groups
@@ -25,6 +26,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))["documents"]
 
@@ -54,4 +59,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op4_mixing, op5_exact_dedup, op6_language_id, op7_pieces, op8_minhash_near_dedup, op9_sharding, op10_warc)}
+    return {f.__name__: f for f in (op1_token_output, op3_embedding_near_dedup, op4_mixing, op5_exact_dedup, op6_language_id, op7_pieces, op8_minhash_near_dedup, op9_sharding, op10_warc)}
