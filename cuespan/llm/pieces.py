@@ -338,29 +338,29 @@ def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "piece_ids",
     return rows.mapInArrow(decode, schema)
 
 
-def id_bytes_crc32(ids: pa.ListArray) -> pa.Array:
-    bounds, values = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4")
-    return pa.array([zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.int64())
+def id_checksums(rows: DataFrame, ids_col: str = "piece_ids") -> DataFrame:
+    """Adds n_pieces and ids_crc32, the CRC-32 of the ids as little-endian unsigned 32-bit integers; null ids count as none."""
+    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes] + ["n_pieces long", "ids_crc32 long"])
+
+    def sums(batches):
+        for batch in batches:
+            lists = batch.column(ids_col)
+            bounds, values = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4")
+            crc = pa.array([zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(bounds).astype(np.int64)), crc], [*batch.schema.names, "n_pieces", "ids_crc32"])
+
+    return rows.mapInArrow(sums, schema)
 
 
 def piece_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every whole text: doc_id, n_pieces, ids_crc32, decoded_crc32, round_trip.
 
-    ids_crc32 is over the ids as little-endian unsigned 32-bit integers. round_trip says whether
-    the decoded text equals the original with U+2581 read as a space, which is what the model
-    itself does; null counts as empty.
+    round_trip says whether the decoded text equals the original with U+2581 read as a space,
+    which is what the model itself does; null counts as empty.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.crc32(F.replace(text, F.lit(META), F.lit(" ")).cast("binary")).alias("_crc"))
-    rows = encode_pieces(rows, model_path).drop("text")
-    rows = decode_pieces(rows, model_path)
-
-    def sums(batches):
-        for batch in batches:
-            columns = [id_bytes_crc32(c) if n == "piece_ids" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    counts = rows.select("doc_id", "_crc", F.size("piece_ids").cast("bigint").alias("n_pieces"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "piece_ids")
-    schema = "doc_id long, _crc long, n_pieces long, decoded_crc32 long, piece_ids long"
-    out = counts.mapInArrow(sums, schema)
-    return out.select("doc_id", "n_pieces", F.col("piece_ids").alias("ids_crc32"), "decoded_crc32", (F.col("decoded_crc32") == F.col("_crc")).alias("round_trip"))
+    crc = F.crc32(F.replace(text, F.lit(META), F.lit(" ")).cast("binary"))
+    rows = encode_pieces(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), crc.alias("_crc")), model_path)
+    rows = id_checksums(decode_pieces(rows.drop("text"), model_path))
+    decoded = F.crc32(F.col("decoded").cast("binary"))
+    return rows.select("doc_id", "n_pieces", "ids_crc32", decoded.alias("decoded_crc32"), (decoded == F.col("_crc")).alias("round_trip"))
