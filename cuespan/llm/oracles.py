@@ -40,6 +40,25 @@ SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha256(p.html) AS paylo
 FROM p LEFT JOIN g USING (html)
 """
 
+#: Every 50-byte string with the smallest document it starts in, then the bytes that remain.
+OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
+p AS (SELECT doc_id, unnest(range(n_bytes)) AS p FROM d WHERE n_bytes > 0),
+w AS (SELECT doc_id, p, x[2 * p + 1:2 * p + 100] AS w FROM p JOIN d USING (doc_id) WHERE p + 50 <= n_bytes),
+m AS (SELECT w, min(doc_id) AS low FROM w GROUP BY w HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT w.doc_id, w.p FROM w JOIN m USING (w) WHERE m.low < w.doc_id),
+b AS (
+  SELECT p.doc_id, p.p, max(h.p) OVER (PARTITION BY p.doc_id ORDER BY p.p ROWS UNBOUNDED PRECEDING) >= p.p - 49 AS gone
+  FROM p LEFT JOIN h ON h.doc_id = p.doc_id AND h.p = p.p),
+s AS (SELECT doc_id, p, coalesce(gone, FALSE) AS gone FROM b),
+f AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS first FROM s),
+k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans,
+    string_agg(CASE WHEN gone THEN '' ELSE x[2 * p + 1:2 * p + 2] END, '' ORDER BY p) AS kept FROM f JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 #: Links by cosine, then the smallest vector reachable.
 OP3 = """
 WITH RECURSIVE v AS (
@@ -74,4 +93,4 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3, "op5_exact_dedup": OP5, "op8_minhash_near_dedup": OP8, "op9_sharding": OP9, "op10_warc": OP10}
+    return {"op2_suffix_dedup": OP2, "op3_embedding_near_dedup": OP3, "op5_exact_dedup": OP5, "op8_minhash_near_dedup": OP8, "op9_sharding": OP9, "op10_warc": OP10}

@@ -14,6 +14,7 @@ from cuespan.llm.minhash_dedup import near_groups
 from cuespan.llm.mixing import mix
 from cuespan.llm.pieces import piece_report
 from cuespan.llm.sharding import interleave_shards
+from cuespan.llm.suffix_dedup import repeated_spans
 from cuespan.llm.token_store import token_report
 from cuespan.llm.warc import warc_round_trip
 
@@ -26,6 +27,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -59,4 +64,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op3_embedding_near_dedup, op4_mixing, op5_exact_dedup, op6_language_id, op7_pieces, op8_minhash_near_dedup, op9_sharding, op10_warc)}
+    return {f.__name__: f for f in (op1_token_output, op2_suffix_dedup, op3_embedding_near_dedup, op4_mixing, op5_exact_dedup, op6_language_id, op7_pieces, op8_minhash_near_dedup, op9_sharding, op10_warc)}
