@@ -8,19 +8,24 @@ of their nearest pivots agree. Members of a list are then compared by cosine in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cuespan.llm.chunks import ragged
 from cuespan.llm.common import components, hash60, materialize
 
 PIVOTS = 96
 NEAREST = 6
 SHARED = 3
+#: Pivots have a cosine below this.
+APART = 0.9
 #: Rows of a list compared at a time; larger lists are split into pairs of blocks.
 BLOCK = 512
+TASK_ROWS = 1 << 14
 COSINE = 0.98
 
 
@@ -35,12 +40,21 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def fit_pivots(rows: DataFrame, pivots: int = PIVOTS, seed: int = 42) -> np.ndarray:
-    """`pivots` vectors at most of the most frequent length, a pseudo-random sample by id: all the driver ever holds."""
+    """`pivots` vectors at most of the most frequent length, from a pseudo-random sample by id of 16 times as many.
+
+    That sample is all the driver ever holds. Vectors close to a pivot chosen before are passed
+    over: a large group of copies would else bring many pivots whose order means nothing.
+    """
     size = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if size is None:
         return np.zeros((0, 0))
-    sample = rows.where(F.size("vector") == size["d"]).select("vector", hash60(seed, "vec_id").alias("k")).orderBy("k", "vector").limit(pivots)
-    return unit_rows(np.array([r["vector"] for r in sample.collect()], np.float64))
+    sample = rows.where(F.size("vector") == size["d"]).select("vector", hash60(seed, "vec_id").alias("k")).orderBy("k", "vector").limit(16 * pivots)
+    vectors = unit_rows(np.array([r["vector"] for r in sample.collect()], np.float64))
+    chosen: list[int] = []
+    for i in range(len(vectors)):
+        if len(chosen) < pivots and (not chosen or (vectors[chosen] @ vectors[i]).max() < APART):
+            chosen.append(i)
+    return vectors[chosen]
 
 
 def postings(rows: DataFrame, pivots: np.ndarray, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
@@ -77,35 +91,71 @@ def postings(rows: DataFrame, pivots: np.ndarray, nearest: int = NEAREST, shared
     return rows.select("vec_id", "label", "vector").mapInArrow(run, "vec_id long, label string, pivots array<int>, lists array<long>")
 
 
+def group_pairs(vectors: np.ndarray, begin: np.ndarray, stop: np.ndarray, split: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within groups begin..stop with at least the cosine.
+
+    A group of one block (split = begin) compares all its rows, one of two blocks those before
+    `split` with those from it on. Large groups go by matrix products, small ones all together.
+    """
+    large = stop - begin > 48
+    for lo, mid, hi in zip(begin[large], split[large], stop[large]):
+        a, b = (np.arange(lo, hi),) * 2 if mid == lo else (np.arange(lo, mid), np.arange(mid, hi))
+        for at in range(0, len(a), BLOCK):
+            i, j = np.nonzero(vectors[a[at : at + BLOCK]] @ vectors[b].T >= cosine)
+            i, j = a[at + i], b[j]
+            yield i[i < j], j[i < j]
+    begin, stop, split = begin[~large], stop[~large], split[~large]
+    one = split == begin
+    first = np.where(one, stop - begin, split - begin)  # rows that have partners behind them
+    row = ragged(begin, first)
+    group = np.repeat(np.arange(len(begin)), first)
+    partner = np.where(one[group], row + 1, split[group])
+    count = stop[group] - partner
+    for at in range(0, len(row), 2048):
+        c = count[at : at + 2048]
+        i, j = np.repeat(row[at : at + 2048], c), ragged(partner[at : at + 2048], c)
+        for k in range(0, len(i), 1 << 15):
+            x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            near = np.einsum("ij,ij->i", vectors[x], vectors[y]) >= cosine
+            yield x[near], y[near]
+
+
 def compare_blocks(cosine: float):
-    """Compares the two blocks of a group; a pair counts in the smallest list that both are in."""
+    """Compares the blocks of many lists; a pair counts in the smallest list that both are in."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("side", "ascending"), ("vec_id", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("label", "list", "x", "y", "side", "vec_id")]).combine_chunks()
+        column = lambda c: table.column(c).chunk(0) if table.column(c).num_chunks else table.column(c).combine_chunks()
+        size = np.diff(np.asarray(column("vector").offsets))
+        out = [one_length(table.filter(pa.array(size == n)), int(n)) for n in np.unique(size)]
+        return pa.concat_tables(out)
+
+    def one_length(table: pa.Table, width: int) -> pa.Table:
+        table = table.combine_chunks()
         ids, side, here = (table.column(c).to_numpy() for c in ("vec_id", "side", "list"))
-        vectors = unit_rows(np.array(table.column("vector").to_pylist(), np.float64))
+        vectors = unit_rows(table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
         lists = table.column("lists").to_pylist()
-        width = max(map(len, lists))
-        sets = np.array([x + [-1] * (width - len(x)) for x in lists], np.int64)
-        a = np.flatnonzero(side == 0)
-        b = np.flatnonzero(side == 1) if (side == 1).any() else a
-        found = []
-        for lo in range(0, len(a), BLOCK):
-            for hi in range(0, len(b), BLOCK):
-                i, j = np.nonzero(vectors[a[lo : lo + BLOCK]] @ vectors[b[hi : hi + BLOCK]].T >= cosine)
-                i, j = a[lo + i], b[hi + j]
-                pick = i < j
-                i, j = i[pick], j[pick]
-                for at in range(0, len(i), 4096):
-                    x, y = i[at : at + 4096], j[at : at + 4096]
-                    both = (sets[x][:, :, None] == sets[y][:, None, :]) & (sets[x][:, :, None] != -1)
-                    least = np.where(both.any(axis=2), sets[x], np.iinfo(np.int64).max).min(axis=1)
-                    own = least == here[x]
-                    found.append(np.stack([x[own], y[own]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        most = max(map(len, lists))
+        sets = np.array([x + [-1] * (most - len(x)) for x in lists], np.int64)
+        keys = [table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(), here, table.column("x").to_numpy(), table.column("y").to_numpy()]
+        new = np.ones(len(ids), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        begin = np.flatnonzero(new)
+        stop = np.append(begin[1:], len(ids))
+        split = begin + np.add.reduceat((side == 0).astype(np.int64), begin)
+        split = np.where(split == stop, begin, split)
+        found = [np.zeros((2, 0), np.int64)]
+        for i, j in group_pairs(vectors, begin, stop, split, cosine):
+            for at in range(0, len(i), 4096):
+                x, y = i[at : at + 4096], j[at : at + 4096]
+                both = (sets[x][:, :, None] == sets[y][:, None, :]).any(axis=2) & (sets[x] != -1)
+                least = np.where(both, sets[x], np.iinfo(np.int64).max).min(axis=1)
+                own = (least == here[x]) | (here[x] < 0)  # list -length is a vector's only one
+                found.append(np.stack([x[own], y[own]]))
+        pairs = np.concatenate(found, axis=1)
         links = np.bincount(pairs.ravel(), minlength=len(ids))
         root = np.arange(len(ids))
-        while pairs.size:  # smallest row number reachable within the block
+        while pairs.size:  # smallest row reachable within the block
             low = root.copy()
             np.minimum.at(low, pairs[0], root[pairs[1]])
             np.minimum.at(low, pairs[1], root[pairs[0]])
@@ -128,7 +178,8 @@ def embedding_links(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     """
     index = materialize(postings(rows, fit_pivots(rows, pivots, seed), NEAREST, SHARED))
     members = index.select("vec_id", "label", F.explode("lists").alias("list"))
-    sizes = members.groupBy("label", "list").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialize(members.groupBy("label", "list").agg(F.count("*").alias("n")).where("n > 1"))
+    total = sizes.agg(F.sum(F.col("n") * F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))).first()[0] or 0
     members = members.join(sizes, ["label", "list"]).withColumn("blocks", F.expr(f"int((n + {BLOCK - 1}) div {BLOCK})"))
     members = members.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     # Block b meets every block c: as the first of the pair when b <= c, else as the second.
@@ -136,7 +187,9 @@ def embedding_links(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     met = met.select("vec_id", "label", "list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.expr("int(block > other)").alias("side"))
     full = rows.select("vec_id", "label", "vector").join(index.select("vec_id", "lists"), "vec_id")
     met = met.join(full.drop("label"), "vec_id")
-    grouped = met.select("vec_id", "label", "list", "x", "y", "side", "vector", "lists").groupBy("label", "list", "x", "y")
+    # Most lists are short, so a task takes many of them: a bucket holds TASK_ROWS rows or so.
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("label", "list", "x", "y"), F.lit(total // TASK_ROWS + 1)))
+    grouped = met.select("vec_id", "label", "list", "x", "y", "side", "vector", "lists", "bucket").groupBy("bucket")
     return grouped.applyInArrow(compare_blocks(cosine), "vec_id long, root long, links long")
 
 
