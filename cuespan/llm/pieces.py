@@ -24,7 +24,9 @@ NORMAL, BYTE = 1, 6
 META = "▁"
 START, NOT_REACHED = -2, -1
 #: Bytes of different words matched at a time.
-MATCH_BYTES = 1 << 19
+MATCH_BYTES = 1 << 18
+#: Words a worker remembers the pieces of.
+MEMO_WORDS = 400_000
 
 
 class SuffixMatcher:
@@ -163,7 +165,7 @@ class PieceEncoder:
         self.is_letter = np.array([len(tables.text[i]) == 1 for i in tables.matched])
         self.known_pair = np.full(1 << 21, -1, np.int64)
         self.known_fits = np.zeros(1 << 21, bool)
-        self.memo = Memo(self.encode_words)
+        self.memo = Memo(self.encode_words, MEMO_WORDS)
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the pieces a, b stay apart when their joint text is merged."""
@@ -310,6 +312,24 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_
     return docs.mapInArrow(encode, schema)
 
 
+def decoded(lists: pa.ListArray, pieces: pa.Array, prefix: bool) -> list[str | None]:
+    """Texts of lists of piece ids, given the bytes of each piece."""
+    bounds = np.asarray(lists.offsets)
+    flat = pieces.take(lists.values.cast(pa.int32()))
+    _, offsets, data = flat.buffers()
+    ends = np.frombuffer(offsets, np.int64)[: len(flat) + 1]
+    data = memoryview(data) if data is not None else b""
+    texts = [bytes(data[ends[a] : ends[b]]).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
+    texts = [x[1:] if prefix and x[:1] == " " else x for x in texts]
+    return [None if null else x for x, null in zip(texts, lists.is_null().to_pylist())]
+
+
+def checksums(lists: pa.ListArray) -> pa.Array:
+    """CRC-32 of each list's ids as little-endian unsigned 32-bit integers."""
+    bounds, values = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4")
+    return pa.array([zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.int64())
+
+
 def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
     """Adds `text_col`, the text of each row's piece ids: pieces in a row, bytes put together, the dummy space removed.
 
@@ -319,20 +339,9 @@ def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "piece_ids",
     schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes] + [f"`{text_col}` string"])
 
     def decode(batches):
-        t = tables.value
-        pieces = pa.array(t.output, pa.large_binary())
+        pieces = pa.array(tables.value.output, pa.large_binary())
         for batch in batches:
-            lists = batch.column(ids_col)
-            bounds = np.asarray(lists.offsets)
-            flat = pieces.take(lists.values.cast(pa.int32()))
-            _, offsets, data = flat.buffers()
-            ends = np.frombuffer(offsets, np.int64)[: len(flat) + 1]
-            data = memoryview(data) if data is not None else b""
-            null = lists.is_null().to_pylist()
-            texts = []
-            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                text = None if null[i] else bytes(data[ends[a] : ends[b]]).decode("utf-8", "replace")
-                texts.append(text[1:] if text and t.prefix and text[0] == " " else text)
+            texts = decoded(batch.column(ids_col), pieces, tables.value.prefix)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
     return rows.mapInArrow(decode, schema)
@@ -345,22 +354,30 @@ def id_checksums(rows: DataFrame, ids_col: str = "piece_ids") -> DataFrame:
     def sums(batches):
         for batch in batches:
             lists = batch.column(ids_col)
-            bounds, values = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4")
-            crc = pa.array([zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(bounds).astype(np.int64)), crc], [*batch.schema.names, "n_pieces", "ids_crc32"])
+            sizes = pa.array(np.diff(np.asarray(lists.offsets)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, sizes, checksums(lists)], [*batch.schema.names, "n_pieces", "ids_crc32"])
 
     return rows.mapInArrow(sums, schema)
 
 
 def piece_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every whole text: doc_id, n_pieces, ids_crc32, decoded_crc32, round_trip.
+    """Encodes and decodes every whole text in one pass: doc_id, n_pieces, ids_crc32, decoded_crc32, round_trip.
 
     round_trip says whether the decoded text equals the original with U+2581 read as a space,
     which is what the model itself does; null counts as empty.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    crc = F.crc32(F.replace(text, F.lit(META), F.lit(" ")).cast("binary"))
-    rows = encode_pieces(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), crc.alias("_crc")), model_path)
-    rows = id_checksums(decode_pieces(rows.drop("text"), model_path))
-    decoded = F.crc32(F.col("decoded").cast("binary"))
-    return rows.select("doc_id", "n_pieces", "ids_crc32", decoded.alias("decoded_crc32"), (decoded == F.col("_crc")).alias("round_trip"))
+    tables = broadcast_tables(docs, model_path)
+
+    def report(batches):
+        own, pieces = encoder(tables), pa.array(tables.value.output, pa.large_binary())
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, bounds = own.memo.rows(*own.cut(part.column("text")))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
+                texts = decoded(lists, pieces, tables.value.prefix)
+                same = [a == (b or "").replace(META, " ") for a, b in zip(texts, part.column("text").to_pylist())]
+                crc = [zlib.crc32(x.encode()) for x in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), checksums(lists), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(report, "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
