@@ -35,15 +35,16 @@ def _word_breaks() -> np.ndarray:
     """Byte pairs x, y between which the pre-tokeniser always cuts, whatever stands around them.
 
     Its words are contractions after an apostrophe, ` ?letters`, ` ?digits`, ` ?others`, or runs of
-    white space that leave a last space to the word behind. Only ASCII bytes are judged, and
-    apostrophes never, so between letters or digits, others and line ends the cut is certain.
+    white space that leave their last letter behind. Only ASCII bytes are judged, and apostrophes
+    never, so between letters, digits and others, and before line ends, the cut is certain. Behind
+    a line end it is not: white space is cut by what follows it.
     """
     kind = np.zeros(256, np.uint8)
     kind[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
     kind[0x30:0x3A] = 2
     kind[[x for x in range(0x21, 0x7F) if not chr(x).isalnum() and chr(x) != "'"]] = 3
     kind[[0x0A, 0x0D, 0x09]] = 4
-    table = (kind[:, None] != kind[None, :]) & (kind[:, None] > 0) & (kind[None, :] > 0)
+    table = (kind[:, None] != kind[None, :]) & (kind[:, None] > 0) & (kind[:, None] < 4) & (kind[None, :] > 0)
     return table.ravel()
 
 
