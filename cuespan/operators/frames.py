@@ -16,22 +16,22 @@ def half_even(c: Column) -> Column:
     return F.bround(c.cast("double")).cast("bigint")
 
 
-def frame_span(start: Column, dur: Column, fps: int) -> Column:
+def frame_span(start: Column, dur: Column, fps: int | Column) -> Column:
     """Frames that [start, start + dur) covers; null if it has no length."""
     at = lambda x: half_even(x * fps / F.lit(1000.0))
     return F.when(dur > 0, at(start + dur) - at(start))
 
 
-def phase_frames(total: Column, original: Column, has_texture: Column, fps: int) -> Column:
+def phase_frames(total: Column, original: Column, has_texture: Column, fps: int | Column) -> Column:
     """STRUCT<recognition, base_color, texture, finalize, reason>: a frame budget shared among drawing phases.
 
     Recognition and base colour are protected: what a shorter budget lacks is taken from the
     finish, then from texture.
     """
     before = F.when(original < 8, F.lit(1)).otherwise(F.greatest(F.lit(3), half_even(original * 0.20)))
-    release = max(2, round(fps * HAND_RELEASE_MS / 1000))
+    release = F.greatest(F.lit(2), half_even(F.lit(fps * HAND_RELEASE_MS / 1000) if isinstance(fps, int) else fps * HAND_RELEASE_MS / 1000))
     base = F.greatest(F.lit(MIN_COLOR_FRAMES), before)
-    finish = F.greatest(F.lit(release), half_even(original * 0.04))
+    finish = F.greatest(release, half_even(original * 0.04))
     texture = F.when(has_texture, half_even(original * 0.15)).otherwise(F.lit(0))
     recognition = original - before - finish - texture
     extra = base - before
@@ -56,15 +56,6 @@ def compile_budget(elements: DataFrame, fps: int = 30) -> DataFrame:
     return df.withColumns({"baseline": phase_frames(F.col("original_frames"), F.col("original_frames"), yes, fps), "phases": phase_frames(F.col("total_frames"), F.col("original_frames"), yes, fps)})
 
 
-def feasible_all_fps(elements: DataFrame, low: int = 8, high: int = 60) -> DataFrame:
-    """Adds feasible: whether the budget works at every whole frame rate low..high."""
-    ok = F.lit(True)
-    for fps in range(low, high + 1):
-        total, original = frame_span(F.col("start_ms"), F.col("dur_ms"), fps), frame_span(F.col("start_ms"), F.col("original_ms"), fps)
-        ok = ok & F.coalesce(phase_frames(total, original, F.lit(True), fps)["reason"].isNull(), F.lit(False))
-    return elements.withColumn("feasible", ok)
-
-
 def effective_reveal(elements: DataFrame, reservations: DataFrame, fps: int = 30) -> DataFrame:
     """Applies timing reservations (scene_id, element_id, original_ms, revised_ms) once; adds rule_id where one may not be.
 

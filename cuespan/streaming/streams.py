@@ -9,11 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 def stream_cues(words: DataFrame, pause_ms: int = 420, watermark: str | None = "10 seconds") -> DataFrame:
     """Cues closed by a pause: (project_id, start, end, n_words, text) of word events (project_id, ts, idx, text, dur_ms).
 
-    A session window with a gap of the word's own length and the pause; one millisecond is added
-    because a pause of exactly `pause_ms` does not close a cue.
+    A session window with a gap of the word's own length and the pause. A session also takes a row
+    that starts right at its end, so a pause of exactly `pause_ms` does not close a cue.
     """
     src = words.withWatermark("ts", watermark) if watermark else words
-    gap = F.concat((F.col("dur_ms") + pause_ms + 1).cast("string"), F.lit(" milliseconds"))
+    gap = F.concat((F.col("dur_ms") + pause_ms).cast("string"), F.lit(" milliseconds"))
     out = src.groupBy("project_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "idx", "text"))), lambda x: x["text"]), " ").alias("text"), F.max(F.unix_millis("ts") + F.col("dur_ms")).alias("end_ms"))
     return out.select("project_id", F.unix_millis("w.start").alias("start_ms"), "end_ms", "n_words", "text")
 
