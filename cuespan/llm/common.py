@@ -35,6 +35,13 @@ def materialize(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches hold `rows` rows at most: rows here are whole texts, and each copy of a batch counts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def hash60(seed: int, *cols) -> Column:
     """A pseudo-random BIGINT in [0, 2^60) that any SQL engine can compute: the first 15 hex digits of an MD5."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cuespan.llm.chunks import slices
+from cuespan.llm.chunks import give_back, slices
 from cuespan.llm.common import hash60
 from cuespan.llm.pieces import PieceEncoder, broadcast_tables, encoder
 
@@ -26,7 +26,7 @@ RESCALE = 64
 #: Probability of a byte that no piece covers, the same in every language.
 BARE = 1e-4
 #: Words a worker remembers the scores of.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 
 def held_out(id_col: str = "doc_id"):
@@ -68,6 +68,8 @@ def fit(docs: DataFrame, model_path: str, max_docs: int = 8000, alpha: float = 0
                 ids, bounds = own.memo.rows(*own.cut(part.column("text")))
                 lang = np.repeat([index[x] for x in part.column("lang").to_pylist()], np.diff(bounds))
                 total += np.bincount(lang * n_pieces + ids, minlength=total.size).reshape(total.shape)
+        own.memo.clear()
+        give_back()
         lang, piece = np.nonzero(total)
         if len(lang):
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(piece), pa.array(total[lang, piece])], ["lang", "piece", "n"])
@@ -120,14 +122,14 @@ class WordScorer:
 
     def word_scores(self, words: pa.Array) -> np.ndarray:
         if len(self.slot) > MEMO_WORDS:
-            self.slot = {}
+            self.slot, self.scores = {}, np.zeros((1 << 14, self.scores.shape[1]))
         values = words.to_pylist()
         out = np.fromiter((self.slot.get(v, -1) for v in values), np.int64, len(values))
         missing, size, group = np.flatnonzero(out < 0), 0, []
         for i in missing:
             group.append(i)
             size += len(values[i])
-            if size >= 1 << 18 or i == missing[-1]:
+            if size >= 1 << 17 or i == missing[-1]:
                 base, need = len(self.slot), len(self.slot) + len(group)
                 if need > len(self.scores):
                     self.scores = np.vstack([self.scores, np.zeros((max(need, len(self.scores)), self.scores.shape[1]))])
@@ -185,6 +187,8 @@ def predict(docs: DataFrame, model: LanguageModel, model_path: str, text_col: st
                 else:
                     names, share = [UNKNOWN] * len(column), np.zeros(len(column))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(share)], [*part.schema.names, pred_col, score_col])
+        _SCORERS.clear()  # a worker lives on: the next stage needs the memory
+        give_back()
 
     return docs.mapInArrow(score, schema)
 

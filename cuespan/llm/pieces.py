@@ -19,14 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cuespan.llm.chunks import Memo, column_bytes, pair_cuts, ragged, slices, split_chunks
+from cuespan.llm.common import small_batches
 
 NORMAL, BYTE = 1, 6
 META = "▁"
 START, NOT_REACHED = -2, -1
 #: Bytes of different words matched at a time.
-MATCH_BYTES = 1 << 18
+MATCH_BYTES = 1 << 17
 #: Words a worker remembers the pieces of.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 class SuffixMatcher:
@@ -288,6 +289,7 @@ def encoder(tables) -> PieceEncoder:
 
 def broadcast_tables(docs: DataFrame, model_path: str):
     """The model's tables (their size is the vocabulary's) on every executor."""
+    small_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(PieceTables(Path(model_path).read_bytes()))
 
 
