@@ -66,3 +66,46 @@ def test_stages(spark):
     for r in fifth[:40]:
         ids = library.encode(rows[r.doc_id].text)
         assert list(r.piece_ids) == ids and r.n_pieces == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_null_repeated_and_clashing_ids(spark):
+    """Each stage decides by row: every id comes with a text of its own, whole lines of letters."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 200").orderBy("doc_id").limit(60)
+    texts = list(dict.fromkeys(r.text for r in docs.collect() if r.lang == "en"))[:6]
+    alone, twice, left, right, copy, null_copy = texts
+    near = right + " more"
+    extra = [
+        (None, alone), (5_000_000, twice), (5_000_000, twice), (5_000_001, left), (5_000_001, right), (5_000_002, near),
+        (5_000_003, copy), (5_000_001, copy), (None, null_copy), (5_000_004, null_copy), (None, None), (None, "!"),
+    ]
+    rows = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in extra], docs.schema)
+    bag = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    order = lambda x: sorted(x, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+    others = docs.where(~docs.text.isin(texts))
+    known = {r.doc_id for r in others.collect()}
+    own = lambda df: [x for x in bag(df) if x[0] not in known]
+    first = P.STAGES[0][1](spark, others.union(rows), sf)
+    assert own(first) == order(extra[:-2])
+
+    second = P.STAGES[1][1](spark, rows.where("length(text) > 1"), sf)
+    unique = [(None, alone), (5_000_000, twice), (5_000_001, left), (5_000_001, right), (5_000_002, near), (5_000_003, copy), (5_000_004, null_copy)]
+    assert second.columns == P.COLUMNS and bag(second) == order(unique)
+
+    third = P.STAGES[2][1](spark, second, sf)
+    assert third.columns == P.COLUMNS and bag(third) == order([x for x in unique if x[1] != near])
+    # Alone, the stage drops repeated rows and null copies too.
+    third_alone = P.STAGES[2][1](spark, rows.where("length(text) > 1"), sf)
+    assert bag(third_alone) == order([x for x in unique if x[1] not in (near, copy)] + [(5_000_001, copy)])
+
+    # One source: no row above twice its words, 1.5 times all words; each row comes at least once.
+    fourth = P.STAGES[3][1](spark, third, sf)
+    assert fourth.columns == P.COLUMNS and set(bag(fourth)) == set(bag(third)) and max(map(bag(fourth).count, bag(fourth))) <= 2
+    both = P.STAGES[3][1](spark, rows.where("doc_id = 5000000"), sf)
+    assert 2 <= both.count() <= 4
+
+    fifth = P.STAGES[4][1](spark, fourth, sf).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(P.PIECES))
+    ids = lambda x: (x[0] is None, x[0] or 0, list(x[1]))
+    assert sorted(((r.doc_id, r.piece_ids) for r in fifth), key=ids) == sorted(((i, library.encode(t)) for i, t in bag(fourth)), key=ids)
