@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,36 @@ def test_repeated_spans(spark, docs, empty):
     assert suffix_dedup.repeated_spans(empty).count() == 0
 
 
+def test_hot_anchor(spark, tmp_path):
+    """A line in every document among differing text: no bucket holds its segments, and the result stays whole."""
+    rng = random.Random(9)
+    line = words(rng, 12)
+    rows = [(i, f"{words(rng, 12)} {line} {words(rng, 12)}") for i in range(400)] + [(None, line), (7, line + line)]
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first[t[k : k + 50]] = min(10**9 if i is None else i, first.get(t[k : k + 50], 10**9))
+    want = []
+    for i, t in rows:
+        gone = [False] * len(t)
+        for k in range(len(t) - 49):
+            if first[t[k : k + 50]] < (10**9 if i is None else i):
+                gone[k : k + 50] = [True] * 50
+        want.append((i, sum(gone)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most in (20, 10**6):
+        assert by_id(suffix_dedup.repeated_spans(df, file_bytes=20000, most=most), "doc_id", "n_removed") == sorted(want, key=lambda r: tuple((x is None, x) for x in r))
+
+    # What is dealt: all segments of the line's edges to one bucket, or their windows to many.
+    path = str(tmp_path / "part.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]}), path)
+    text = suffix_dedup.TextFile(path)
+    keys, _, times, place = text.distinct_anchors(16)
+    assert times.max() > 300 and times.sum() == len(place)
+    hot = text.segments(times > 20, times > 20, place, 16)
+    assert (hot[2] == 1).all() and (hot[5] >= 16).all() and np.bincount(hot[5])[16:].max() < 2 * np.bincount(hot[5])[16:].mean()
+
+
 def test_bwt_and_lcp():
     rng = random.Random(1)
     for _ in range(40):
