@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -28,11 +30,40 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/cuespan-{uuid.uuid4().hex}"
 
 
+#: Folder of each table that `materialize` returned and `discard` has not deleted.
+_FOLDERS: dict[int, tuple[DataFrame, str]] = {}
+
+
 def materialize(df: DataFrame, **options) -> DataFrame:
     """The frame written as Parquet in the shared folder and read back: lineage ends here."""
     path = scratch(df.sparkSession)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[id(out)] = (out, path)
+    return out
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `materialize` returned. What still reads them must have been written before."""
+    for table in tables:
+        _, path = _FOLDERS.pop(id(table), (None, None))
+        if path:
+            remove_folder(table.sparkSession, path)
+
+
+@contextmanager
+def kept_tables(made: list[DataFrame]) -> Iterator[None]:
+    """Puts the tables into `made` that `materialize` returns within and that are not discarded there."""
+    before = set(_FOLDERS)
+    try:
+        yield
+    finally:
+        made += [table for key, (table, _) in _FOLDERS.items() if key not in before]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -94,8 +125,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) links: (node, component), component = smallest node reachable.
 
     Each round every node points to the smallest node it touches, pointers are followed once
-    more, and the graph is contracted along them; a round at least halves what is left. Tables
-    of each round are written to the shared folder, so a lost executor costs one round at most.
+    more, and the graph is contracted along them; a round at least halves what is left, so
+    `rounds` suffice for 2^60 nodes. Tables of each round are written to the shared folder, so a
+    lost executor costs one round at most, and are deleted when the next round has been written.
     """
     edges = materialize(edges.select("a", "b").where("a <> b").distinct())
     labels = None
@@ -103,21 +135,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = materialize(both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
         if point.isEmpty():
+            discard(point)
             break
         second = point.select(F.col("a").alias("to"), F.col("to").alias("root"))
         root = materialize(point.join(second, "to").select(F.col("a").alias("node"), "root"))
+        before = labels
         if labels is None:
-            labels = root.select("node", F.col("root").alias("component"))
+            labels = materialize(root.select("node", F.col("root").alias("component")))
         else:
             step = root.select(F.col("node").alias("component"), "root")
             labels = materialize(labels.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
-        ends = edges
+            discard(before)
+        ends, last = edges, edges
         for end in ("a", "b"):
             ends = ends.join(root.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
         ends = ends.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
         edges = materialize(ends.where("a <> b").distinct())
+        discard(last, point, root)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    discard(edges)
     return labels
