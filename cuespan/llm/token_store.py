@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -55,25 +57,37 @@ PLAIN[:0x21] = False
 PLAIN[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
-def word_chunks(data: np.ndarray, offsets: np.ndarray):
-    """Chunks of the rows that are encoded alike alone and in their text."""
+def word_chunks(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray):
+    """Chunks of the rows that are encoded alike alone and in their text; rows marked `whole` are not cut."""
     space = data == 0x20
     space[:-1] &= PLAIN[data[1:]]
     space[-1:] = False
-    return split_chunks(data, offsets, space | pair_cuts(data, WORD_BREAKS))
+    cut = space | pair_cuts(data, WORD_BREAKS)
+    for row in np.flatnonzero(whole):
+        cut[offsets[row] : offsets[row + 1]] = False
+    return split_chunks(data, offsets, cut)
 
 
-_MEMOS: dict[int, Memo] = {}
+def with_special(column: pa.Array, special: list[str]) -> np.ndarray:
+    """Which texts hold the string of a special token: the library then cuts around it, so they are encoded as a whole."""
+    out = np.zeros(len(column), bool)
+    for token in special:
+        out |= np.asarray(pc.fill_null(pc.match_substring(column, token), False))
+    return out
 
 
-def tokenizer_memo(spec: str) -> Memo:
+_MEMOS: dict[tuple[int, bool], Memo] = {}
+
+
+def tokenizer_memo(spec: str, special_as_text: bool) -> Memo:
     """The worker's memo of the tokenizer, kept from task to task."""
-    if (key := zlib.crc32(spec.encode())) not in _MEMOS:
+    if (key := (zlib.crc32(spec.encode()), special_as_text)) not in _MEMOS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer.encode_special_tokens = special_as_text
+        special = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
 
         width = np.zeros(tokenizer.get_vocab_size(), np.int64)
         for token, i in tokenizer.get_vocab().items():
@@ -81,7 +95,7 @@ def tokenizer_memo(spec: str) -> Memo:
 
         def encode(chunks: list[bytes]):
             # Chunks that start with a space start a word wherever they stand, so they go in by the thousand.
-            apart = np.fromiter((c[:1] != b" " for c in chunks), bool, len(chunks))
+            apart = np.fromiter((c[:1] != b" " or any(x in c for x in special) for c in chunks), bool, len(chunks))
             order = np.concatenate([np.flatnonzero(apart), np.flatnonzero(~apart)])
             single = int(apart.sum())
             texts = [chunks[i].decode() for i in order[:single]]
@@ -99,15 +113,21 @@ def tokenizer_memo(spec: str) -> Memo:
     return _MEMOS[key]
 
 
-def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, tokens) of whole texts; null is empty; `end_id` closes each document."""
+def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, tokens) of whole texts; null is empty; `end_id` closes each document.
+
+    A special token's string in a text gives its id, as the library does by default, or with
+    special_as_text the ids of its letters.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
     def encode(batches):
-        memo = tokenizer_memo(spec.value)
+        memo = tokenizer_memo(spec.value, special_as_text)
+        special = [] if special_as_text else [x["content"] for x in json.loads(spec.value)["added_tokens"]]
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, bounds = memo.rows(*word_chunks(*column_bytes(part.column("text"))))
+                whole = with_special(part.column("text"), special)
+                ids, bounds = memo.rows(*word_chunks(*column_bytes(part.column("text")), whole))
                 if end_id is not None:
                     ids = np.insert(ids, bounds[1:], end_id)
                     bounds = bounds + np.arange(len(bounds))
@@ -121,13 +141,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int |
     """Writes the documents' token ids as Parquet below `path`, in ascending doc_id order over all files.
 
     Documents are dealt to files by ranges of doc_id before they are encoded. Null ids come
-    first; rows that repeat an id are stored next to each other.
+    first; rows that repeat an id are stored next to each other, in the order of their texts.
     """
     files = files or max(1, -(-docs.count() // DOCS_PER_FILE))
     text = columns.get("text_col", "text")
     name = columns.get("id_col", "doc_id")
     rows = docs.select(F.col(name).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     encode_tokens(rows, tokenizer_path, end_id).write.options(**FORMAT).parquet(path)
     return path
 

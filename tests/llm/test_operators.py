@@ -158,7 +158,6 @@ def test_tokens(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BYTE_BPE)
-    tokenizer.encode_special_tokens = True
     rows = sorted([(r.doc_id, r.text or "") for r in docs.collect()])
     at, want = 0, []
     for i, t in rows:
@@ -380,3 +379,34 @@ def test_scratch_needs_a_shared_folder():
 def test_slices_keep_long_rows_whole():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 50, "", "c"]})
     assert [s.num_rows for s in chunks.slices(batch, "text", 12)] == [2, 1, 2]
+
+
+def test_special_tokens_in_a_text(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b", " <|endoftext|> x  <|endoftext|>", "<|endoftext|", "<|endoftext|><|endoftext|>\n y", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for switch in (False, True):
+        tokenizer = Tokenizer.from_file(BYTE_BPE)
+        tokenizer.encode_special_tokens = switch
+        got = {r.doc_id: list(r.tokens) for r in token_store.encode_tokens(df, BYTE_BPE, special_as_text=switch).collect()}
+        assert got == {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_scratch_tables_go(spark):
+    made = []
+    with common.kept_tables(made):
+        first = common.materialize(spark.range(5))
+        second = common.materialize(first.selectExpr("id + 1 as id"))
+        common.discard(first)
+    assert made == [second] and second.count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|FileNotFound|does not exist"):
+        first.collect()
+    common.discard(second)
+
+
+def test_near_groups_leaves_two_tables(spark, docs):
+    made = []
+    with common.kept_tables(made):
+        out = minhash_dedup.near_groups(docs)
+    assert len(made) == 2 and out.count() == docs.count()
