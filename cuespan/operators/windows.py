@@ -250,10 +250,18 @@ def concurrent_subjects(beats: DataFrame, limit: int = 2) -> DataFrame:
 
     beats: shot_id, subject, start_ms, end_ms.
     """
-    points = beats.select("shot_id", F.explode(F.array("start_ms", "end_ms")).alias("left_ms")).distinct()
-    points = points.withColumn("right_ms", F.lead("left_ms").over(_w(["shot_id"], ["left_ms"]))).where("right_ms is not null")
-    over = points.join(beats, "shot_id").where("start_ms <= left_ms and end_ms >= right_ms")
-    return over.groupBy("shot_id", "left_ms", "right_ms").agg(F.count_distinct("subject").alias("subjects")).where(F.col("subjects") > limit)
+    own = _w(["shot_id", "subject"], ["start_ms", "end_ms"])
+    moves = beats.where("end_ms > start_ms").withColumn("_reach", F.max("end_ms").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    moves = moves.withColumn("_part", F.sum(F.coalesce(F.col("start_ms") > F.col("_reach"), F.lit(True)).cast("int")).over(own))
+    # A subject's overlapping moves count as one; then one sweep per shot adds starts and takes ends away.
+    moves = moves.groupBy("shot_id", "subject", "_part").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    step = lambda at, n: F.struct(F.col(at).alias("left_ms"), F.lit(n).alias("n"))
+    steps = moves.select("shot_id", F.explode(F.array(step("start_ms", 1), step("end_ms", -1))).alias("s"))
+    steps = steps.union(beats.select("shot_id", F.explode(F.array(step("start_ms", 0), step("end_ms", 0)))))
+    w = _w(["shot_id"], ["left_ms"])
+    df = steps.groupBy("shot_id", "s.left_ms").agg(F.sum("s.n").alias("n"))
+    df = df.select("shot_id", "left_ms", F.lead("left_ms").over(w).alias("right_ms"), F.sum("n").over(w).alias("subjects"))
+    return df.where(F.col("right_ms").isNotNull() & (F.col("subjects") > limit))
 
 
 def idle_ratio(elements: DataFrame, scenes: DataFrame, least_ms: int = 3000, share: float = 0.55) -> DataFrame:
