@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 # The safe frame as shares of the canvas, and of it what a board may fill.
@@ -129,3 +129,100 @@ def resolve_beat_anchor(beats: DataFrame, words: DataFrame, scenes: DataFrame) -
     anchor = F.when(F.col("_own").isNotNull(), F.col("word_id")).when(unique, F.col("_id"))
     rule = F.when(F.col("_in").isNull(), "unknown-scene").when(anchor.isNull() & (F.col("_n") > 1), "ambiguous-phrase").when(anchor.isNull(), "no-anchor")
     return df.select("scene_id", "beat_no", anchor.alias("anchor_id"), F.when(F.col("_own").isNotNull(), F.col("_own")).when(unique, F.col("_at")).alias("start_ms"), rule.alias("rule_id"))
+
+
+# Boxes of the preset layouts as shares of the canvas, the preset by number of elements, and a title card's share.
+LAYOUTS = {
+    "single": [(0.05, 0.07, 0.90, 0.72)],
+    "side-by-side": [(0.05, 0.07, 0.43, 0.72), (0.52, 0.07, 0.43, 0.72)],
+    "three-step": [(0.05, 0.07, 0.27, 0.72), (0.365, 0.07, 0.27, 0.72), (0.68, 0.07, 0.27, 0.72)],
+    "hero-side": [(0.05, 0.07, 0.54, 0.72), (0.63, 0.07, 0.32, 0.34), (0.63, 0.45, 0.32, 0.34)],
+    "grid-2x2": [(x, y, 0.43, 0.34) for y in (0.07, 0.45) for x in (0.05, 0.52)],
+    "grid-3x2": [(x, y, 0.27, 0.34) for y in (0.07, 0.45) for x in (0.05, 0.365, 0.68)],
+}
+LAYOUT_OF_COUNT = {1: "single", 2: "side-by-side", 3: "three-step", 4: "grid-2x2", 5: "grid-3x2", 6: "grid-3x2"}
+CONTENT_TOP, CONTENT_BOTTOM, CARD_TOP = 0.07, 0.79, 0.16
+# Fixed values of focus targets: share kept on each side, margin, where captions start, and the fewest pixels.
+FOCUS_LOW, FOCUS_HIGH, FOCUS_MARGIN, LEAST_MARGIN, CAPTIONS_TOP = 0.02, 0.98, 0.02, 14, 0.84
+FEW_PIXELS, FEW_SHARE = 25, 0.00035
+
+
+def layout_allocate(elements: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boxes (shot_id, element_id, template, x, y, w, h) by the preset for the number of elements, and violations (shot_id, rule_id).
+
+    elements: shot_id, element_id, seq, template (null: by number); cards: shot_id of shots with a
+    title card, whose boxes are pressed below it. Shots without 1 to 6 different elements, or with
+    a template of another size, have no boxes.
+    """
+    spark = elements.sparkSession
+    scale = (CONTENT_BOTTOM - CARD_TOP) / (CONTENT_BOTTOM - CONTENT_TOP)
+    slots = []
+    for name, boxes in LAYOUTS.items():
+        for i, (x, y, w, h) in enumerate(boxes, 1):
+            slots += [(name, i, False, x, y, w, h), (name, i, True, x, round(CARD_TOP + (y - CONTENT_TOP) * scale, 4), w, round(h * scale, 4))]
+    slots = spark.createDataFrame(slots, "template string, _i int, _card boolean, x double, y double, w double, h double")
+    per_shot = Window.partitionBy("shot_id")
+    own = F.coalesce(*[F.when(F.col("_n") == n, F.lit(t)) for n, t in LAYOUT_OF_COUNT.items()])
+    size = F.coalesce(*[F.when(F.col("template") == t, F.lit(len(b))) for t, b in LAYOUTS.items()])
+    df = elements.withColumns({"_n": F.count("*").over(per_shot), "_i": F.row_number().over(per_shot.orderBy("seq")), "_twice": F.count("*").over(Window.partitionBy("shot_id", "element_id")) > 1})
+    df = df.withColumn("template", F.coalesce("template", own)).join(cards.select("shot_id").distinct().withColumn("_has", F.lit(True)), "shot_id", "left").withColumn("_card", F.coalesce("_has", F.lit(False)))
+    fits = (size == F.col("_n")) | ((F.col("template") == "grid-3x2") & (F.col("_n") == 5))
+    df = df.withColumn("_bad", F.when(~F.col("_n").between(1, 6), "element-count").when(F.max("_twice").over(per_shot), "repeated-element").when(~F.coalesce(fits, F.lit(False)), "template-size"))
+    boxes = df.where("_bad is null").join(F.broadcast(slots), ["template", "_i", "_card"])  # the presets: a few dozen rows
+    return boxes.select("shot_id", "element_id", "template", "x", "y", "w", "h"), df.where("_bad is not null").select("shot_id", F.col("_bad").alias("rule_id")).distinct()
+
+
+def _order_statistics(segments: DataFrame) -> DataFrame:
+    """(board_id, element_id, low, high, n): percentiles of positions, where `n` pixels stand at each place from a to before b."""
+    w = Window.partitionBy("board_id", "element_id")
+    df = segments.withColumn("_m", F.col("n") * (F.col("b") - F.col("a")))
+    df = df.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_m").over(w)})
+
+    def at(share: float) -> dict[str, Column]:
+        rank = F.col("_all") - 1
+        lo = F.floor(rank * share)
+        held = lambda k: F.max(F.when((k >= F.col("_before")) & (k < F.col("_before") + F.col("_m")), F.col("a") + F.floor((k - F.col("_before")) / F.col("n"))))
+        return {"at": held(lo), "next": held(F.least(lo + 1, rank)), "part": F.max(rank * share - lo)}
+
+    low, high = at(FOCUS_LOW), at(FOCUS_HIGH)
+    out = df.groupBy("board_id", "element_id").agg(*[c.alias(f"_l{k}") for k, c in low.items()], *[c.alias(f"_h{k}") for k, c in high.items()], F.max("_all").alias("n"))
+    between = lambda p: F.col(f"_{p}at") + (F.col(f"_{p}next") - F.col(f"_{p}at")) * F.col(f"_{p}part")
+    return out.select("board_id", "element_id", between("l").alias("low"), between("h").alias("high"), "n")
+
+
+def focus_target(runs: DataFrame, elements: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
+    """(board_id, element_id, x, y, w, h, confidence, source): the box that holds the middle 96 % of an element's own pixels each way.
+
+    runs: board_id, element_id, y, x0, x1, the rows of pixels an element owns; elements: board_id,
+    element_id, x, y, w, h. Pixels are clipped to the region and to what captions leave free. Too
+    few pixels, or no room within the margins, give the region itself with little confidence.
+    """
+    safe = max(1, int(height * CAPTIONS_TOP))
+    box = elements.select("board_id", "element_id", F.col("x").alias("rx0"), F.col("y").alias("ry0"), (F.col("x") + F.col("w")).alias("rx1"), (F.col("y") + F.col("h")).alias("ry1"))
+    clip = lambda c, lo, hi: F.greatest(F.lit(lo) if isinstance(lo, int) else lo, F.least(F.lit(hi), c))
+    box = box.withColumns({"cx0": clip(F.col("rx0"), 0, width - 1), "cy0": clip(F.col("ry0"), 0, height - 1)})
+    box = box.withColumns({"cx1": clip(F.least("rx1", F.lit(width)), F.col("cx0") + 1, width), "cy1": clip(F.least("ry1", F.lit(safe)), F.col("cy0") + 1, height)})
+    own = runs.join(box, ["board_id", "element_id"]).where("y >= cy0 and y < cy1 and x0 < cx1 and x1 > cx0")
+    own = own.select("board_id", "element_id", "y", F.greatest("x0", "cx0").alias("a"), F.least("x1", "cx1").alias("b"))
+    rows = own.groupBy("board_id", "element_id", F.col("y").alias("a")).agg(F.sum(F.col("b") - F.col("a")).alias("n")).withColumn("b", F.col("a") + 1)
+    step = lambda c, n: F.struct(F.col(c).alias("a"), F.lit(n).alias("n"))
+    ends = own.select("board_id", "element_id", F.explode(F.array(step("a", 1), step("b", -1))).alias("s")).groupBy("board_id", "element_id", "s.a").agg(F.sum("s.n").alias("n"))
+    w = Window.partitionBy("board_id", "element_id").orderBy("a")
+    columns = ends.withColumns({"n": F.sum("n").over(w), "b": F.lead("a").over(w)}).where("n > 0 and b is not null")
+    x, y = (_order_statistics(s).select("board_id", "element_id", F.col("low").alias(f"{c}l"), F.col("high").alias(f"{c}h"), "n") for c, s in (("x", columns), ("y", rows)))
+    df = box.join(x, ["board_id", "element_id"], "left").join(y.drop("n"), ["board_id", "element_id"], "left")
+    margin = max(LEAST_MARGIN, round(min(width, height) * FOCUS_MARGIN))
+    whole = lambda c: F.bround(c).cast("bigint")
+    df = df.withColumns({
+        "bx0": F.greatest(F.col("rx0"), F.lit(margin), whole(F.col("xl")) - margin), "by0": F.greatest(F.col("ry0"), F.lit(margin), whole(F.col("yl")) - margin),
+        "bx1": F.least(F.col("rx1"), F.lit(width - margin), whole(F.col("xh") + 1) + margin), "by1": F.least(F.col("ry1"), F.lit(safe - 2), whole(F.col("yh") + 1) + margin),
+        "area": F.greatest(F.lit(1), (F.col("cx1") - F.col("cx0")) * (F.col("cy1") - F.col("cy0"))),
+    })
+    enough = F.coalesce((F.col("n") >= F.greatest(F.lit(FEW_PIXELS), F.bround(F.col("area") * FEW_SHARE))) & (F.col("bx1") > F.col("bx0")) & (F.col("by1") > F.col("by0")), F.lit(False))
+    density = F.col("n") / F.col("area")
+    sure = F.least(F.lit(0.99), 0.55 + F.least(F.lit(0.28), density * 5.0) + F.least(F.lit(0.16), (F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")) / F.lit(float(width * height))))
+    on = lambda a, b: F.when(enough, a).otherwise(b)
+    return df.select(
+        "board_id", "element_id", on(F.col("bx0"), F.col("cx0")).alias("x"), on(F.col("by0"), F.col("cy0")).alias("y"), on(F.col("bx1") - F.col("bx0"), F.col("cx1") - F.col("cx0")).alias("w"), on(F.col("by1") - F.col("by0"), F.col("cy1") - F.col("cy0")).alias("h"),
+        F.round(on(sure, F.lit(0.12)), 4).alias("confidence"), on(F.lit("foreground-pixels"), F.lit("annotation-region-low-confidence")).alias("source"),
+    )

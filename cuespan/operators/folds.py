@@ -1,7 +1,8 @@
 """Greedy segmentation: state depends on the decision before, so each key's rows are folded in order inside Catalyst.
 
-A fold holds the rows of one key (a document or a video) in one array. Keys with more than
-`limit` rows are refused with an error rather than folded in parts.
+A fold holds the rows of one key in one array. Where the state surely resets, as at a long pause,
+keys are cut there first and the parts are folded, so only a part must fit and a key may be of any
+size. Only `group_scenes` and `suggest_composition` have no such place; their key is a project.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from pyspark.sql.window import Window
 
 from cuespan.functions.text import CAPTION_PUNCTUATION, visible_length
 
-LIMIT = 1_000_000
 # Letters that end a clause, those that end a sentence first.
 MAJOR, MINOR = "。！？!?；;\n", "，,、：:"
 
 
-def ordered_rows(df: DataFrame, key: str, fields: list[str], limit: int = LIMIT) -> DataFrame:
+def ordered_rows(df: DataFrame, key: str | list[str], fields: list[str]) -> DataFrame:
     """(key, rows): each key's rows as structs, sorted by their fields in order."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
-    return rows.withColumn("rows", F.when(F.size("rows") <= limit, F.col("rows")).otherwise(F.raise_error(F.lit(f"a key has more than {limit} rows: segment it first"))))
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+
+
+def parts_from(df: DataFrame, partition: list[str], order: list[str], begins: Column) -> DataFrame:
+    """Adds _part: rows from one that begins a part up to the next, within each key."""
+    w = Window.partitionBy(*partition).orderBy(*order)
+    return df.withColumn("_begins", F.coalesce(begins, F.lit(True)).cast("int")).withColumn("_part", F.sum("_begins").over(w)).drop("_begins")
 
 
 def group_scenes(cues: DataFrame, target_s: float = 30, min_s: float = 25, max_s: float = 35) -> DataFrame:
@@ -50,7 +55,8 @@ def clean_length(text: Column) -> Column:
 
 def pack_words(words: DataFrame, max_chars: int = 18, max_ms: int = 3600, pause_ms: int = 420, sep: str = "") -> DataFrame:
     """(project_id, cue_no, start_ms, end_ms, text): words packed into captions by letters, length and pauses."""
-    rows = ordered_rows(words, "project_id", ["idx", "text", "start_ms", "end_ms"])
+    pause = F.col("start_ms") - F.lag("end_ms").over(Window.partitionBy("project_id").orderBy("idx")) > pause_ms
+    rows = ordered_rows(parts_from(words, ["project_id"], ["idx"], pause), ["project_id", "_part"], ["idx", "text", "start_ms", "end_ms"])
     kind = "struct<a:bigint,b:bigint,t:string>"
     start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("open"))
     cue = lambda a, b, t: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), t.alias("t"))
@@ -68,8 +74,9 @@ def pack_words(words: DataFrame, max_chars: int = 18, max_ms: int = 3600, pause_
 
     out = F.aggregate("rows", start, fold, lambda s: F.when(s["open"].isNotNull(), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
     clean = F.transform(out, lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), F.trim(F.translate(c["t"], CAPTION_PUNCTUATION, "")).alias("t")))
-    df = rows.select("project_id", F.posexplode(F.filter(clean, lambda c: c["t"] != "")).alias("i", "c"))
-    return df.select("project_id", (F.col("i") + 1).alias("cue_no"), F.col("c.a").alias("start_ms"), F.col("c.b").alias("end_ms"), F.col("c.t").alias("text"))
+    df = rows.select("project_id", "_part", F.posexplode(F.filter(clean, lambda c: c["t"] != "")).alias("i", "c"))
+    number = F.row_number().over(Window.partitionBy("project_id").orderBy("_part", "i"))
+    return df.select("project_id", number.alias("cue_no"), F.col("c.a").alias("start_ms"), F.col("c.b").alias("end_ms"), F.col("c.t").alias("text"))
 
 
 def clause_atoms(scripts: DataFrame) -> DataFrame:
@@ -88,8 +95,13 @@ def clause_atoms(scripts: DataFrame) -> DataFrame:
 
 
 def suppress_near(df: DataFrame, gap_ms: int = 35, partition: str = "project_id", at: str = "at_ms", tie: str = "label") -> DataFrame:
-    """Rows at least `gap_ms` behind the last one kept."""
-    rows = ordered_rows(df, partition, [at, tie])
+    """Rows at least `gap_ms` behind the last one kept; of rows at one time the one with the least `tie`.
+
+    A row that far behind the row before it is surely kept, so keys are cut there and only what lies close is folded.
+    """
+    df = df.groupBy(partition, at).agg(F.min(tie).alias(tie))
+    far = F.col(at) - F.lag(at).over(Window.partitionBy(partition).orderBy(at)) >= gap_ms
+    rows = ordered_rows(parts_from(df, [partition], [at], far), [partition, "_part"], [at, tie])
     start = F.array().cast(rows.schema["rows"].dataType)
     fold = lambda kept, r: F.when((F.size(kept) == 0) | (r[at] - F.element_at(kept, -1)[at] >= gap_ms), F.concat(kept, F.array(r))).otherwise(kept)
     return rows.select(partition, F.explode(F.aggregate("rows", start, fold)).alias("r")).select(partition, f"r.{at}", f"r.{tie}")
@@ -100,13 +112,11 @@ def detect_cuts(peaks: DataFrame, durations: DataFrame, min_scene_ms: int = 500)
 
     peaks: video_id, time_ms; durations: video_id, duration_ms, a row per video.
     """
-    cand = peaks.join(durations, "video_id").where(F.col("duration_ms") - F.col("time_ms") >= min_scene_ms)
-    rows = ordered_rows(cand, "video_id", ["time_ms"])
-    fold = lambda cuts, r: F.when(r["time_ms"] - F.element_at(cuts, -1) >= min_scene_ms, F.concat(cuts, F.array(r["time_ms"]))).otherwise(cuts)
-    df = durations.join(rows, "video_id", "left").withColumn("c", F.aggregate(F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)), F.array(F.lit(0).cast("bigint")), fold))
-    df = df.select("video_id", "duration_ms", F.posexplode("c").alias("i", "start_ms"))
-    end = F.coalesce(F.lead("start_ms").over(Window.partitionBy("video_id").orderBy("i")), F.col("duration_ms"))
-    return df.select("video_id", (F.col("i") + 1).alias("scene_no"), "start_ms", end.alias("end_ms"))
+    cand = peaks.join(durations, "video_id").where((F.col("duration_ms") - F.col("time_ms") >= min_scene_ms) & (F.col("time_ms") >= min_scene_ms)).select("video_id", F.col("time_ms").cast("bigint").alias("at_ms"))
+    starts = cand.union(durations.select("video_id", F.lit(0).cast("bigint"))).withColumn("label", F.lit(""))
+    df = suppress_near(starts, min_scene_ms, "video_id").join(durations, "video_id")
+    w = Window.partitionBy("video_id").orderBy("at_ms")
+    return df.select("video_id", F.row_number().over(w).alias("scene_no"), F.col("at_ms").alias("start_ms"), F.coalesce(F.lead("at_ms").over(w), F.col("duration_ms")).alias("end_ms"))
 
 
 def state_runs(frames: DataFrame, state: str = "state") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from cuespan.operators.folds import suppress_near
+
 # Milliseconds and confidence an effect needs, and what it adds to a candidate's priority.
 EFFECT_MIN_MS = {"focus-push": 1200}
 EFFECT_CONFIDENCE, OTHER_CONFIDENCE = {"focus-push": 0.75}, 0.65
@@ -121,3 +123,59 @@ def sfx_plan(parts: list[DataFrame], scenes: DataFrame) -> DataFrame:
     df = all_.join(scenes, "scene_id").withColumns({"start_ms": F.greatest("start_ms", "scene_start_ms"), "end_ms": F.least("end_ms", "scene_end_ms")}).where("end_ms > start_ms")
     w = Window.partitionBy("scene_id", "effect").orderBy("source", "start_ms", "end_ms")
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1 or repeatable").select("scene_id", "effect", "source", "start_ms", "end_ms")
+
+
+# Fixed values of the review: frames at most, and kinds that are always kept; offsets in milliseconds.
+REVIEW_FRAMES, REVIEW_ANCHORS, NEAR_MS = 48, ("first", "last", "caption-mid"), 35
+AFTER_ELEMENT_MS, BEFORE_END_MS, BEFORE_ERASE_MS, BEFORE_LAST_MS = 40, 80, 125, 40
+
+
+def review_targets(projects: DataFrame, scenes: DataFrame, elements: DataFrame, events: DataFrame, transitions: DataFrame, cues: DataFrame, cap: int = REVIEW_FRAMES) -> DataFrame:
+    """(project_id, time_ms, kind, label): the frames to look at, in order, none within 35 ms of the one kept before, `cap` at most.
+
+    projects: project_id, duration_ms, prefix_ms; scenes: project_id, scene_id, start_ms, end_ms;
+    elements: scene_id, seq, element_id, start_ms, dur_ms, of which each scene's last counts;
+    events: project_id, event_id, start_ms, end_ms, of which each project's longest counts;
+    transitions: scene_id, to_scene, erase_start_ms, erase_end_ms, next_word_ms; cues: project_id,
+    cue_no, start_ms, end_ms. Beyond the cap, frames of REVIEW_ANCHORS stay and an even sample of the others.
+    """
+    target = lambda at, kind, label: F.struct(at.cast("bigint").alias("raw_ms"), F.lit(kind).alias("kind"), label.alias("label"))
+    say = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    c = F.col
+    last = elements.groupBy("scene_id").agg(F.max_by(F.struct("seq", "element_id", F.col("start_ms").alias("s"), F.col("dur_ms").alias("d")), F.struct("seq", "element_id")).alias("e"))
+    df = scenes.join(last, "scene_id", "left").join(transitions, "scene_id", "left")
+    mark = say(c("scene_id"), "-", c("e.seq"), "-", c("e.element_id"))
+    stable = F.greatest(c("start_ms"), F.when(c("erase_start_ms").isNotNull(), c("erase_start_ms") - BEFORE_ERASE_MS).otherwise(c("end_ms") - BEFORE_END_MS))
+    half = F.greatest(F.lit(1), F.floor((c("erase_end_ms") - c("erase_start_ms")) / 2))
+    of_scene = F.array(
+        F.when(c("e").isNotNull(), target(c("start_ms") + c("e.s") + F.floor(c("e.d") / 2), "hand-drawn-mid", say(mark, "-mid"))),
+        F.when(c("e").isNotNull(), target(F.least(c("end_ms") - 1, c("start_ms") + c("e.s") + c("e.d") + AFTER_ELEMENT_MS), "element-end", say(mark, "-complete"))),
+        target(stable, "scene-end", say(c("scene_id"), "-end")),
+        F.when(c("erase_start_ms").isNotNull(), target(c("erase_start_ms") + half, "eraser-mid", say(c("scene_id"), "-eraser-mid"))),
+        F.when(c("erase_start_ms").isNotNull(), target(c("next_word_ms"), "next-scene-first-word", say(c("to_scene"), "-first-word"))),
+    )
+    parts = [df.select("project_id", F.explode(F.array_compact(of_scene)).alias("t"))]
+    length = F.greatest(F.lit(1), c("end_ms") - c("start_ms"))
+    longest = events.groupBy("project_id").agg(F.max(F.struct(length.alias("n"), c("start_ms").alias("s"), c("end_ms").alias("z"), c("event_id").cast("string").alias("id"))).alias("v"))
+    parts.append(longest.select("project_id", F.explode(F.array(
+        target(c("v.s"), "animation-start", say(c("v.id"), "-start")), target(c("v.s") + F.floor(c("v.n") / 2), "animation-mid", say(c("v.id"), "-mid")), target(c("v.z"), "animation-complete", say(c("v.id"), "-complete")),
+    )).alias("t")))
+    w = Window.partitionBy("project_id")
+    placed = cues.withColumns({"_i": F.row_number().over(w.orderBy("cue_no")) - 1, "_n": F.count("*").over(w)})
+    placed = placed.where("_i = least(_n - 1, _n div 3) or _i = least(_n - 1, (2 * _n) div 3)")
+    parts.append(placed.select("project_id", target(F.floor((c("start_ms") + c("end_ms")) / 2), "caption-mid", say("caption-", F.lpad((c("_i") + 1).cast("string"), 2, "0"))).alias("t")))
+    parts.append(projects.select("project_id", F.explode(F.array(target(F.lit(0), "first", F.lit("first-frame")), target(F.greatest(F.lit(0), c("duration_ms") - BEFORE_LAST_MS), "last", F.lit("last-frame")))).alias("t")))
+    all_ = parts[0]
+    for part in parts[1:]:
+        all_ = all_.union(part)
+    df = all_.select("project_id", "t.*").join(projects, "project_id").withColumn("raw_ms", c("raw_ms") + F.coalesce("prefix_ms", F.lit(0)))
+    time = F.greatest(F.lit(0), F.least(c("duration_ms") - 1, "raw_ms"))
+    kept = suppress_near(df.select("project_id", time.alias("at_ms"), F.struct("raw_ms", "kind", "label").alias("label")), NEAR_MS)
+    kept = kept.select("project_id", c("at_ms").alias("time_ms"), "label.kind", "label.label")
+    anchor = c("kind").isin(*REVIEW_ANCHORS)
+    kept = kept.withColumns({"_all": F.count("*").over(w), "_room": cap - F.sum(anchor.cast("int")).over(w), "_anchor": anchor})
+    free = Window.partitionBy("project_id", "_anchor")
+    kept = kept.withColumns({"_i": F.row_number().over(free.orderBy("time_ms", "kind", "label")) - 1, "_n": F.count("*").over(free)})
+    ranks = F.transform(F.sequence(F.lit(0), F.greatest(c("_room"), F.lit(1)) - 1), lambda i: F.bround(i * ((c("_n") - 1) / F.greatest(F.lit(1), c("_room") - 1))).cast("int"))
+    sampled = (c("_room") > 0) & ((c("_n") <= c("_room")) | F.array_contains(ranks, c("_i").cast("int")))
+    return kept.where((c("_all") <= cap) | c("_anchor") | sampled).select("project_id", "time_ms", "kind", "label")

@@ -96,9 +96,10 @@ def adaptive_pacing(elements: DataFrame, scenes: DataFrame, ratio=PACING_RATIO,
 def interpolate_gaps(chars: DataFrame, bounds: DataFrame, partition=("project_id",), order=("pos",)) -> DataFrame:
     """Fills runs of null timings evenly between the neighbours' times; `bounds` has first_ms and last_ms for runs at the ends."""
     part, order = list(partition), list(order)
-    w, before, after = _w(part, order), _up_to(part, order, -1), _w(part, order).rowsBetween(1, Window.unboundedFollowing)
+    # What follows is read backwards: a frame to the end would be evaluated anew for each row.
+    w, before, after = _w(part, order), _up_to(part, order, -1), _up_to(part, [F.desc(c) for c in order], -1)
     df = chars.join(bounds, part).withColumns({
-        "_left": F.coalesce(F.last("end_ms", True).over(before), F.col("first_ms")), "_right": F.coalesce(F.first("start_ms", True).over(after), F.col("last_ms")),
+        "_left": F.coalesce(F.last("end_ms", True).over(before), F.col("first_ms")), "_right": F.coalesce(F.last("start_ms", True).over(after), F.col("last_ms")),
         "_run": F.count("start_ms").over(_up_to(part, order)), "_null": F.col("start_ms").isNull(),
     })
     run = Window.partitionBy(*part, "_run", "_null")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuespan.operators import boards as B
-from cuespan.plans.fixtures import v_elements, v_words, with_views
+from cuespan.operators.picks import review_targets as review
+from cuespan.plans.fixtures import v_cues, v_elements, v_scenes, v_words, with_views
 from cuespan.plans.registry import query
 
 _ROWS = "unnest(range(y // 100, (y + h) // 100))"
@@ -74,3 +75,87 @@ def resolve_beat_anchor(spark, sf):
     words = v_words(spark, sf).selectExpr("project_id * 1000 + line_no as scene_id", "idx as word_id", "text", "start_ms")
     beats = words.where("word_id % 5 = 0").selectExpr("scene_id", "word_id as beat_no", "case word_id % 3 when 0 then word_id when 1 then -1 end as word_id", "text as phrase")
     return B.resolve_beat_anchor(beats, words, words)
+
+
+_LAYOUT_SLOTS = ", ".join(f"('{t}', {i}, {x}::DOUBLE, {y}::DOUBLE, {w}::DOUBLE, {h}::DOUBLE)" for t, boxes in B.LAYOUTS.items() for i, (x, y, w, h) in enumerate(boxes, 1))
+_LAYOUT = f"""_sl AS (SELECT * FROM (VALUES {_LAYOUT_SLOTS}) v(template, i, x, y, w, h)),
+_el AS (SELECT scene_id AS shot_id, element_id, seq, CASE WHEN scene_id % 13 = 0 THEN 'hero-side' END AS t, count(*) OVER (PARTITION BY scene_id) AS n, count(*) OVER (PARTITION BY scene_id, element_id) AS k FROM v_elements),
+_et AS (SELECT *, coalesce(t, ['single', 'side-by-side', 'three-step', 'grid-2x2', 'grid-3x2', 'grid-3x2'][n]) AS template, max(k) OVER (PARTITION BY shot_id) AS twice FROM _el),
+_eb AS (SELECT *, CASE WHEN n > 6 THEN 'element-count' WHEN twice > 1 THEN 'repeated-element' WHEN (SELECT count(*) FROM _sl s WHERE s.template = e.template) <> n AND NOT (template = 'grid-3x2' AND n = 5) THEN 'template-size' END AS bad FROM _et e)"""
+
+
+def layout(spark, sf):
+    elements = v_elements(spark, sf).selectExpr("scene_id as shot_id", "element_id", "seq", "if(scene_id % 13 = 0, 'hero-side', null) as template")
+    return B.layout_allocate(elements, v_scenes(spark, sf).where("scene_id % 4 = 0").selectExpr("scene_id as shot_id"))
+
+
+@query(with_views("v_elements", select=f"""+ {_LAYOUT}
+=
+SELECT e.shot_id, e.element_id, e.template, s.x, CASE WHEN e.shot_id % 4 = 0 THEN round(0.16::DOUBLE + (s.y - 0.07::DOUBLE) * (0.63::DOUBLE / 0.72::DOUBLE), 4) ELSE s.y END AS y, s.w, CASE WHEN e.shot_id % 4 = 0 THEN round(s.h * (0.63::DOUBLE / 0.72::DOUBLE), 4) ELSE s.h END AS h
+FROM _eb e JOIN _sl s ON s.template = e.template AND s.i = e.seq WHERE bad IS NULL"""))
+def layout_allocate(spark, sf):
+    return layout(spark, sf)[0]
+
+
+@query(with_views("v_elements", select=f"+ {_LAYOUT}\n=\nSELECT DISTINCT shot_id, bad AS rule_id FROM _eb WHERE bad IS NOT NULL"))
+def check_layout(spark, sf):
+    return layout(spark, sf)[1]
+
+
+def strokes(spark, sf):
+    """Rows of pixels of each element, two to a row of the canvas, every ninth row."""
+    rows = v_elements(spark, sf).selectExpr("scene_id as board_id", "concat(element_id, '-', seq) as element_id", "x", "y", "w", "h", "explode(sequence(0, h div 9)) as i", "seq")
+    return rows.selectExpr("board_id", "element_id", "y + 9 * i as y", "explode(array(0, 1)) as k", "x", "w", "i").selectExpr("board_id", "element_id", "y", "x + k * 60 + i * 7 % 23 as x0", "x + k * 60 + i * 7 % 23 + 1 + (w + i) % 50 as x1")
+
+
+_STATS = """{0}m AS (SELECT *, n * (b - a) AS m FROM {0}), {0}c AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY board_id, element_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(m) OVER (PARTITION BY board_id, element_id) AS tot FROM {0}m),
+{0}k AS (SELECT board_id, element_id, max(tot) AS n, {1} FROM {0}c GROUP BY ALL), {0}s AS (SELECT board_id, element_id, n, l0 + (l1 - l0) * lp AS low, h0 + (h1 - h0) * hp AS high FROM {0}k)"""
+_RANKS = ", ".join(
+    f"max(CASE WHEN floor((tot - 1) * {p}::DOUBLE) >= bef AND floor((tot - 1) * {p}::DOUBLE) < bef + m THEN a + floor((floor((tot - 1) * {p}::DOUBLE) - bef) / n) END) AS {c}0, max(CASE WHEN least(floor((tot - 1) * {p}::DOUBLE) + 1, tot - 1) >= bef AND least(floor((tot - 1) * {p}::DOUBLE) + 1, tot - 1) < bef + m THEN a + floor((least(floor((tot - 1) * {p}::DOUBLE) + 1, tot - 1) - bef) / n) END) AS {c}1, max((tot - 1) * {p}::DOUBLE - floor((tot - 1) * {p}::DOUBLE)) AS {c}p"
+    for p, c in ((0.02, "l"), (0.98, "h")))
+
+
+@query(with_views("v_elements", select=f"""+ _bx AS (SELECT scene_id AS board_id, element_id || '-' || seq AS element_id, x, y, w, h, least(x, 1919) AS cx0, least(y, 1079) AS cy0, least(1920, greatest(least(x, 1919) + 1, least(x + w, 1920))) AS cx1, least(1080, greatest(least(y, 1079) + 1, least(y + h, 907))) AS cy1, seq FROM v_elements),
+_ri AS (SELECT *, unnest(range(h // 9 + 1)) AS i FROM _bx), _rk AS (SELECT *, unnest([0, 1]) AS k FROM _ri),
+_rr AS (SELECT board_id, element_id, y + 9 * i AS y, greatest(x + k * 60 + i * 7 % 23, cx0) AS a, least(x + k * 60 + i * 7 % 23 + 1 + (w + i) % 50, cx1) AS b FROM _rk WHERE y + 9 * i >= cy0 AND y + 9 * i < cy1 AND x + k * 60 + i * 7 % 23 < cx1 AND x + k * 60 + i * 7 % 23 + 1 + (w + i) % 50 > cx0),
+_y AS (SELECT board_id, element_id, y AS a, y + 1 AS b, sum(b - a) AS n FROM _rr GROUP BY board_id, element_id, y),
+_xe AS (SELECT board_id, element_id, a, sum(n) AS n FROM (SELECT board_id, element_id, a, 1 AS n FROM _rr UNION ALL SELECT board_id, element_id, b, -1 FROM _rr) GROUP BY ALL),
+_x AS (SELECT * FROM (SELECT board_id, element_id, a, lead(a) OVER w AS b, sum(n) OVER w AS n FROM _xe WINDOW w AS (PARTITION BY board_id, element_id ORDER BY a)) WHERE n > 0 AND b IS NOT NULL),
+{_STATS.format("_x", _RANKS)}, {_STATS.format("_y", _RANKS)},
+_j AS (SELECT b.*, s.n, greatest(x, 22, round_even(s.low, 0) - 22) AS bx0, greatest(y, 22, round_even(t.low, 0) - 22) AS by0, least(x + w, 1898, round_even(s.high + 1, 0) + 22) AS bx1, least(y + h, 905, round_even(t.high + 1, 0) + 22) AS by1, greatest(1, (cx1 - cx0) * (cy1 - cy0)) AS area FROM _bx b LEFT JOIN _xs s USING (board_id, element_id) LEFT JOIN _ys t USING (board_id, element_id)),
+_f AS (SELECT *, coalesce(n >= greatest(25, round_even(area * 0.00035::DOUBLE, 0)) AND bx1 > bx0 AND by1 > by0, FALSE) AS ok FROM _j)
+=
+SELECT board_id, element_id, (CASE WHEN ok THEN bx0 ELSE cx0 END)::BIGINT AS x, (CASE WHEN ok THEN by0 ELSE cy0 END)::BIGINT AS y, (CASE WHEN ok THEN bx1 - bx0 ELSE cx1 - cx0 END)::BIGINT AS w, (CASE WHEN ok THEN by1 - by0 ELSE cy1 - cy0 END)::BIGINT AS h,
+round(CASE WHEN ok THEN least(0.99::DOUBLE, 0.55::DOUBLE + least(0.28::DOUBLE, n / area::DOUBLE * 5) + least(0.16::DOUBLE, (bx1 - bx0) * (by1 - by0) / 2073600::DOUBLE)) ELSE 0.12::DOUBLE END, 4) AS confidence, CASE WHEN ok THEN 'foreground-pixels' ELSE 'annotation-region-low-confidence' END AS source FROM _f"""))
+def focus_target(spark, sf):
+    return B.focus_target(strokes(spark, sf), v_elements(spark, sf).selectExpr("scene_id as board_id", "concat(element_id, '-', seq) as element_id", "x", "y", "w", "h"))
+
+
+@query(with_views("v_scenes", "v_elements", "v_cues", recursive=True, select="""+ _pj AS (SELECT project_id, max(end_ms) + 1000 AS d, project_id % 3 * 500 AS pf FROM v_scenes GROUP BY project_id),
+_le AS (SELECT * FROM v_elements QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY seq DESC) = 1),
+_tr AS (SELECT project_id, scene_id, lead(scene_id) OVER w AS nxt, end_ms - 500 AS es, end_ms - 100 AS ee, lead(start_ms) OVER w AS nw FROM v_scenes WINDOW w AS (PARTITION BY project_id ORDER BY seq)),
+_sc AS (SELECT s.project_id, s.scene_id, s.start_ms, s.end_ms, e.seq, element_id, e.start_ms AS s, e.dur_ms AS d, nxt, CASE WHEN nxt IS NOT NULL THEN es END AS es, ee, nw FROM v_scenes s LEFT JOIN _le e USING (scene_id) LEFT JOIN _tr t ON t.scene_id = s.scene_id),
+_ev AS (SELECT project_id, scene_id, start_ms + 100 AS s, start_ms + 100 + scene_id * 31 % 1900 AS z FROM v_scenes),
+_be AS (SELECT project_id, max({'n': greatest(1, z - s), 's': s, 'z': z, 'id': 'ev' || scene_id}) AS v FROM _ev GROUP BY project_id),
+_cu AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY cue_no) - 1 AS i, count(*) OVER (PARTITION BY project_id) AS n FROM v_cues),
+_al AS (SELECT project_id, start_ms + s + d // 2 AS t, 'hand-drawn-mid' AS kind, scene_id || '-' || seq || '-' || element_id || '-mid' AS label FROM _sc WHERE seq IS NOT NULL
+UNION ALL SELECT project_id, least(end_ms - 1, start_ms + s + d + 40), 'element-end', scene_id || '-' || seq || '-' || element_id || '-complete' FROM _sc WHERE seq IS NOT NULL
+UNION ALL SELECT project_id, greatest(start_ms, coalesce(es - 125, end_ms - 80)), 'scene-end', scene_id || '-end' FROM _sc
+UNION ALL SELECT project_id, es + greatest(1, (ee - es) // 2), 'eraser-mid', scene_id || '-eraser-mid' FROM _sc WHERE es IS NOT NULL
+UNION ALL SELECT project_id, nw, 'next-scene-first-word', nxt || '-first-word' FROM _sc WHERE es IS NOT NULL
+UNION ALL SELECT project_id, v.s, 'animation-start', v.id || '-start' FROM _be UNION ALL SELECT project_id, v.s + v.n // 2, 'animation-mid', v.id || '-mid' FROM _be UNION ALL SELECT project_id, v.z, 'animation-complete', v.id || '-complete' FROM _be
+UNION ALL SELECT project_id, (start_ms + end_ms) // 2, 'caption-mid', 'caption-' || CASE WHEN i < 9 THEN '0' ELSE '' END || (i + 1) FROM _cu WHERE i = least(n - 1, n // 3) OR i = least(n - 1, 2 * n // 3)
+UNION ALL SELECT project_id, 0, 'first', 'first-frame' FROM _pj UNION ALL SELECT project_id, greatest(0, d - 40), 'last', 'last-frame' FROM _pj),
+_ti AS (SELECT a.project_id, t + pf AS raw, greatest(0, least(d - 1, t + pf)) AS t, kind, label FROM _al a JOIN _pj USING (project_id)),
+_on AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY t, raw, kind, label) AS i FROM _ti),
+_fd AS (SELECT project_id, i, t AS last, TRUE AS keep FROM _on WHERE i = 1 UNION ALL SELECT o.project_id, o.i, CASE WHEN o.t - f.last >= 35 THEN o.t ELSE f.last END, o.t - f.last >= 35 FROM _fd f JOIN _on o ON o.project_id = f.project_id AND o.i = f.i + 1),
+_kp AS (SELECT o.project_id, t, kind, label, kind IN ('first', 'last', 'caption-mid') AS anchor FROM _on o JOIN _fd f ON f.project_id = o.project_id AND f.i = o.i WHERE keep),
+_kn AS (SELECT *, count(*) OVER (PARTITION BY project_id) AS al, 48 - sum(anchor::INT) OVER (PARTITION BY project_id) AS room, row_number() OVER (PARTITION BY project_id, anchor ORDER BY t, kind, label) - 1 AS i, count(*) OVER (PARTITION BY project_id, anchor) AS n FROM _kp)
+=
+SELECT project_id, t AS time_ms, kind, label FROM _kn WHERE al <= 48 OR anchor OR (room > 0 AND (n <= room OR list_contains(list_transform(range(greatest(room, 1)::BIGINT), lambda j: round_even(j * ((n - 1) / greatest(1, room - 1)), 0)::BIGINT), i)))"""))
+def review_targets(spark, sf):
+    scenes = v_scenes(spark, sf)
+    projects = scenes.groupBy("project_id").agg(F.expr("max(end_ms) + 1000 as duration_ms"), F.expr("any_value(project_id % 3 * 500) as prefix_ms"))
+    following = scenes.selectExpr("scene_id", "lead(scene_id) over (partition by project_id order by seq) as to_scene", "end_ms - 500 as erase_start_ms", "end_ms - 100 as erase_end_ms", "lead(start_ms) over (partition by project_id order by seq) as next_word_ms")
+    events = scenes.selectExpr("project_id", "concat('ev', scene_id) as event_id", "start_ms + 100 as start_ms", "start_ms + 100 + scene_id * 31 % 1900 as end_ms")
+    return review(projects, scenes, v_elements(spark, sf), events, following.where("to_scene is not null"), v_cues(spark, sf))
