@@ -36,7 +36,8 @@ class DigestIndex:
     def append(self, batch: DataFrame) -> None:
         """Adds the (digest, keep_id) rows whose digest is new, by sort-merge anti-join."""
         new = batch.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
-        new.select("digest", "keep_id").repartition(self.buckets, "digest").write.insertInto(self.table)
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))  # as the table has it: one file a bucket, however many partitions
+        new.select("digest", "keep_id").repartition(self.buckets, bucket).write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
     def close(self) -> None:
@@ -73,7 +74,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     """
     rows = materialize(digests(docs, id_col, text_col))
     n = rows.count()
-    index = index or DigestIndex(docs.sparkSession, buckets=max(16, n // BUCKET_ROWS + 1))
+    index = index or DigestIndex(docs.sparkSession, buckets=max(64, n // BUCKET_ROWS + 1))
     for where in id_ranges(rows, max(batches, n // BATCH_ROWS + 1)):
         index.append(rows.where(where).groupBy("digest").agg(F.max("doc_id").alias("keep_id")))
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))

@@ -23,6 +23,8 @@ from cuespan.llm.pieces import PieceEncoder, broadcast_tables, encoder
 UNKNOWN = "und"
 #: Forward values are divided by their largest this often, so long words do not underflow.
 RESCALE = 64
+#: Below this a word's value is too small to trust, and is summed again in logarithms.
+TINY = 1e-250
 #: Probability of a byte that no piece covers, the same in every language.
 BARE = 1e-4
 #: Words a worker remembers the scores of.
@@ -117,8 +119,30 @@ class WordScorer:
             target = target[order]
             first = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
             alpha[target[first]] = np.add.reduceat(value[order], first, axis=0)
+        small = np.flatnonzero((alpha[ends] < TINY).any(axis=1))
         with np.errstate(divide="ignore"):
-            return np.log(alpha[ends]) + scale
+            out = np.log(alpha[ends]) + scale
+        if len(small):
+            out[small] = self.forward_logs([words[i] for i in small])
+        return out
+
+    def forward_logs(self, words: list[bytes]) -> np.ndarray:
+        """The same in logarithms throughout: slower, and nothing is too small."""
+        data, starts, ends, piece, at, end, offset = self.own.graph(words)
+        alpha = np.full((len(data) + 1, self.p.shape[1]), -np.inf)
+        alpha[starts] = 0.0
+        log_p = np.log(self.p)
+        cuts = np.flatnonzero(np.diff(offset)) + 1
+        for lo, hi in zip(np.concatenate([[0], cuts]), np.append(cuts, len(offset))):
+            order = np.argsort(end[lo:hi], kind="stable") + lo
+            target, value = end[order], alpha[at[order]] + log_p[piece[order]]
+            first = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+            most = np.maximum.reduceat(value, first, axis=0)
+            most[~np.isfinite(most)] = 0.0
+            parts = np.exp(value - np.repeat(most, np.diff(np.append(first, len(order))), axis=0))
+            with np.errstate(divide="ignore"):
+                alpha[target[first]] = most + np.log(np.add.reduceat(parts, first, axis=0))
+        return alpha[ends]
 
     def word_scores(self, words: pa.Array) -> np.ndarray:
         if len(self.slot) > MEMO_WORDS:

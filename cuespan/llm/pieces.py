@@ -248,7 +248,10 @@ class PieceEncoder:
             both = np.flatnonzero(~apart)
             apart[both] = self.fits(before[both], here[both])
             pick = pick[apart] + lo
+            taken = (last[end[pick]] != NOT_REACHED).any()
             last[end[pick]], back[end[pick]] = token[pick], at[pick]
+            if taken or (last[end[pick]] != token[pick]).any():
+                raise RuntimeError("two pieces end in one place")
         place, word, found = ends.copy(), np.arange(len(words)), []
         while len(word):
             open_ = place[word] > starts[word]

@@ -215,6 +215,8 @@ def test_language_forward_pass_sums_all_segmentations():
         assert np.allclose(scorer.forward([word.encode()])[0], np.log(total))
     long = ("ab" * 4000).encode()
     assert np.isfinite(scorer.forward([long])).all()
+    rare = language_id.LanguageModel(["a", "b"], np.full((2, len(own.t.text)), np.log(1e-35)))  # every piece is next to impossible
+    assert np.isfinite(language_id.WordScorer(own, rare).forward([long, b"ab" * 30, "\u65e5".encode() * 900])).all()
 
 
 def test_language_id(spark, docs, empty):
