@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cuespan.plans.fixtures import table, v_art_old, v_cues, v_words, with_views
+from cuespan.plans.fixtures import table, v_cues, v_frames, v_words, with_views
 from cuespan.plans.registry import query
+from cuespan.plans.window_queries import HAND_SQL
 from cuespan.sources import readers as S
 from cuespan.streaming import streams as K
 
@@ -55,9 +56,17 @@ def documents_json_rejects(spark, sf):
     return rejects.withColumnRenamed("path", "doc_id")
 
 
-@query("SELECT doc_id || '.txt' AS path, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes FROM documents")
+@query("SELECT 'part=' || doc_id // 1000 AS folder, md5(string_agg(sha256(text), ',' ORDER BY sha256(text))) AS texts, count(*) AS n FROM documents GROUP BY doc_id // 1000")
 def file_inventory(spark, sf):
-    return v_art_old(spark, sf)
+    """Digests of texts, a thousand documents to a file, written and read back by the inventory: each file's digest is that of its bytes."""
+    docs = table(spark, sf, "documents").selectExpr("doc_id div 1000 as part", "sha2(text, 256) as sha256")
+    lines = docs.groupBy("part").agg(F.array_join(F.array_sort(F.collect_list("sha256")), ",").alias("value"))  # 65 letters a document
+    path = S.shared_folder(spark)
+    lines.repartition("part").write.partitionBy("part").option("lineSep", "\n").text(path)
+    files = S.file_inventory(spark, f"{path}/*/*.txt")
+    inside = spark.read.format("binaryFile").load(f"{path}/*/*.txt").select("path", F.md5(F.expr("substring(content, 1, length(content) - 1)")).alias("texts"), F.expr("length(content) div 65").alias("n"), F.sha2("content", 256).alias("_sha"))
+    folder = F.regexp_extract("path", "(part=[0-9]+)", 1)
+    return files.select("path", "sha256").join(inside, "path").where("sha256 = _sha").select(folder.alias("folder"), "texts", "n")
 
 
 @query("SELECT label::VARCHAR AS clip_id, (vec_id)::INT AS chunk_no, 64::INT AS n, round(list_sum(list_transform(embedding, lambda x: round_even(greatest(-1, least(1, x::DOUBLE)) * 32767, 0)::DOUBLE)) / 32768.0::DOUBLE, 4) AS total FROM embeddings")
@@ -101,3 +110,8 @@ def stream_sliding_batch(spark, sf):
 @query("SELECT user_id AS video_id, (epoch_ms(ts) // 60000 * 60000)::BIGINT AS slot_ms, arg_min(trunc(value * 100)::BIGINT, (ts, trunc(value * 100)::BIGINT)) AS score FROM events GROUP BY ALL")
 def stream_downsample_batch(spark, sf):
     return K.stream_downsample(samples(spark, sf), 60000, watermark=None)
+
+
+@query(with_views("v_frames", select=f"+ {HAND_SQL}\n=\nSELECT * FROM _v"))
+def stream_hand_qa_batch(spark, sf):
+    return K.hand_qa_batch(v_frames(spark, sf))

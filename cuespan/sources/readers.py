@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -13,6 +16,16 @@ TIME = r"\d+:\d{1,2}:\d{1,2}[,.]\d{1,3}"
 CLOCK = r"(?:\d+:)?\d{1,2}:\d{1,2}[,.]\d{1,3}"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that executors share, spark.checkpoint.dir; only a local master may do without."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, value) of whole text files, byte order marks and carriage returns out."""
     df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from cuespan.operators.joins import apply_changes
+from cuespan.operators.windows import FAST_STATES, HOLD_STEP, JUMP_STEP, OPAQUE, OTHER_STEP_LIMIT, STEP_DELTA, STEP_LIMITS
 
 
 def stream_cues(words: DataFrame, pause_ms: int = 420, watermark: str | None = "10 seconds") -> DataFrame:
@@ -38,7 +46,7 @@ def stream_dedupe(stream: DataFrame, key: list[str], watermark: str = "10 minute
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(key)
 
 
-def stream_ledger(results: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("scene_id",), version: str = "version") -> StreamingQuery:
+def stream_ledger(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Upserts finished scenes into a ledger: each batch is written once under its id; `read_ledger` takes the latest version."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
@@ -53,3 +61,88 @@ def read_ledger(spark, path: str, keys: tuple[str, ...] = ("scene_id",), version
     rest = [c for c in df.columns if c not in (*keys, "batch")]
     latest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, "batch")).alias("r"))
     return latest.select(*keys, *[f"r.{c}" for c in rest])
+
+
+#: What a key's state holds of its last two frames: frame, place, opacity, whether shown, whether drawn fast, step.
+HAND_STATE = "n int, frame long, x double, y double, opacity double, shown boolean, fast boolean, step double, opacity2 double, shown2 boolean"
+HAND_OUTPUT = "key long, frame long, kind string, value double"
+
+
+def hand_violations(frames: pd.DataFrame, before: tuple | None, short_edge: int) -> tuple[pd.DataFrame, tuple]:
+    """Violations of a key's frames, in order, given what is known of the two before; and the same of the last two."""
+    n0, frame, x0, y0, o1, s1, f1, step0, o2, s2 = before or (0, -1, 0.0, 0.0, 0.0, False, False, None, 0.0, False)
+    frames = frames[frames["frame"] > frame].sort_values("frame")  # a frame behind the last one comes too late
+    if frames.empty:
+        return pd.DataFrame({"key": [], "frame": [], "kind": [], "value": []}), before or (0, -1, 0.0, 0.0, 0.0, False, False, None, 0.0, False)
+    x, y = np.append(x0, frames["x"]), np.append(y0, frames["y"])
+    opacity = np.concatenate([[o2, o1], frames["opacity"]])
+    shown = np.concatenate([[s2, s1], frames["visible"] & (frames["opacity"] > 0)]).astype(bool)
+    fast = np.append(f1, frames["state"].isin(FAST_STATES)).astype(bool)
+    step = np.where(shown[2:] & shown[1:-1], np.hypot(np.diff(x), np.diff(y)) / short_edge, np.nan)
+    before_step = np.nan_to_num(np.append(np.nan if step0 is None else step0, step[:-1]))
+    fast_pair, limit = fast[1:] | fast[:-1], frames["state"].map(STEP_LIMITS).fillna(OTHER_STEP_LIMIT).to_numpy()
+    known, delta = ~np.isnan(step) & ~fast_pair, np.abs(step - before_step)
+    one, two = np.arange(len(step)) + n0 >= 1, np.arange(len(step)) + n0 >= 2  # whether there is such a frame before
+    none = np.full(len(step), np.nan)
+    rules = {
+        "abrupt-disappearance": (~shown[2:] & shown[1:-1] & (opacity[1:-1] > OPAQUE), none),
+        "single-frame-gap": (shown[2:] & one & ~shown[1:-1] & two & shown[:-2] & (opacity[:-2] > OPAQUE) & (opacity[2:] > OPAQUE), none),
+        "max-step": (known & (step > limit + 1e-9), step), "hold-then-jump": (known & (before_step <= HOLD_STEP) & (step > JUMP_STEP), step), "step-delta": (known & (delta > STEP_DELTA), delta),
+    }
+    found = [pd.DataFrame({"key": frames["key"][ok], "frame": frames["frame"][ok], "kind": kind, "value": np.round(value[ok], 5)}) for kind, (ok, value) in rules.items()]
+    last = frames.iloc[-1]
+    after = (min(n0 + len(step), 2), int(last["frame"]), float(x[-1]), float(y[-1]), float(opacity[-1]), bool(shown[-1]), bool(fast[-1]), None if np.isnan(step[-1]) else float(step[-1]), float(opacity[-2]), bool(shown[-2]))
+    return pd.concat(found), after
+
+
+def stream_hand_qa(frames: DataFrame, short_edge: int = 1080) -> DataFrame:
+    """Unsteady hand motion in one pass: (key, frame, kind, value) of frames (key, frame, x, y, opacity, state, visible).
+
+    A key's state is its last two frames, so a trace of any length takes no more memory. Frames of
+    a key must come in order from batch to batch; one behind the last one seen is left out.
+    """
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        found, after = hand_violations(pd.concat(batches), state.get if state.exists else None, short_edge)
+        state.update(after)
+        yield found
+
+    return frames.groupBy("key").applyInPandasWithState(follow, HAND_OUTPUT, HAND_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def hand_qa_batch(frames: DataFrame, short_edge: int = 1080) -> DataFrame:
+    """The rows of `stream_hand_qa` over a whole table."""
+    return frames.groupBy("key").applyInPandas(lambda rows: hand_violations(rows, None, short_edge)[0], HAND_OUTPUT)
+
+
+def stream_changes(changes: DataFrame, path: str, checkpoint: str, allow: str) -> StreamingQuery:
+    """Applies change sets (set_id, path, before_sha256, after_content) to the snapshot below `path`, batch by batch.
+
+    Each batch reads the snapshot of the batches before it and writes the next one under its own
+    number, with the conflicts and rejects next to it; a batch that runs again after a failure
+    replaces what it wrote. `first_snapshot` puts the first one there.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # A batch that changed nothing wrote nothing, so the last snapshot may be older.
+        now = spark.read.schema("path string, sha256 string, v long").parquet(f"{path}/snapshot").where(f"v < {batch_id}")
+        latest = now.agg(F.max("v")).first()[0]
+        new, conflicts, rejects = apply_changes(now.where(f"v = {latest}").drop("v"), batch, allow)
+        for name, df in (("snapshot", new), ("conflicts", conflicts), ("rejects", rejects)):
+            df.write.mode("overwrite").parquet(f"{path}/{name}/v={batch_id}")
+
+    return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def first_snapshot(files: DataFrame, path: str) -> None:
+    """Writes (path, sha256) as what the first batch of changes meets."""
+    files.select("path", "sha256").write.mode("overwrite").parquet(f"{path}/snapshot/v=-1")
+
+
+def read_changes(spark: SparkSession, path: str, name: str = "snapshot") -> DataFrame:
+    """The latest snapshot, or all conflicts or rejects."""
+    df = spark.read.parquet(f"{path}/{name}")
+    if name != "snapshot":
+        return df.drop("v")
+    return df.where(F.col("v") == df.agg(F.max("v")).first()[0]).drop("v")

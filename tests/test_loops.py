@@ -61,10 +61,15 @@ def test_pack_words_is_the_loop(spark, limits):
     assert got == [w for w in want if w[2]]
 
 
-def test_folds_refuse_large_keys(spark):
-    df = spark.range(20).selectExpr("1 as project_id", "id as at_ms", "'' as label")
-    with pytest.raises(Exception, match="segment it first"):
-        folds.ordered_rows(df, "project_id", ["at_ms", "label"], limit=10).collect()
+def test_folds_of_long_keys(spark):
+    """A key is cut where its state resets, so its length is no matter."""
+    df = spark.range(20000).selectExpr("1 as project_id", "id * 20 + id div 5 * 100 as at_ms", "'' as label")
+    want, last = 0, None
+    for i in range(20000):
+        at = i * 20 + i // 5 * 100
+        if last is None or at - last >= 35:
+            want, last = want + 1, at
+    assert folds.suppress_near(df).count() == want
 
 
 def test_pacing_of_two_elements(spark):
@@ -160,3 +165,48 @@ def test_stream_ledger_survives_restart(spark, tmp_path):
     spark.createDataFrame([(1, 2, "c")], schema).write.mode("append").parquet(src)
     streams.stream_ledger(read(), out, check).awaitTermination()
     assert rows(streams.read_ledger(spark, out), "scene_id", "version", "state") == [(1, 2, "c"), (2, 1, "b")]
+
+
+def test_stream_hand_qa_equals_batch_over_batches(spark, tmp_path):
+    rng = __import__("random").Random(5)
+    states = ["draw", "travel", "hidden", "fast-draw"]
+    data = [(k, i, rng.random() * 60, rng.random() * 60, rng.choice([0.0, 0.3, 0.9]), s, s != "hidden") for k in range(3) for i in range(60) for s in [rng.choice(states)]]
+    schema = "key long, frame long, x double, y double, opacity double, state string, visible boolean"
+    df = spark.createDataFrame(data, schema)
+    want = rows(windows.hand_motion_qa(df), "key", "frame", "kind", "value")
+    assert rows(streams.hand_qa_batch(df).selectExpr("key", "frame", "kind", "if(isnan(value), null, value) as value"), "key", "frame", "kind", "value") == want
+    path = str(tmp_path / "frames")
+    for lo, hi in ((0, 20), (20, 21), (21, 60)):  # one file a batch; the last one repeats a frame that is too late
+        part = df.where(f"frame >= {lo} and frame < {hi}" + (" or frame = 3" if hi == 60 else ""))
+        part.coalesce(1).write.mode("append").parquet(path)
+        q = streams.stream_hand_qa(spark.readStream.schema(schema).parquet(path)).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).selectExpr("key", "frame", "kind", "if(isnan(value), null, value) as value")
+    assert rows(got, "key", "frame", "kind", "value") == want
+
+
+def test_stream_changes(spark, tmp_path):
+    sha = lambda t: __import__("hashlib").sha256(t.encode()).hexdigest()
+    schema = "set_id int, path string, before_sha256 string, after_content string"
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    streams.first_snapshot(spark.createDataFrame([("a.txt", sha("a")), ("b.txt", sha("b"))], "path string, sha256 string"), out)
+    feed = lambda: spark.readStream.schema(schema).parquet(src)
+    for batch in ([(1, "a.txt", sha("a"), "a1"), (2, "b.txt", sha("x"), "b1")], [(3, "a.txt", sha("a1"), "a2"), (4, "evil.sh", sha("a"), "z")], [(5, "a.txt", sha("a1"), "late")]):
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(src)
+        streams.stream_changes(feed(), out, check, r"^[a-z]\.txt$").awaitTermination()
+    assert rows(streams.read_changes(spark, out), "path", "sha256") == [("a.txt", sha("a2")), ("b.txt", sha("b"))]
+    assert rows(streams.read_changes(spark, out, "conflicts"), "set_id", "path") == [(2, "b.txt"), (5, "a.txt")]
+    assert rows(streams.read_changes(spark, out, "rejects"), "set_id", "reason") == [(4, "unknown-path")]
+
+
+def test_late_rows_of_a_stream_are_left_out(spark, tmp_path):
+    """Append mode: a window is given out once the watermark has passed, and what comes for it later is dropped."""
+    path, hour = str(tmp_path / "late"), 3_600_000
+    schema = "video_id int, ts timestamp, score bigint"
+    for part in ([(1, 0, 5), (1, 10, 7)], [(1, 2 * hour, 1)], [(1, 20, 100), (1, 2 * hour + 5, 2)], [(1, 4 * hour, 0)], [(1, 6 * hour, 0)]):
+        spark.createDataFrame(part, "video_id int, ms bigint, score bigint").select("video_id", F.timestamp_millis(F.col("ms") + 10 * hour).alias("ts"), "score").coalesce(1).write.mode("append").parquet(path)
+        out = streams.stream_tumbling(spark.readStream.schema(schema).parquet(path), "1 hour", watermark="10 minutes")
+        q = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "res"))
+        q.awaitTermination()
+    got = {r.start_ms // hour - 10: (r.n, r.score) for r in spark.read.parquet(str(tmp_path / "res")).collect()}
+    assert got[0] == (2, 12) and got[2] == (2, 3)
