@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cuespan.functions.text import char_class_counts, norm_text
+from cuespan.operators.joins import interval_join
 from cuespan.operators.windows import hand_motion_qa, hand_steps
 
 
@@ -66,7 +67,8 @@ def robust_threshold(motion: DataFrame, least: float = 12.0) -> DataFrame:
 
 def motion_class(motion: DataFrame, scenes: DataFrame, skip_ms: int = 250) -> DataFrame:
     """Scenes (video_id, scene_no, start_ms, end_ms) with their mean score, the first `skip_ms` left out, and class."""
-    hits = motion.join(scenes, "video_id").where((F.col("time_ms") >= F.col("start_ms") + skip_ms) & (F.col("time_ms") < F.col("end_ms")))
+    spans = scenes.select("video_id", "scene_no", (F.col("start_ms") + skip_ms).alias("span_start_ms"), F.col("end_ms").alias("span_end_ms")).where("span_start_ms < span_end_ms")
+    hits = interval_join(motion.select("video_id", "score", F.col("time_ms").alias("start_ms"), F.col("time_ms").alias("end_ms")), spans, "video_id", how="start_inside")
     mean = hits.groupBy("video_id", "scene_no").agg(F.avg("score").alias("s"))
     df = scenes.join(mean, ["video_id", "scene_no"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     kind = F.when(F.col("s") < 1.5, "low-frame-difference").when(F.col("s") < 4.5, "subtle-motion").otherwise("active-motion")

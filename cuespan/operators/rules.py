@@ -20,7 +20,7 @@ def violations(df: DataFrame, keys: list[str], rules: dict[str, Column], severit
 
 def score_rules(docs: DataFrame, rules: list[tuple[str, list[str]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rule_no, rule_id, matched, score): which keywords of each rule a text holds, cases folded."""
-    text = casefold(text_col)
+    docs, text = docs.withColumn("_text", casefold(text_col)), F.col("_text")  # folded once, not for each keyword
     scored = F.array(*[
         F.struct(F.lit(i).alias("rule_no"), F.lit(r).alias("rule_id"), F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(text, casefold(k))).alias("matched")) for i, (r, words) in enumerate(rules)
     ])
@@ -127,8 +127,8 @@ def check_background(boards: DataFrame, styles: DataFrame) -> DataFrame:
 
 
 def check_manifest(rows: DataFrame) -> DataFrame:
-    """(path, rule_id, …) of manifest rows (n, path, sha256, bytes): paths, digests, sizes, repeats and order."""
-    w = Window.orderBy("n") if "part" not in rows.columns else Window.partitionBy("part").orderBy("n")
+    """(path, rule_id, …) of manifest rows (part, n, path, sha256, bytes): paths, digests, sizes, repeats, and order within a part."""
+    w = Window.partitionBy("part").orderBy("n")
     df = rows.withColumns({"_prev": F.lag("path").over(w), "_times": F.count("*").over(Window.partitionBy("path"))})
     return violations(df, ["path"], {
         "file-path": (F.col("path") == "") | F.contains("path", F.lit("\\")) | F.startswith("path", F.lit("/")), "duplicate": F.col("_times") > 1,

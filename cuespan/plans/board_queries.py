@@ -9,13 +9,13 @@ from cuespan.operators.picks import review_targets as review
 from cuespan.plans.fixtures import v_cues, v_elements, v_scenes, v_words, with_views
 from cuespan.plans.registry import query
 
-_ROWS = "unnest(range(y // 100, (y + h) // 100))"
+_ROWS = "unnest(range(y // 100, (y + h) // 100 + 1))"
 
 
 def masks(spark, sf):
     """Boxes as masks on a canvas of rows of 100 pixels."""
-    rows = v_elements(spark, sf).where("(y + h) div 100 > y div 100")
-    return rows.selectExpr("scene_id as board_id", "concat(element_id, '-', seq) as element_id", "w * h as area", "explode(sequence(y div 100, (y + h) div 100 - 1)) as y", "x as x0", "x + w as x1")
+    rows = v_elements(spark, sf)
+    return rows.selectExpr("scene_id as board_id", "concat(element_id, '-', seq) as element_id", "w * h as area", "explode(sequence(y div 100, (y + h) div 100)) as y", "x as x0", "x + w as x1")
 
 
 _MASKS = f"_m AS (SELECT scene_id AS board_id, element_id || '-' || seq AS element_id, w * h AS area, {_ROWS} AS y, x AS x0, x + w AS x1 FROM v_elements), _fg AS (SELECT board_id, y, min(x0) AS x0, max(x1) AS x1 FROM _m GROUP BY board_id, y), _e AS (SELECT DISTINCT board_id, y, unnest([x0, x1]) AS x FROM _m), _p AS (SELECT board_id, y, x, lead(x) OVER (PARTITION BY board_id, y ORDER BY x) AS xe FROM _e), _o AS (SELECT p.board_id, p.y, p.x, p.xe, min_by(element_id, (area, element_id)) AS element_id, count(DISTINCT element_id) AS claims FROM _p p LEFT JOIN _m m ON m.board_id = p.board_id AND m.y = p.y AND p.x >= m.x0 AND p.xe <= m.x1 WHERE p.xe IS NOT NULL GROUP BY ALL)"
@@ -67,13 +67,13 @@ def reconcile_ids(spark, sf):
     return B.reconcile_ids(expected.selectExpr("scene_id", "if(right(element_id, 1) in ('1', '4', '7'), concat('n', element_id), element_id) as actual_id", "label"), expected)
 
 
-@query(with_views("v_words", select="""+ _w AS (SELECT project_id * 1000 + line_no AS scene_id, idx AS word_id, text, start_ms FROM v_words), _b AS (SELECT scene_id, word_id AS beat_no, CASE WHEN word_id % 3 = 0 THEN word_id WHEN word_id % 3 = 1 THEN -1 END AS word_id, lower(text) AS phrase FROM _w WHERE word_id % 5 = 0),
+@query(with_views("v_words", select="""+ _w AS (SELECT project_id * 1000 + line_no AS scene_id, idx AS word_id, text, start_ms FROM v_words), _b AS (SELECT scene_id, word_id AS beat_no, CASE WHEN word_id % 3 = 0 THEN word_id WHEN word_id % 3 = 1 THEN -1 END AS word_id, lower(text) AS phrase FROM _w),
 _o AS (SELECT scene_id, lower(text) AS phrase, count(*) AS n, min(word_id) AS i, min(start_ms) AS s FROM _w GROUP BY ALL)
 =
 SELECT b.scene_id, beat_no, CASE WHEN w.word_id IS NOT NULL THEN w.word_id WHEN n = 1 THEN o.i END AS anchor_id, CASE WHEN w.word_id IS NOT NULL THEN w.start_ms WHEN n = 1 THEN o.s END AS start_ms, CASE WHEN w.word_id IS NULL AND n > 1 THEN 'ambiguous-phrase' END AS rule_id FROM _b b LEFT JOIN _w w ON w.scene_id = b.scene_id AND w.word_id = b.word_id LEFT JOIN _o o ON o.scene_id = b.scene_id AND o.phrase = b.phrase"""))
 def resolve_beat_anchor(spark, sf):
     words = v_words(spark, sf).selectExpr("project_id * 1000 + line_no as scene_id", "idx as word_id", "text", "start_ms")
-    beats = words.where("word_id % 5 = 0").selectExpr("scene_id", "word_id as beat_no", "case word_id % 3 when 0 then word_id when 1 then -1 end as word_id", "text as phrase")
+    beats = words.selectExpr("scene_id", "word_id as beat_no", "case word_id % 3 when 0 then word_id when 1 then -1 end as word_id", "text as phrase")
     return B.resolve_beat_anchor(beats, words, words)
 
 

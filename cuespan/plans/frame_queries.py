@@ -46,12 +46,12 @@ def compile_budget(spark, sf):
 
 @query(with_views("v_elements", select="+ " + _PHASES + """
 =
-SELECT scene_id, e.seq, element_id, CASE WHEN e.seq % 2 = 0 AND e.seq % 6 <> 0 AND e.seq % 4 <> 0 AND reason IS NULL THEN dur_ms - e.seq % 4 * 120 ELSE dur_ms END AS dur_ms,
-CASE WHEN e.seq % 2 = 1 THEN NULL WHEN e.seq % 6 = 0 THEN 'stale-base' WHEN e.seq % 4 = 0 THEN 'invalid-duration' WHEN reason IS NOT NULL THEN 'infeasible-budget' END AS rule_id FROM v_elements e JOIN _z USING (scene_id, seq)
-WHERE NOT EXISTS (SELECT 1 FROM v_elements o WHERE o.scene_id = e.scene_id AND o.element_id = e.element_id AND o.seq <> e.seq)"""))
+SELECT scene_id, e.seq, element_id || '-' || e.seq AS element_id, CASE WHEN e.seq % 2 = 0 AND scene_id % 11 <> 0 AND e.seq % 6 <> 0 AND e.seq % 4 <> 0 AND reason IS NULL THEN dur_ms - e.seq % 4 * 120 ELSE dur_ms END AS dur_ms,
+CASE WHEN e.seq % 2 = 1 THEN NULL WHEN scene_id % 11 = 0 THEN 'duplicate-target' WHEN e.seq % 6 = 0 THEN 'stale-base' WHEN e.seq % 4 = 0 THEN 'invalid-duration' WHEN reason IS NOT NULL THEN 'infeasible-budget' END AS rule_id FROM v_elements e JOIN _z USING (scene_id, seq)"""))
 def effective_reveal(spark, sf):
-    elements = v_elements(spark, sf).withColumn("_n", F.count("*").over(Window.partitionBy("scene_id", "element_id"))).where("_n = 1").drop("_n")
+    elements = v_elements(spark, sf).withColumn("element_id", F.expr("element_id || '-' || seq"))
     reservations = elements.where("seq % 2 = 0").selectExpr("scene_id", "element_id", "if(seq % 6 = 0, dur_ms + 1, dur_ms) as original_ms", "dur_ms - seq % 4 * 120 as revised_ms")
+    reservations = reservations.union(reservations.where("scene_id % 11 = 0"))
     return C.effective_reveal(elements.withColumn("reserved_from_ms", F.lit(None).cast("bigint")), reservations, 30).select("scene_id", "seq", "element_id", "dur_ms", "rule_id")
 
 

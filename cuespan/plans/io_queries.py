@@ -37,9 +37,9 @@ def parse_srt(spark, sf):
     return S.parse_srt(files, "strict").where("rule_id is null").drop("rule_id").withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
-@query(with_views("v_cues", select="SELECT project_id::VARCHAR AS path, (row_number() OVER (PARTITION BY project_id ORDER BY cue_no))::INT AS cue_no, start_ms, end_ms, md5(trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS text FROM v_cues WHERE trim(regexp_replace(text, '<[^>]+>', '', 'g')) <> '' AND NOT contains(text, '&')"))
+@query(with_views("v_cues", select="SELECT project_id::VARCHAR AS path, (row_number() OVER (PARTITION BY project_id ORDER BY cue_no))::INT AS cue_no, start_ms, end_ms, md5(plain) AS text FROM (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS plain FROM v_cues) WHERE plain <> ''"))
 def parse_vtt(spark, sf):
-    files = S.render_vtt(v_cues(spark, sf).where("not contains(text, '&')")).selectExpr("cast(project_id as string) as path", "block as value")
+    files = S.render_vtt(v_cues(spark, sf)).selectExpr("cast(project_id as string) as path", "block as value")
     return S.parse_vtt(files).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 

@@ -95,12 +95,12 @@ def declared_refs(spark, sf):
     return J.declared_refs(table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey as part"), table(spark, sf, "part").where("p_partkey % 7 <> 0").selectExpr("p_partkey as part"), "part").select("l_orderkey", "l_linenumber", "part")
 
 
-@query(with_views("v_art_old", "v_art_new", select="""+ _d AS (SELECT substr(coalesce(o.path, n.path), 1, 2) AS grp, coalesce(o.path, n.path) AS path, o.path AS op, n.path AS np, o.sha256 <> n.sha256 OR o.bytes <> n.bytes AS ch FROM v_art_old o FULL JOIN v_art_new n ON o.path = n.path)
+@query(with_views("v_art_old", "v_art_new", select="""+ _d AS (SELECT replace(coalesce(o.path, n.path), '.txt', '')::BIGINT // 100 AS grp, coalesce(o.path, n.path) AS path, o.path AS op, n.path AS np, o.sha256 <> n.sha256 OR o.bytes <> n.bytes AS ch FROM v_art_old o FULL JOIN v_art_new n ON o.path = n.path)
 =
 SELECT grp, coalesce(string_agg(path, ',' ORDER BY path) FILTER (op IS NULL), '') AS added, coalesce(string_agg(path, ',' ORDER BY path) FILTER (np IS NULL), '') AS removed, coalesce(string_agg(path, ',' ORDER BY path) FILTER (ch), '') AS changed, count(op) AS before_count, count(np) AS after_count
 FROM _d GROUP BY grp HAVING count(*) FILTER (op IS NULL OR np IS NULL OR ch) > 0"""))
 def keyed_diff(spark, sf):
-    old, new = (f(spark, sf).withColumn("grp", F.substring("path", 1, 2)) for f in (v_art_old, v_art_new))
+    old, new = (f(spark, sf).withColumn("grp", F.expr("cast(replace(path, '.txt', '') as bigint) div 100")) for f in (v_art_old, v_art_new))
     return J.keyed_diff(old, new, "grp", "path").withColumns({c: F.array_join(c, ",") for c in ("added", "removed", "changed")})
 
 

@@ -163,11 +163,11 @@ def check_captions(spark, sf):
     return R.check_captions(v_cues(spark, sf))
 
 
-@query(with_views("v_words", "v_cues", select="+ _j AS (SELECT w.project_id, w, c, w + (w.project_id % 5 - 2) * 200 AS a FROM (SELECT project_id, max(end_ms) AS w FROM v_words GROUP BY project_id) w JOIN (SELECT project_id, max(end_ms) AS c FROM v_cues WHERE cue_no < 20 GROUP BY project_id) USING (project_id))\n=\nSELECT project_id, 'cues-end' AS rule_id, 'error' AS severity, abs(w - c)::VARCHAR AS value FROM _j WHERE abs(w - c) > 250 UNION ALL SELECT project_id, 'audio-end', 'error', abs(w - a)::VARCHAR FROM _j WHERE abs(w - a) > 250"))
+@query(with_views("v_words", "v_cues", select="+ _j AS (SELECT w.project_id, w, c, w + (w.project_id % 5 - 2) * 200 AS a FROM (SELECT project_id, max(end_ms) AS w FROM v_words GROUP BY project_id) w JOIN (SELECT project_id, max(end_ms + project_id % 4 * 150) AS c FROM v_cues GROUP BY project_id) USING (project_id))\n=\nSELECT project_id, 'cues-end' AS rule_id, 'error' AS severity, abs(w - c)::VARCHAR AS value FROM _j WHERE abs(w - c) > 250 UNION ALL SELECT project_id, 'audio-end', 'error', abs(w - a)::VARCHAR FROM _j WHERE abs(w - a) > 250"))
 def check_timeline(spark, sf):
     words = v_words(spark, sf)
     audio = words.groupBy("project_id").agg((F.max("end_ms") + (F.col("project_id") % 5 - 2) * 200).alias("audio_ms"))
-    return R.check_timeline(words, v_cues(spark, sf).where("cue_no < 20"), audio)
+    return R.check_timeline(words, v_cues(spark, sf).withColumn("end_ms", F.expr("end_ms + project_id % 4 * 150")), audio)
 
 
 @query(with_views("v_elements", select="+ _b AS (SELECT scene_id AS board_id, scene_id % 2 AS st, median(x % 256)::DOUBLE AS r, median(y % 256)::DOUBLE AS g, median(h % 256)::DOUBLE AS b FROM v_elements GROUP BY scene_id), _l AS (SELECT *, r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE AS l, sqrt((r - (CASE st WHEN 0 THEN 250 ELSE 20 END)) ** 2 + (g - (CASE st WHEN 0 THEN 250 ELSE 40 END)) ** 2 + (b - (CASE st WHEN 0 THEN 245 ELSE 30 END)) ** 2) AS d FROM _b)\n=\n" + broken("board_id", "_l", ("luma-range", "CASE st WHEN 0 THEN l < 200 ELSE l > 90 END"), ("colour-distance", "d > CASE st WHEN 0 THEN 60 ELSE 120 END"))))
@@ -177,9 +177,9 @@ def check_background(spark, sf):
     return R.check_background(boards, styles)
 
 
-@query(with_views("v_art_old", select="+ _m AS (SELECT doc_id % 20 AS part, doc_id AS n, CASE WHEN doc_id % 50 = 0 THEN '/abs' WHEN doc_id % 51 = 0 THEN 'twice' ELSE doc_id || '.txt' END AS path, CASE WHEN doc_id % 60 = 0 THEN 'bad' ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 70 = 0 THEN -1 ELSE strlen(text)::BIGINT END AS bytes FROM documents), _w AS (SELECT *, lag(path) OVER (PARTITION BY part ORDER BY n) AS pp, count(*) OVER (PARTITION BY path) AS k FROM _m)\n=\n" + broken("path", "_w", ("file-path", "path LIKE '/%'"), ("duplicate", "k > 1"), ("file-sha256", "NOT regexp_full_match(sha256, '[0-9a-f]{64}')"), ("file-bytes", "bytes < 0"), ("file-order", "path < pp"))))
+@query(with_views("v_art_old", select="+ _m AS (SELECT doc_id // 1000 AS part, doc_id AS n, CASE WHEN doc_id % 50 = 0 THEN '/abs' WHEN doc_id % 51 = 0 THEN 'twice' ELSE doc_id || '.txt' END AS path, CASE WHEN doc_id % 60 = 0 THEN 'bad' ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 70 = 0 THEN -1 ELSE strlen(text)::BIGINT END AS bytes FROM documents), _w AS (SELECT *, lag(path) OVER (PARTITION BY part ORDER BY n) AS pp, count(*) OVER (PARTITION BY path) AS k FROM _m)\n=\n" + broken("path", "_w", ("file-path", "path LIKE '/%'"), ("duplicate", "k > 1"), ("file-sha256", "NOT regexp_full_match(sha256, '[0-9a-f]{64}')"), ("file-bytes", "bytes < 0"), ("file-order", "path < pp"))))
 def check_manifest(spark, sf):
-    rows = table(spark, sf, "documents").selectExpr("doc_id % 20 as part", "doc_id as n", "case when doc_id % 50 = 0 then '/abs' when doc_id % 51 = 0 then 'twice' else concat(doc_id, '.txt') end as path", "if(doc_id % 60 = 0, 'bad', sha2(text, 256)) as sha256", "if(doc_id % 70 = 0, -1L, cast(octet_length(text) as bigint)) as bytes")
+    rows = table(spark, sf, "documents").selectExpr("doc_id div 1000 as part", "doc_id as n", "case when doc_id % 50 = 0 then '/abs' when doc_id % 51 = 0 then 'twice' else concat(doc_id, '.txt') end as path", "if(doc_id % 60 = 0, 'bad', sha2(text, 256)) as sha256", "if(doc_id % 70 = 0, -1L, cast(octet_length(text) as bigint)) as bytes")
     return R.check_manifest(rows)
 
 
@@ -229,7 +229,7 @@ def transcript_gate(spark, sf):
     cues = v_cues(spark, sf)
     long = durations(cues).withColumn("duration_ms", F.expr("duration_ms * (1 + project_id % 4)"))
     metrics = aggs.transcript_metrics(cues, long).join(long, "project_id")
-    return R.transcript_gate(metrics, aggs.repeat_ratio(cues)).where("rule_id <> 'few-words'")
+    return R.transcript_gate(metrics, aggs.repeat_ratio(cues))
 
 
 @query("SELECT o_orderkey AS project_id, CASE WHEN o_orderkey % 17 = 0 THEN 'prepare-script' WHEN o_orderkey % 13 = 0 THEN 'await-script-style-approval' WHEN o_orderkey % 11 = 0 THEN 'prepare-script-voice' WHEN o_orderkey % 7 = 0 THEN 'await-script-voice-approval' WHEN o_orderkey % 5 >= 3 OR o_orderkey % 6 = 0 THEN 'prepare-boards' WHEN o_orderkey % 4 = 0 THEN 'await-boards-approval' WHEN o_orderstatus = 'O' THEN 'ready-to-render' WHEN o_custkey % 3 = 0 THEN 'complete' WHEN o_custkey % 3 = 1 THEN 'fix-required' ELSE 'await-final-qa' END AS stage FROM orders")

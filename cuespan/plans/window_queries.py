@@ -130,9 +130,9 @@ def longest_static_gap(spark, sf):
     return W.longest_static_gap(v_scenes(spark, sf).select("project_id", F.col("start_ms").alias("at")), v_words(spark, sf))
 
 
-@query(with_views("v_elements", select="SELECT scene_id, seq, start_ms, latest_end_ms FROM (SELECT scene_id, seq, start_ms, max(start_ms + dur_ms) OVER (PARTITION BY scene_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest_end_ms FROM v_elements) WHERE start_ms < latest_end_ms"))
+@query(with_views("v_elements", select="SELECT scene_id, seq, start_ms, latest_end_ms FROM (SELECT scene_id, seq, start_ms, max(start_ms + dur_ms + seq % 3 * 400) OVER (PARTITION BY scene_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest_end_ms FROM v_elements) WHERE start_ms < latest_end_ms"))
 def overlap_check(spark, sf):
-    rows = v_elements(spark, sf).selectExpr("scene_id", "seq", "start_ms", "start_ms + dur_ms as end_ms")
+    rows = v_elements(spark, sf).selectExpr("scene_id", "seq", "start_ms", "start_ms + dur_ms + seq % 3 * 400 as end_ms")
     return W.overlap_check(rows, ["scene_id"], ["seq"]).select("scene_id", "seq", "start_ms", "latest_end_ms")
 
 
