@@ -1,15 +1,15 @@
 """Embedding near-deduplication by a pivot-permutation index.
 
 A bounded sample of the vectors serves as reference points (pivots). Each vector is described by
-its NEAREST nearest pivots in order; close vectors share most of them. The inverted lists are kept
-by label and group of SHARED pivots, so two vectors meet in a list exactly when at least SHARED
-of their nearest pivots agree. Members of a list are then compared by cosine in double precision.
+its NEAREST nearest pivots in order. Inverted lists by label and pivot hold the vectors whose first
+POSTED pivots name it; two vectors of a list are candidates when at least SHARED of their nearest
+pivots agree, and count in the first list that both are in. Candidates are then verified by
+cosine in double precision. Pivots grow with the square root of the vectors, so lists do too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 from cuespan.llm.chunks import ragged
 from cuespan.llm.common import components, hash60, materialize
 
-PIVOTS = 96
-NEAREST = 6
-SHARED = 3
+#: Pivots: as many as PIVOT_RATE times the square root of the vectors, within bounds; the sample they come from has 16 times as many.
+LEAST_PIVOTS, MOST_PIVOTS, PIVOT_RATE = 96, 2048, 0.4
+#: Pivots that describe a vector, those it is posted under, and how many two vectors must share.
+NEAREST, POSTED, SHARED = 6, 3, 3
 #: Pivots have a cosine below this.
 APART = 0.9
 #: Rows of a list compared at a time; larger lists are split into pairs of blocks.
@@ -39,15 +40,16 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & fine)
 
 
-def fit_pivots(rows: DataFrame, pivots: int = PIVOTS, seed: int = 42) -> np.ndarray:
+def fit_pivots(rows: DataFrame, pivots: int | None = None, seed: int = 42) -> np.ndarray:
     """`pivots` vectors at most of the most frequent length, from a pseudo-random sample by id of 16 times as many.
 
-    That sample is all the driver ever holds. Vectors close to a pivot chosen before are passed
+    That sample is all the driver ever holds: 16 * MOST_PIVOTS vectors unless `pivots` says else. Vectors close to a pivot chosen before are passed
     over: a large group of copies would else bring many pivots whose order means nothing.
     """
     size = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if size is None:
         return np.zeros((0, 0))
+    pivots = pivots or int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOT_RATE * size["n"] ** 0.5)))
     sample = rows.where(F.size("vector") == size["d"]).select("vector", hash60(seed, "vec_id").alias("k")).orderBy("k", "vector").limit(16 * pivots)
     vectors = unit_rows(np.array([r["vector"] for r in sample.collect()], np.float64))
     chosen: list[int] = []
@@ -57,42 +59,31 @@ def fit_pivots(rows: DataFrame, pivots: int = PIVOTS, seed: int = 42) -> np.ndar
     return vectors[chosen]
 
 
-def postings(rows: DataFrame, pivots: np.ndarray, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
-    """(vec_id, label, pivots, lists): the ordered nearest pivots and the numbers of the vector's lists.
+def postings(rows: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
+    """(vec_id, label, pivots): the numbers of the vector's nearest pivots, nearest first.
 
-    Vectors of another length than the pivots get list -length alone, so they only meet their like.
+    Vectors of another length than the pivots have -length alone, so they only meet their like.
     """
-    own = rows.sparkSession.sparkContext.broadcast(pivots)
-    groups = np.array(list(combinations(range(nearest), shared)))
+    own = rows.sparkSession.sparkContext.broadcast(pivots)  # MOST_PIVOTS vectors at most
 
     def run(batches):
         p = own.value
-        k = min(nearest, len(p))
         for batch in batches:
-            near, lists = [], []
             vectors = [v.as_py() for v in batch.column("vector")]
+            near = [[-len(v)] for v in vectors]
             fit = [i for i, v in enumerate(vectors) if len(v) == p.shape[1]]
-            place = {i: n for n, i in enumerate(fit)}
             if fit:
                 x = unit_rows(np.array([vectors[i] for i in fit], np.float64))
-                order = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :k]
-                if k == nearest:
-                    key = np.sort(np.sort(order, axis=1)[:, groups], axis=2)
-                    code = np.zeros(key.shape[:2], np.int64)
-                    for j in range(shared):
-                        code = code * len(p) + key[:, :, j]
-                else:  # fewer pivots than an index needs: one list for all
-                    code = np.zeros((len(fit), 1), np.int64)
-            for i, v in enumerate(vectors):
-                near.append(order[place[i]].tolist() if i in place else [])
-                lists.append(code[place[i]].tolist() if i in place else [-len(v)])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(near, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.int64()))], ["vec_id", "label", "pivots", "lists"])
+                order = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, : min(nearest, len(p))]
+                for i, o in zip(fit, order.tolist()):
+                    near[i] = o
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(near, pa.list_(pa.int64()))], ["vec_id", "label", "pivots"])
 
-    return rows.select("vec_id", "label", "vector").mapInArrow(run, "vec_id long, label string, pivots array<int>, lists array<long>")
+    return rows.select("vec_id", "label", "vector").mapInArrow(run, "vec_id long, label string, pivots array<long>")
 
 
-def group_pairs(vectors: np.ndarray, begin: np.ndarray, stop: np.ndarray, split: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows within groups begin..stop with at least the cosine.
+def group_pairs(vectors: np.ndarray, near: np.ndarray, begin: np.ndarray, stop: np.ndarray, split: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within groups begin..stop that share enough of their pivots `near` and have at least the cosine.
 
     A group of one block (split = begin) compares all its rows, one of two blocks those before
     `split` with those from it on. Large groups go by matrix products, small ones all together.
@@ -100,8 +91,12 @@ def group_pairs(vectors: np.ndarray, begin: np.ndarray, stop: np.ndarray, split:
     large = stop - begin > 48
     for lo, mid, hi in zip(begin[large], split[large], stop[large]):
         a, b = (np.arange(lo, hi),) * 2 if mid == lo else (np.arange(lo, mid), np.arange(mid, hi))
+        _, code = np.unique(near[lo:hi], return_inverse=True)
+        holds = np.zeros((hi - lo, int(code.max()) + 1), np.float32)
+        holds[np.arange(hi - lo)[:, None], code.reshape(hi - lo, -1)] = 1
         for at in range(0, len(a), BLOCK):
-            i, j = np.nonzero(vectors[a[at : at + BLOCK]] @ vectors[b].T >= cosine)
+            shared = holds[a[at : at + BLOCK] - lo] @ holds[b - lo].T
+            i, j = np.nonzero((shared >= min(SHARED, near.shape[1])) & (vectors[a[at : at + BLOCK]] @ vectors[b].T >= cosine))
             i, j = a[at + i], b[j]
             yield i[i < j], j[i < j]
     begin, stop, split = begin[~large], stop[~large], split[~large]
@@ -116,8 +111,10 @@ def group_pairs(vectors: np.ndarray, begin: np.ndarray, stop: np.ndarray, split:
         i, j = np.repeat(row[at : at + 2048], c), ragged(partner[at : at + 2048], c)
         for k in range(0, len(i), 1 << 15):
             x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-            near = np.einsum("ij,ij->i", vectors[x], vectors[y]) >= cosine
-            yield x[near], y[near]
+            shared = (near[x][:, :, None] == near[y][:, None, :]).sum(axis=(1, 2)) >= min(SHARED, near.shape[1])
+            x, y = x[shared], y[shared]
+            close = np.einsum("ij,ij->i", vectors[x], vectors[y]) >= cosine
+            yield x[close], y[close]
 
 
 def compare_blocks(cosine: float):
@@ -126,7 +123,7 @@ def compare_blocks(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("label", "list", "x", "y", "side", "vec_id")]).combine_chunks()
         column = lambda c: table.column(c).chunk(0) if table.column(c).num_chunks else table.column(c).combine_chunks()
-        size = np.diff(np.asarray(column("vector").offsets))
+        size = np.diff(np.asarray(column("vector").offsets))  # one length has one number of pivots
         out = [one_length(table.filter(pa.array(size == n)), int(n)) for n in np.unique(size)]
         return pa.concat_tables(out)
 
@@ -134,9 +131,8 @@ def compare_blocks(cosine: float):
         table = table.combine_chunks()
         ids, side, here = (table.column(c).to_numpy() for c in ("vec_id", "side", "list"))
         vectors = unit_rows(table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-        lists = table.column("lists").to_pylist()
-        most = max(map(len, lists))
-        sets = np.array([x + [-1] * (most - len(x)) for x in lists], np.int64)
+        near = np.array(table.column("pivots").to_pylist(), np.int64)
+        posted = near[:, :POSTED]
         keys = [table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(), here, table.column("x").to_numpy(), table.column("y").to_numpy()]
         new = np.ones(len(ids), bool)
         new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
@@ -145,12 +141,11 @@ def compare_blocks(cosine: float):
         split = begin + np.add.reduceat((side == 0).astype(np.int64), begin)
         split = np.where(split == stop, begin, split)
         found = [np.zeros((2, 0), np.int64)]
-        for i, j in group_pairs(vectors, begin, stop, split, cosine):
+        for i, j in group_pairs(vectors, near, begin, stop, split, cosine):
             for at in range(0, len(i), 4096):
                 x, y = i[at : at + 4096], j[at : at + 4096]
-                both = (sets[x][:, :, None] == sets[y][:, None, :]).any(axis=2) & (sets[x] != -1)
-                least = np.where(both, sets[x], np.iinfo(np.int64).max).min(axis=1)
-                own = (least == here[x]) | (here[x] < 0)  # list -length is a vector's only one
+                both = (posted[x][:, :, None] == posted[y][:, None, :]).any(axis=2)
+                own = np.where(both, posted[x], np.iinfo(np.int64).max).min(axis=1) == here[x]
                 found.append(np.stack([x[own], y[own]]))
         pairs = np.concatenate(found, axis=1)
         links = np.bincount(pairs.ravel(), minlength=len(ids))
@@ -169,15 +164,15 @@ def compare_blocks(cosine: float):
     return run
 
 
-def embedding_links(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS, seed: int = 42) -> DataFrame:
+def embedding_links(rows: DataFrame, cosine: float = COSINE, pivots: int | None = None, seed: int = 42) -> DataFrame:
     """(vec_id, root, links): per block compared, how many links a vector has there and the smallest vector they lead to.
 
     `rows` are (vec_id, label, vector). Lists of one member are dropped; a list of over BLOCK
     members is cut into blocks by a hash of the id, and each pair of blocks is a task's work, so
     no task holds a list. Every list in full: there is no limit on members or partners.
     """
-    index = materialize(postings(rows, fit_pivots(rows, pivots, seed), NEAREST, SHARED))
-    members = index.select("vec_id", "label", F.explode("lists").alias("list"))
+    index = materialize(postings(rows, fit_pivots(rows, pivots, seed)))
+    members = index.select("vec_id", "label", F.explode(F.slice("pivots", 1, POSTED)).alias("list"))
     sizes = materialize(members.groupBy("label", "list").agg(F.count("*").alias("n")).where("n > 1"))
     total = sizes.agg(F.sum(F.col("n") * F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))).first()[0] or 0
     members = members.join(sizes, ["label", "list"]).withColumn("blocks", F.expr(f"int((n + {BLOCK - 1}) div {BLOCK})"))
@@ -185,15 +180,15 @@ def embedding_links(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     # Block b meets every block c: as the first of the pair when b <= c, else as the second.
     met = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     met = met.select("vec_id", "label", "list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.expr("int(block > other)").alias("side"))
-    full = rows.select("vec_id", "label", "vector").join(index.select("vec_id", "lists"), "vec_id")
+    full = rows.select("vec_id", "label", "vector").join(index.select("vec_id", "pivots"), "vec_id")
     met = met.join(full.drop("label"), "vec_id")
     # Most lists are short, so a task takes many of them: a bucket holds TASK_ROWS rows or so.
     met = met.withColumn("bucket", F.pmod(F.xxhash64("label", "list", "x", "y"), F.lit(total // TASK_ROWS + 1)))
-    grouped = met.select("vec_id", "label", "list", "x", "y", "side", "vector", "lists", "bucket").groupBy("bucket")
+    grouped = met.select("vec_id", "label", "list", "x", "y", "side", "vector", "pivots", "bucket").groupBy("bucket")
     return grouped.applyInArrow(compare_blocks(cosine), "vec_id long, root long, links long")
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = COSINE, pivots: int | None = None, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Only vectors of the same label, not null, are compared. Null, empty and zero vectors, and
