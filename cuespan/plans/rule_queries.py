@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuespan.operators import aggs, picks as P, rules as R, state as S
 from cuespan.operators.joins import scene_words
 from cuespan.operators.windows import hand_motion_qa, transition_plan
-from cuespan.plans.agg_queries import durations
+from cuespan.plans.agg_queries import WORDS, durations
 from cuespan.plans.fixtures import COMPOSITIONS, table, v_art_new, v_art_old, v_asr, v_cues, v_elements, v_frames, v_scenes, v_words, with_views
 from cuespan.plans.registry import query
 from cuespan.plans.window_queries import _LENGTHS, _PAIRS, HAND_SQL, lengths
@@ -222,12 +222,12 @@ def check_transitions(spark, sf):
     return R.check_transitions(plan, plan.where("from_scene % 10 <> 0").withColumn("hold_ms", F.expr("if(from_scene % 3 = 0, hold_ms + 1, hold_ms)")))
 
 
-@query(with_views("v_cues", select="""+ _m AS (SELECT project_id, count(*) AS n, max(end_ms) - min(start_ms) AS span, (max(end_ms) + 1000) * (1 + project_id % 4) AS d, count(*) FILTER (k <> '') AS keys, count(k) FILTER (k <> '') - count(DISTINCT k) FILTER (k <> '') AS rep FROM (SELECT *, replace(lower(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g')), 'ß', 'ss') AS k FROM v_cues) GROUP BY project_id)
+@query(with_views("v_cues", select="""+ _m AS (SELECT project_id, sum(w) AS words, count(*) AS n, max(end_ms) - min(start_ms) AS span, (max(end_ms) + 1000) * (1 + project_id % 4 * 7) AS d, count(*) FILTER (k <> '') AS keys, count(k) FILTER (k <> '') - count(DISTINCT k) FILTER (k <> '') AS rep FROM (SELECT *, replace(lower(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g')), 'ß', 'ss') AS k, """ + WORDS + """ AS w FROM v_cues) GROUP BY project_id)
 =
-""" + broken("project_id", "_m", ("few-cues", "d >= 30000 AND n < greatest(2, round_even(d / 45000.0::DOUBLE, 0))"), ("low-coverage", "d >= 30000 AND round(span / d::DOUBLE, 4) < 0.35"), ("repeats", "keys >= 6 AND rep / keys::DOUBLE > 0.35"))))
+""" + broken("project_id", "_m", ("few-cues", "d >= 30000 AND n < greatest(2, round_even(d / 45000.0::DOUBLE, 0))"), ("few-words", "d >= 30000 AND round(words / greatest(d / 60000.0::DOUBLE, 1 / 60.0::DOUBLE), 4) < 8"), ("low-coverage", "d >= 30000 AND round(span / d::DOUBLE, 4) < 0.35"), ("repeats", "keys >= 6 AND rep / keys::DOUBLE > 0.35"))))
 def transcript_gate(spark, sf):
     cues = v_cues(spark, sf)
-    long = durations(cues).withColumn("duration_ms", F.expr("duration_ms * (1 + project_id % 4)"))
+    long = durations(cues).withColumn("duration_ms", F.expr("duration_ms * (1 + project_id % 4 * 7)"))
     metrics = aggs.transcript_metrics(cues, long).join(long, "project_id")
     return R.transcript_gate(metrics, aggs.repeat_ratio(cues))
 
