@@ -7,6 +7,15 @@ from pyspark.sql.window import Window
 
 from cuespan.functions.text import casefold, has_punct, safe_id, visible_length
 
+# Words of labels that name a connector, and relations one may stand for.
+CONNECTOR_LABELS = ("箭头", "关系线", "连接线", "流程线", "指向线", "arrow")
+RELATIONS = ("direction", "causal", "process", "flow", "distance", "comparison", "trend")
+# Fixed values of annotations: what a drawing plan may say, and the bounds of its numbers.
+DRAWING = {
+    "mode": ("layered", "legacy"), "stroke_planner": ("semantic-v2", "reading-bands-v1"), "color_schedule": ("object-progressive-v1", "scene-final-v1"),
+    "pixel_ownership": ("semantic-masks-v1", "semantic-exclusive-v2", "semantic-exclusive-v1", "exclusive-nearest-v1", "later-sequence-v1"),
+}
+COLOR_RESERVE, LEAST_COLOR_MS, DURATION_TOLERANCE_MS, LATEST_OPENING_MS = (0.18, 0.45), 240, 250, 500
 # Enumerations and limits of title cards and manifests.
 CARD_POSITIONS, CARD_STYLES = ("top-left",), ("outlined-label-v1",)
 
@@ -101,6 +110,61 @@ def check_annotations(elements: DataFrame, scenes: DataFrame, width: int = 1920,
     })
 
 
+def check_storyboard_elements(scenes: DataFrame, elements: DataFrame, characters: DataFrame, new_style: bool = True) -> DataFrame:
+    """(project_id, scene_id, seq, rule_id, …): narration, labels, ids, triggers, connectors and characters; seq is null for a scene's own.
+
+    scenes: project_id, scene_id, narration, has_beats, character_ids (array); elements: scene_id, seq,
+    element_id, label, trigger, relation, from_id, to_id, evidence; characters: project_id, character_id.
+    With `new_style` a connector is no element at all; without, it needs a whole relation whose evidence is in the narration.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    df = elements.join(scenes.select("project_id", "scene_id", "narration", "has_beats"), "scene_id")
+    label = casefold(F.coalesce("label", F.lit("")))
+    connector = F.lit(False)
+    for word in CONNECTOR_LABELS:
+        connector = connector | F.contains(label, F.lit(word))
+    whole = F.coalesce(F.col("relation").isin(*RELATIONS), F.lit(False)) & ~blank("from_id") & ~blank("to_id") & ~blank("evidence")
+    rules = {"empty-label": blank("label"), "no-id": blank("element_id"), "no-trigger": F.lit(new_style) & blank("trigger") & ~F.coalesce("has_beats", F.lit(False))}
+    if new_style:
+        rules["connector"] = connector
+    else:
+        rules |= {"connector-relation": connector & ~whole, "connector-evidence": connector & whole & ~F.contains(F.coalesce("narration", F.lit("")), "evidence")}
+    keys = ["project_id", "scene_id", "seq"]
+    out = violations(df, keys, rules)
+    own = scenes.withColumn("seq", F.lit(None).cast(dict(elements.dtypes)["seq"]))
+    used = own.select(*keys, F.explode("character_ids").alias("character_id")).join(characters, ["project_id", "character_id"], "left_anti")
+    undeclared = used.select(*keys, F.lit("undeclared-character").alias("rule_id"), F.lit("error").alias("severity"), F.col("character_id").cast("string").alias("value")).distinct()
+    return out.union(violations(own, keys, {"no-narration": blank("narration")})).union(undeclared)
+
+
+def check_annotation_records(annotations: DataFrame, elements: DataFrame, planned: DataFrame) -> DataFrame:
+    """(scene_id, seq, rule_id, …): canvas, durations, drawing plan and status of annotations; ids, boxes, times and numbering of their elements; ids against the storyboard.
+
+    annotations: scene_id, width, height, duration_ms, scene_ms, status, mode, stroke_planner,
+    color_schedule, pixel_ownership, color_reserve, least_color_ms (null where not given); elements:
+    scene_id, seq, element_id, source_ids (array or null), x, y, w, h, start_ms, dur_ms; planned: scene_id, element_id.
+    """
+    keys = ["scene_id", "seq"]
+    kind = dict(elements.dtypes)["seq"]
+    count = elements.groupBy("scene_id").agg(F.count("*").alias("_n"), F.collect_set("seq").alias("_seqs"), F.count_if(F.coalesce("element_id", F.lit("")) == "").alias("_blank"), F.count_distinct("element_id").alias("_ids"))
+    sides = elements.select("scene_id", "element_id", F.lit(1).alias("_a"), F.lit(0).alias("_p")).union(planned.select("scene_id", "element_id", F.lit(0), F.lit(1)))
+    sides = sides.groupBy("scene_id", "element_id").agg(F.max("_a").alias("_a"), F.max("_p").alias("_p")).groupBy("scene_id").agg(F.count_if(F.col("_a") != F.col("_p")).alias("_differ"), F.max("_p").alias("_has_plan"))
+    df = annotations.join(count, "scene_id", "left").join(sides, "scene_id", "left").withColumn("seq", F.lit(None).cast(kind))
+    rules = {
+        "canvas": ~F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False)), "duration": ~F.coalesce(F.col("duration_ms") > 0, F.lit(False)), "scene-duration": F.abs(F.col("duration_ms") - F.col("scene_ms")) > DURATION_TOLERANCE_MS,
+        "draft": F.col("status") == "draft", "no-elements": F.coalesce("_n", F.lit(0)) == 0, "ids": (F.col("_blank") > 0) | (F.col("_ids") < F.col("_n")), "ids-differ-from-plan": (F.col("_has_plan") == 1) & (F.col("_differ") > 0) & (F.col("_n") > 0),
+        "numbering": (F.size("_seqs") != F.col("_n")) | (F.array_min("_seqs") != 1) | (F.array_max("_seqs") != F.col("_n")), "color-reserve": ~F.col("color_reserve").between(*COLOR_RESERVE), "least-color": F.col("least_color_ms") < LEAST_COLOR_MS,
+    } | {c.replace("_", "-"): ~F.col(c).isin(*allowed) for c, allowed in DRAWING.items()}
+    w = Window.partitionBy("scene_id").orderBy("seq")
+    end = F.col("start_ms") + F.col("dur_ms")
+    each = elements.join(annotations.select("scene_id", "width", "height", "duration_ms"), "scene_id").withColumns({"_prev": F.lag(end).over(w), "_first": F.row_number().over(w) == 1})
+    return violations(df, keys, rules).union(violations(each, keys, {
+        "late-opening": F.col("_first") & (F.col("start_ms") > LATEST_OPENING_MS), "regrouped": F.col("source_ids").isNotNull() & ~F.col("source_ids").eqNullSafe(F.array("element_id")),
+        "region": ~F.coalesce((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("w") > 0) & (F.col("h") > 0), F.lit(False)), "off-canvas": (F.col("x") + F.col("w") > F.col("width")) | (F.col("y") + F.col("h") > F.col("height")),
+        "times": ~F.coalesce((F.col("start_ms") >= 0) & (F.col("dur_ms") > 0), F.lit(False)), "overlap": F.col("start_ms") < F.col("_prev"), "beyond-scene": end > F.col("duration_ms"),
+    }))
+
+
 def check_captions(cues: DataFrame, max_chars: int = 18, max_ms: int = 3600) -> DataFrame:
     """(project_id, cue_no, rule_id, …): one line, no punctuation, short enough, in order."""
     w = Window.partitionBy("project_id").orderBy("cue_no")

@@ -25,13 +25,23 @@ def derive_stage(projects: DataFrame) -> DataFrame:
     return projects.select("project_id", stage.alias("stage"))
 
 
-def invalidation_reason(old: DataFrame, new: DataFrame, inputs: list[str]) -> DataFrame:
-    """(scene_id, reason): the first of the inputs that differs, in fixed order; null when nothing does. `inputs` name columns of INPUTS."""
-    df = new.join(old.select("scene_id", F.lit(True).alias("_had"), *[F.col(c).alias(f"_{c}") for c in inputs]), "scene_id", "left")
+def invalidation_reason(old: DataFrame, new: DataFrame, inputs: list[str], files: DataFrame | None = None, default: str | None = None) -> DataFrame:
+    """(scene_id, reason): why a scene's cached output may not be used, in fixed order; `default` when nothing differs.
+
+    `inputs` name columns of INPUTS in both tables. With files (scene_id, sha256: the outputs there
+    are), old also has key, sha256 and has_payload, and an entry without a key, an output that is
+    gone or has another digest, and an entry without recorded inputs come before all inputs.
+    """
+    more = ["key", "sha256", "has_payload"] if files is not None else []
+    df = new.join(old.select("scene_id", F.lit(True).alias("_had"), *[F.col(c).alias(f"_{c}") for c in [*inputs, *more]]), "scene_id", "left")
     reason = F.when(F.col("_had").isNull(), "no_prior_cache")
+    if files is not None:
+        df = df.join(files.select("scene_id", F.col("sha256").alias("_now")), "scene_id", "left")
+        reason = reason.when(F.coalesce("_key", F.lit("")) == "", "no_prior_cache").when(F.col("_now").isNull(), "cached_output_missing").when(~F.col("_now").eqNullSafe(F.col("_sha256")), "cached_output_hash_mismatch")
+        reason = reason.when(~F.coalesce("_has_payload", F.lit(False)), "cache_key_mismatch")
     for c in sorted(inputs, key=INPUTS.index):
         reason = reason.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), REASONS[INPUTS.index(c)])
-    return df.select("scene_id", reason.alias("reason"))
+    return df.select("scene_id", reason.otherwise(F.lit(default)).alias("reason"))
 
 
 def stale_cascade(changed: DataFrame, boards: DataFrame) -> DataFrame:
