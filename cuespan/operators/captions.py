@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from cuespan.functions.text import CAPTION_PUNCTUATION, norm_text, visible_length
 from cuespan.operators.folds import clause_atoms, pack_words
 from cuespan.operators.frames import char_timing
+from cuespan.operators.rules import violations
 from cuespan.operators.windows import monotone_clamp
 
 # Words a long clause is rather cut before, and letters a caption should not end or start with.
@@ -208,3 +209,21 @@ def caption_space_check(cues: DataFrame, scripts: DataFrame) -> DataFrame:
     ascii_words = F.regexp_like("part", F.lit("[A-Za-z0-9]$")) & F.regexp_like("_next", F.lit("^[A-Za-z0-9]"))
     blanks = df.where(F.col("_next").isNotNull() & ~ascii_words).select("project_id", "cue_no", "i", "at")
     return blanks.join(punctuation_offsets(scripts), ["project_id", "at"], "left_anti").select("project_id", "cue_no", "at", F.lit("blank-without-punctuation").alias("rule_id"))
+
+
+def caption_contract(cues: DataFrame, scripts: DataFrame, max_chars: int = 18) -> DataFrame:
+    """(project_id, cue_no, rule_id, severity): what captions owe their script; cue_no is null for a project's own.
+
+    Errors: texts that together differ from the script's letters and digits, several lines, punctuation,
+    and blanks without punctuation in the script. Warnings: particles at the end or the start, too many letters.
+    """
+    whole = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, norm_text("text", "casefold").alias("t")))), lambda x: x["t"]), "")
+    said = cues.groupBy("project_id").agg(whole("cue_no").alias("_said"))
+    differs = scripts.join(said, "project_id").where(norm_text("text", "casefold") != F.col("_said"))
+    differs = differs.select("project_id", F.lit(None).cast(dict(cues.dtypes)["cue_no"]).alias("cue_no"), F.lit("text-differs").alias("rule_id"), F.lit("error").alias("severity"))
+    compact = F.trim(F.regexp_replace("text", "\n", ""))
+    soft = {"ends-in-particle": F.right(compact, F.lit(1)).isin(*BAD_ENDINGS), "starts-with-particle": F.left(compact, F.lit(1)).isin(*BAD_STARTS), "too-many-letters": visible_length("text") > max_chars}
+    hard = {"several-lines": F.contains("text", F.lit("\n")), "punctuation": F.regexp_like("text", F.lit(r"\p{P}"))}
+    found = [violations(cues, ["project_id", "cue_no"], rules, severity).drop("value") for rules, severity in ((hard, "error"), (soft, "warning"))]
+    blanks = caption_space_check(cues, scripts).select("project_id", "cue_no", "rule_id", F.lit("error").alias("severity")).distinct()
+    return differs.union(found[0]).union(found[1]).union(blanks)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuespan.operators import captions as C, rules as R
+from cuespan.operators import captions as C
 from cuespan.operators.folds import clause_atoms
 from cuespan.plans.fixtures import table, v_asr, v_cues, with_views
 from cuespan.plans.registry import query
@@ -100,3 +100,18 @@ _bv AS (SELECT project_id, cue_no, spot::BIGINT AS spot FROM _bn b WHERE nx IS N
 SELECT project_id, cue_no, spot AS "at", 'blank-without-punctuation' AS rule_id FROM _bv"""))
 def caption_space_check(spark, sf):
     return C.caption_space_check(v_cues(spark, sf), scripts(spark, sf))
+
+
+_CUE = "CASE WHEN (project_id + cue_no) % 37 = 0 THEN text || ' 的' WHEN (project_id + cue_no) % 41 = 0 THEN '和 ' || text WHEN (project_id + cue_no) % 43 = 0 THEN text || chr(10) ELSE text END"
+
+
+@query(with_views("v_cues", select=f"""+ _k AS (SELECT project_id, cue_no, {_CUE} AS text FROM v_cues), {_SPACES.replace("FROM v_cues", "FROM _k")},
+_w AS (SELECT project_id, cue_no, text, trim(replace(text, chr(10), '')) AS c, length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS n FROM _k)
+=
+SELECT doc_id AS project_id, NULL::BIGINT AS cue_no, 'text-differs' AS rule_id, 'error' AS severity FROM documents d JOIN (SELECT project_id, string_agg(replace(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]', '', 'g')), 'ß', 'ss'), '' ORDER BY cue_no) AS s FROM _k GROUP BY project_id) ON project_id = doc_id WHERE replace(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]', '', 'g')), 'ß', 'ss') <> s
+UNION ALL SELECT project_id, cue_no, 'several-lines', 'error' FROM _w WHERE contains(text, chr(10)) UNION ALL SELECT project_id, cue_no, 'punctuation', 'error' FROM _w WHERE regexp_matches(text, '\\p{{P}}')
+UNION ALL SELECT project_id, cue_no, 'ends-in-particle', 'warning' FROM _w WHERE right(c, 1) = '的' UNION ALL SELECT project_id, cue_no, 'starts-with-particle', 'warning' FROM _w WHERE left(c, 1) = '和'
+UNION ALL SELECT project_id, cue_no, 'too-many-letters', 'warning' FROM _w WHERE n > 18 UNION ALL SELECT DISTINCT project_id, cue_no, 'blank-without-punctuation', 'error' FROM _bv"""))
+def caption_contract(spark, sf):
+    cues = v_cues(spark, sf).withColumn("text", F.expr(_CUE.replace("chr(10)", "char(10)")))
+    return C.caption_contract(cues, scripts(spark, sf))
