@@ -412,3 +412,143 @@ def test_near_groups_leaves_two_tables(spark, docs):
     with common.kept_tables(made):
         out = minhash_dedup.near_groups(docs)
     assert len(made) == 2 and out.count() == docs.count()
+
+
+def test_mixing_against_a_plain_mix(spark, docs):
+    """Sizes, targets, draws, permutations and taken words again, by loops over all rows."""
+    block, slots, seed = 8, 16, 42
+    parts = mixing.mix(docs, block=block, slots=slots, seed=seed)
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    key = lambda i: int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    totals = [sum(size(t) for _, t, s in rows if s == n) for n in names]
+
+    # 150 % of all words by weight, again and again without the sources that are full.
+    goal, free, left = {}, list(range(len(names))), 1.5 * sum(totals)
+    while free:
+        unit = left / sum([5, 2, 1][i % 3] for i in free)
+        full = [i for i in free if unit * [5, 2, 1][i % 3] > 2 * totals[i]]
+        for i in full or free:
+            goal[i] = 2 * totals[i] if full else unit * [5, 2, 1][i % 3]
+            left -= goal[i] if full else 0
+        free = [i for i in free if i not in full] if full else []
+    blocks = [-(-n // block) for n in totals]
+    quota = [min(2 * b, int(goal[i] / totals[i] * b + 0.5)) for i, b in enumerate(blocks)]
+    rng, rest, drawn, uses = np.random.default_rng(seed), list(quota), [0] * len(names), {}
+    while sum(rest):
+        want, count = min(slots, sum(rest)), [0] * len(names)
+        while sum(count) < want:
+            open_ = np.array([a - b for a, b in zip(rest, count)])
+            more = rng.multinomial(want - sum(count), open_ / open_.sum())
+            count = [min(a, b + int(m)) for a, b, m in zip(rest, count, more)]
+        for i, c in enumerate(count):
+            for j in range(drawn[i], drawn[i] + c):  # every block of a source once, then again
+                at = int(mixing.permute(np.array([j % blocks[i]]), blocks[i], seed + 104729 * (i + 1))[0])
+                uses[i, at] = uses.get((i, at), 0) + 1
+            drawn[i] += c
+            rest[i] -= c
+    taken, place = [], [0] * len(names)
+    for d, t, s in sorted(rows, key=lambda r: (key(r[0]), r[0] is None, r[0] or 0, size(r[1]))):
+        i = names.index(s)
+        taken.append((d, size(t), totals[i], sum(uses.get((i, w // block), 0) for w in range(place[i], place[i] + size(t)))))
+        place[i] += size(t)
+    got = [(r.doc_id, r["size"], r.source_size, r.taken, r.target, r.source) for r in parts["documents"].collect()]
+    assert sorted(g[:4] for g in got) == sorted(taken)
+    assert all(abs(g[4] - goal[names.index(g[5])]) < 1e-6 for g in got)
+
+
+def test_language_id_against_whole_texts(spark, docs):
+    """Counts by the library, and each whole text summed over all its segmentations, byte by byte."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    tables = pieces.PieceTables(open(PIECES, "rb").read())
+    some = docs.where("length(text) < 700 or text is null")
+    rows = [(r.doc_id, r.text, r.lang) for r in some.collect()]
+    counts = {lang: np.zeros(len(tables.text)) for lang in ("de", "en")}
+    for i, t, lang in rows:
+        if t is not None and lang and zlib.crc32(str(i).encode()) % 5:
+            np.add.at(counts[lang], library.encode(t), 1)
+    log_p = {}
+    for lang, c in counts.items():
+        c[tables.matched] += 0.5
+        log_p[lang] = {tables.text[k]: np.log(c[k] / c[tables.matched].sum()) for k in tables.matched}
+
+    def total(text, p):
+        data, longest = (" " + text.replace("▁", " ")).encode() if text else b"", max(len(k.encode()) for k in p)
+        known = {k.encode(): v for k, v in p.items()}
+        alpha = [0.0] + [-np.inf] * len(data)
+        heads = [k for k in range(len(data)) if data[k] & 0xC0 != 0x80] + [len(data)]
+        for a, b in zip(heads, heads[1:]):  # letters without a piece go byte by byte
+            for e in range(a + 1, b + 1):
+                ways = [alpha[s] + known[data[s:e]] for s in range(max(0, e - longest), e) if data[s:e] in known]
+                if data[a:b] not in known:
+                    ways.append(alpha[e - 1] + np.log(language_id.BARE))
+                if ways:
+                    alpha[e] = np.logaddexp.reduce(ways)
+        return alpha[-1]
+
+    got = {(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language_id.identify_languages(some, PIECES).collect()}
+    want = set()
+    for i, t, _ in rows:
+        if t is None or not re.search(r"[^\W\d_]", t):
+            want.add((i, "und", 0.0))
+            continue
+        logs = np.array([total(t, log_p[lang]) for lang in ("de", "en")])
+        want.add((i, ("de", "en")[int(logs.argmax())], round(float(1 / np.exp(logs - logs.max()).sum()), 6)))
+    assert got == want
+
+
+def test_texts_longer_than_a_slice(spark):
+    """A row beyond every slice size, among short ones, in each operator over texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    long = words(rng, 700_000)
+    assert len(long) > chunks.SLICE_BYTES
+    texts = ["short one", long, None, long + " tail of it"]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    ids = [[*Tokenizer.from_file(BYTE_BPE).encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert by_id(token_store.token_report(df, BYTE_BPE), "doc_id", "n_tokens", "ids_crc32") == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert {r.doc_id: zlib.crc32(np.array(r.piece_ids).tobytes()) for r in pieces.encode_pieces(df, PIECES).select("doc_id", "piece_ids").collect()} == {i: zlib.crc32(np.array(library.encode(t or ""), np.array([0]).dtype).tobytes()) for i, t in enumerate(texts)}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    assert by_id(minhash_dedup.near_groups(df), "doc_id", "n_shingles", "component_id") == [(0, 1, 0), (1, len(sets[1]), 1), (2, 0, 2), (3, len(sets[3]), 1)]
+    removed = by_id(suffix_dedup.repeated_spans(df), "doc_id", "n_bytes", "n_removed")
+    assert [r[1] for r in removed] == [len((t or "").encode()) for t in texts] and removed[3][2] >= len(long) and removed[1][2] < len(long) // 2
+    assert [r[1] for r in by_id(mixing.mix(df)["documents"], "doc_id", "size")] == [len((t or "").split()) for t in texts]
+    assert [r[1] for r in by_id(language_id.identify_languages(df, PIECES), "doc_id", "lang_pred")] == ["en", "en", "und", "en"]
+
+
+def test_token_files_can_be_read_selectively(spark, docs, tmp_path):
+    """Footers: ids and counts are delta encoded, tokens by dictionary, all with page indexes; row groups stay small."""
+    many = spark.range(6000).selectExpr("id as doc_id", "concat('word ', id % 97, ' of text number ', id) as text")
+    path = token_store.write_tokens(many, BYTE_BPE, str(tmp_path / "t"), 2, files=2)
+    found = sorted((tmp_path / "t").glob("*.parquet"))
+    assert len(found) == 2
+    last = -1
+    for file in found:
+        meta = pq.ParquetFile(file).metadata
+        columns = {meta.row_group(0).column(i).path_in_schema: meta.row_group(0).column(i) for i in range(meta.num_columns)}
+        for name in ("doc_id", "n_tokens"):
+            assert "DELTA_BINARY_PACKED" in columns[name].encodings and not columns[name].has_dictionary_page
+        tokens = next(c for n, c in columns.items() if n.startswith("tokens"))
+        assert tokens.has_dictionary_page and "RLE_DICTIONARY" in tokens.encodings
+        assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+        ids = pq.read_table(file, columns=["doc_id"]).column(0).to_pylist()
+        assert ids == sorted(ids) and ids[0] > last
+        last = ids[-1]
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:int>" in token_store.read_tokens(spark, path, with_tokens=False)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_and_repeated_ids_everywhere(spark):
+    """Ids decide nothing about texts: every row comes back, null ids and repeated ones too."""
+    df = spark.createDataFrame([(None, "the same words in a row here"), (None, None), (7, "the same words in a row here"), (7, "the same words in a row here"), (7, "other words")], "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    assert [r[1] for r in by_id(language_id.identify_languages(df, PIECES), "doc_id", "lang_pred")] == ["en"] * 3 + ["en", "und"]
+    assert pieces.piece_report(df, PIECES).count() == 5
+    near = by_id(minhash_dedup.near_groups(df), "doc_id", "n_shingles", "component_id", "kept")
+    assert near == [(7, 1, 7, True), (7, 3, 7, True), (7, 3, 7, True), (None, 0, None, True), (None, 3, 7, False)]  # seven words have three shingles
+    vectors = spark.createDataFrame([(None, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.001])], "vec_id bigint, label int, embedding array<double>")
+    assert by_id(embedding_dedup.near_vectors(vectors), "vec_id", "n_links", "component_id") == [(1, 1, 1), (2, 1, 1), (None, 0, None)]
