@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 # The safe frame as shares of the canvas, and of it what a board may fill.
 SAFE = {"left": 0.04, "top": 0.04, "right": 0.96, "bottom": 0.82}
 FILL = 0.94
+#: Rows of a board that are joined together.
+ROW_BUCKET = 64
 
 
 def mask_ownership(runs: DataFrame, selections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +45,10 @@ def mask_risk(owned: DataFrame, elements: DataFrame, band: int = 6, least: int =
         box("left", "inside", x, x + band, y, y1), box("left", "outside", x - band, x, y, y1), box("right", "inside", x1 - band, x1, y, y1), box("right", "outside", x1, x1 + band, y, y1),
         box("top", "inside", x, x1, y, y + band), box("top", "outside", x, x1, y - band, y), box("bottom", "inside", x, x1, y1 - band, y1), box("bottom", "outside", x, x1, y1, y1 + band))
     df = elements.select("board_id", "element_id", F.explode(bands).alias("b")).select("board_id", "element_id", "b.*")
-    hit = df.join(owned.select("board_id", F.col("y").alias("ry"), "x0", "x1"), "board_id").where("ry >= by0 and ry < by1 and x0 < bx1 and x1 > bx0")
+    # Bands meet the rows they reach by buckets of rows, as a board may hold many of both.
+    rows = owned.select("board_id", F.expr(f"floor(y / {ROW_BUCKET})").alias("_slot"), F.col("y").alias("ry"), "x0", "x1")
+    df = df.where("by0 < by1").withColumn("_slot", F.explode(F.expr(f"sequence(floor(by0 / {ROW_BUCKET}), floor((by1 - 1) / {ROW_BUCKET}))")))
+    hit = df.join(rows, ["board_id", "_slot"]).where("ry >= by0 and ry < by1 and x0 < bx1 and x1 > bx0")
     n = F.least("x1", "bx1") - F.greatest("x0", "bx0")
     part = lambda w: F.coalesce(F.sum(F.when(F.col("where") == w, n)), F.lit(0))
     out = hit.groupBy("board_id", "element_id", "side").agg(part("inside").alias("inside"), part("outside").alias("outside"))

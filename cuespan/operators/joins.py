@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cuespan.functions.text import norm_text
@@ -68,17 +68,23 @@ def match_trigger(phrases: DataFrame, words: DataFrame) -> DataFrame:
     """
     token = norm_text("text", "casefold")
     lists = words.groupBy("scene_key").agg(F.array_sort(F.collect_list(F.struct("idx", token.alias("token"), "start_ms", "end_ms"))).alias("w"))
-    whole = F.array_join(F.transform("w", lambda x: x["token"]), "")
-    owners = F.flatten(F.transform("w", lambda x, i: F.array_repeat(i, F.char_length(x["token"]))))
-    df = phrases.join(lists, "scene_key", "left").withColumns({"_needle": norm_text("phrase", "casefold"), "_text": whole, "_owner": owners})
-    df = df.withColumn("_at", F.expr("locate(_needle, _text)"))
-    found = (F.col("_needle") != "") & (F.col("_at") > 0) & (F.expr("locate(_needle, _text, _at + 1)") == 0)
-    first = F.when(found, F.element_at("_owner", F.col("_at")))
-    last = F.when(found, F.element_at("_owner", F.col("_at") + F.char_length("_needle") - 1))
-    df = df.withColumns({"word_start": first, "word_end": last})
-    a, b = F.coalesce("word_start", F.lit(0)), F.coalesce(F.col("word_end"), F.size("w") - 1)
-    mapping = F.when(F.col("w").isNull(), "scene-window-no-words").when(F.col("word_start").isNotNull(), "exact-trigger-text").otherwise("unresolved-semantic-trigger")
-    return df.select(*phrases.columns, "word_start", "word_end", F.get("w", a)["start_ms"].alias("start_ms"), F.get("w", b)["end_ms"].alias("end_ms"), mapping.alias("mapping"))
+    own = phrases.withColumn("_needle", norm_text("phrase", "casefold"))
+    own = own.groupBy("scene_key").agg(F.collect_list(F.struct(*phrases.columns, "_needle")).alias("p"))
+    # A scene's words are laid out once, for all its phrases.
+    df = own.join(lists, "scene_key", "left").withColumns({
+        "_text": F.array_join(F.transform("w", lambda x: x["token"]), ""), "_owner": F.flatten(F.transform("w", lambda x, i: F.array_repeat(i, F.char_length(x["token"])))),
+    })
+
+    def place(p: Column) -> Column:
+        at = F.position(p["_needle"], F.col("_text"))
+        found = (p["_needle"] != "") & (at > 0) & (F.position(p["_needle"], F.col("_text"), at + 1) == 0)
+        first = F.when(found, F.element_at("_owner", at))
+        last = F.when(found, F.element_at("_owner", at + F.char_length(p["_needle"]) - 1))
+        a, b = F.coalesce(first, F.lit(0)), F.coalesce(last, F.size("w") - 1)
+        mapping = F.when(F.col("w").isNull(), "scene-window-no-words").when(first.isNotNull(), "exact-trigger-text").otherwise("unresolved-semantic-trigger")
+        return F.struct(*[p[c].alias(c) for c in phrases.columns], first.alias("word_start"), last.alias("word_end"), F.get("w", a)["start_ms"].alias("start_ms"), F.get("w", b)["end_ms"].alias("end_ms"), mapping.alias("mapping"))
+
+    return df.select(F.explode(F.transform("p", place)).alias("r")).select("r.*")
 
 
 def match_any_key(elements: DataFrame, beats: DataFrame, keys: list[str]) -> DataFrame:
