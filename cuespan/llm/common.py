@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,15 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are done: it does so when the driver finds that nothing refers to them.
+
+    Worth asking for after a table was written whose making shuffled whole texts; nothing is lost.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that `materialize` returned. What still reads them must have been written before."""
     for table in tables:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuespan.llm.chunks import column_bytes, give_back, ragged, slices
-from cuespan.llm.common import components, discard, kept_tables, lookup_join, materialize, small_batches
+from cuespan.llm.common import components, discard, drop_shuffles, kept_tables, lookup_join, materialize, small_batches
 
 WORDS = 5
 #: A link: 100 * intersection >= SHARE * union.
@@ -401,6 +401,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = shingle_sets(texts.join(wanted, "low").select("node", "set_id", "text")).dropDuplicates(["node"])
     sets = materialize(sets.join(own.select("node", "mask", "signature"), "node"))
     discard(own)
+    drop_shuffles(docs.sparkSession)
 
     within = members.select("node", "list", "size", F.lit(-1).alias("home"), F.col("node").alias("component"), "x", F.col("x").alias("y"), F.lit(-1).alias("side"))
     links = materialize(compare_groups(within.join(sets, "node")))
@@ -422,6 +423,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = classes.join(found, "node", "left").select("set_id", "class_size", F.col("low").alias("class_id"), F.coalesce("component_id", "low").alias("component_id"))
     marked = materialize(marked)
     discard(classes, labels, lowest)
+    drop_shuffles(docs.sparkSession)
     out = lookup_join(rows, marked, "set_id", "class_size", "doc_id")
     alone = F.col("n_shingles") == 0
     out = out.withColumn("class_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")))
