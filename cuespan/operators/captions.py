@@ -6,6 +6,8 @@ case, `pos` its place among the letters and digits of the project. Work is keyed
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -98,33 +100,34 @@ def align_script(script: DataFrame, recognized: DataFrame, k: int = 12, slack: i
 
 
 def split_long_atoms(atoms: DataFrame, letters: DataFrame, max_chars: int = 18, max_ms: int = 3600, connectors: tuple[str, ...] = CONNECTORS) -> DataFrame:
-    """Clauses (project_id, atom_no, text, start_idx, end_idx, major) cut where they are too long: adds piece_no.
+    """Clauses (project_id, atom_no, text, start_idx, end_idx, major) cut where they are too long: adds piece_no, start_ms and end_ms.
 
     A piece has at most max_chars letters and max_ms of time, one letter at least. It ends where
     pause, connector and length together are worth most, the later place on a tie. Only the last
     piece of a clause ends a sentence. Clauses beyond the aligned letters are left out.
     """
-    ends = letters.select("project_id", F.col("pos").alias("_p"), "start_ms", "end_ms")
-    first, last = ends.select("project_id", F.col("_p").alias("start_idx"), F.col("start_ms").alias("_s")), ends.select("project_id", (F.col("_p") + 1).alias("end_idx"), F.col("end_ms").alias("_e"))
-    df = atoms.join(first, ["project_id", "start_idx"]).join(last, ["project_id", "end_idx"])
-    fits = (F.col("end_idx") - F.col("start_idx") <= max_chars) & (F.col("_e") - F.col("_s") <= max_ms)
-    short = df.where(fits).select("project_id", "atom_no", F.lit(0).alias("piece_no"), "text", "start_idx", "end_idx", "major")
-    long = df.where(~fits)
-    # The letters of each long clause in one array; clauses are numbered by place, so this is an equi join on the clause of each letter.
-    owner = Window.partitionBy("project_id").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    marks = long.select("project_id", F.col("start_idx").alias("_p"), F.lit(0).alias("_kind"), F.struct("atom_no", "end_idx").alias("_atom"), F.lit(None).cast("struct<pos:bigint,key:string,s:bigint,e:bigint>").alias("_x"))
-    rows = letters.select("project_id", F.col("pos").alias("_p"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_atom"].dataType).alias("_atom"), F.struct(F.col("pos").cast("bigint").alias("pos"), "key", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")).alias("_x"))
-    own = marks.union(rows).withColumn("_atom", F.last("_atom", True).over(owner)).where("_kind = 1 and _p < _atom.end_idx")
-    lists = own.groupBy("project_id", F.col("_atom.atom_no").alias("atom_no")).agg(F.array_sort(F.collect_list("_x")).alias("_l"))
-    df = long.join(lists, ["project_id", "atom_no"]).withColumn("_plain", F.array_join(F.transform("_l", lambda x: x["key"]), ""))
+    # Letters find their clause in one pass over both, sorted by place; then each clause has its letters in one array.
+    clause = F.struct("atom_no", "text", "start_idx", "end_idx", "major")
+    letter = F.struct(F.col("pos").cast("bigint").alias("pos"), "key", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    marks = atoms.select("project_id", F.col("start_idx").cast("bigint").alias("_p"), F.lit(0).alias("_kind"), clause.alias("_atom"), F.lit(None).cast("struct<pos:bigint,key:string,s:bigint,e:bigint>").alias("_x"))
+    rows = letters.select("project_id", F.col("pos").cast("bigint").alias("_p"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_atom"].dataType).alias("_atom"), letter.alias("_x"))
+    place = Window.partitionBy("project_id").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    own = marks.union(rows).withColumn("_atom", F.last("_atom", True).over(place)).where("_kind = 1 and _p < _atom.end_idx")
+    df = own.groupBy("project_id", F.col("_atom.atom_no").alias("_no")).agg(F.any_value("_atom").alias("_atom"), F.array_sort(F.collect_list("_x")).alias("_l"))
+    df = df.select("project_id", "_atom.*", "_l").where("size(_l) = end_idx - start_idx").withColumn("_plain", F.array_join(F.transform("_l", lambda x: x["key"]), ""))
     n = F.size("_l")
     letter = lambda i: F.element_at("_l", i + 1)
 
+    def once(value: Column, body: Callable[[Column], Column]) -> Column:
+        """body(value), with value computed once however often the body names it."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
     def next_cut(s: Column) -> Column:
         """The end of the piece that starts at letter s of the clause."""
         reach = F.filter(F.sequence(s + 1, F.least(n, s + max_chars)), lambda f: (f == s + 1) | (letter(f - 1)["e"] - letter(s)["s"] <= max_ms))
-        far = F.array_max(reach)
+        return once(F.array_max(reach), lambda far: F.when(far >= n, n).otherwise(best_cut(s, far)))
 
+    def best_cut(s: Column, far: Column) -> Column:
         def worth(b: Column) -> Column:
             joint = F.lit(False)
             for word in connectors:
@@ -132,31 +135,30 @@ def split_long_atoms(atoms: DataFrame, letters: DataFrame, max_chars: int = 18,
             gain = PAUSE_WORTH * (letter(b)["s"] - letter(b - 1)["e"]) + F.when(joint, CONNECTOR_WORTH).otherwise(0) - SHORT_COST * (far - b)
             return F.struct(gain.alias("gain"), b.alias("at"))
 
-        best = F.array_max(F.transform(F.sequence(F.least(far, s + max(4, max_chars // 3)), far), worth))
-        return F.when(far >= n, n).otherwise(best["at"])
+        return F.array_max(F.transform(F.sequence(F.least(far, s + max(4, max_chars // 3)), far), worth))["at"]
 
-    fold = lambda cuts, i: F.when(F.element_at(cuts, -1) < n, F.concat(cuts, F.array(next_cut(F.element_at(cuts, -1))))).otherwise(cuts)
-    cuts = F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), fold)
-    seen = F.filter(F.sequence(F.lit(1), F.char_length("text")), lambda i: norm_text(F.substring(F.col("text"), i, F.lit(1))) != "")
+    fold = lambda cuts, i: F.when(F.element_at(cuts, -1) < n, F.concat(cuts, F.array(once(F.element_at(cuts, -1), next_cut)))).otherwise(cuts)
+    fits = (n <= max_chars) & (letter(n - 1)["e"] - letter(F.lit(0))["s"] <= max_ms)
+    cuts = F.when(fits, F.array(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), fold))
+    seen = F.when(~fits, F.filter(F.sequence(F.lit(1), F.char_length("text")), lambda i: norm_text(F.substring(F.col("text"), i, F.lit(1))) != ""))
     df = df.withColumns({"_c": cuts, "_v": seen})
-    df = df.select("project_id", "atom_no", "text", "start_idx", "major", "_v", F.size("_l").alias("_n"), F.posexplode(F.arrays_zip(F.slice("_c", 1, F.size("_c") - 1).alias("a"), F.slice("_c", 2, F.size("_c") - 1).alias("b"))).alias("piece_no", "c"))
+    df = df.withColumn("_c", F.arrays_zip(F.slice("_c", 1, F.size("_c") - 1).alias("a"), F.slice("_c", 2, F.size("_c") - 1).alias("b")))
+    df = df.select("project_id", "atom_no", "text", "start_idx", "major", "_v", n.alias("_n"), F.posexplode(F.transform("_c", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), letter(c["a"])["s"].alias("s"), letter(c["b"] - 1)["e"].alias("e")))).alias("piece_no", "c"))
     a = F.when(F.col("c.a") == 0, F.lit(1)).otherwise(F.element_at("_v", F.col("c.a") + 1))
     b = F.when(F.col("c.b") >= F.col("_n"), F.char_length("text")).otherwise(F.element_at("_v", F.col("c.b")))
     piece = F.regexp_replace(F.substring(F.col("text"), a, b - a + 1), r"^\s+|\s+$", "")
-    cut = df.select("project_id", "atom_no", "piece_no", piece.alias("text"), (F.col("start_idx") + F.col("c.a")).alias("start_idx"), (F.col("start_idx") + F.col("c.b")).alias("end_idx"), (F.col("major") & (F.col("c.b") == F.col("_n"))).alias("major"))
-    return short.union(cut)
+    at = lambda c: F.col("start_idx") + F.col(c)
+    return df.select("project_id", "atom_no", "piece_no", piece.alias("text"), at("c.a").alias("start_idx"), at("c.b").alias("end_idx"), (F.col("major") & (F.col("c.b") == F.col("_n"))).alias("major"), F.col("c.s").alias("start_ms"), F.col("c.e").alias("end_ms"))
 
 
-def pack_sentence(pieces: DataFrame, letters: DataFrame, max_chars: int = 18, max_ms: int = 3600) -> DataFrame:
+def pack_sentence(pieces: DataFrame, max_chars: int = 18, max_ms: int = 3600) -> DataFrame:
     """(project_id, group_no, start_idx, end_idx, start_ms, end_ms, text): pieces of a sentence joined while one of them is very short.
 
     A piece joins the group before if either has few letters, the group doesn't end with a colon,
     and both together are short enough.
     """
-    time = letters.select("project_id", "pos", "start_ms", "end_ms")
-    df = pieces.join(time.select("project_id", F.col("pos").alias("start_idx"), "start_ms"), ["project_id", "start_idx"]).join(time.select("project_id", (F.col("pos") + 1).alias("end_idx"), "end_ms"), ["project_id", "end_idx"])
     w = Window.partitionBy("project_id").orderBy("start_idx")
-    df = df.withColumns({"sentence": F.coalesce(F.sum(F.col("major").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_colon": F.regexp_like("text", F.lit(r"[：:]\s*$"))})
+    df = pieces.withColumns({"sentence": F.coalesce(F.sum(F.col("major").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_colon": F.regexp_like("text", F.lit(r"[：:]\s*$"))})
     # A group only depends on the group before within its sentence: sentences are folded, each for itself.
     item = F.struct(F.col("start_idx").alias("s"), F.col("end_idx").alias("e"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), F.col("_colon").alias("colon"), "text")
     rows = df.groupBy("project_id", "sentence").agg(F.array_sort(F.collect_list(item)).alias("rows"))
@@ -181,7 +183,7 @@ def build_cues(scripts: DataFrame, words: DataFrame, max_chars: int = 18, max_ms
     has no letter, or no row, get captions packed from the words alone.
     """
     letters = align_script(script_letters(scripts), timed_letters(words), k)
-    groups = pack_sentence(split_long_atoms(clause_atoms(scripts), letters, max_chars, max_ms), letters, max_chars, max_ms)
+    groups = pack_sentence(split_long_atoms(clause_atoms(scripts), letters, max_chars, max_ms), max_chars, max_ms)
     text = F.trim(F.regexp_replace(F.trim(F.translate("text", CAPTION_PUNCTUATION, "")), "[ \t]+", " "))
     cues = groups.select("project_id", (F.col("group_no") + 1).alias("cue_no"), "start_ms", "end_ms", text.alias("text"))
     spoken = scripts.where(visible_length("text") > 0).select("project_id")

@@ -79,7 +79,7 @@ def align_script(spark, sf):
 
 @query(with_views("v_asr", recursive=True, select=f"+ {_ALIGN}, {_ATOMS}, {_SPLIT}\n=\nSELECT project_id, atom_no, piece_no, text, start_idx, end_idx, major FROM _pc"))
 def split_long_atoms(spark, sf):
-    return C.split_long_atoms(clause_atoms(scripts(spark, sf)), letters(spark, sf))
+    return C.split_long_atoms(clause_atoms(scripts(spark, sf)), letters(spark, sf)).drop("start_ms", "end_ms")
 
 
 @query(with_views("v_asr", recursive=True, select=f"+ {_ALIGN}, {_ATOMS}, {_SPLIT}, {_PACK}\n=\n" + "SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY g) AS cue_no, start_ms, end_ms, trim(regexp_replace(trim(translate(text, '，。！？；：、,.!?;:《》“”‘’（）()【】[]—…', '')), '[ \\t]+', ' ', 'g')) AS text FROM _pg"))
