@@ -210,3 +210,17 @@ def test_late_rows_of_a_stream_are_left_out(spark, tmp_path):
         q.awaitTermination()
     got = {r.start_ms // hour - 10: (r.n, r.score) for r in spark.read.parquet(str(tmp_path / "res")).collect()}
     assert got[0] == (2, 12) and got[2] == (2, 3)
+
+
+def test_concurrent_subjects_are_the_intervals(spark):
+    rng = random.Random(8)
+    data = [(s, rng.choice("abcd"), a, a + rng.randint(0, 12)) for s in range(4) for a in [rng.randint(0, 60) for _ in range(25)]]
+    got = rows(windows.concurrent_subjects(spark.createDataFrame(data, "shot_id int, subject string, start_ms int, end_ms int")), "shot_id", "left_ms", "right_ms", "subjects")
+    want = []
+    for shot in range(4):
+        own = [d for d in data if d[0] == shot]
+        ends = sorted({t for d in own for t in d[2:]})
+        for a, b in zip(ends, ends[1:]):
+            n = len({d[1] for d in own if d[2] <= a and d[3] >= b})
+            want += [(shot, a, b, n)] * (n > 2)
+    assert got == want and want
