@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from cuespan.llm.mixing import targets
@@ -109,3 +110,21 @@ def test_null_repeated_and_clashing_ids(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(P.PIECES))
     ids = lambda x: (x[0] is None, x[0] or 0, list(x[1]))
     assert sorted(((r.doc_id, r.piece_ids) for r in fifth), key=ids) == sorted(((i, library.encode(t)) for i, t in bag(fourth)), key=ids)
+
+
+def test_empty_tables_extra_columns_and_blank_texts(spark):
+    """Stages read the columns of documents only, take tables without rows, and say what becomes of texts without words."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 12")
+    clash = {c: F.lit("x") for c in ("_key", "_row", "_hash", "_rows", "_times", "_id", "component_id", "kept", "size", "taken", "text_sha256", "lang_pred", "score")}
+    none = docs.where("false").withColumns(clash)
+    for name, stage in P.STAGES:
+        out = stage(spark, none, sf)
+        assert out.count() == 0 and (out.columns == P.COLUMNS or name == "pieces")
+    blank = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \n", "en", "a", 2), (4, "one two three four five six", "en", "a", 27)], docs.schema).withColumns(clash)
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(P.exact_stage(spark, blank, sf)) == [2, 3, 4]  # null and empty are equal
+    assert ids(P.near_stage(spark, blank, sf)) == [1, 2, 3, 4]  # no words, no near-duplicates
+    assert set(ids(P.mixing_stage(spark, blank, sf))) == {4}  # no words, nothing to take
+    pieces = {r.doc_id: r.n_pieces for r in P.pieces_stage(spark, blank, sf).collect()}
+    assert pieces[1] == pieces[2] == 0 < pieces[4]
