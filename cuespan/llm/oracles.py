@@ -91,6 +91,55 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
 """
 
+#: Every prefix of the rebuilt conversations as a hash, its members, and the prefixes that extend it.
+OP11 = """
+WITH tab AS (
+  SELECT list(list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM range(256) r(n)),
+t AS (
+  SELECT conv_id, turn, strlen(coalesce(text, ''))::BIGINT AS bytes,
+    sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'k': k, 'b': bytes} ORDER BY turn NULLS FIRST, k) AS o FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, o, conv_id - conv_id % 5 AS base,
+    xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii((conv_id::VARCHAR)[i + 1])::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 9 AS h
+  FROM o, tab),
+r AS (SELECT h.conv_id, coalesce(b.o[1:h.h], []) || h.o[h.h + 1:] AS o FROM h LEFT JOIN o b ON b.conv_id = h.base),
+p AS (
+  SELECT conv_id, d, sha256(array_to_string(list_transform(o[1:d], lambda x: x.k), ',')) AS node, sha256(array_to_string(list_transform(o[1:d - 1], lambda x: x.k), ',')) AS parent,
+    CASE WHEN d = 0 THEN 0 ELSE o[d].b END AS bytes, d = len(o) AS ends
+  FROM (SELECT conv_id, o, unnest(range(len(o) + 1)) AS d FROM r)),
+n AS (
+  SELECT node, any_value(CASE WHEN d > 0 THEN parent END) AS parent, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY node),
+c AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+u AS (SELECT DISTINCT a.node AS top, b.node FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.d <= b.d),
+s AS (
+  SELECT top, count(*) FILTER (c.node IS NULL) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens
+  FROM u JOIN n ON n.node = u.node LEFT JOIN c ON c.node = u.node GROUP BY top)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n q ON q.node = n.parent LEFT JOIN c ON c.node = n.node JOIN s ON s.top = n.node
+"""
+
+#: Every window of 35 words and how often its sequence occurs, then the words that remain.
+OP12 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(len(w))) AS p FROM w WHERE len(w) > 0),
+k AS (SELECT doc_id, p, sha256(array_to_string(w[p + 1:p + 35], ' ')) AS k FROM p JOIN w USING (doc_id) WHERE p + 35 <= len(w)),
+h AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n FROM k) WHERE n > 1),
+g AS (
+  SELECT p.doc_id, p.p, coalesce(max(h.p) OVER (PARTITION BY p.doc_id ORDER BY p.p ROWS UNBOUNDED PRECEDING) >= p.p - 34, FALSE) AS gone
+  FROM p LEFT JOIN h ON h.doc_id = p.doc_id AND h.p = p.p),
+s AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(w[p + 1], ' ' ORDER BY p) FILTER (NOT gone) AS kept
+  FROM g JOIN w USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN s USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2, "op3_embedding_near_dedup": OP3, "op5_exact_dedup": OP5, "op8_minhash_near_dedup": OP8, "op9_sharding": OP9, "op10_warc": OP10}
+    return {"op2_suffix_dedup": OP2, "op3_embedding_near_dedup": OP3, "op5_exact_dedup": OP5, "op8_minhash_near_dedup": OP8, "op9_sharding": OP9, "op10_warc": OP10, "op11_conversation_trie": OP11, "op12_substring_dedup": OP12}

@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cuespan.llm.conversation_trie import conversation_trie
+from cuespan.llm.doubling_dedup import repeated_windows
 from cuespan.llm.embedding_dedup import near_vectors
 from cuespan.llm.exact_dedup import exact_dedup
 from cuespan.llm.language_id import identify_languages
@@ -17,6 +19,7 @@ from cuespan.llm.sharding import interleave_shards
 from cuespan.llm.suffix_dedup import repeated_spans
 from cuespan.llm.token_store import token_report
 from cuespan.llm.warc import warc_round_trip
+from cuespan.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +66,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).drop("eigenvalue")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_suffix_dedup, op3_embedding_near_dedup, op4_mixing, op5_exact_dedup, op6_language_id, op7_pieces, op8_minhash_near_dedup, op9_sharding, op10_warc)}
+    every = (
+        op1_token_output, op2_suffix_dedup, op3_embedding_near_dedup, op4_mixing, op5_exact_dedup, op6_language_id, op7_pieces,
+        op8_minhash_near_dedup, op9_sharding, op10_warc, op11_conversation_trie, op12_substring_dedup, op13_whitening,
+    )
+    return {f.__name__: f for f in every}
