@@ -36,8 +36,9 @@ FILE_BYTES = 5 << 20
 FILES_PER_BUCKET = 2
 #: Bytes whose words are hashed at a time; a longer word has a hash of its own kind.
 RUN_BYTES = 1 << 18
-#: What a file carries from level to level comes as answers of these buckets.
-CANDIDATES, REPEATED, LONGEST = -3, -2, -1
+#: What a file carries from level to level comes as answers of these buckets: the rows that have candidates and the
+#: candidates among their words; the same of what is repeated at the wanted length; and each row's longest length.
+ROWS, CANDIDATES, REPEATED_ROWS, REPEATED, LONGEST = -5, -4, -3, -2, -1
 
 
 def levels(words: int):
@@ -49,12 +50,14 @@ def levels(words: int):
 
 
 class WordFile:
-    """One written file of (doc_id, text) as words: runs of bytes other than space and 0x09-0x0D."""
+    """One written file of (doc_id, text), or those of its rows whose bits are set, as words: runs of bytes other than space and 0x09-0x0D."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, rows: bytes | None = None):
         store, name = pafs.FileSystem.from_uri(uri)
         with store.open_input_file(name) as file:
             table = pq.read_table(file, columns=["doc_id", "text"])
+        self.rows = np.ones(table.num_rows, bool) if rows is None else unpacked(rows, table.num_rows)
+        table = table.filter(pa.array(self.rows)) if rows is not None else table
         self.ids = table.column("doc_id")
         self.data, offsets = column_bytes(table.column("text"))
         n = len(self.data)
@@ -71,6 +74,7 @@ class WordFile:
         #: Each row's first word, and for each word how many its row has from there on.
         self.first = np.searchsorted(self.starts, offsets)
         self.ahead = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.starts))
+        self._hashes: np.ndarray | None = None
         self._sums: dict[int, np.ndarray] = {}
 
     def _words(self) -> np.ndarray:
@@ -92,11 +96,10 @@ class WordFile:
     def windows(self, at: np.ndarray, length: int, lane: int) -> np.ndarray:
         """Hashes of the windows of `length` words from the words `at` on; lanes are independent of each other."""
         up, down = powers(len(self.starts) + 1)
-        if 0 not in self._sums:
-            words = self._words()
-            for i in (0, 1):
-                self._sums[i] = np.zeros(len(words) + 1, np.uint64)
-                np.cumsum(mix64(words + np.uint64(i) * M1) * up[:-1], out=self._sums[i][1:])
+        if lane not in self._sums:
+            self._hashes = self._words() if self._hashes is None else self._hashes
+            self._sums[lane] = np.zeros(len(self._hashes) + 1, np.uint64)
+            np.cumsum(mix64(self._hashes + np.uint64(lane) * M1) * up[:-1], out=self._sums[lane][1:])
         total = self._sums[lane]
         return mix64((total[at + length] - total[at]) * down[at])
 
@@ -104,12 +107,9 @@ class WordFile:
         """Different windows from `at` on by (bucket, key): buckets, keys, whether each is there twice, and the places of `at` among them."""
         lane = self.windows(at, length, 0)
         bucket = (lane >> np.uint64(32)) % np.uint64(buckets)
-        if exact:
-            keys = self.windows(at, length, 1)
-            order = np.lexsort((keys, bucket))
-        else:
-            keys = lane.astype(np.uint32)
-            order = np.argsort(bucket << np.uint64(32) | keys)
+        keys = self.windows(at, length, 1) if exact else lane.astype(np.uint32)
+        # Half of an exact key is sorted by: should two keys that agree in it alternate, one is sent several times, and so is counted as often.
+        order = np.argsort(bucket << np.uint64(32) | (keys >> np.uint64(32) if exact else keys))
         bucket, keys = bucket[order].astype(np.int64), keys[order]
         new = np.ones(len(at), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])
@@ -119,13 +119,25 @@ class WordFile:
         return bucket[first], keys[first], np.diff(np.append(first, len(at))) > 1, place
 
     def found(self, bits: bytes) -> np.ndarray:
-        return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(self.starts)))
+        return np.flatnonzero(unpacked(bits, len(self.starts)))
 
     def bits(self, at: np.ndarray) -> bytes:
         out = np.zeros(len(self.starts), bool)
         out[at] = True
         return np.packbits(out).tobytes()
 
+    def rows_of(self, at: np.ndarray) -> np.ndarray:
+        """The rows read that the words are in."""
+        return np.searchsorted(self.first, at, "right") - 1
+
+    def words_of(self, rows: np.ndarray) -> np.ndarray:
+        """The words of the rows read that are set."""
+        return np.flatnonzero(np.repeat(rows, np.diff(self.first)))
+
+
+def unpacked(bits: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=count).astype(bool)
+
 
 def bucket_runs(bucket: np.ndarray):
     """(bucket, from, to) of equal neighbours."""
@@ -196,26 +208,34 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id"
                     give_back()
 
         def one_file(uri: str, state: dict[int, bytes]):
-            kept = {b: state[b] for b in (REPEATED, LONGEST) if b in state}
-            if before is not None and not any(state[CANDIDATES]):
-                return [message(uri, b, x) for b, x in (kept | {CANDIDATES: state[CANDIDATES]}).items()]
-            text = WordFile(uri)
+            kept = {b: state[b] for b in (REPEATED_ROWS, REPEATED, LONGEST) if b in state}
+            if before is not None and not any(state[ROWS]):
+                return [message(uri, b, x) for b, x in (kept | {ROWS: state[ROWS], CANDIDATES: b""}).items()]
+            text = WordFile(uri, state.get(ROWS))
             if before is None:
                 at = np.flatnonzero(text.ahead >= length)
             else:
                 alive = survivors(text, state, before, buckets, before >= words)
                 if before == words:
-                    kept[REPEATED] = text.bits(alive)
+                    kept |= {REPEATED_ROWS: state[ROWS], REPEATED: text.bits(alive)}
                 if before >= words:
-                    longest = np.frombuffer(kept.get(LONGEST, bytes(8 * len(text.ids))), np.int64).copy()
-                    longest[np.searchsorted(text.first, alive, "right") - 1] = before
+                    longest = np.frombuffer(kept.get(LONGEST, bytes(8 * len(text.rows))), np.int64).copy()
+                    longest[np.flatnonzero(text.rows)[text.rows_of(alive)]] = before
                     kept[LONGEST] = longest.tobytes()
                 flag = np.zeros(len(text.starts) + length, bool)
                 flag[alive] = True
                 at = alive[flag[alive + length - before] & (text.ahead[alive] >= length)]
             bucket, keys, twice, _ = text.distinct(at, length, buckets, length >= words) if len(at) else (at, at, at, at)
             out = [message(uri, b, keys[lo:hi].tobytes(), np.packbits(twice[lo:hi]).tobytes()) for b, lo, hi in bucket_runs(bucket)]
-            return out + [message(uri, b, x) for b, x in (kept | {CANDIDATES: text.bits(at)}).items()]
+            # The next level reads the rows that still have candidates.
+            with_some = np.zeros(len(text.ids), bool)
+            with_some[text.rows_of(at)] = True
+            rows = text.rows.copy()
+            rows[text.rows] = with_some
+            here = np.zeros(len(text.starts), bool)
+            here[at] = True
+            kept |= {ROWS: np.packbits(rows).tobytes(), CANDIDATES: np.packbits(here[text.words_of(with_some)]).tobytes()}
+            return out + [message(uri, b, x) for b, x in kept.items()]
 
         return run
 
@@ -231,7 +251,10 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id"
     def removed(text: WordFile, state: dict[int, bytes]) -> pa.RecordBatch:
         n = len(text.starts)
         edge = np.zeros(n + 1, np.int64)
-        at = text.found(state.get(REPEATED, bytes(n // 8 + 1)))
+        at = np.zeros(0, np.int64)
+        if REPEATED in state:  # among the words of the rows that were read then
+            among = text.words_of(unpacked(state[REPEATED_ROWS], len(text.ids)))
+            at = among[unpacked(state[REPEATED], len(among))]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + words, -1)
         gone = np.cumsum(edge[:n]) > 0
