@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from cuespan.functions.text import compact
+from cuespan.operators.joins import match_trigger
+from cuespan.operators.tables import dropped, written
+
 # The safe frame as shares of the canvas, and of it what a board may fill.
 SAFE = {"left": 0.04, "top": 0.04, "right": 0.96, "bottom": 0.82}
 FILL = 0.94
 #: Rows of a board that are joined together.
 ROW_BUCKET = 64
+#: Groups of boxes that are compared without more ado, and how often a round's pointers are followed.
+CROWD, JUMPS = 64, 2
 
 
 def mask_ownership(runs: DataFrame, selections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,27 +74,71 @@ def nearest_centroid(points: DataFrame, least: int) -> DataFrame:
     return points.join(moved, ["board_id", "group_id"], "left").select("point_id", F.coalesce("to", "group_id").alias("group_id"))
 
 
-def box_components(boxes: DataFrame, margin: int = 2, max_rounds: int = 50) -> DataFrame:
+def _nearest_touched(hulls: DataFrame, margin: int, leaders: bool) -> DataFrame:
+    """(board_id, component_id, to): the smallest component whose box touches this one, if it is smaller.
+
+    Boxes are posted in a grid whose cells are as wide as they are, so in four cells at most, and looked up in
+    all grids of their board that are as coarse or coarser. With `leaders` only the largest box of a cell is
+    looked up: that joins a heap of boxes without comparing all of its pairs.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1)) + margin
+    boxes = hulls.withColumn("_level", F.ceil(F.log2(side)).cast("int"))
+    grids = boxes.groupBy("board_id").agg(F.array_sort(F.collect_set("_level")).alias("_levels"))  # one per power of two
+    cells = lambda lo, hi, level: F.sequence(F.floor((F.col(lo) - margin) / F.pow(F.lit(2.0), F.col(level))), F.floor((F.col(hi) + margin) / F.pow(F.lit(2.0), F.col(level))))
+
+    def posted(df: DataFrame, level: str) -> DataFrame:
+        return df.withColumn("_cx", F.explode(cells("x0", "x1", level))).withColumn("_cy", F.explode(cells("y0", "y1", level)))
+
+    key = ["board_id", "_level", "_cx", "_cy"]
+    held = posted(boxes, "_level").select(*key, F.struct("component_id", "x0", "y0", "x1", "y1", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area")).alias("b"))
+    if leaders:
+        held = held.groupBy(*key).agg(F.max_by("b", F.struct("b.area", "b.component_id")).alias("b"))
+    asked = boxes.join(grids, "board_id").withColumn("_level", F.explode(F.expr("filter(_levels, l -> l >= _level)")))
+    hit = posted(asked, "_level").join(held, key)
+    touch = F.col("component_id") != F.col("b.component_id")
+    for lo, hi in (("x0", "x1"), ("y0", "y1")):
+        touch = touch & (F.col(lo) <= F.col(f"b.{hi}") + margin) & (F.col(f"b.{lo}") <= F.col(hi) + margin)
+    hit = hit.where(touch).select("board_id", F.least("component_id", "b.component_id").alias("to"), F.greatest("component_id", "b.component_id").alias("component_id"))
+    return hit.groupBy("board_id", "component_id").agg(F.min("to").alias("to"))
+
+
+def box_components(boxes: DataFrame, margin: int = 2) -> DataFrame:
     """(board_id, box_id, component_id): boxes that touch are one group, whose own box then may touch others, until nothing changes.
 
-    boxes: board_id, box_id, x0, y0, x1, y1. Every round is written to the checkpoint folder, so a
-    lost executor costs a round; component_id is the smallest box_id of the group.
+    boxes: board_id, box_id, x0, y0, x1, y1, whole numbers; ids are not null and unique on their board. A round points each
+    group's box at the smallest group it touches and follows the pointers on, so the groups of a
+    board that still touch are halved at least. A board where nothing touches is done and leaves. Boards of more than CROWD
+    groups look at the largest box of a cell alone as long as that joins any. Rounds are written to the
+    shared folder; component_id is the smallest box_id of the group.
     """
-    spark: SparkSession = boxes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        raise ValueError("set a checkpoint folder that all executors share")
-    df = boxes.withColumn("component_id", F.col("box_id")).checkpoint()
-    for _ in range(max_rounds):
-        hull = df.groupBy("board_id", "component_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-        a, b = hull.alias("a"), hull.alias("b")
-        touch = (F.col("a.board_id") == F.col("b.board_id")) & (F.col("b.component_id") < F.col("a.component_id"))
-        for lo, hi in (("x0", "x1"), ("y0", "y1")):
-            touch = touch & (F.col(f"a.{lo}") <= F.col(f"b.{hi}") + margin) & (F.col(f"b.{lo}") <= F.col(f"a.{hi}") + margin)
-        step = a.join(b, touch).groupBy(F.col("a.board_id").alias("board_id"), F.col("a.component_id").alias("component_id")).agg(F.min("b.component_id").alias("to")).checkpoint()
+    live = written(boxes.select("board_id", "box_id", "x0", "y0", "x1", "y1", F.col("box_id").alias("component_id")))
+    done = []
+    while True:
+        hulls = live.groupBy("board_id", "component_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        hulls = written(hulls)
+        crowded = written(hulls.groupBy("board_id").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("board_id"))
+        if crowded.isEmpty():
+            quick, step = None, written(_nearest_touched(hulls, margin, leaders=False))
+        else:
+            quick = written(_nearest_touched(hulls.join(crowded, "board_id", "left_semi"), margin, leaders=True))
+            rest = hulls.join(quick.select("board_id").distinct(), "board_id", "left_anti")
+            step = written(quick.union(_nearest_touched(rest, margin, leaders=False)))
+        moving = step.select("board_id").distinct()
+        done.append(written(live.join(moving, "board_id", "left_anti").select("board_id", "box_id", "component_id")))
         if step.isEmpty():
-            return df.select("board_id", "box_id", "component_id")
-        df = df.join(step, ["board_id", "component_id"], "left").withColumn("component_id", F.coalesce("to", "component_id")).drop("to").checkpoint()
-    raise RuntimeError(f"boxes still merge after {max_rounds} rounds")
+            dropped(live, hulls, crowded, quick, step)
+            break
+        root = step
+        for _ in range(JUMPS):
+            again = root.select("board_id", F.col("component_id").alias("to"), F.col("to").alias("_to"))
+            root = root.join(again, ["board_id", "to"], "left").select("board_id", "component_id", F.coalesce("_to", "to").alias("to"))
+        moved = live.join(moving, "board_id", "left_semi").join(root, ["board_id", "component_id"], "left")
+        before, live = live, written(moved.select("board_id", "box_id", "x0", "y0", "x1", "y1", F.coalesce("to", "component_id").alias("component_id")))
+        dropped(before, hulls, crowded, quick, step)
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
 
 
 def fit_safe_area(boards: DataFrame) -> DataFrame:
@@ -108,32 +158,66 @@ def fit_safe_area(boards: DataFrame) -> DataFrame:
 
 
 def reconcile_ids(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """(scene_id, actual_id, element_id, rule_id): ids kept directly, else found by a unique label; others are unmatched or ambiguous.
+    """(scene_id, place, actual_id, element_id, rule_id): which planned element each drawn one is.
 
-    actual: scene_id, actual_id, label; expected: scene_id, element_id, label.
+    actual: scene_id, place, actual_id, source_ids, label, trigger; expected: scene_id, place, element_id, label, trigger.
+    In order of place an element takes its own id or the first of its source ids that is planned and free; then, again in
+    order, one that shares its label, or else its trigger, with exactly one planned element that is free takes that.
+    Others are `unresolved`. A scene with another number of elements than planned is `count-differs`, one
+    that plans an id twice `repeated-id`; nothing is matched there. A scene's elements, those of one drawing, are folded as an array.
     """
-    direct = actual.join(expected.select("scene_id", F.col("element_id").alias("actual_id")), ["scene_id", "actual_id"], "left_semi")
-    rest = actual.join(direct.select("scene_id", "actual_id"), ["scene_id", "actual_id"], "left_anti")
-    free = expected.join(direct.select("scene_id", F.col("actual_id").alias("element_id")), ["scene_id", "element_id"], "left_anti")
-    by_label = free.groupBy("scene_id", "label").agg(F.count("*").alias("n"), F.min("element_id").alias("element_id"))
-    twice = F.count("*").over(Window.partitionBy("scene_id", "label")) > 1
-    found = rest.withColumn("_twice", twice).join(by_label, ["scene_id", "label"], "left")
-    rule = F.when(F.col("n").isNull(), "unmatched").when((F.col("n") > 1) | F.col("_twice"), "ambiguous")
-    return direct.select("scene_id", "actual_id", F.col("actual_id").alias("element_id"), F.lit(None).cast("string").alias("rule_id")).union(found.select("scene_id", "actual_id", F.when(rule.isNull(), F.col("element_id")), rule))
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    drawn = actual.select("scene_id", F.struct("place", F.coalesce("actual_id", F.lit("")).alias("id"), F.coalesce("source_ids", F.array().cast("array<string>")).alias("sources"), text("label").alias("label"), text("trigger").alias("trigger")).alias("r"))
+    planned = expected.select("scene_id", F.struct("place", F.col("element_id").alias("id"), text("label").alias("label"), text("trigger").alias("trigger")).alias("r"))
+    lists = lambda df, name: df.groupBy("scene_id").agg(F.array_sort(F.collect_list("r")).alias(name))
+    df = lists(drawn, "a").join(lists(planned, "p"), "scene_id")
+    df = df.withColumn("ids", F.transform("p", lambda x: x["id"]))
+    df = df.withColumn("rule", F.when(F.size("a") != F.size("p"), "count-differs").when(F.size(F.array_distinct("ids")) != F.size("ids"), "repeated-id"))
+
+    def take(state: Column, pick: Column) -> Column:
+        free = F.when(pick.isNull(), state["free"]).otherwise(F.array_remove(state["free"], F.coalesce(pick, F.lit(""))))
+        return F.struct(free.alias("free"), F.concat(state["got"], F.array(pick)).alias("got"))
+
+    def direct(state: Column, e: Column) -> Column:
+        own = F.concat(F.array(e["id"]), F.filter(e["sources"], lambda x: x != ""))
+        return take(state, F.get(F.filter(own, lambda x: F.array_contains(state["free"], x)), F.lit(0)))
+
+    def alike(state: Column, e: Column) -> Column:
+        same = lambda x: ((e["a"]["label"] != "") & (x["label"] == e["a"]["label"])) | ((e["a"]["trigger"] != "") & (x["trigger"] == e["a"]["trigger"]))
+        found = F.array_distinct(F.transform(F.filter(F.col("p"), lambda x: same(x) & F.array_contains(state["free"], x["id"])), lambda x: x["id"]))
+        return take(state, F.when(e["got"].isNotNull(), F.lit(None)).when(F.size(found) == 1, found[0]))
+
+    none = F.array().cast("array<string>")
+    df = df.withColumn("one", F.aggregate("a", F.struct(F.col("ids").alias("free"), none.alias("got")), direct))
+    pairs = F.arrays_zip(F.col("a"), F.col("one.got").alias("got"))
+    df = df.withColumn("two", F.aggregate(pairs, F.struct(F.col("one.free").alias("free"), none.alias("got")), alike))
+    df = df.select("scene_id", "rule", F.explode(F.arrays_zip(F.col("a"), F.col("one.got").alias("x"), F.col("two.got").alias("y"))).alias("z"))
+    found = F.when(F.col("rule").isNull(), F.coalesce("z.x", "z.y"))
+    return df.select("scene_id", "z.a.place", F.col("z.a.id").alias("actual_id"), found.alias("element_id"), F.coalesce("rule", F.when(found.isNull(), "unresolved")).alias("rule_id"))
 
 
 def resolve_beat_anchor(beats: DataFrame, words: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Beats (scene_id, beat_no, word_id, phrase) with their anchor word: an explicit id in the scene, else a word that is unique there.
+    """Beats with the word they begin at: anchor_id, start_ms and rule_id.
 
-    words: scene_id, word_id, text, start_ms. Adds anchor_id, start_ms and rule_id.
+    beats: project_id, scene_id, beat_no, word_id, phrase; words: project_id, scene_id, word_id, text, start_ms, end_ms. A word id of the
+    project decides, and must lie in the beat's scene (`outside-scene`); if there is no such word, the phrase does, wherever it
+    stands in the scene's words, across their borders, if it stands there once (`no-anchor`). White space and case make no difference.
+    A scene that is not in `scenes` is `unknown-scene`.
     """
-    own = words.select("scene_id", "word_id", F.col("start_ms").alias("_own"))
-    one = words.groupBy("scene_id", F.lower("text").alias("phrase")).agg(F.count("*").alias("_n"), F.min("word_id").alias("_id"), F.min("start_ms").alias("_at"))
-    df = beats.withColumn("phrase", F.lower("phrase")).join(own, ["scene_id", "word_id"], "left").join(one, ["scene_id", "phrase"], "left").join(scenes.select("scene_id").distinct().withColumn("_in", F.lit(True)), "scene_id", "left")
-    unique = F.col("_n") == 1
-    anchor = F.when(F.col("_own").isNotNull(), F.col("word_id")).when(unique, F.col("_id"))
-    rule = F.when(F.col("_in").isNull(), "unknown-scene").when(anchor.isNull() & (F.col("_n") > 1), "ambiguous-phrase").when(anchor.isNull(), "no-anchor")
-    return df.select("scene_id", "beat_no", anchor.alias("anchor_id"), F.when(F.col("_own").isNotNull(), F.col("_own")).when(unique, F.col("_at")).alias("start_ms"), rule.alias("rule_id"))
+    own = words.select("project_id", "word_id", F.col("scene_id").alias("_scene"), F.col("start_ms").alias("_own"))
+    df = beats.join(own, ["project_id", "word_id"], "left").join(scenes.select("project_id", "scene_id").distinct().withColumn("_in", F.lit(True)), ["project_id", "scene_id"], "left")
+    key = F.struct("project_id", "scene_id").alias("scene_key")
+    asked = df.where("_scene is null").select(key, "beat_no", "phrase").distinct()
+    found = match_trigger(asked, words.select(key, F.col("word_id").alias("idx"), "text", "start_ms", "end_ms"), compact).where("word_start is not null")
+    place = F.row_number().over(Window.partitionBy("project_id", "scene_id").orderBy("word_id")) - 1
+    at = words.select("project_id", "scene_id", F.col("word_id").alias("_word"), place.alias("word_start"))
+    found = found.select("scene_key.*", "beat_no", "word_start", F.col("start_ms").alias("_at")).join(at, ["project_id", "scene_id", "word_start"])
+    df = df.join(found, ["project_id", "scene_id", "beat_no"], "left")
+    inside = F.col("_scene") == F.col("scene_id")
+    anchor = F.when(F.col("_in").isNull(), F.lit(None)).when(F.col("_scene").isNull(), F.col("_word")).when(inside, F.col("word_id"))
+    rule = F.when(F.col("_in").isNull(), "unknown-scene").when(F.col("_scene").isNotNull() & ~inside, "outside-scene").when(anchor.isNull(), "no-anchor")
+    start = F.when(anchor.isNotNull(), F.coalesce("_own", "_at"))
+    return df.select("project_id", "scene_id", "beat_no", anchor.alias("anchor_id"), start.alias("start_ms"), rule.alias("rule_id"))
 
 
 # Boxes of the preset layouts as shares of the canvas, the preset by number of elements, and a title card's share.

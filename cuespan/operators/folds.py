@@ -2,15 +2,19 @@
 
 A fold holds the rows of one key in one array. Where the state surely resets, as at a long pause,
 keys are cut there first and the parts are folded, so only a part must fit and a key may be of any
-size. Only `group_scenes` and `suggest_composition` have no such place; their key is a project.
+size. `group_scenes` and `suggest_composition` have no such place: the one doubles jumps from scene to
+scene, the other puts maps from choice to choice together.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cuespan.functions.text import CAPTION_PUNCTUATION, visible_length
+from cuespan.operators.tables import dropped, running_totals, written
 
 # Letters that end a clause, those that end a sentence first.
 MAJOR, MINOR = "。！？!?；;\n", "，,、：:"
@@ -27,8 +31,73 @@ def parts_from(df: DataFrame, partition: list[str], order: list[str], begins: Co
     return df.withColumn("_begins", F.coalesce(begins, F.lit(True)).cast("int")).withColumn("_part", F.sum("_begins").over(w)).drop("_begins")
 
 
+#: Width of the time slots in which cue ends are looked up.
+SLOT_MS = 60_000
+
+
+def first_ends(cues: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(project_id, i, kind, j): the first cue j whose end is not before `at` of (project_id, i, kind, at), null if there is none.
+
+    cues: project_id, i, end_ms, and ends do not fall with i. Ends and wanted times are sorted together
+    within slots of time; where a slot has no answer, the first end of a later slot is it.
+    """
+    slot = lambda c: F.floor(F.col(c) / SLOT_MS)
+    no = F.lit(None).cast("bigint")
+    both = cues.select("project_id", slot("end_ms").alias("slot"), F.col("end_ms").alias("at"), F.lit(0).alias("kind"), no.alias("i"), F.col("i").alias("j"))
+    both = both.union(wanted.select("project_id", slot("at"), "at", "kind", "i", no))
+    later = Window.partitionBy("project_id").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = both.groupBy("project_id", "slot").agg(F.min("j").alias("_j")).withColumn("_later", F.min("_j").over(later)).drop("_j")
+    inside = Window.partitionBy("project_id", "slot").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("j", F.min("j").over(inside)).where("kind > 0").join(slots, ["project_id", "slot"])
+    return found.select("project_id", "i", "kind", F.coalesce("j", "_later").alias("j"))
+
+
 def group_scenes(cues: DataFrame, target_s: float = 30, min_s: float = 25, max_s: float = 35) -> DataFrame:
-    """(project_id, scene_no, start_ms, end_ms, first_cue, last_cue): cues joined until a scene is long enough."""
+    """(project_id, scene_no, start_ms, end_ms, first_cue, last_cue): cues joined until a scene is long enough.
+
+    For each cue it is looked up where a scene that begins there ends, and so where the next one
+    begins. The scenes that come about from the first cue are then found by doubling: the jumps over 1, 2, 4, ...
+    scenes, each made of the one before. No task holds a project. Projects in which a cue ends before an
+    earlier one did, as no well-formed file has, are folded whole.
+    """
+    rows = cues.select("project_id", "cue_no", "start_ms", "end_ms", F.lit(1).cast("bigint").alias("i"))
+    ranked = written(running_totals(rows, "project_id", ["cue_no", "start_ms", "end_ms"], ["i"]))
+    follow = ranked.select("project_id", (F.col("i") + 1).alias("i"), F.col("end_ms").alias("_before"))
+    odd = written(ranked.join(follow, ["project_id", "i"]).where("end_ms < _before").select("project_id").distinct())
+    even = ranked.join(odd, "project_id", "left_anti")
+
+    full, most = math.ceil(max(target_s, min_s) * 1000), math.floor(max_s * 1000)
+    wanted = even.select("project_id", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.col("start_ms") + after).alias("at")) for k, after in ((1, full), (2, most + 1))])).alias("w"))
+    ends = first_ends(even, wanted.select("project_id", "i", "w.kind", "w.at")).groupBy("project_id", "i").agg(F.max(F.when(F.col("kind") == 1, F.col("j"))).alias("full"), F.max(F.when(F.col("kind") == 2, F.col("j"))).alias("over"))
+    # A cue that is too long on its own still belongs to its scene.
+    over = F.greatest("over", F.when(F.col("over").isNotNull(), F.col("i") + 1))
+    cut = F.col("full").isNotNull() & (over.isNull() | (F.col("full") < over))
+    ends = written(ends.select("project_id", "i", F.when(cut, F.col("full") + 1).otherwise(over).alias("next")))
+
+    exists = even.select("project_id", F.col("i").alias("next"))
+    jump = written(ends.where("next is not null").join(exists, ["project_id", "next"], "left_semi").select("project_id", "i", "next"))
+    begins, first = written(even.where("i = 1").select("project_id", "i")), jump
+    while not jump.isEmpty():
+        more = begins.join(jump, ["project_id", "i"]).select("project_id", F.col("next").alias("i"))
+        twice = jump.join(jump.select("project_id", F.col("i").alias("next"), F.col("next").alias("_next")), ["project_id", "next"]).select("project_id", "i", F.col("_next").alias("next"))
+        old, begins = begins, written(begins.union(more))
+        last, jump = jump, written(twice)
+        dropped(old, *([last] if last is not first else []))
+    dropped(jump)
+
+    # A scene reaches to the cue before the next one's first, or to the last cue.
+    size = even.groupBy("project_id").agg(F.max("i").alias("_n"))
+    scenes = begins.join(ends, ["project_id", "i"], "left").join(size, "project_id").select("project_id", "i", F.least(F.col("next") - 1, "_n").alias("last"))
+    head = even.select("project_id", "i", "start_ms", F.col("cue_no").alias("first_cue"))
+    tail = even.select("project_id", F.col("i").alias("last"), "end_ms", F.col("cue_no").alias("last_cue"))
+    scenes = scenes.join(head, ["project_id", "i"]).join(tail, ["project_id", "last"])
+    scenes = scenes.withColumn("scene_no", F.row_number().over(Window.partitionBy("project_id").orderBy("i")))
+    columns = ["project_id", "scene_no", "start_ms", "end_ms", "first_cue", "last_cue"]
+    return scenes.select(*columns).union(fold_scenes(cues.join(odd, "project_id", "left_semi"), target_s, min_s, max_s).select(*columns))
+
+
+def fold_scenes(cues: DataFrame, target_s: float, min_s: float, max_s: float) -> DataFrame:
+    """What `group_scenes` gives, by a fold over all cues of a project."""
     rows = ordered_rows(cues, "project_id", ["cue_no", "start_ms", "end_ms"])
     kind = "struct<a:bigint,b:bigint,f:bigint,l:bigint>"
     start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("open"))
@@ -127,19 +196,76 @@ def state_runs(frames: DataFrame, state: str = "state") -> DataFrame:
     return df.groupBy("key", "run").agg(F.first(state).alias("state"), F.min("frame").alias("start"), F.max("frame").alias("end"), F.coalesce(F.sum(F.when(F.col("_new") == 0, F.col("_d"))), F.lit(0.0)).alias("length"))
 
 
+#: Scenes whose choices are followed in one array.
+BLOCK = 256
+
+
+def _state_before(maps: DataFrame) -> DataFrame:
+    """(project_id, i, before): what was chosen before map i of (project_id, i, k, a, b), i from 0.
+
+    A map takes the choice before it to `a` if that is `k`, else to `b`. Two maps one after another are such a map
+    again, so BLOCK of them are put together at a time, and blocks of blocks, as long as there is more than one.
+    """
+    then = lambda m, x: F.when(x == m["k"], m["a"]).otherwise(m["b"])
+    blocks = maps.withColumn("block", F.floor(F.col("i") / BLOCK)).groupBy("project_id", "block").agg(F.array_sort(F.collect_list(F.struct("i", "k", "a", "b"))).alias("rows"))
+    if (maps.agg(F.max("i")).first()[0] or 0) < BLOCK:
+        blocks = blocks.withColumn("before", F.lit(""))
+    else:
+        one = F.aggregate(F.expr("slice(rows, 2, size(rows))"), F.col("rows")[0], lambda m, x: F.struct(m["i"].alias("i"), m["k"].alias("k"), then(x, m["a"]).alias("a"), then(x, m["b"]).alias("b")))
+        whole = written(blocks.select("project_id", F.col("block").alias("i"), one.alias("m")).select("project_id", "i", "m.k", "m.a", "m.b"))
+        blocks = blocks.join(_state_before(whole).select("project_id", F.col("i").alias("block"), "before"), ["project_id", "block"])
+    steps = F.aggregate("rows", F.array(F.col("before")), lambda done, m: F.concat(done, F.array(then(m, F.element_at(done, -1)))))
+    out = blocks.select("project_id", F.explode(F.arrays_zip(F.expr("transform(rows, r -> r.i)").alias("i"), F.slice(steps, F.lit(1), F.size("rows")).alias("before"))).alias("z"))
+    return out.select("project_id", "z.i", "z.before")
+
+
 def suggest_composition(scenes: DataFrame, rules: list[tuple[str, list[str]]], fallbacks: list[str]) -> DataFrame:
-    """(project_id, seq, composition): the first class whose terms occur and that is not the scene before's, else a rotating one."""
+    """(project_id, seq, composition, suggested): the first class whose terms occur and that is not the scene before's, else a rotating one.
+
+    scenes: project_id, seq, text, and where given composition, which stays unless it is blank. What a scene takes is a
+    map from what the one before took, with two values at most; maps are put together block by block,
+    so no array holds a project.
+    """
     hits = F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains("text", t)), F.lit(name)) for name, terms in rules]))
-    rows = ordered_rows(scenes.withColumn("_hits", hits), "project_id", ["seq", "_hits"])
-    n = len(fallbacks)
-    all_ = F.array(*map(F.lit, fallbacks))
-
-    def fold(chosen, s):
-        before = F.coalesce(F.try_element_at(chosen, F.lit(-1)), F.lit(""))
-        turn = (F.size(chosen) % n).cast("int")
-        order = F.concat(s["_hits"], F.slice(all_, turn + 1, n), F.slice(all_, 1, turn))
-        return F.concat(chosen, F.array(F.get(F.filter(order, lambda c: c != before), F.lit(0))))
-
-    out = F.aggregate("rows", F.array().cast("array<string>"), fold)
-    df = rows.select("project_id", F.posexplode(F.zip_with("rows", out, lambda r, c: F.struct(r["seq"].alias("seq"), c.alias("composition")))).alias("i", "z"))
-    return df.select("project_id", "z.seq", "z.composition")
+    given = F.nullif(F.trim("composition"), F.lit("")) if "composition" in scenes.columns else F.lit(None).cast("string")
+    rows = scenes.select("project_id", "seq", hits.alias("hits"), given.alias("given"), F.lit(1).cast("bigint").alias("i"))
+    rows = running_totals(rows, "project_id", ["seq"], ["i"]).withColumn("i", F.col("i") - 1)
+    n, all_ = len(fallbacks), F.array(*map(F.lit, fallbacks))
+    turn = (F.col("i") % n).cast("int")
+    order = F.concat("hits", F.slice(all_, turn + 1, F.lit(n)), F.slice(all_, F.lit(1), turn))
+    rows = rows.withColumn("_first", F.coalesce("given", order[0]))
+    second = F.coalesce("given", F.get(F.filter(order, lambda c: c != F.col("_first")), F.lit(0)), F.lit(fallbacks[0]))
+    rows = written(rows.select("project_id", "seq", "i", F.col("_first").alias("k"), second.alias("a"), F.col("_first").alias("b"), F.col("given").isNull().alias("suggested")))
+    out = rows.join(_state_before(rows), ["project_id", "i"])
+    return out.select("project_id", "seq", F.when(F.col("before") == F.col("k"), F.col("a")).otherwise(F.col("b")).alias("composition"), "suggested")
+
+
+def compile_draft(scenes: DataFrame, elements: DataFrame, rules: list[tuple[str, list[str]]], fallbacks: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Draft scenes and elements with what they lack filled in, and the changes (project_id, seq, element_no, change, value).
+
+    scenes: project_id, seq, scene_id, text, composition; elements: project_id, seq, element_no, element_id, trigger_text, and the
+    aliases triggerText and narrationEvidence. A missing scene id counts from 01, an element id goes by its scene and place,
+    a blank trigger text takes the first alias that is not blank.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    two = lambda c: F.lpad(c.cast("string"), F.greatest(F.lit(2), F.length(c.cast("string"))), F.lit("0"))
+    place = running_totals(scenes.select("project_id", "seq", F.lit(1).cast("bigint").alias("_place")), "project_id", ["seq"], ["_place"])
+    missing = F.coalesce("scene_id", F.lit("")) == ""
+    chosen = suggest_composition(scenes, rules, fallbacks)
+    filled = scenes.drop("composition").join(place, ["project_id", "seq"]).join(chosen, ["project_id", "seq"])
+    filled = filled.withColumn("_new", missing).withColumn("scene_id", F.when(missing, F.concat(F.lit("scene-"), two(F.col("_place")))).otherwise(F.trim("scene_id")))
+
+    alias = F.when(~blank("triggerText"), F.lit("triggerText")).when(~blank("narrationEvidence"), F.lit("narrationEvidence"))
+    own = elements.join(filled.select("project_id", "seq", "scene_id"), ["project_id", "seq"])
+    own = own.withColumns({"_new": blank("element_id"), "_from": F.when(blank("trigger_text"), alias)})
+    own = own.withColumns({
+        "element_id": F.when(F.col("_new"), F.concat("scene_id", F.lit("-e"), two(F.col("element_no")))).otherwise(F.col("element_id")),
+        "trigger_text": F.when(F.col("_from") == "triggerText", F.trim("triggerText")).when(F.col("_from") == "narrationEvidence", F.trim("narrationEvidence")).otherwise(F.col("trigger_text")),
+    })
+    row = lambda df, no, change, value: df.select("project_id", "seq", no.cast("bigint").alias("element_no"), F.lit(change).alias("change"), value.alias("value"))
+    none = F.lit(None)
+    changes = row(filled.where("_new"), none, "generated-scene-id", F.col("scene_id"))
+    changes = changes.union(row(filled.where("suggested"), none, "selected-composition", F.col("composition")))
+    changes = changes.union(row(own.where("_new"), F.col("element_no"), "generated-element-id", F.col("element_id")))
+    changes = changes.union(row(own.where("_from is not null"), F.col("element_no"), "trigger-text-from", F.col("_from")))
+    return filled.drop("_new", "_place", "suggested"), own.drop("_new", "_from"), changes

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -60,15 +62,15 @@ def scene_at(points: DataFrame, scenes: DataFrame) -> DataFrame:
     return df.select(*points.columns, F.when(F.col("at_ms") < F.col("_last.end_ms"), F.col("_last.scene_id")).alias("scene_id"))
 
 
-def match_trigger(phrases: DataFrame, words: DataFrame) -> DataFrame:
+def match_trigger(phrases: DataFrame, words: DataFrame, key: Callable[[str], Column] = lambda c: norm_text(c, "casefold")) -> DataFrame:
     """Where a phrase stands in its scene's words, across word borders: only if it stands there once.
 
     phrases: scene_key, phrase; words: scene_key, idx, text, start_ms, end_ms. Adds word_start,
-    word_end (positions), start_ms, end_ms and mapping.
+    word_end (positions), start_ms, end_ms and mapping. `key` is what is compared of a text.
     """
-    token = norm_text("text", "casefold")
+    token = key("text")
     lists = words.groupBy("scene_key").agg(F.array_sort(F.collect_list(F.struct("idx", token.alias("token"), "start_ms", "end_ms"))).alias("w"))
-    own = phrases.withColumn("_needle", norm_text("phrase", "casefold"))
+    own = phrases.withColumn("_needle", key("phrase"))
     own = own.groupBy("scene_key").agg(F.collect_list(F.struct(*phrases.columns, "_needle")).alias("p"))
     # A scene's words are laid out once, for all its phrases.
     df = own.join(lists, "scene_key", "left").withColumns({

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from cuespan.functions.text import casefold, has_punct, safe_id, visible_length
+from cuespan.functions.text import casefold, char_class_counts, compact, has_punct, normalize_language, safe_id, visible_length
+from cuespan.operators.aggs import repeat_ratio, thirds_language
 
 # Words of labels that name a connector, and relations one may stand for.
 CONNECTOR_LABELS = ("箭头", "关系线", "连接线", "流程线", "指向线", "arrow")
@@ -240,14 +241,51 @@ def check_transitions(left: DataFrame, right: DataFrame) -> DataFrame:
     })
 
 
-def transcript_gate(metrics: DataFrame, repeats: DataFrame, language: str = "en") -> DataFrame:
-    """(project_id, rule_id, …) of transcripts: too few cues or words, too little covered, too many repeats, foreign letters.
+# What recognisers make up in silence, letters without spaces; limits of transcripts.
+PROMOTION = ("点赞", "订阅", "转发", "打赏", "likeandsubscribe")
+LEAST_PROBABILITY, LONG_MS, MS_PER_CUE, LEAST_UNITS, SHORT_UNITS = 0.5, 30_000, 45_000, 8, 40
+COVERED, WELL_COVERED, REPEATED, REPEAT_CUES = 0.35, 0.60, 0.35, 6
+FOREIGN, FOREIGN_THIRD, FOREIGN_LETTERS, LATIN_LETTERS = 0.15, 0.35, 4, 20
+LANGUAGE_ALIASES = {"zh-cn": "zh", "zh-hans": "zh", "zh-hant": "zh", "zh-tw": "zh", "en-us": "en", "en-gb": "en"}
 
-    metrics: as transcript_metrics, with duration_ms.
+
+def transcript_gate(cues: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(project_id, rule_id, severity, value) of transcripts that can't be trusted.
+
+    cues: project_id, cue_no, start_ms, end_ms, text; tracks: project_id, duration_ms, language, probability (null if not known).
+    Rules: language not known or not sure; Chinese letters in English, none in Chinese, as a whole or in
+    a third of the time; for 30 seconds and more too few cues, too little said or covered (a warning where it
+    is only thin); cues that repeat; words of promotion in a short transcript. Chinese is counted by letters, all else by words.
     """
-    df = metrics.join(repeats, "project_id", "left")
-    long = F.col("duration_ms") >= 30000
-    return violations(df, ["project_id"], {
-        "few-cues": long & (F.col("cue_count") < F.greatest(F.lit(2), F.bround(F.col("duration_ms") / 45000.0))), "few-words": long & (F.col("words_per_minute") < 8), "low-coverage": long & (F.col("span_ratio") < 0.35),
-        "repeats": F.coalesce("flagged", F.lit(False)), "foreign-letters": F.lit(language == "en") & (F.col("cjk") > F.greatest(F.lit(4), F.bround(F.col("latin") * 0.15))),
+    tracks = tracks.withColumn("language", normalize_language("language", LANGUAGE_ALIASES))
+    whole = cues.withColumn("_c", char_class_counts("text")).groupBy("project_id").agg(
+        F.count("*").alias("n"), F.sum("_c.cjk").alias("cjk"), F.sum("_c.latin").alias("latin"), F.sum("_c.words").alias("words"),
+        F.min_by("start_ms", "cue_no").alias("_a"), F.max_by("end_ms", "cue_no").alias("_b"))
+    df = tracks.join(whole, "project_id")
+    df = df.withColumns({"units": F.when(F.col("language") == "zh", F.col("cjk")).otherwise(F.col("words")), "share": F.greatest(F.lit(0), F.col("_b") - F.col("_a")) / F.col("duration_ms")})
+    long = F.col("duration_ms") >= LONG_MS
+    english, chinese = F.col("language") == "en", F.col("language") == "zh"
+    foreign = lambda share: F.col("cjk") > F.greatest(F.lit(FOREIGN_LETTERS), F.bround(F.col("latin") * share))
+    only_latin = (F.col("cjk") == 0) & (F.col("latin") >= LATIN_LETTERS)
+    rate = F.col("units") / F.greatest(F.col("duration_ms") / 60000.0, F.lit(1 / 60))
+    found = violations(df, ["project_id"], {
+        "unknown-language": F.col("language") == "auto", "low-probability": F.col("probability") < LEAST_PROBABILITY,
+        "foreign-letters": english & foreign(FOREIGN), "no-chinese": chinese & only_latin,
+        "few-cues": long & (F.col("n") < F.greatest(F.lit(2), F.bround(F.col("duration_ms") / float(MS_PER_CUE)))),
+        "few-units": long & (rate < LEAST_UNITS), "low-coverage": long & (F.col("share") < COVERED),
     })
+    thin = violations(df, ["project_id"], {"thin-coverage": long & (F.col("share") >= COVERED) & (F.col("share") < WELL_COVERED)}, severity="warning")
+
+    parts = thirds_language(cues, tracks.select("project_id", "duration_ms")).join(tracks.select("project_id", "language"), "project_id")
+    third = (F.col("third") + 1).cast("string")
+    parts = violations(parts, ["project_id"], {"third-foreign": english & foreign(FOREIGN_THIRD), "third-no-chinese": chinese & only_latin}, values={"third-foreign": third, "third-no-chinese": third})
+
+    repeats = repeat_ratio(cues, REPEAT_CUES, REPEATED)
+    repeats = violations(repeats, ["project_id"], {"repeats": F.col("flagged")})
+
+    # A phrase may run over several cues, so the whole text is put together, of short transcripts only.
+    short = df.where(F.col("units") < SHORT_UNITS).select("project_id")
+    spoken = cues.join(short, "project_id", "left_semi").withColumn("_t", compact("text")).where("_t <> ''")
+    spoken = spoken.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_no", "_t"))), lambda x: x["_t"]), "").alias("_t"))
+    promotion = violations(spoken, ["project_id"], {"promotion": F.exists(F.array(*map(F.lit, PROMOTION)), lambda m: F.contains("_t", m))})
+    return found.union(thin).union(parts).union(repeats).union(promotion)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cuespan.operators import boards as B
 from cuespan.operators.picks import review_targets as review
@@ -56,27 +57,60 @@ def fit_safe_area(spark, sf):
     return B.fit_safe_area(boxes.selectExpr("*", "1700 + board_id % 400 as width", "900 + board_id % 300 as height", "1920 as tw", "1080 as th"))
 
 
-@query(with_views("v_elements", select="""+ _x AS (SELECT scene_id, element_id, 'L' || x % 5 AS label FROM (SELECT DISTINCT ON (scene_id, element_id) * FROM v_elements ORDER BY scene_id, element_id, seq)), _a AS (SELECT scene_id, CASE WHEN right(element_id, 1) IN ('1', '4', '7') THEN 'n' || element_id ELSE element_id END AS actual_id, label FROM _x),
-_d AS (SELECT a.* FROM _a a JOIN _x x ON x.scene_id = a.scene_id AND x.element_id = a.actual_id), _f AS (SELECT scene_id, label, count(*) AS n, min(element_id) AS element_id FROM _x WHERE (scene_id, element_id) NOT IN (SELECT (scene_id, actual_id) FROM _d) GROUP BY ALL),
-_r AS (SELECT *, count(*) OVER (PARTITION BY scene_id, label) AS t FROM _a WHERE (scene_id, actual_id) NOT IN (SELECT (scene_id, actual_id) FROM _d))
+# Elements take what is free one after another: first by id, then by label or trigger.
+@query(with_views("v_elements", recursive=True, select="""+ _x AS (SELECT scene_id, element_id, row_number() OVER (PARTITION BY scene_id ORDER BY seq) AS place, 'L' || x % 4 AS label, 't' || y % 3 AS t FROM (SELECT DISTINCT ON (scene_id, element_id) * FROM v_elements ORDER BY scene_id, element_id, seq)),
+_a AS (SELECT scene_id, place, CASE WHEN place % 3 = 1 THEN 'n' || element_id ELSE element_id END AS id, CASE WHEN place % 5 = 1 THEN [coalesce(lead(element_id) OVER w, 'none'), element_id] WHEN scene_id % 4 = 0 THEN ['', element_id] ELSE [] END AS src, CASE WHEN scene_id % 5 = 0 THEN ' ' ELSE label END AS label, t FROM _x WHERE scene_id % 9 <> 0 OR place > 1 WINDOW w AS (PARTITION BY scene_id ORDER BY place)),
+_p AS (SELECT scene_id, list(CASE WHEN scene_id % 23 = 0 AND place = 2 THEN 'e1' WHEN scene_id % 23 = 0 AND place = 1 THEN 'e1' ELSE element_id END ORDER BY place) AS ids, list(label ORDER BY place) AS labels, list(t ORDER BY place) AS ts FROM _x GROUP BY scene_id),
+_c AS (SELECT a.scene_id, a.id, a.src, a.label, a.t, a.place, row_number() OVER (PARTITION BY a.scene_id ORDER BY a.place) AS i, count(*) OVER (PARTITION BY a.scene_id) AS n, ids, labels, ts FROM _a a JOIN _p USING (scene_id)),
+_d AS (SELECT scene_id, 0 AS i, ids AS free, NULL::VARCHAR AS pick FROM _p UNION ALL SELECT scene_id, i, list_filter(free, lambda x: pick IS NULL OR x <> pick), pick FROM (
+  SELECT c.scene_id, c.i, free, list_filter([c.id] || list_filter(c.src, lambda x: x <> ''), lambda x: list_contains(free, x))[1] AS pick FROM _d JOIN _c c ON c.scene_id = _d.scene_id AND c.i = _d.i + 1)),
+_e AS (SELECT scene_id, 0::BIGINT AS i, arg_max(free, i) AS free, NULL::VARCHAR AS pick FROM _d GROUP BY scene_id UNION ALL SELECT scene_id, i, list_filter(free, lambda x: pick IS NULL OR x <> pick), pick FROM (
+  SELECT c.scene_id, c.i, _e.free, CASE WHEN d.pick IS NULL AND len(m) = 1 THEN m[1] END AS pick FROM _e JOIN (
+    SELECT *, list_transform(list_filter(list_zip(ids, labels, ts), lambda z: (trim(label) <> '' AND z[2] = trim(label)) OR z[3] = t), lambda z: z[1]) AS alike FROM _c) c ON c.scene_id = _e.scene_id AND c.i = _e.i + 1
+  JOIN _d d ON d.scene_id = c.scene_id AND d.i = c.i, LATERAL (SELECT list_filter(alike, lambda x: list_contains(_e.free, x)) AS m)))
 =
-SELECT scene_id, actual_id, actual_id AS element_id, NULL::VARCHAR AS rule_id FROM _d UNION ALL SELECT r.scene_id, actual_id, CASE WHEN n = 1 AND t = 1 THEN f.element_id END, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 OR t > 1 THEN 'ambiguous' END FROM _r r LEFT JOIN _f f ON f.scene_id = r.scene_id AND f.label = r.label"""))
+SELECT c.scene_id, c.place, c.id AS actual_id, CASE WHEN r IS NULL THEN coalesce(d.pick, e.pick) END AS element_id, coalesce(r, CASE WHEN coalesce(d.pick, e.pick) IS NULL THEN 'unresolved' END) AS rule_id
+FROM (SELECT *, CASE WHEN n <> len(ids) THEN 'count-differs' WHEN len(list_distinct(ids)) <> len(ids) THEN 'repeated-id' END AS r FROM _c) c JOIN _d d ON d.scene_id = c.scene_id AND d.i = c.i JOIN _e e ON e.scene_id = c.scene_id AND e.i = c.i"""))
 def reconcile_ids(spark, sf):
-    first = v_elements(spark, sf).groupBy("scene_id", "element_id").agg(F.min_by("x", "seq").alias("x"))
-    expected = first.selectExpr("scene_id", "element_id", "concat('L', x % 5) as label")
-    return B.reconcile_ids(expected.selectExpr("scene_id", "if(right(element_id, 1) in ('1', '4', '7'), concat('n', element_id), element_id) as actual_id", "label"), expected)
-
-
-@query(with_views("v_words", select="""+ _w AS (SELECT project_id * 1000 + line_no AS scene_id, idx AS word_id, text, start_ms FROM v_words), _b AS (SELECT scene_id, word_id AS beat_no, CASE WHEN word_id % 3 = 0 THEN word_id WHEN word_id % 3 = 1 THEN -1 END AS word_id, lower(text) AS phrase FROM _w),
-_o AS (SELECT scene_id, lower(text) AS phrase, count(*) AS n, min(word_id) AS i, min(start_ms) AS s FROM _w GROUP BY ALL)
+    place = F.row_number().over(Window.partitionBy("scene_id").orderBy("seq"))
+    x = v_elements(spark, sf).groupBy("scene_id", "element_id").agg(F.min(F.struct("seq", "x", "y")).alias("f")).select("scene_id", "element_id", "f.*").withColumn("place", place)
+    x = x.selectExpr("scene_id", "element_id", "place", "concat('L', x % 4) as label", "concat('t', y % 3) as trigger")
+    after = F.coalesce(F.lead("element_id").over(Window.partitionBy("scene_id").orderBy("place")), F.lit("none"))
+    drawn = x.where("scene_id % 9 <> 0 or place > 1").withColumn("_next", after)
+    drawn = drawn.selectExpr("scene_id", "place", "if(place % 3 = 1, concat('n', element_id), element_id) as actual_id", "case when place % 5 = 1 then array(_next, element_id) when scene_id % 4 = 0 then array('', element_id) else array() end as source_ids", "if(scene_id % 5 = 0, ' ', label) as label", "trigger")
+    return B.reconcile_ids(drawn, x.withColumn("element_id", F.expr("if(scene_id % 23 = 0 and place <= 2, 'e1', element_id)")))
+
+
+@query(with_views("v_words", select="""+ _w AS (SELECT project_id, project_id * 1000 + line_no AS scene_id, idx, text, start_ms, lower(text) AS k FROM v_words),
+_s AS (SELECT scene_id, replace(string_agg(k, '' ORDER BY idx), 'ß', 'ss') AS s FROM _w GROUP BY scene_id),
+_p AS (SELECT scene_id, idx, replace(k, 'ß', 'ss') AS k, sum(length(replace(k, 'ß', 'ss'))) OVER (PARTITION BY scene_id ORDER BY idx) AS upto, start_ms FROM _w),
+_b AS (SELECT project_id, scene_id, idx AS beat_no, CASE WHEN idx % 4 = 0 THEN idx WHEN idx % 4 = 1 THEN -1 WHEN idx % 8 = 2 THEN idx + 20 END AS word_id,
+  CASE WHEN idx % 5 = 0 THEN text WHEN idx % 5 = 4 THEN '  ' ELSE text || ' ' || coalesce(lead(text) OVER w, '') || CASE WHEN idx % 5 = 2 THEN coalesce(' ' || lead(text, 2) OVER w, '') ELSE '' END END AS phrase FROM _w WINDOW w AS (PARTITION BY scene_id ORDER BY idx)),
+_f AS (SELECT b.*, s.s, replace(lower(replace(phrase, ' ', '')), 'ß', 'ss') AS n FROM _b b JOIN _s s USING (scene_id)),
+_g AS (SELECT *, CASE WHEN n <> '' AND strpos(substr(s, strpos(s, n) + 1), n) = 0 THEN strpos(s, n) END AS at FROM _f),
+_r AS (SELECT g.project_id, g.scene_id, g.beat_no, g.word_id, o.scene_id AS own, o.start_ms AS own_ms, p.idx AS found, p.start_ms AS found_ms FROM _g g LEFT JOIN _w o ON o.project_id = g.project_id AND o.idx = g.word_id LEFT JOIN _p p ON p.scene_id = g.scene_id AND g.at > p.upto - length(p.k) AND g.at <= p.upto)
 =
-SELECT b.scene_id, beat_no, CASE WHEN w.word_id IS NOT NULL THEN w.word_id WHEN n = 1 THEN o.i END AS anchor_id, CASE WHEN w.word_id IS NOT NULL THEN w.start_ms WHEN n = 1 THEN o.s END AS start_ms, CASE WHEN w.word_id IS NULL AND n > 1 THEN 'ambiguous-phrase' END AS rule_id FROM _b b LEFT JOIN _w w ON w.scene_id = b.scene_id AND w.word_id = b.word_id LEFT JOIN _o o ON o.scene_id = b.scene_id AND o.phrase = b.phrase"""))
+SELECT project_id, scene_id, beat_no, CASE WHEN own = scene_id THEN word_id WHEN own IS NULL THEN found END AS anchor_id, CASE WHEN own = scene_id THEN own_ms WHEN own IS NULL THEN found_ms END AS start_ms, CASE WHEN own <> scene_id THEN 'outside-scene' WHEN own IS NULL AND found IS NULL THEN 'no-anchor' END AS rule_id FROM _r"""))
 def resolve_beat_anchor(spark, sf):
-    words = v_words(spark, sf).selectExpr("project_id * 1000 + line_no as scene_id", "idx as word_id", "text", "start_ms")
-    beats = words.selectExpr("scene_id", "word_id as beat_no", "case word_id % 3 when 0 then word_id when 1 then -1 end as word_id", "text as phrase")
+    words = v_words(spark, sf).selectExpr("project_id", "project_id * 1000 + line_no as scene_id", "idx as word_id", "text", "start_ms", "end_ms")
+    w = Window.partitionBy("scene_id").orderBy("word_id")
+    next_ = words.withColumns({"_b": F.coalesce(F.lead("text").over(w), F.lit("")), "_c": F.coalesce(F.lead("text", 2).over(w), F.lit(""))})
+    beats = next_.selectExpr("project_id", "scene_id", "word_id as beat_no", "case when word_id % 4 = 0 then word_id when word_id % 4 = 1 then -1 when word_id % 8 = 2 then word_id + 20 end as word_id", "case word_id % 5 when 0 then text when 4 then '  ' when 2 then concat(text, ' ', _b, ' ', _c) else concat(text, ' ', _b) end as phrase")
     return B.resolve_beat_anchor(beats, words, words)
 
 
+# Boxes by their groups' own boxes: each round all groups of a board that touch a smaller one join it, until none does.
+@query(with_views("v_elements", recursive=True, select="""+ _r AS (SELECT 0 AS r, scene_id, seq, seq AS c, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM v_elements
+UNION ALL SELECT r, scene_id, seq, n, x0, y0, x1, y1 FROM (
+  SELECT m.r + 1 AS r, m.scene_id, m.seq, coalesce(t.n, m.c) AS n, m.x0, m.y0, m.x1, m.y1, bool_or(t.n IS NOT NULL) OVER (PARTITION BY m.scene_id) AS moved FROM _r m LEFT JOIN (
+    SELECT a.scene_id, a.c, min(b.c) AS n FROM (SELECT scene_id, c, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM _r GROUP BY scene_id, c) a JOIN (SELECT scene_id, c, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM _r GROUP BY scene_id, c) b
+      ON a.scene_id = b.scene_id AND b.c < a.c AND a.x0 <= b.x1 + 2 AND b.x0 <= a.x1 + 2 AND a.y0 <= b.y1 + 2 AND b.y0 <= a.y1 + 2 GROUP BY a.scene_id, a.c) t ON t.scene_id = m.scene_id AND t.c = m.c) WHERE moved)
+=
+SELECT scene_id AS board_id, seq AS box_id, arg_max(c, r) AS component_id FROM _r GROUP BY scene_id, seq"""))
+def box_components(spark, sf):
+    return B.box_components(v_elements(spark, sf).selectExpr("scene_id as board_id", "seq as box_id", "x as x0", "y as y0", "x + w as x1", "y + h as y1"))
+
+
 _LAYOUT_SLOTS = ", ".join(f"('{t}', {i}, {x}::DOUBLE, {y}::DOUBLE, {w}::DOUBLE, {h}::DOUBLE)" for t, boxes in B.LAYOUTS.items() for i, (x, y, w, h) in enumerate(boxes, 1))
 _LAYOUT = f"""_sl AS (SELECT * FROM (VALUES {_LAYOUT_SLOTS}) v(template, i, x, y, w, h)),
 _el AS (SELECT scene_id AS shot_id, element_id, seq, CASE WHEN scene_id % 13 = 0 THEN 'hero-side' END AS t, count(*) OVER (PARTITION BY scene_id) AS n, count(*) OVER (PARTITION BY scene_id, element_id) AS k FROM v_elements),

@@ -158,10 +158,43 @@ def state_runs(spark, sf):
 _RULES = [("before-after", ["the ", "de la"]), ("timeline", ["and ", "der "]), ("causal-chain", ["tion"])]
 
 
-@query(with_views("v_cues", recursive=True, select=f"""+ _h AS (SELECT project_id, cue_no AS seq, row_number() OVER (PARTITION BY project_id ORDER BY cue_no) - 1 AS i, list_filter([CASE WHEN contains(text, 'the ') OR contains(text, 'de la') THEN 'before-after' END, CASE WHEN contains(text, 'and ') OR contains(text, 'der ') THEN 'timeline' END, CASE WHEN contains(text, 'tion') THEN 'causal-chain' END], lambda x: x IS NOT NULL) AS hits, [{', '.join(f"'{c}'" for c in COMPOSITIONS)}] AS fb FROM v_cues),
-_o AS (SELECT project_id, seq, i, hits || fb[(i % 6 + 1):6] || fb[1:(i % 6)] AS o FROM _h),
-_f AS (SELECT project_id, seq, i, o[1] AS c FROM _o WHERE i = 0 UNION ALL SELECT n.project_id, n.seq, n.i, CASE WHEN n.o[1] <> _f.c THEN n.o[1] WHEN n.o[2] <> _f.c THEN n.o[2] ELSE n.o[3] END FROM _f JOIN _o n ON n.project_id = _f.project_id AND n.i = _f.i + 1)
-=
-SELECT project_id, seq, c AS composition FROM _f"""))
+_HITS = "list_filter([CASE WHEN contains(text, 'the ') OR contains(text, 'de la') THEN 'before-after' END, CASE WHEN contains(text, 'and ') OR contains(text, 'der ') THEN 'timeline' END, CASE WHEN contains(text, 'tion') THEN 'causal-chain' END], lambda x: x IS NOT NULL)"
+_NAMES = ", ".join(f"'{c}'" for c in COMPOSITIONS)
+# Scenes of drafts: every fifth has a composition, every seventh an id.
+_DRAFT = f"""_h AS (SELECT project_id, cue_no AS seq, row_number() OVER (PARTITION BY project_id ORDER BY cue_no) - 1 AS i, {_HITS} AS hits, [{_NAMES}] AS fb, CASE WHEN cue_no % 5 = 3 THEN [{_NAMES}][cue_no % 6 + 1] END AS given FROM v_cues),
+_o AS (SELECT *, hits || fb[(i % 6 + 1):6] || fb[1:(i % 6)] AS o FROM _h),
+_f AS (SELECT project_id, seq, i, coalesce(given, o[1]) AS c, given IS NULL AS s FROM _o WHERE i = 0 UNION ALL SELECT n.project_id, n.seq, n.i, coalesce(n.given, CASE WHEN n.o[1] <> _f.c THEN n.o[1] WHEN n.o[2] <> _f.c THEN n.o[2] ELSE n.o[3] END), n.given IS NULL FROM _f JOIN _o n ON n.project_id = _f.project_id AND n.i = _f.i + 1)"""
+_PLACED = """_sc AS (SELECT project_id, seq, c, s, seq % 7 <> 1 AS new, CASE WHEN seq % 7 = 1 THEN 's' || seq ELSE 'scene-' || CASE WHEN i < 9 THEN '0' ELSE '' END || (i + 1) END AS scene_id FROM _f),
+_el AS (SELECT w.project_id, line_no AS seq, row_number() OVER (PARTITION BY w.project_id, line_no ORDER BY idx) AS no, idx, text FROM v_words w),
+_e AS (SELECT e.*, scene_id, idx % 4 = 0 AS new, CASE WHEN idx % 3 = 0 THEN CASE WHEN idx % 2 = 0 THEN 'triggerText' WHEN idx % 5 <> 0 THEN 'narrationEvidence' END END AS alias FROM _el e JOIN _sc USING (project_id, seq))"""
+_ELEMENT_ID = "CASE WHEN new THEN scene_id || '-e' || CASE WHEN no < 10 THEN '0' ELSE '' END || no ELSE 'w' || idx END"
+
+
+def draft(spark, sf):
+    cues = v_cues(spark, sf)
+    name = F.element_at(F.array(*map(F.lit, COMPOSITIONS)), F.expr("int(cue_no % 6 + 1)"))
+    scenes = cues.select("project_id", F.col("cue_no").alias("seq"), "text", F.when(F.col("cue_no") % 5 == 3, name).otherwise(F.when(F.col("cue_no") % 2 == 0, F.lit(" "))).alias("composition"), F.expr("if(cue_no % 7 = 1, concat(' s', cue_no, ' '), if(cue_no % 2 = 0, '', null))").alias("scene_id"))
+    no = F.row_number().over(Window.partitionBy("project_id", "line_no").orderBy("idx"))
+    elements = v_words(spark, sf).select("project_id", F.col("line_no").alias("seq"), no.alias("element_no"), F.expr("if(idx % 4 = 0, ' ', concat('w', idx))").alias("element_id"), F.expr("if(idx % 3 = 0, if(idx % 2 = 0, null, ' '), text)").alias("trigger_text"), F.expr("if(idx % 2 = 0, concat(text, ' '), ' ')").alias("triggerText"), F.expr("if(idx % 5 = 0, null, concat(text, '!'))").alias("narrationEvidence"))
+    return scenes, elements
+
+
+@query(with_views("v_cues", recursive=True, select=f"+ {_DRAFT}\n=\nSELECT project_id, seq, c AS composition, s AS suggested FROM _f"))
 def suggest_composition(spark, sf):
-    return D.suggest_composition(v_cues(spark, sf).selectExpr("project_id", "cue_no as seq", "text"), _RULES, list(COMPOSITIONS))
+    return D.suggest_composition(draft(spark, sf)[0], _RULES, list(COMPOSITIONS))
+
+
+@query(with_views("v_words", "v_cues", recursive=True, select=f"""+ {_DRAFT}, {_PLACED}
+=
+SELECT project_id, seq, no AS element_no, scene_id, {_ELEMENT_ID} AS element_id, CASE WHEN alias = 'triggerText' THEN text WHEN alias IS NOT NULL THEN text || '!' WHEN idx % 3 = 0 THEN ' ' ELSE text END AS trigger_text FROM _e"""))
+def draft_elements(spark, sf):
+    elements = D.compile_draft(*draft(spark, sf), _RULES, list(COMPOSITIONS))[1]
+    return elements.select("project_id", "seq", "element_no", "scene_id", "element_id", "trigger_text")
+
+
+@query(with_views("v_words", "v_cues", recursive=True, select=f"""+ {_DRAFT}, {_PLACED}
+=
+SELECT project_id, seq, NULL::BIGINT AS element_no, 'generated-scene-id' AS change, scene_id AS value FROM _sc WHERE new UNION ALL SELECT project_id, seq, NULL, 'selected-composition', c FROM _sc WHERE s
+UNION ALL SELECT project_id, seq, no, 'generated-element-id', {_ELEMENT_ID} FROM _e WHERE new UNION ALL SELECT project_id, seq, no, 'trigger-text-from', alias FROM _e WHERE alias IS NOT NULL"""))
+def draft_changes(spark, sf):
+    return D.compile_draft(*draft(spark, sf), _RULES, list(COMPOSITIONS))[2]

@@ -16,13 +16,19 @@ TIME = r"\d+:\d{1,2}:\d{1,2}[,.]\d{1,3}"
 CLOCK = r"(?:\d+:)?\d{1,2}:\d{1,2}[,.]\d{1,3}"
 
 
+#: The folder of local masters without a shared one.
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that executors share, spark.checkpoint.dir; only a local master may do without."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
+        base = _LOCAL[0]
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
