@@ -107,9 +107,36 @@ def stream_sliding_batch(spark, sf):
     return K.stream_tumbling(samples(spark, sf), "1 hour", "30 minutes", watermark=None)
 
 
-@query("SELECT user_id AS video_id, (epoch_ms(ts) // 60000 * 60000)::BIGINT AS slot_ms, arg_min(trunc(value * 100)::BIGINT, (ts, trunc(value * 100)::BIGINT)) AS score FROM events GROUP BY ALL")
+@query("""WITH v AS (SELECT user_id, min(epoch_ms(ts)) AS a, max(epoch_ms(ts)) - min(epoch_ms(ts)) + 1 AS d FROM events GROUP BY user_id), i AS (SELECT *, greatest(250, ceil(d / 4800 / 50) * 50)::BIGINT AS w FROM v)
+SELECT e.user_id AS video_id, (epoch_ms(ts) - a) // w * w AS slot_ms, arg_min(trunc(value * 100)::BIGINT, (ts, trunc(value * 100)::BIGINT)) AS score FROM events e JOIN i USING (user_id) GROUP BY ALL""")
 def stream_downsample_batch(spark, sf):
-    return K.stream_downsample(samples(spark, sf), 60000, watermark=None)
+    rows = samples(spark, sf)
+    videos = rows.groupBy("video_id").agg(F.min("ts").alias("start"), (F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts")) + 1).alias("duration_ms"))
+    return K.downsample(rows, videos)
+
+
+@query("SELECT o_orderkey % 5003 AS scene_id, max(o_custkey % 5) AS version, arg_max(o_orderstatus, (o_custkey % 5, o_orderkey % 3, o_orderstatus, o_orderkey)) AS state, arg_max(o_orderkey, (o_custkey % 5, o_orderkey % 3, o_orderstatus, o_orderkey)) AS run FROM orders GROUP BY 1")
+def stream_ledger_batch(spark, sf):
+    """Three batches of results, put into a ledger one after another, and what it then holds."""
+    results = table(spark, sf, "orders").selectExpr("o_orderkey % 5003 as scene_id", "o_custkey % 5 as version", "o_orderstatus as state", "o_orderkey as run")
+    ledger = K.ledger_table(spark, S.shared_folder(spark), "scene_id bigint, version bigint, state string, run bigint")
+    for batch in range(3):
+        K.put_results(ledger, results.where(f"run % 3 = {batch}"), batch)
+    return ledger.rows()
+
+
+@query("""WITH a AS (SELECT doc_id, text, sha256(text) AS h, CASE WHEN doc_id % 4 <> 1 THEN sha256(text || '!') ELSE sha256(text) END AS h1 FROM documents)
+SELECT doc_id || '.txt' AS path, CASE WHEN doc_id % 2 = 0 AND h1 = sha256(text || '!') THEN sha256(text || '?') ELSE h1 END AS sha256 FROM a UNION ALL SELECT 'new' || doc_id || '.txt', sha256(text) FROM documents WHERE doc_id % 5 = 0""")
+def stream_changes_batch(spark, sf):
+    """Two batches of change sets, every fourth of the first on a stale base, and the snapshot after them."""
+    docs, path = table(spark, sf, "documents"), S.shared_folder(spark)
+    K.first_snapshot(docs.selectExpr("concat(doc_id, '.txt') as path", "sha2(text, 256) as sha256"), path)
+    first = docs.selectExpr("doc_id as set_id", "concat(doc_id, '.txt') as path", "if(doc_id % 4 = 1, 'stale', sha2(text, 256)) as before_sha256", "concat(text, '!') as after_content")
+    new = docs.where("doc_id % 5 = 0").selectExpr("doc_id + 1000000000 as set_id", "concat('new', doc_id, '.txt') as path", "cast(null as string) as before_sha256", "text as after_content")
+    again = docs.where("doc_id % 2 = 0").selectExpr("doc_id as set_id", "concat(doc_id, '.txt') as path", "sha2(concat(text, '!'), 256) as before_sha256", "concat(text, '?') as after_content")
+    for i, batch in enumerate((first.union(new), again)):
+        K.put_changes(spark, batch, i, path, r"^(new)?[0-9]+\.txt$")
+    return K.read_changes(spark, path)
 
 
 @query(with_views("v_frames", select=f"+ {HAND_SQL}\n=\nSELECT * FROM _v"))

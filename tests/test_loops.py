@@ -1,12 +1,13 @@
 """Window and fold forms against plain loops on random rows; golden cases written by hand; streams against batches."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cuespan.functions import text as T
-from cuespan.operators import folds, picks, windows
+from cuespan.operators import aggs, boards, folds, picks, rules, tables, windows
 from cuespan.sources import readers
 from cuespan.streaming import streams
 
@@ -147,56 +148,138 @@ def test_stream_cues_equal_batch(spark, tmp_path):
     assert rows(live, "start_ms", "end_ms", "n_words", "text") == batch
 
 
-def test_stream_windows_and_duplicates(spark, tmp_path):
+def test_stream_downsample_equals_batch(spark, tmp_path):
+    hour = 3_600_000
+    rng = random.Random(2)
+    data = [(v, hour + t, rng.randint(0, 99)) for v, n in ((1, 1200), (2, 5_000_000)) for t in sorted(rng.randrange(n) for _ in range(60))] + [(1, hour - 5, 1), (1, hour + 1200, 1)]
+    ms = lambda df, c: df.withColumn(c, F.timestamp_millis(c))
+    frames = ms(spark.createDataFrame(data, "video_id bigint, ts bigint, score bigint"), "ts")
+    videos = ms(spark.createDataFrame([(1, hour, 1200), (2, hour, 5_000_000)], "video_id bigint, start bigint, duration_ms bigint"), "start")
+    assert [r[0] for r in videos.select(streams.sample_interval_ms("duration_ms")).collect()] == [250, 1050]
+    want = rows(streams.downsample(frames, videos), "video_id", "slot_ms", "score")
+    first = {}
+    for v, t, x in data:
+        if 0 <= t - hour < {1: 1200, 2: 5_000_000}[v]:
+            key = (v, (t - hour) // {1: 250, 2: 1050}[v] * {1: 250, 2: 1050}[v])
+            first[key] = min(first.get(key, (t, x)), (t, x))
+    assert want == sorted((*k, x) for k, (_, x) in first.items())
+    path, end = str(tmp_path / "frames"), ms(spark.createDataFrame([(9, hour * 9, 0)], "video_id bigint, ts bigint, score bigint"), "ts")
+    for part in (frames.where("unix_millis(ts) < 3700000"), frames.where("unix_millis(ts) >= 3700000"), end, end.withColumn("ts", F.timestamp_millis(F.lit(hour * 10)))):
+        part.coalesce(1).write.mode("append").parquet(path)
+        out = streams.stream_downsample(spark.readStream.schema(frames.schema).parquet(path), videos.union(ms(spark.createDataFrame([(9, hour, 10**9)], videos.schema.simpleString()[7:-1].replace("timestamp", "bigint")), "start")), watermark="2 minutes")
+        out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")).where("video_id < 9"), "video_id", "slot_ms", "score") == want
+
+
+def test_stream_duplicates(spark, tmp_path):
     df = spark.createDataFrame([(1, t, t) for t in (0, 100, 249, 250, 600)], "video_id int, ms bigint, score bigint").select("video_id", F.timestamp_millis("ms").alias("ts"), "score")
-    live = run_to_memory(streams.stream_downsample(stream(spark, tmp_path, df, "down")), "down_out", "complete")
-    assert rows(live, "slot_ms", "score") == [(0, 0), (250, 250), (500, 600)]
     df = df.withColumn("ts", F.col("ts") + F.expr("interval 1 hour"))  # at the epoch itself a row is late at once
     again = run_to_memory(streams.stream_dedupe(stream(spark, tmp_path, df.union(df), "twice"), ["video_id", "score"]), "twice_out", "append")
     assert again.count() == 5
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    late, path, minute = streams.LateRows(), str(tmp_path / "events"), 60_000
+    spark.streams.addListener(late)
+    schema = "video_id int, ts timestamp, score bigint"
+    try:
+        ids = set()
+        for part in ([1000, 1001], [1030], [1000, 1001, 1002, 1029, 1025], [1100], [1050, 1051, 1099]):  # minutes; watermark 10 minutes
+            spark.createDataFrame([(1, m * minute, m) for m in part], "video_id int, ms bigint, score bigint").select("video_id", F.timestamp_millis("ms").alias("ts"), "score").coalesce(1).write.mode("append").parquet(path)
+            feed = streams.stream_dedupe(streams.observed(spark.readStream.schema(schema).parquet(path)), ["score"])
+            q = feed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+            q.awaitTermination()
+            ids.add(str(q.id))
+        for _ in range(100):
+            if sum(late.rows.values()) >= 12:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(late)
+    assert len(ids) == 1 and late.rows[ids.copy().pop()] == 12 and late.late[ids.pop()] == 5
+    assert sorted(r.score for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1000, 1001, 1025, 1029, 1030, 1099, 1100]
+
+
+LEDGER = "scene_id int, version int, state string"
+
+
 def test_stream_ledger_survives_restart(spark, tmp_path):
-    schema = "scene_id int, version int, state string"
     src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
-    spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema).write.parquet(src)
-    read = lambda: spark.readStream.schema(schema).parquet(src)
+    spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], LEDGER).write.parquet(src)
+    read = lambda: spark.readStream.schema(LEDGER).parquet(src)
     streams.stream_ledger(read(), out, check).awaitTermination()
-    spark.createDataFrame([(1, 2, "c")], schema).write.mode("append").parquet(src)
+    spark.createDataFrame([(1, 2, "c"), (2, 0, "old"), (3, 1, "d")], LEDGER).write.mode("append").parquet(src)
     streams.stream_ledger(read(), out, check).awaitTermination()
-    assert rows(streams.read_ledger(spark, out), "scene_id", "version", "state") == [(1, 2, "c"), (2, 1, "b")]
+    assert rows(streams.read_ledger(spark, out, LEDGER), "scene_id", "version", "state") == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+
+
+def test_keyed_table_after_a_crash_and_compaction(spark, tmp_path, monkeypatch):
+    table = streams.ledger_table(spark, str(tmp_path / "t"), LEDGER)
+    table.buckets = 8
+    batch = lambda *r: spark.createDataFrame(list(r), LEDGER)
+    streams.put_results(table, batch(*[(i, 1, "a") for i in range(100)]), 0)
+    before = rows(table.rows(), "scene_id", "version", "state")
+
+    def crash(*_):
+        raise RuntimeError
+
+    # The data of batch 1 are written but not its list: nothing has happened, and the batch can run again.
+    monkeypatch.setattr(type(spark), "createDataFrame", crash)
+    with pytest.raises(RuntimeError):
+        table.put(1, {3}, table.rows({b: v for b, v in table.places().items() if b == 3}).limit(0))
+    monkeypatch.undo()
+    assert rows(table.rows(), "scene_id", "version", "state") == before
+    for v in range(1, 6):
+        streams.put_results(table, batch((5, v, f"v{v}"), (200 + v, 1, "new")), v)
+    want = sorted([r for r in before if r[0] != 5] + [(5, 5, "v5")] + [(200 + v, 1, "new") for v in range(1, 6)])
+    assert rows(table.rows(), "scene_id", "version", "state") == want
+    streams.put_results(table, batch((5, 5, "v5 again"), (205, 1, "new")), 5)  # batch 5 runs again
+    assert rows(table.rows().where("scene_id = 5"), "version", "state") == [(5, "v5 again")]
+    # Only buckets that someone still reads are there, not one set of files a batch.
+    kept = [p for p in (tmp_path / "t" / "data").glob("v=*/bucket=*")]
+    assert len(table.versions()) == 2 and len(kept) <= 2 * 8 + 2
 
 
 def test_stream_hand_qa_equals_batch_over_batches(spark, tmp_path):
-    rng = __import__("random").Random(5)
+    rng = random.Random(5)
     states = ["draw", "travel", "hidden", "fast-draw"]
     data = [(k, i, rng.random() * 60, rng.random() * 60, rng.choice([0.0, 0.3, 0.9]), s, s != "hidden") for k in range(3) for i in range(60) for s in [rng.choice(states)]]
-    schema = "key long, frame long, x double, y double, opacity double, state string, visible boolean"
-    df = spark.createDataFrame(data, schema)
-    want = rows(windows.hand_motion_qa(df), "key", "frame", "kind", "value")
-    assert rows(streams.hand_qa_batch(df).selectExpr("key", "frame", "kind", "if(isnan(value), null, value) as value"), "key", "frame", "kind", "value") == want
+    df = spark.createDataFrame(data, "key long, frame long, x double, y double, opacity double, state string, visible boolean")
+    want, sums = rows(windows.hand_motion_qa(df), "key", "frame", "kind", "value"), aggs.hand_motion_summary(df)
+    names = ["key", "frames", "visible_frames", "max_step", "p95_step", "max_delta", "hold_then_jump", "single_frame_gap", "abrupt", "violations"]
+    timed = df.withColumn("ts", F.timestamp_millis(3_600_000 + F.col("frame") * 1000))
+    end = timed.where("key = 0 and frame = 0").withColumn("key", F.lit(99).cast("bigint"))
     path = str(tmp_path / "frames")
-    for lo, hi in ((0, 20), (20, 21), (21, 60)):  # one file a batch; the last one repeats a frame that is too late
-        part = df.where(f"frame >= {lo} and frame < {hi}" + (" or frame = 3" if hi == 60 else ""))
+    parts = [timed.where("frame < 20"), timed.where("frame = 20"), timed.where("frame > 20 or frame = 15"), *[end.withColumn("ts", F.timestamp_millis(F.lit(3_600_000 * h))) for h in (2, 3)]]
+    for part in parts:  # one file a batch; the third repeats a frame that is too late; the last ones only move the watermark on
         part.coalesce(1).write.mode("append").parquet(path)
-        q = streams.stream_hand_qa(spark.readStream.schema(schema).parquet(path)).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
-        q.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).selectExpr("key", "frame", "kind", "if(isnan(value), null, value) as value")
-    assert rows(got, "key", "frame", "kind", "value") == want
+        out = streams.stream_hand_qa(spark.readStream.schema(timed.schema).parquet(path))
+        out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).where("key < 99")
+    assert rows(got.where("kind <> 'summary'"), "key", "frame", "kind", "value") == want
+    assert rows(got.where("kind = 'summary'"), *names) == rows(sums, *names) and {r.late for r in got.where("kind = 'summary'").collect()} == {1}
+    # The state of keys that fell silent is gone.
+    left = spark.read.format("statestore").option("path", str(tmp_path / "check")).option("stateVarName", "last").load()
+    assert {r.key.key for r in left.select("key").collect()} <= {99}
 
 
 def test_stream_changes(spark, tmp_path):
     sha = lambda t: __import__("hashlib").sha256(t.encode()).hexdigest()
     schema = "set_id int, path string, before_sha256 string, after_content string"
     src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
-    streams.first_snapshot(spark.createDataFrame([("a.txt", sha("a")), ("b.txt", sha("b"))], "path string, sha256 string"), out)
+    files = [("a.txt", sha("a")), ("b.txt", sha("b"))] + [(f"f{i}.txt", sha(str(i))) for i in range(500)]
+    streams.first_snapshot(spark.createDataFrame(files, "path string, sha256 string"), out)
     feed = lambda: spark.readStream.schema(schema).parquet(src)
     for batch in ([(1, "a.txt", sha("a"), "a1"), (2, "b.txt", sha("x"), "b1")], [(3, "a.txt", sha("a1"), "a2"), (4, "evil.sh", sha("a"), "z")], [(5, "a.txt", sha("a1"), "late")]):
         spark.createDataFrame(batch, schema).write.mode("append").parquet(src)
         streams.stream_changes(feed(), out, check, r"^[a-z]\.txt$").awaitTermination()
-    assert rows(streams.read_changes(spark, out), "path", "sha256") == [("a.txt", sha("a2")), ("b.txt", sha("b"))]
+    assert rows(streams.read_changes(spark, out).where("length(path) = 5"), "path", "sha256") == [("a.txt", sha("a2")), ("b.txt", sha("b"))]
+    assert streams.read_changes(spark, out).count() == 502
     assert rows(streams.read_changes(spark, out, "conflicts"), "set_id", "path") == [(2, "b.txt"), (5, "a.txt")]
     assert rows(streams.read_changes(spark, out, "rejects"), "set_id", "reason") == [(4, "unknown-path")]
+    # A batch wrote the buckets of its own paths, not the snapshot.
+    written = list((tmp_path / "out" / "snapshot" / "data").glob("v=[0-9]*/bucket=*"))
+    assert 0 < len(written) <= 4
 
 
 def test_late_rows_of_a_stream_are_left_out(spark, tmp_path):
@@ -224,3 +307,142 @@ def test_concurrent_subjects_are_the_intervals(spark):
             n = len({d[1] for d in own if d[2] <= a and d[3] >= b})
             want += [(shot, a, b, n)] * (n > 2)
     assert got == want and want
+
+
+def test_running_totals_of_one_large_key(spark):
+    df = spark.range(20000).selectExpr("if(id < 15000, 1, id % 50) as p", "id", "id % 11 as v").repartition(16)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that the key lies in several ranges
+    try:
+        got = {r.id: r.v for r in tables.running_totals(df, "p", ["id"], ["v"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    sums = {}
+    for i in range(20000):
+        p = 1 if i < 15000 else i % 50
+        sums[p] = sums.get(p, 0) + i % 11
+        assert got[i] == sums[p]
+
+
+def scene_loop(cues, target, least, most):
+    """Cues (no, start, end) joined as a reader of captions would, one after another."""
+    scenes, open_ = [], []
+    for c in cues:
+        if open_ and c[2] - open_[0][1] > most * 1000:
+            scenes.append(open_)
+            open_ = []
+        open_ = [*open_[:1], c] if len(open_) > 1 else [*open_, c]
+        span = open_[-1][2] - open_[0][1]
+        if span >= target * 1000 and span >= least * 1000:
+            scenes.append(open_)
+            open_ = []
+    scenes += [open_] if open_ else []
+    return [(i, s[0][1], s[-1][2], s[0][0], s[-1][0]) for i, s in enumerate(scenes, 1)]
+
+
+@pytest.mark.parametrize("limits", [(30, 25, 35), (10, 12, 12), (4, 1, 20)])
+def test_group_scenes_is_the_loop(spark, limits):
+    rng = random.Random(3)
+    data = []
+    for project in range(8):
+        at = 0
+        for i in range(rng.choice([1, 2, 60, 300])):
+            length = rng.choice([0, 500, 3000, 9000, 50_000])
+            data.append((project, 7 * i, at, at + length))
+            at += rng.choice([0, length, length + 400, length + 70_000])
+        if project == 5:  # ends that fall, as overlapping cues may have
+            data += [(project, 7 * 400, 1000, 2000), (project, 7 * 401, 500, 90_000)]
+    df = spark.createDataFrame(data, "project_id int, cue_no int, start_ms bigint, end_ms bigint")
+    want = [(p, *s) for p in range(8) for s in scene_loop([r[1:] for r in data if r[0] == p], *limits)]
+    assert rows(folds.group_scenes(df, *limits), "project_id", "scene_no", "start_ms", "end_ms", "first_cue", "last_cue") == sorted(want)
+    assert folds.group_scenes(df.where("false")).count() == 0
+
+
+def test_group_scenes_of_a_million_cues(spark):
+    df = spark.range(1_000_000).selectExpr("1 as project_id", "id as cue_no", "id * 1700 + id % 13 * 50 as start_ms", "id * 1700 + id % 13 * 50 + 900 + id % 7 * 100 as end_ms")
+    cues = [(i, i * 1700 + i % 13 * 50, i * 1700 + i % 13 * 50 + 900 + i % 7 * 100) for i in range(1_000_000)]
+    assert rows(folds.group_scenes(df), "scene_no", "start_ms", "end_ms", "first_cue", "last_cue") == scene_loop(cues, 30, 25, 35)
+
+
+def test_suggest_composition_is_the_loop(spark):
+    rng = random.Random(4)
+    rules, names = [("b", ["x"]), ("c", ["y", "z"])], ["a", "b", "c", "d"]
+    data = [(p, i, "".join(rng.choice("xyzuvw") for _ in range(2)), rng.choice([None, None, " ", "a", "q"])) for p, n in ((1, 700), (2, 1), (3, 256), (4, 257)) for i in range(n)]
+    want = []
+    for p in (1, 2, 3, 4):
+        before = ""
+        for i, (_, seq, text, given) in enumerate(r for r in data if r[0] == p):
+            suggested = not (given or "").strip()
+            order = [n for n, terms in rules if any(t in text for t in terms)] + names[i % 4 :] + names[: i % 4]
+            before = next(c for c in order if c != before) if suggested else given.strip()
+            want.append((p, seq, before, suggested))
+    df = spark.createDataFrame(data, "project_id int, seq int, text string, composition string")
+    assert rows(folds.suggest_composition(df, rules, names), "project_id", "seq", "composition", "suggested") == sorted(want)
+
+
+def test_compile_draft(spark):
+    scenes = spark.createDataFrame([(1, 5, None, "x", None), (1, 6, " own ", "u", "kept")], "project_id int, seq int, scene_id string, text string, composition string")
+    elements = spark.createDataFrame([(1, 5, 1, " ", "", " said ", "other"), (1, 5, 12, None, None, " ", " proof "), (1, 6, 1, "e", "t", "u", None)], "project_id int, seq int, element_no int, element_id string, trigger_text string, triggerText string, narrationEvidence string")
+    a, b, changes = folds.compile_draft(scenes, elements, [("b", ["x"])], ["a", "b"])
+    assert rows(a, "scene_id", "composition") == [("own", "kept"), ("scene-01", "b")]
+    assert rows(b, "element_id", "trigger_text") == [("e", "t"), ("scene-01-e01", "said"), ("scene-01-e12", "proof")]
+    assert rows(changes.na.fill(0), "seq", "element_no", "change", "value") == [(5, 0, "generated-scene-id", "scene-01"), (5, 0, "selected-composition", "b"), (5, 1, "generated-element-id", "scene-01-e01"), (5, 1, "trigger-text-from", "triggerText"), (5, 12, "generated-element-id", "scene-01-e12"), (5, 12, "trigger-text-from", "narrationEvidence")]
+
+
+def test_box_components_are_the_fixpoint(spark):
+    rng = random.Random(9)
+    data = [(board, i, x, y, x + rng.choice([1, 5, 60, size]), y + rng.choice([1, 5, 60, size])) for board, n, size in ((1, 40, 9), (2, 90, 30), (3, 1, 5), (4, 60, 400)) for i in range(n) for x, y in [(rng.randrange(1900), rng.randrange(1000))]]
+    data += [(5, i, 7 * i, 0, 7 * i + 5, 5) for i in range(200)]  # a chain, each two apart
+    data += [(6, i, i % 20, i // 20, i % 20 + 1, i // 20 + 1) for i in range(400)]  # a heap
+    data += [(7, 0, 0, 0, 10, 10), (7, 1, 90, 90, 100, 100), (7, 2, 11, 11, 95, 12), (7, 3, 50, 50, 51, 51)]  # joined only by a grown box
+    want = []
+    for board in range(1, 8):
+        groups = {b[1]: (b[2:], [b[1]]) for b in data if b[0] == board}
+        changed = True
+        while changed:
+            changed = False
+            for a in sorted(groups):
+                for b in sorted(groups):
+                    if a < b and a in groups and b in groups:
+                        (ax, ay, ar, ab), (bx, by, br, bb) = groups[a][0], groups[b][0]
+                        if ax <= br + 2 and bx <= ar + 2 and ay <= bb + 2 and by <= ab + 2:
+                            groups[a] = ((min(ax, bx), min(ay, by), max(ar, br), max(ab, bb)), groups[a][1] + groups.pop(b)[1])
+                            changed = True
+        want += [(board, i, a) for a, (_, own) in groups.items() for i in own]
+    df = spark.createDataFrame(data, "board_id int, box_id int, x0 int, y0 int, x1 int, y1 int")
+    assert rows(boards.box_components(df), "board_id", "box_id", "component_id") == sorted(want)
+    assert boards.box_components(df.where("false")).count() == 0
+
+
+def test_transcript_gate(spark):
+    english = "This is a long enough sentence about nothing at all"
+    tracks = [(1, 60_000, "en-US", None), (2, 60_000, "zh_CN", 0.4), (3, 60_000, None, 0.9), (4, 90_000, "en", 0.5), (5, 20_000, "de", 0.6)]
+    cues = [(1, 1, 0, 20_000, english), (1, 2, 20_000, 25_000, "这是一个中文" + english)]
+    cues += [(2, i, i * 10_000, i * 10_000 + 9_000, english) for i in range(6)]
+    cues += [(3, 1, 0, 10_000, "Please LIKE and"), (3, 2, 11_000, 20_000, " sub scribe")]
+    cues += [(4, i, i * 1_000, i * 1_000 + 900, english + str(i)) for i in range(40)]
+    cues += [(5, 1, 0, 100, "请订 阅")]
+    df = spark.createDataFrame(cues, "project_id int, cue_no int, start_ms bigint, end_ms bigint, text string")
+    got = rules.transcript_gate(df, spark.createDataFrame(tracks, "project_id int, duration_ms bigint, language string, probability double"))
+    assert rows(got.na.fill(""), "project_id", "rule_id", "severity", "value") == sorted(
+        [(1, "thin-coverage", "warning", "")] + [(2, r, "error", "") for r in ("low-probability", "no-chinese", "few-units", "repeats")] + [(2, "third-no-chinese", "error", t) for t in "123"]
+        + [(3, "few-units", "error", ""), (3, "low-coverage", "error", ""), (3, "promotion", "error", ""), (3, "unknown-language", "error", "")] + [(4, "thin-coverage", "warning", "")] + [(5, "promotion", "error", "")])
+
+
+def test_reconcile_ids(spark):
+    expected = [("s", i, e, lab, t) for i, (e, lab, t) in enumerate([("a", "A", "ta"), ("b", "B", "tb"), ("c", "C", "tc"), ("d", "C", "td")])]
+    # 1 takes b by its source before 2, which is b, can; 2 then goes by its trigger; 3 by id; the label of 4 is left once c is taken.
+    drawn = [("s", 1, "x", ["zz", "b"], "Q", None), ("s", 2, "b", None, "Q", " ta "), ("s", 3, "c", [], None, None), ("s", 4, None, [""], "C", "tc")]
+    drawn += [("t", 1, "a", [], "A", None)]
+    expected += [("t", 1, "a", "A", None), ("t", 2, "b", "A", None)]
+    a = spark.createDataFrame(drawn, "scene_id string, place int, actual_id string, source_ids array<string>, label string, trigger string")
+    b = spark.createDataFrame(expected, "scene_id string, place int, element_id string, label string, trigger string")
+    got = {(r.scene_id, r.place): (r.element_id, r.rule_id) for r in boards.reconcile_ids(a, b).collect()}
+    assert got == {("s", 1): ("b", None), ("s", 2): ("a", None), ("s", 3): ("c", None), ("s", 4): ("d", None), ("t", 1): (None, "count-differs")}
+
+
+def test_resolve_beat_anchor(spark):
+    words = spark.createDataFrame([(1, s, i, t, i * 100, i * 100 + 90) for s, i, t in [("a", 0, "The big"), ("a", 1, "Cat"), ("a", 2, "sat."), ("b", 3, "the"), ("b", 4, "the")]], "project_id int, scene_id string, word_id int, text string, start_ms bigint, end_ms bigint")
+    beats = spark.createDataFrame([(1, "a", 1, 2, None), (1, "a", 2, 3, "cat"), (1, "a", 3, 99, "BIG cat SAT."), (1, "b", 4, None, "the"), (1, "b", 5, None, "the the"), (1, "z", 6, None, "the"), (1, "a", 7, None, " ")], "project_id int, scene_id string, beat_no int, word_id int, phrase string")
+    got = {r.beat_no: (r.anchor_id, r.start_ms, r.rule_id) for r in boards.resolve_beat_anchor(beats, words, words).collect()}
+    assert got == {1: (2, 200, None), 2: (None, None, "outside-scene"), 3: (0, 0, None), 4: (None, None, "no-anchor"), 5: (3, 300, None), 6: (None, None, "unknown-scene"), 7: (None, None, "no-anchor")}
