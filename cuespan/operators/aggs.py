@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from cuespan.functions.text import char_class_counts, norm_text
 from cuespan.operators.joins import interval_join
-from cuespan.operators.windows import hand_motion_qa, hand_steps
+from cuespan.operators.windows import hand_violations
 
 
 def plan_summary(shots: DataFrame) -> DataFrame:
@@ -76,13 +76,12 @@ def motion_class(motion: DataFrame, scenes: DataFrame, skip_ms: int = 250) -> Da
 
 
 def hand_motion_summary(frames: DataFrame, short_edge: int = 1080) -> DataFrame:
-    """One row per hand: frames, steps and counts per kind of violation."""
-    steps = hand_steps(frames, short_edge).groupBy("key").agg(
+    """One row per hand: frames, steps and counts per kind of violation, in one pass over the frames."""
+    kind = lambda k: F.count_if(F.exists("found", lambda h: h["kind"] == k))
+    df = hand_violations(frames, short_edge).groupBy("key").agg(
         F.count("*").alias("frames"), F.count_if("shown").alias("visible_frames"), F.round(F.coalesce(F.max("step"), F.lit(0.0)), 5).alias("max_step"),
-        F.round(F.coalesce(F.expr("percentile(step, 0.95)"), F.lit(0.0)), 5).alias("p95_step"), F.round(F.coalesce(F.max("delta"), F.lit(0.0)), 5).alias("max_delta"))
-    kind = lambda k: F.count_if(F.col("kind") == k)
-    bad = hand_motion_qa(frames, short_edge).groupBy("key").agg(kind("hold-then-jump").alias("hold_then_jump"), kind("single-frame-gap").alias("single_frame_gap"), kind("abrupt-disappearance").alias("abrupt"), F.count("*").alias("violations"))
-    df = steps.join(bad, "key", "left").na.fill(0, ["hold_then_jump", "single_frame_gap", "abrupt", "violations"])
+        F.round(F.coalesce(F.expr("percentile(step, 0.95)"), F.lit(0.0)), 5).alias("p95_step"), F.round(F.coalesce(F.max("delta"), F.lit(0.0)), 5).alias("max_delta"),
+        kind("hold-then-jump").alias("hold_then_jump"), kind("single-frame-gap").alias("single_frame_gap"), kind("abrupt-disappearance").alias("abrupt"), F.sum(F.size("found")).alias("violations"))
     return df.withColumn("status", F.when(F.col("violations") == 0, "passed").otherwise("failed"))
 
 

@@ -141,20 +141,38 @@ def box_components(boxes: DataFrame, margin: int = 2) -> DataFrame:
     return out
 
 
-def fit_safe_area(boards: DataFrame) -> DataFrame:
-    """(board_id, applied, scale, dx, dy, reason): how to scale and centre a board so that its foreground fits the safe frame.
+#: How often a layout that keeps its centre may shrink, and by what.
+SHRINKS, SHRINK = 240, 0.995
 
-    boards: board_id, width, height (source), tw, th (target), x0, y0, x1, y1 (foreground, null if none).
+
+def fit_safe_area(boards: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """(board_id, applied, scale, dx, dy, reason): how to scale and place a board so that its foreground fits the safe frame.
+
+    boards: board_id, width, height (source), tw, th (target), x0, y0, x1, y1 (foreground, null if none). The foreground is centred in
+    the frame; with `keep_layout` the canvas keeps its centre and shrinks step by step until the foreground fits.
     """
     edge = lambda size, side: F.bround(F.col(size) * SAFE[side]).cast("bigint")
     df = boards.withColumns({"l": edge("tw", "left"), "t": edge("th", "top"), "r": edge("tw", "right"), "b": edge("th", "bottom")})
     bw, bh = F.greatest(F.lit(1), F.col("x1") - F.col("x0")), F.greatest(F.lit(1), F.col("y1") - F.col("y0"))
-    scale = F.least(F.col("tw") / F.col("width"), F.col("th") / F.col("height"), (F.col("r") - F.col("l")) * FILL / bw, (F.col("b") - F.col("t")) * FILL / bh)
+    whole = F.least(F.col("tw") / F.col("width"), F.col("th") / F.col("height"))
+    scale = F.least(whole, (F.col("r") - F.col("l")) * FILL / bw, (F.col("b") - F.col("t")) * FILL / bh)
     safe = (F.col("tw") == F.col("width")) & (F.col("th") == F.col("height")) & (F.col("x0") >= F.col("l")) & (F.col("y0") >= F.col("t")) & (F.col("x1") <= F.col("r")) & (F.col("y1") <= F.col("b"))
     df = df.withColumn("s", scale).withColumn("reason", F.when(F.col("x0").isNull(), "no-foreground").when(safe & (F.col("s") >= 0.985), "already-safe"))
-    shift = lambda lo, hi, a, b: F.bround((F.col(lo) + F.col(hi)) / 2 - (F.col(a) + F.col(b)) / 2 * F.col("s")).cast("bigint")
+    nearest = lambda c: F.bround(c).cast("bigint")
+    if keep_layout:
+        def placed(scale: Column) -> Column:
+            dx, dy = nearest((F.col("tw") - F.col("width") * scale) / 2), nearest((F.col("th") - F.col("height") * scale) / 2)
+            inside = (nearest(F.col("x0") * scale + dx) >= F.col("l")) & (nearest(F.col("y0") * scale + dy) >= F.col("t")) & (nearest(F.col("x1") * scale + dx) <= F.col("r")) & (nearest(F.col("y1") * scale + dy) <= F.col("b"))
+            return F.struct(F.when(inside, scale).otherwise(scale * SHRINK).alias("s"), dx.alias("dx"), dy.alias("dy"), inside.alias("fits"))
+
+        first = F.struct(whole.alias("s"), F.lit(0).cast("bigint").alias("dx"), F.lit(0).cast("bigint").alias("dy"), F.lit(False).alias("fits"))
+        df = df.withColumn("p", F.when(F.col("reason").isNull(), F.aggregate(F.sequence(F.lit(1), F.lit(SHRINKS)), first, lambda p, i: F.when(p["fits"], p).otherwise(placed(p["s"])))))
+        scale, dx, dy = F.col("p.s"), F.col("p.dx"), F.col("p.dy")
+    else:
+        shift = lambda lo, hi, a, b: nearest((F.col(lo) + F.col(hi)) / 2 - (F.col(a) + F.col(b)) / 2 * F.col("s"))
+        scale, dx, dy = F.col("s"), shift("l", "r", "x0", "x1"), shift("t", "b", "y0", "y1")
     on = lambda c: F.when(F.col("reason").isNull(), c)
-    return df.select("board_id", F.col("reason").isNull().alias("applied"), F.round(on(F.col("s")), 6).alias("scale"), on(shift("l", "r", "x0", "x1")).alias("dx"), on(shift("t", "b", "y0", "y1")).alias("dy"), "reason")
+    return df.select("board_id", F.col("reason").isNull().alias("applied"), F.round(on(scale), 6).alias("scale"), on(dx).alias("dx"), on(dy).alias("dy"), "reason")
 
 
 def reconcile_ids(actual: DataFrame, expected: DataFrame) -> DataFrame:

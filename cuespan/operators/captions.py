@@ -6,6 +6,7 @@ case, `pos` its place among the letters and digits of the project. Work is keyed
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -114,7 +115,11 @@ def split_long_atoms(atoms: DataFrame, letters: DataFrame, max_chars: int = 18,
     place = Window.partitionBy("project_id").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     own = marks.union(rows).withColumn("_atom", F.last("_atom", True).over(place)).where("_kind = 1 and _p < _atom.end_idx")
     df = own.groupBy("project_id", F.col("_atom.atom_no").alias("_no")).agg(F.any_value("_atom").alias("_atom"), F.array_sort(F.collect_list("_x")).alias("_l"))
-    df = df.select("project_id", "_atom.*", "_l").where("size(_l) = end_idx - start_idx").withColumn("_plain", F.array_join(F.transform("_l", lambda x: x["key"]), ""))
+    df = df.select("project_id", "_atom.*", "_l").where("size(_l) = end_idx - start_idx")
+    # Whether a connector begins at each letter, found once per letter from the few that follow.
+    ahead = lambda i: F.array_join(F.transform(F.slice("_l", i + 1, max(map(len, connectors), default=1)), lambda x: x["key"]), "")
+    joint = lambda text: functools.reduce(lambda a, word: a | F.startswith(text, F.lit(word)), connectors, F.lit(False))
+    df = df.withColumn("_l", F.transform("_l", lambda x, i: x.withField("joint", F.element_at(F.transform(F.array(ahead(i)), joint), 1))))
     n = F.size("_l")
     letter = lambda i: F.element_at("_l", i + 1)
 
@@ -129,10 +134,7 @@ def split_long_atoms(atoms: DataFrame, letters: DataFrame, max_chars: int = 18,
 
     def best_cut(s: Column, far: Column) -> Column:
         def worth(b: Column) -> Column:
-            joint = F.lit(False)
-            for word in connectors:
-                joint = joint | (F.substring(F.col("_plain"), b + 1, F.lit(len(word))) == word)
-            gain = PAUSE_WORTH * (letter(b)["s"] - letter(b - 1)["e"]) + F.when(joint, CONNECTOR_WORTH).otherwise(0) - SHORT_COST * (far - b)
+            gain = PAUSE_WORTH * (letter(b)["s"] - letter(b - 1)["e"]) + F.when(letter(b)["joint"], CONNECTOR_WORTH).otherwise(0) - SHORT_COST * (far - b)
             return F.struct(gain.alias("gain"), b.alias("at"))
 
         return F.array_max(F.transform(F.sequence(F.least(far, s + max(4, max_chars // 3)), far), worth))["at"]
@@ -140,7 +142,7 @@ def split_long_atoms(atoms: DataFrame, letters: DataFrame, max_chars: int = 18,
     fold = lambda cuts, i: F.when(F.element_at(cuts, -1) < n, F.concat(cuts, F.array(once(F.element_at(cuts, -1), next_cut)))).otherwise(cuts)
     fits = (n <= max_chars) & (letter(n - 1)["e"] - letter(F.lit(0))["s"] <= max_ms)
     cuts = F.when(fits, F.array(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), fold))
-    seen = F.when(~fits, F.filter(F.sequence(F.lit(1), F.char_length("text")), lambda i: norm_text(F.substring(F.col("text"), i, F.lit(1))) != ""))
+    seen = F.when(~fits, F.array_compact(F.transform(F.split("text", ""), lambda c, i: F.when(norm_text(c) != "", i + 1))))
     df = df.withColumns({"_c": cuts, "_v": seen})
     df = df.withColumn("_c", F.arrays_zip(F.slice("_c", 1, F.size("_c") - 1).alias("a"), F.slice("_c", 2, F.size("_c") - 1).alias("b")))
     df = df.select("project_id", "atom_no", "text", "start_idx", "major", "_v", n.alias("_n"), F.posexplode(F.transform("_c", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), letter(c["a"])["s"].alias("s"), letter(c["b"] - 1)["e"].alias("e")))).alias("piece_no", "c"))

@@ -56,6 +56,17 @@ def compile_budget(elements: DataFrame, fps: int = 30) -> DataFrame:
     return df.withColumns({"baseline": phase_frames(F.col("original_frames"), F.col("original_frames"), yes, fps), "phases": phase_frames(F.col("total_frames"), F.col("original_frames"), yes, fps)})
 
 
+def feasible_all_fps(elements: DataFrame, low: int = 8, high: int = 60) -> DataFrame:
+    """Elements (start_ms, dur_ms, original_ms) with `feasible`: whether the phases fit at every frame rate from `low` to `high`."""
+    rows = elements.withColumn("_row", F.monotonically_increasing_id()).withColumn("_fps", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    span = lambda dur: frame_span(F.col("start_ms"), F.col(dur), F.col("_fps"))
+    rows = rows.withColumns({"_total": span("dur_ms"), "_original": span("original_ms")})
+    fits = phase_frames(F.col("_total"), F.col("_original"), F.lit(True), F.col("_fps"))["recognition"].isNotNull()
+    # A row's frame rates are in one task, so they are one row again before the shuffle.
+    one = rows.withColumn("_fits", fits).groupBy("_row").agg(F.any_value(F.struct(*elements.columns)).alias("_r"), F.bool_and("_fits").alias("feasible"))
+    return one.select("_r.*", "feasible")
+
+
 def effective_reveal(elements: DataFrame, reservations: DataFrame, fps: int = 30) -> DataFrame:
     """Applies timing reservations (scene_id, element_id, original_ms, revised_ms) once; adds rule_id where one may not be.
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cuespan.operators.folds import suppress_near
+from cuespan.operators.frames import POST_ACTION_HOLD_MS, PRE_ACTION_MS, feasible_all_fps
 
-# Milliseconds and confidence an effect needs, and what it adds to a candidate's priority.
+# Milliseconds and confidence an effect needs, the bounds of the time kept free for one, and what it adds to a candidate's priority.
 EFFECT_MIN_MS = {"focus-push": 1200}
+LEAST_RESERVE_MS, MOST_RESERVE_MS = 900, 1200
 EFFECT_CONFIDENCE, OTHER_CONFIDENCE = {"focus-push": 0.75}, 0.65
 EFFECT_BONUS = {"focus-push": 0.8, "passing-flash": 0.7, "highlight-wash": 0.6, "contour-indicate": 0.5}
 
@@ -87,11 +89,24 @@ def pick_keyframes(scenes: DataFrame, k: int = 20, opening=(0, 1000, 2000, 3000)
     return first.union(kept.select("video_id", "time_ms")).distinct()
 
 
-def feasible_first(candidates: DataFrame) -> DataFrame:
-    """The first candidate of a scene, by confidence, that fits its budget; flags feasible ones. candidates: scene_id, seq, confidence, need_ms, spare_ms."""
-    df = candidates.withColumns({"feasible": F.col("need_ms") <= F.col("spare_ms"), "reserved_ms": F.greatest(F.lit(0), F.col("need_ms"))})
-    w = Window.partitionBy("scene_id").orderBy(F.desc("feasible"), F.desc("confidence"), "seq")
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1 and feasible").drop("_n", "feasible")
+def feasible_first(candidates: DataFrame, low: int = 8, high: int = 60) -> DataFrame:
+    """The reveal to shorten in each scene where no effect has room: one row (scene_id, seq, effect, original_ms, dur_ms, reserved_ms, compressed_ms).
+
+    candidates: scene_id, seq, effect, confidence, start_ms, dur_ms, boundary_ms (up to where there is room), budget_ms (what there is
+    already). Only effects that may be planned count, with a target sure enough. A scene with one that has room
+    keeps its times. Else candidates come by confidence, later ones first; the first whose drawing, ended early enough for the effect, is
+    shorter than now and still has its protected phases at every frame rate is shortened. Scene and sound stay as they are.
+    """
+    least = F.coalesce(*[F.when(F.col("effect") == e, F.lit(ms)) for e, ms in EFFECT_MIN_MS.items()])
+    sure = F.coalesce(*[F.when(F.col("effect") == e, F.lit(c)) for e, c in EFFECT_CONFIDENCE.items()])
+    df = candidates.withColumn("_least", least).where(F.col("_least").isNotNull() & (F.coalesce("confidence", F.lit(0.0)) >= sure))
+    roomy = df.where(F.col("budget_ms") >= F.col("_least")).select("scene_id").distinct()
+    df = df.join(roomy, "scene_id", "left_anti").withColumn("reserved_ms", F.greatest(F.lit(LEAST_RESERVE_MS), F.least(F.lit(MOST_RESERVE_MS), "_least")))
+    df = df.withColumn("original_ms", F.col("dur_ms")).withColumn("dur_ms", F.col("boundary_ms") - POST_ACTION_HOLD_MS - F.col("reserved_ms") - PRE_ACTION_MS - F.col("start_ms"))
+    df = feasible_all_fps(df.where("dur_ms < original_ms and dur_ms > 0"), low, high).where("feasible")
+    first = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("confidence"), F.desc("seq")))
+    df = df.withColumn("_n", first).where("_n = 1").withColumn("compressed_ms", F.col("original_ms") - F.col("dur_ms"))
+    return df.select("scene_id", "seq", "effect", "original_ms", "dur_ms", "reserved_ms", "compressed_ms")
 
 
 def id_set_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -17,6 +17,8 @@ DRAWING = {
     "pixel_ownership": ("semantic-masks-v1", "semantic-exclusive-v2", "semantic-exclusive-v1", "exclusive-nearest-v1", "later-sequence-v1"),
 }
 COLOR_RESERVE, LEAST_COLOR_MS, DURATION_TOLERANCE_MS, LATEST_OPENING_MS = (0.18, 0.45), 240, 250, 500
+# Compositions that tell a process, and the time a gesture needs in full.
+PROCESS_COMPOSITIONS, FULL_GESTURE_MS = ("causal-chain", "timeline", "vertical-layers"), 1600
 # Enumerations and limits of title cards and manifests.
 CARD_POSITIONS, CARD_STYLES = ("top-left",), ("outlined-label-v1",)
 
@@ -79,6 +81,22 @@ def simplify_effect(effect: Column, budget: Column) -> Column:
     return F.when((effect == "focus-push") & (budget < 1200), short).when(effect.isin("gesture-arc", "gesture-bracket") & (budget < 1100), short).when(budget < 700, "skip").otherwise(effect)
 
 
+def legacy_effect(elements: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
+    """(scene_id, seq, wanted, effect, fallback): the effect that older plans choose for an element, and what is left of it in its time.
+
+    elements: scene_id, seq, composition, text (label, roles, trigger and subtitle), budget_ms. rules: terms of `identity`, `process`, `relation`
+    and `action`. fallback says why it is not played in full: `cheaper`, `skipped` or `simplified`.
+    """
+    has = lambda kind: F.exists(F.array(*map(F.lit, rules[kind])), lambda t: F.contains("text", t)) if rules.get(kind) else F.lit(False)
+    last = F.lead("seq").over(Window.partitionBy("scene_id").orderBy("seq")).isNull()
+    wanted = F.when(last & has("identity"), "focus-push").when(F.col("composition").isin(*PROCESS_COMPOSITIONS) & has("process"), "gesture-arrow").when(has("relation"), "gesture-bracket")
+    wanted = wanted.when(has("identity"), "gesture-underline").when(has("action"), "gesture-arc").when(last, "gesture-underline").otherwise("gesture-arc")
+    df = elements.withColumn("wanted", wanted)
+    df = df.withColumn("effect", simplify_effect(F.col("wanted"), F.col("budget_ms")))
+    fallback = F.when(F.col("effect") == "skip", "skipped").when(F.col("effect") != F.col("wanted"), "cheaper").when(F.col("budget_ms") < FULL_GESTURE_MS, "simplified")
+    return df.select("scene_id", "seq", "wanted", "effect", fallback.alias("fallback"))
+
+
 def check_words(words: DataFrame, durations: DataFrame) -> DataFrame:
     """Empty text, bad times, wrong order, overlap, and durations that end too early. durations: project_id, duration_ms."""
     w = Window.partitionBy("project_id").orderBy("idx")

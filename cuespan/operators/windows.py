@@ -156,8 +156,8 @@ def hand_steps(frames: DataFrame, short_edge: int = 1080) -> DataFrame:
     return df.withColumn("delta", F.when(~F.col("fast"), F.abs(F.col("step") - F.col("step_before")))).drop("_shown_b")
 
 
-def hand_motion_qa(frames: DataFrame, short_edge: int = 1080) -> DataFrame:
-    """(key, frame, kind, value) of unsteady hand motion; fast drawing is exempt from step rules."""
+def hand_violations(frames: DataFrame, short_edge: int = 1080) -> DataFrame:
+    """`hand_steps` with `found`, an array of (kind, value): what is unsteady at each frame. Fast drawing is exempt from step rules."""
     w = _w(["key"], ["frame"])
     df = hand_steps(frames, short_edge)
     limit = F.coalesce(*[F.when(F.col("state") == s, F.lit(v)) for s, v in STEP_LIMITS.items()], F.lit(OTHER_STEP_LIMIT))
@@ -172,7 +172,12 @@ def hand_motion_qa(frames: DataFrame, short_edge: int = 1080) -> DataFrame:
         "step-delta": (known & (F.col("delta") > STEP_DELTA), F.col("delta")),
     }
     hits = F.array_compact(F.array(*[F.when(ok, F.struct(F.lit(k).alias("kind"), F.round(v, 5).alias("value"))) for k, (ok, v) in rules.items()]))
-    return df.withColumn("_h", hits).select("key", "frame", F.explode("_h").alias("h")).select("key", "frame", "h.kind", "h.value")
+    return df.withColumn("found", hits)
+
+
+def hand_motion_qa(frames: DataFrame, short_edge: int = 1080) -> DataFrame:
+    """(key, frame, kind, value) of unsteady hand motion."""
+    return hand_violations(frames, short_edge).select("key", "frame", F.explode("found").alias("h")).select("key", "frame", "h.kind", "h.value")
 
 
 def adjacent_repeat(df: DataFrame, cols: list[str], n: int, partition: list[str], order: list[str]) -> DataFrame:

@@ -57,6 +57,19 @@ def fit_safe_area(spark, sf):
     return B.fit_safe_area(boxes.selectExpr("*", "1700 + board_id % 400 as width", "900 + board_id % 300 as height", "1920 as tw", "1080 as th"))
 
 
+@query(with_views("v_elements", recursive=True, select="""+ _b AS (SELECT scene_id AS board_id, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1, CASE WHEN scene_id % 2 = 0 THEN 1920 ELSE 1700 + scene_id % 400 END AS width, CASE WHEN scene_id % 2 = 0 THEN 1080 ELSE 900 + scene_id % 300 END AS height FROM v_elements GROUP BY scene_id),
+_q AS (SELECT *, least(1920 / width::DOUBLE, 1080 / height::DOUBLE) AS whole, width = 1920 AND height = 1080 AND x0 >= 77 AND y0 >= 43 AND x1 <= 1843 AND y1 <= 886 AND least(1920 / width::DOUBLE, 1080 / height::DOUBLE, 1766 * 0.94::DOUBLE / greatest(1, x1 - x0), 843 * 0.94::DOUBLE / greatest(1, y1 - y0)) >= 0.985 AS safe FROM _b),
+_k AS (SELECT board_id, x0, y0, x1, y1, width, height, 1 AS k, whole AS s FROM _q WHERE NOT safe UNION ALL SELECT board_id, x0, y0, x1, y1, width, height, k + 1, s * 0.995::DOUBLE FROM _k WHERE k < 240),
+_p AS (SELECT *, round_even((1920 - width * s) / 2, 0) AS dx, round_even((1080 - height * s) / 2, 0) AS dy FROM _k),
+_f AS (SELECT *, round_even(x0 * s + dx, 0) >= 77 AND round_even(y0 * s + dy, 0) >= 43 AND round_even(x1 * s + dx, 0) <= 1843 AND round_even(y1 * s + dy, 0) <= 886 AS fits FROM _p),
+_o AS (SELECT board_id, coalesce(min(k) FILTER (fits), 240) AS k, bool_or(fits) AS found FROM _f GROUP BY board_id)
+=
+SELECT board_id, TRUE AS applied, round(CASE WHEN found THEN s ELSE s * 0.995::DOUBLE END, 6) AS scale, dx::BIGINT AS dx, dy::BIGINT AS dy, NULL::VARCHAR AS reason FROM _o JOIN _f USING (board_id, k) UNION ALL SELECT board_id, FALSE, NULL, NULL, NULL, 'already-safe' FROM _q WHERE safe"""))
+def keep_layout(spark, sf):
+    boxes = v_elements(spark, sf).groupBy(F.col("scene_id").alias("board_id")).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.expr("x + w")).alias("x1"), F.max(F.expr("y + h")).alias("y1"))
+    return B.fit_safe_area(boxes.selectExpr("*", "if(board_id % 2 = 0, 1920, 1700 + board_id % 400) as width", "if(board_id % 2 = 0, 1080, 900 + board_id % 300) as height", "1920 as tw", "1080 as th"), keep_layout=True)
+
+
 # Elements take what is free one after another: first by id, then by label or trigger.
 @query(with_views("v_elements", recursive=True, select="""+ _x AS (SELECT scene_id, element_id, row_number() OVER (PARTITION BY scene_id ORDER BY seq) AS place, 'L' || x % 4 AS label, 't' || y % 3 AS t FROM (SELECT DISTINCT ON (scene_id, element_id) * FROM v_elements ORDER BY scene_id, element_id, seq)),
 _a AS (SELECT scene_id, place, CASE WHEN place % 3 = 1 THEN 'n' || element_id ELSE element_id END AS id, CASE WHEN place % 5 = 1 THEN [coalesce(lead(element_id) OVER w, 'none'), element_id] WHEN scene_id % 4 = 0 THEN ['', element_id] ELSE [] END AS src, CASE WHEN scene_id % 5 = 0 THEN ' ' ELSE label END AS label, t FROM _x WHERE scene_id % 9 <> 0 OR place > 1 WINDOW w AS (PARTITION BY scene_id ORDER BY place)),

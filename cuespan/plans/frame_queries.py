@@ -44,6 +44,23 @@ def compile_budget(spark, sf):
     return C.compile_budget(budgets(spark, sf), 30).selectExpr("scene_id", "seq", "total_frames", "original_frames", "phases.reason is null as feasible_30")
 
 
+def phases_sql(rows: str, rate: str = "fps") -> str:
+    """CTEs from `rows` (…, t, o, fps) up to _ok, which has them with `fits`."""
+    return f"""_k0 AS ({rows}), _k1 AS (SELECT *, greatest(2, {_R.format(f'{rate} * 180 / 1000.0::DOUBLE')}) AS rel, CASE WHEN o < 8 THEN 1 ELSE greatest(3, {_R.format('o * 0.2::DOUBLE')}) END AS pb, {_R.format('o * 0.15::DOUBLE')} AS tx FROM _k0),
+_k2 AS (SELECT *, greatest(rel, {_R.format('o * 0.04::DOUBLE')}) AS fin, greatest(8, pb) - pb AS more FROM _k1), _k3 AS (SELECT *, least(more, fin - rel) AS a1 FROM _k2), _k4 AS (SELECT *, least(more - a1, tx) AS a2 FROM _k3),
+_ok AS (SELECT *, t >= 1 AND o >= t AND o - pb - fin - tx >= 1 AND more - a1 - a2 = 0 AND o - t <= (fin - a1 - rel) + (tx - a2) AS fits FROM _k4)"""
+
+
+_EVERY_RATE = f"SELECT e.*, r.fps, {_span('start_ms', 'dur_ms', 'r.fps')} AS t, {_span('start_ms', 'original_ms', 'r.fps')} AS o FROM {{}} e, (SELECT unnest(range(8, 61)) AS fps) r"
+
+
+@query(with_views("v_elements", select="+ _e0 AS (SELECT scene_id, seq, start_ms, dur_ms AS original_ms, dur_ms - seq % 4 * 120 AS dur_ms FROM v_elements), " + phases_sql(_EVERY_RATE.format("_e0")) + """
+=
+SELECT scene_id, seq, bool_and(fits) AS feasible FROM _ok GROUP BY scene_id, seq"""))
+def feasible_all_fps(spark, sf):
+    return C.feasible_all_fps(budgets(spark, sf)).select("scene_id", "seq", "feasible")
+
+
 @query(with_views("v_elements", select="+ " + _PHASES + """
 =
 SELECT scene_id, e.seq, element_id || '-' || e.seq AS element_id, CASE WHEN e.seq % 2 = 0 AND scene_id % 11 <> 0 AND e.seq % 6 <> 0 AND e.seq % 4 <> 0 AND reason IS NULL THEN dur_ms - e.seq % 4 * 120 ELSE dur_ms END AS dur_ms,

@@ -9,6 +9,7 @@ from cuespan.operators.joins import scene_words
 from cuespan.operators.windows import hand_motion_qa, transition_plan
 from cuespan.plans.agg_queries import WORDS, durations
 from cuespan.plans.fixtures import COMPOSITIONS, table, v_art_new, v_art_old, v_asr, v_cues, v_elements, v_frames, v_scenes, v_words, with_views
+from cuespan.plans.frame_queries import _EVERY_RATE, phases_sql
 from cuespan.plans.registry import query
 from cuespan.plans.window_queries import _LENGTHS, _PAIRS, HAND_SQL, lengths
 
@@ -102,9 +103,34 @@ def pick_keyframes(spark, sf):
     return P.pick_keyframes(v_scenes(spark, sf).withColumnRenamed("project_id", "video_id"))
 
 
-@query(with_views("v_elements", select="SELECT scene_id, seq, (x % 100) / 100.0::DOUBLE AS confidence, dur_ms // 3 AS need_ms, h AS spare_ms, dur_ms // 3 AS reserved_ms FROM v_elements WHERE dur_ms // 3 <= h QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY (x % 100) / 100.0::DOUBLE DESC, seq) = 1"))
+# Drawings of 2 to 8 seconds; the scene goes on for up to 1.5 seconds after an element's end.
+_RESERVE = """_c0 AS (SELECT scene_id, seq, CASE WHEN seq % 5 = 4 THEN 'passing-flash' ELSE 'focus-push' END AS effect, (x % 100) / 100.0::DOUBLE AS confidence, start_ms, 2000 + dur_ms * 2 AS original_ms, start_ms + 2000 + dur_ms * 2 + y * 37 % CASE WHEN scene_id % 3 = 0 THEN 1700 ELSE 1500 END AS boundary_ms FROM v_elements),
+_c1 AS (SELECT *, greatest(0, boundary_ms - 250 - (start_ms + original_ms + 100)) AS budget_ms FROM _c0 WHERE effect = 'focus-push' AND confidence >= 0.75),
+_c2 AS (SELECT *, boundary_ms - 250 - 1200 - 100 - start_ms AS dur_ms FROM _c1 WHERE scene_id NOT IN (SELECT scene_id FROM _c1 WHERE budget_ms >= 1200)), _c3 AS (SELECT * FROM _c2 WHERE dur_ms < original_ms AND dur_ms > 0)"""
+
+
+@query(with_views("v_elements", select="+ " + _RESERVE + ", " + phases_sql(_EVERY_RATE.format("_c3")) + """, _f AS (SELECT scene_id, seq FROM _ok GROUP BY ALL HAVING bool_and(fits))
+=
+SELECT scene_id, seq, effect, original_ms, dur_ms, 1200 AS reserved_ms, original_ms - dur_ms AS compressed_ms FROM _c3 JOIN _f USING (scene_id, seq) QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY confidence DESC, seq DESC) = 1"""))
 def feasible_first(spark, sf):
-    return P.feasible_first(v_elements(spark, sf).selectExpr("scene_id", "seq", "(x % 100) / 100D as confidence", "dur_ms div 3 as need_ms", "h as spare_ms"))
+    df = v_elements(spark, sf).selectExpr("scene_id", "seq", "if(seq % 5 = 4, 'passing-flash', 'focus-push') as effect", "(x % 100) / 100D as confidence", "start_ms", "2000 + dur_ms * 2 as dur_ms", "y * 37 % if(scene_id % 3 = 0, 1700, 1500) as room")
+    df = df.withColumn("boundary_ms", F.expr("start_ms + dur_ms + room")).withColumn("budget_ms", F.expr("greatest(0, room - 350)"))
+    return P.feasible_first(df)
+
+
+_CHOICES = {"identity": ["the "], "process": ["and ", "und "], "relation": ["la "], "action": ["tion", "der "]}
+
+
+@query(with_views("v_cues", select="""+ _e AS (SELECT project_id, cue_no, text, [""" + ", ".join(f"'{c}'" for c in COMPOSITIONS) + """][project_id % 6 + 1] AS c, (cue_no * 131 + project_id * 17) % 2000 AS b, lead(cue_no) OVER (PARTITION BY project_id ORDER BY cue_no) IS NULL AS last FROM v_cues),
+_w AS (SELECT *, CASE WHEN last AND contains(text, 'the ') THEN 'focus-push' WHEN c IN ('causal-chain', 'timeline', 'vertical-layers') AND (contains(text, 'and ') OR contains(text, 'und ')) THEN 'gesture-arrow' WHEN contains(text, 'la ') THEN 'gesture-bracket'
+  WHEN contains(text, 'the ') THEN 'gesture-underline' WHEN contains(text, 'tion') OR contains(text, 'der ') THEN 'gesture-arc' WHEN last THEN 'gesture-underline' ELSE 'gesture-arc' END AS wanted FROM _e),
+_x AS (SELECT *, CASE WHEN wanted = 'focus-push' AND b < 1200 OR wanted IN ('gesture-arc', 'gesture-bracket') AND b < 1100 THEN CASE WHEN b >= 700 THEN 'gesture-underline' ELSE 'skip' END WHEN b < 700 THEN 'skip' ELSE wanted END AS effect FROM _w)
+=
+SELECT project_id AS scene_id, cue_no AS seq, wanted, effect, CASE WHEN effect = 'skip' THEN 'skipped' WHEN effect <> wanted THEN 'cheaper' WHEN b < 1600 THEN 'simplified' END AS fallback FROM _x"""))
+def legacy_effect(spark, sf):
+    name = F.element_at(F.array(*map(F.lit, COMPOSITIONS)), F.expr("int(project_id % 6 + 1)"))
+    rows = v_cues(spark, sf).select(F.col("project_id").alias("scene_id"), F.col("cue_no").alias("seq"), "text", name.alias("composition"), F.expr("(cue_no * 131 + project_id * 17) % 2000").alias("budget_ms"))
+    return R.legacy_effect(rows, _CHOICES)
 
 
 @query("SELECT o_orderkey AS key, 'missing' AS side FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_partkey % 3 = 0) UNION ALL SELECT l_orderkey, 'unexpected' FROM (SELECT l_orderkey FROM lineitem WHERE l_partkey % 3 = 0 EXCEPT SELECT o_orderkey FROM orders)")

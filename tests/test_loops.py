@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuespan.functions import text as T
-from cuespan.operators import aggs, boards, folds, picks, rules, tables, windows
+from cuespan.operators import aggs, boards, captions, folds, picks, rules, tables, windows
 from cuespan.sources import readers
 from cuespan.streaming import streams
 
@@ -446,3 +446,14 @@ def test_resolve_beat_anchor(spark):
     beats = spark.createDataFrame([(1, "a", 1, 2, None), (1, "a", 2, 3, "cat"), (1, "a", 3, 99, "BIG cat SAT."), (1, "b", 4, None, "the"), (1, "b", 5, None, "the the"), (1, "z", 6, None, "the"), (1, "a", 7, None, " ")], "project_id int, scene_id string, beat_no int, word_id int, phrase string")
     got = {r.beat_no: (r.anchor_id, r.start_ms, r.rule_id) for r in boards.resolve_beat_anchor(beats, words, words).collect()}
     assert got == {1: (2, 200, None), 2: (None, None, "outside-scene"), 3: (0, 0, None), 4: (None, None, "no-anchor"), 5: (3, 300, None), 6: (None, None, "unknown-scene"), 7: (None, None, "no-anchor")}
+
+
+def test_split_of_one_very_long_clause(spark):
+    rng = random.Random(1)
+    n = 100_000
+    text = "".join(rng.choice("abcdefgh") for _ in range(n))
+    atoms = spark.createDataFrame([(1, 0, text, 0, n, True)], "project_id int, atom_no int, text string, start_idx int, end_idx int, major boolean")
+    letters = spark.createDataFrame([(1, i, c, i * 100, i * 100 + 80) for i, c in enumerate(text)], "project_id int, pos int, key string, start_ms bigint, end_ms bigint")
+    got = captions.split_long_atoms(atoms, letters).orderBy("piece_no").collect()
+    assert "".join(r.text for r in got) == text and all(1 <= r.end_idx - r.start_idx <= 18 for r in got)
+    assert all(a.end_idx == b.start_idx for a, b in zip(got, got[1:])) and [r.major for r in got] == [False] * (len(got) - 1) + [True]
