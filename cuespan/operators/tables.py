@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from cuespan.sources.readers import shared_folder
+#: The folder of local masters without a shared one.
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that executors share, spark.checkpoint.dir; only a local master may do without."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
+        base = _LOCAL[0]
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
 
 #: Folder of each table that `written` returned and `dropped` has not deleted.
 _FOLDERS: dict[int, tuple[DataFrame, str]] = {}

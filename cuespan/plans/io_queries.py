@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cuespan.plans.fixtures import table, v_cues, v_frames, v_words, with_views
+from cuespan.plans.fixtures import table, v_cues, v_elements, v_frames, v_words, with_views
 from cuespan.plans.registry import query
 from cuespan.plans.window_queries import HAND_SQL
 from cuespan.sources import readers as S
@@ -69,6 +69,76 @@ def file_inventory(spark, sf):
     return files.select("path", "sha256").join(inside, "path").where("sha256 = _sha").select(folder.alias("folder"), "texts", "n")
 
 
+def feeds(rows, body):
+    """Files, one per hundred projects, with one JSON text each; their folder."""
+    path = S.shared_folder(rows.sparkSession)
+    rows.groupBy(F.expr("project_id div 100").alias("part")).agg(F.to_json(body).alias("value")).repartition("part").write.partitionBy("part").text(path)
+    return f"{path}/*/*.txt"
+
+
+def part_of(path: str = "path"):
+    return F.regexp_extract(path, "part=([0-9]+)", 1).cast("bigint").alias("part")
+
+
+@query(with_views("v_cues", select="SELECT project_id // 100 AS part, row_number() OVER (PARTITION BY project_id // 100 ORDER BY project_id, cue_no)::INT AS cue_no, start_ms, start_ms + greatest(1, CASE WHEN cue_no % 4 = 0 THEN 0 WHEN cue_no % 4 = 1 THEN 1 ELSE end_ms - start_ms END) AS end_ms, text FROM v_cues WHERE cue_no % 6 <> 5"))
+def read_json3_captions(spark, sf):
+    """Caption feeds written as JSON files and read back: texts in two pieces, some escaped, lengths missing, every sixth blank."""
+    half = F.expr("int(char_length(text) / 2)")
+    pieces = F.array(F.struct(F.replace(F.substring("text", F.lit(1), half), F.lit("&"), F.lit("&amp;")).alias("utf8")), F.struct(F.substring(F.col("text"), half + 1, F.char_length("text")).alias("utf8")))
+    blank = F.array(F.struct(F.lit("\n").alias("utf8")))
+    event = F.struct("project_id", "cue_no", F.col("start_ms").alias("tStartMs"), F.expr("case cue_no % 4 when 0 then 0 when 1 then null else end_ms - start_ms end").alias("dDurationMs"), F.when(F.col("cue_no") % 6 == 5, blank).otherwise(pieces).alias("segs"))
+    path = feeds(v_cues(spark, sf), F.struct(F.array_sort(F.collect_list(event)).alias("events")))
+    return S.read_json3_captions(spark, path).select(part_of(), "cue_no", "start_ms", "end_ms", "text")
+
+
+@query(with_views("v_words", select="SELECT project_id // 100 AS part, 'p' || (project_id // 100) AS project_id, row_number() OVER (PARTITION BY project_id // 100 ORDER BY v_words.project_id, idx) - 1 AS idx, 'w' || v_words.project_id || '-' || idx AS word_id, text, start_ms, end_ms FROM v_words"))
+def read_words(spark, sf):
+    """Word files written as JSON and read back."""
+    word = F.struct("project_id", "idx", F.concat(F.lit("w"), F.col("project_id").cast("string"), F.lit("-"), F.col("idx").cast("string")).alias("id"), "text", "start_ms", "end_ms")
+    words = F.array_sort(F.collect_list(word))
+    path = feeds(v_words(spark, sf), F.struct(F.concat(F.lit("p"), F.first(F.expr("project_id div 100")).cast("string")).alias("project_id"), words.alias("words")))
+    return S.read_words(spark, path).select(part_of(), "project_id", "idx", "word_id", "text", "start_ms", "end_ms")
+
+
+@query(with_views("v_cues", select="SELECT project_id::VARCHAR AS project_id, row_number() OVER (PARTITION BY project_id ORDER BY cue_no)::INT AS cue_no, start_ms, end_ms, text FROM v_cues"))
+def caption_bundle(spark, sf):
+    """All captions written as a bundle and read back."""
+    path = S.shared_folder(spark)
+    S.write_caption_bundle(S.render_srt(v_cues(spark, sf)), path)
+    return S.parse_srt(S.read_caption_bundle(spark, path), "compose").select(F.col("path").alias("project_id"), "cue_no", "start_ms", "end_ms", "text")
+
+
+@query(with_views("v_cues", select="SELECT project_id, count(*) AS n, sum(end_ms - start_ms)::BIGINT AS ms, md5(string_agg(text, '|' ORDER BY cue_no)) AS texts FROM v_cues GROUP BY project_id"))
+def snapshot_round_trip(spark, sf):
+    """Cues written as a bucketed snapshot and summed up from it."""
+    path = S.shared_folder(spark)
+    S.write_snapshot(v_cues(spark, sf), path, "project_id")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_no", "text"))), lambda x: x["text"]), "|")
+    return spark.read.parquet(path).groupBy("project_id").agg(F.count("*").alias("n"), F.sum(F.expr("end_ms - start_ms")).alias("ms"), F.md5(texts.cast("binary")).alias("texts"))
+
+
+# Boards of 48 by 27 pixels, a pixel for 40 by 40; the outer five stay free.
+@query(with_views("v_elements", select="""+ _p AS (SELECT DISTINCT scene_id, px, py FROM v_elements, LATERAL (SELECT unnest(range(greatest(5, x // 40), least(43, (x + w) // 40 + 1))) AS px), LATERAL (SELECT unnest(range(greatest(5, y // 40), least(22, (y + h) // 40 + 1))) AS py)),
+_g AS (SELECT *, px - row_number() OVER (PARTITION BY scene_id, py ORDER BY px) AS g FROM _p)
+=
+SELECT scene_id::VARCHAR AS board_id, py::INT AS y, min(px)::INT AS x0, (max(px) + 1)::INT AS x1 FROM _g GROUP BY scene_id, py, g"""))
+def board_runs(spark, sf):
+    return S.board_runs(board_images(spark, sf))[0]
+
+
+@query(with_views("v_elements", select="SELECT DISTINCT scene_id::VARCHAR AS board_id, 64 AS samples, 250::DOUBLE AS r, 250::DOUBLE AS g, 250::DOUBLE AS b FROM v_elements"))
+def board_corners(spark, sf):
+    return S.board_runs(board_images(spark, sf))[1].groupBy("board_id").agg(F.count("*").cast("int").alias("samples"), F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("b").alias("b"))
+
+
+def board_images(spark, sf):
+    """A picture per scene with its elements as black boxes on light ground."""
+    box = F.struct(F.expr("x div 40").alias("x0"), F.expr("(x + w) div 40").alias("x1"), F.expr("y div 40").alias("y0"), F.expr("(y + h) div 40").alias("y1"))
+    boxes = v_elements(spark, sf).groupBy("scene_id").agg(F.collect_list(box).alias("boxes"))
+    pixel = F.expr("transform(sequence(0, 27 * 48 - 1), i -> if(i % 48 between 5 and 42 and i div 48 between 5 and 21 and exists(boxes, b -> i % 48 between b.x0 and b.x1 and i div 48 between b.y0 and b.y1), '000000', 'FAFAFA'))")
+    return boxes.select(F.col("scene_id").alias("board_id"), F.lit(48).alias("width"), F.lit(27).alias("height"), F.lit(3).alias("channels"), F.unhex(F.array_join(pixel, "")).alias("data"))
+
+
 @query("SELECT label::VARCHAR AS clip_id, (vec_id)::INT AS chunk_no, 64::INT AS n, round(list_sum(list_transform(embedding, lambda x: round_even(greatest(-1, least(1, x::DOUBLE)) * 32767, 0)::DOUBLE)) / 32768.0::DOUBLE, 4) AS total FROM embeddings")
 def pcm_chunks(spark, sf):
     """Vectors written as little sound files, one each, and unpacked again."""

@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 from cuespan.functions.text import format_time_ms, parse_time_ms, strip_markup
+from cuespan.operators.tables import shared_folder, written
 
 TIME = r"\d+:\d{1,2}:\d{1,2}[,.]\d{1,3}"
 CLOCK = r"(?:\d+:)?\d{1,2}:\d{1,2}[,.]\d{1,3}"
 
 
-#: The folder of local masters without a shared one.
-_LOCAL: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that executors share, spark.checkpoint.dir; only a local master may do without."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
-        base = _LOCAL[0]
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, value) of whole text files, byte order marks and carriage returns out."""
     df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -135,32 +117,27 @@ def board_runs(images: DataFrame, threshold: int = 42) -> tuple[DataFrame, DataF
     """Foreground runs (board_id, y, x0, x1) and corner samples (board_id, r, g, b) of images (board_id, width, height, channels, data BGR).
 
     A pixel is foreground if its colour is further than `threshold` from the median of the corners
-    (squares of a fiftieth of the shorter side, 4 pixels at least).
+    (squares of a fiftieth of the shorter side, 4 pixels at least). Images are decoded once: both results read one
+    table in the shared folder.
     """
 
-    def sides(batch):
-        for r in batch.to_pylist():
-            px = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"])[:, :, 2::-1].astype(np.float64)
-            k = max(4, min(r["width"], r["height"]) // 50)
-            corners = np.concatenate([px[:k, :k], px[:k, -k:], px[-k:, :k], px[-k:, -k:]]).reshape(-1, 3)
-            yield r["board_id"], px, corners
-
-    def runs(batches):
+    def both(batches):
         for batch in batches:
-            for board, px, corners in sides(batch):
+            for r in batch.to_pylist():
+                px = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"])[:, :, 2::-1]
+                k = max(4, min(r["width"], r["height"]) // 50)
+                corners = np.concatenate([px[:k, :k], px[:k, -k:], px[-k:, :k], px[-k:, -k:]]).reshape(-1, 3)
                 on = np.sqrt(((px - np.median(corners, axis=0)) ** 2).sum(axis=2)) > threshold
                 edge = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
                 (y, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-                yield pa.RecordBatch.from_arrays([pa.array([board] * len(y), pa.string()), pa.array(y, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["board_id", "y", "x0", "x1"])
-
-    def samples(batches):
-        for batch in batches:
-            for board, _, corners in sides(batch):
-                c = corners.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([board] * len(c), pa.string()), *[pa.array(c[:, i]) for i in range(3)]], ["board_id", "r", "g", "b"])
+                rows = np.concatenate([np.stack([y, a, b], axis=1), corners]).astype(np.int32)
+                run = np.arange(len(rows)) < len(y)
+                yield pa.RecordBatch.from_arrays([pa.array([r["board_id"]] * len(rows), pa.string()), pa.array(run), *[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)]], ["board_id", "run", "a", "b", "c"])
 
     src = images.select(F.col("board_id").cast("string").alias("board_id"), "width", "height", "channels", "data")
-    return src.mapInArrow(runs, "board_id string, y int, x0 int, x1 int"), src.mapInArrow(samples, "board_id string, r int, g int, b int")
+    found = written(src.mapInArrow(both, "board_id string, run boolean, a int, b int, c int"))
+    named = lambda where, names: found.where(where).select("board_id", *[F.col(c).alias(n) for c, n in zip("abc", names, strict=True)])
+    return named("run", ("y", "x0", "x1")), named("not run", ("r", "g", "b"))
 
 
 def read_board_runs(spark: SparkSession, path: str, threshold: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -227,6 +204,16 @@ def write_captions(blocks: DataFrame, path: str) -> None:
     blocks.repartition("project_id").write.mode("overwrite").partitionBy("project_id").text(path)
 
 
+def write_caption_bundle(blocks: DataFrame, path: str, files: int = 64) -> None:
+    """All projects' captions (project_id, block) as `files` Parquet files at most, each sorted by project, however many projects there are."""
+    blocks.select("project_id", "block").repartition(files, "project_id").sortWithinPartitions("project_id").write.mode("overwrite").parquet(path)
+
+
+def read_caption_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of a bundle, as the parsers of captions take them; `path` is the project."""
+    return spark.read.parquet(path).select(F.col("project_id").cast("string").alias("path"), F.col("block").alias("value"))
+
+
 def canonical_json(df: DataFrame) -> DataFrame:
     """(value): each row as JSON with its keys sorted and nulls kept."""
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
