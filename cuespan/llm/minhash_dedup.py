@@ -148,7 +148,7 @@ def set_ids(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, hashes) of (node, set_id, text): the different shingle hashes, ascending, as 8-byte numbers.
+    """(node, mask, signature, hashes) of (node, mask, signature, set_id, text): the different shingle hashes, ascending, as 8-byte numbers.
 
     A row whose text has another set than set_id says goes.
     """
@@ -159,10 +159,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 hashes, bounds = distinct(*shingle_hashes(*column_bytes(part.column("text"))))
                 sets = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(hashes)])
                 mine = pc.equal(set_ids(hashes, bounds), part.column("set_id"))
-                yield pa.RecordBatch.from_arrays([part.column("node"), sets], ["node", "hashes"]).filter(mine)
+                along = ["node", "mask", "signature"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in along], sets], [*along, "hashes"]).filter(mine)
         give_back()
 
-    return docs.mapInArrow(run, "node long, hashes binary")
+    return docs.mapInArrow(run, "node long, mask long, signature array<int>, hashes binary")
 
 
 def overlaps(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -397,9 +398,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(kept)
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("low"), F.col(text_col).cast("string").alias("text"))
-    wanted = own.join(members.select("node").distinct(), "node", "left_semi").select("low", "node", "set_id")
-    sets = shingle_sets(texts.join(wanted, "low").select("node", "set_id", "text")).dropDuplicates(["node"])
-    sets = materialize(sets.join(own.select("node", "mask", "signature"), "node"))
+    wanted = own.join(members.select("node").distinct(), "node", "left_semi").select("low", "node", "set_id", "mask", "signature")
+    sets = shingle_sets(texts.join(wanted, "low").select("node", "mask", "signature", "set_id", "text"))
+    if not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").isEmpty():
+        sets = sets.dropDuplicates(["node"])  # sets are shuffled only where rows share an id
+    sets = materialize(sets)
     discard(own)
     drop_shuffles(docs.sparkSession)
 
