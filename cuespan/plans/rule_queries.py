@@ -133,9 +133,10 @@ def legacy_effect(spark, sf):
     return R.legacy_effect(rows, _CHOICES)
 
 
-@query("SELECT o_orderkey AS key, 'missing' AS side FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_partkey % 3 = 0) UNION ALL SELECT l_orderkey, 'unexpected' FROM (SELECT l_orderkey FROM lineitem WHERE l_partkey % 3 = 0 EXCEPT SELECT o_orderkey FROM orders)")
+@query("""WITH l AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN l_orderkey ELSE -l_orderkey - l_partkey % 5 END AS k FROM lineitem)
+SELECT o_orderkey AS key, 'missing' AS side FROM (SELECT o_orderkey FROM orders EXCEPT SELECT k FROM l) UNION ALL SELECT k, 'unexpected' FROM (SELECT k FROM l EXCEPT SELECT o_orderkey FROM orders)""")
 def id_set_diff(spark, sf):
-    return P.id_set_diff(table(spark, sf, "orders").selectExpr("o_orderkey as k"), table(spark, sf, "lineitem").where("l_partkey % 3 = 0").selectExpr("l_orderkey as k"), "k")
+    return P.id_set_diff(table(spark, sf, "orders").selectExpr("o_orderkey as k"), table(spark, sf, "lineitem").selectExpr("if(l_partkey % 3 = 0, l_orderkey, -l_orderkey - l_partkey % 5) as k"), "k")
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents GROUP BY text")
