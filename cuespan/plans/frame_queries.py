@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from cuespan.functions.text import CAPTION_PUNCTUATION
 from cuespan.operators import folds as D, frames as C
 from cuespan.operators.windows import local_peaks
-from cuespan.plans.fixtures import COMPOSITIONS, table, v_cues, v_elements, v_frames, v_motion, v_scenes, v_words, with_views
+from cuespan.plans.fixtures import COMPOSITIONS, table, v_cues, v_elements, v_frames, v_motion, v_words, with_views
 from cuespan.plans.registry import query
 
 _R = "round_even({}, 0)::BIGINT"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cuespan.operators.tables import shared_folder
 from cuespan.plans.fixtures import table, v_cues, v_elements, v_frames, v_words, with_views
 from cuespan.plans.registry import query
 from cuespan.plans.window_queries import HAND_SQL
@@ -61,7 +62,7 @@ def file_inventory(spark, sf):
     """Digests of texts, a thousand documents to a file, written and read back by the inventory: each file's digest is that of its bytes."""
     docs = table(spark, sf, "documents").selectExpr("doc_id div 1000 as part", "sha2(text, 256) as sha256")
     lines = docs.groupBy("part").agg(F.array_join(F.array_sort(F.collect_list("sha256")), ",").alias("value"))  # 65 letters a document
-    path = S.shared_folder(spark)
+    path = shared_folder(spark)
     lines.repartition("part").write.partitionBy("part").option("lineSep", "\n").text(path)
     files = S.file_inventory(spark, f"{path}/*/*.txt")
     inside = spark.read.format("binaryFile").load(f"{path}/*/*.txt").select("path", F.md5(F.expr("substring(content, 1, length(content) - 1)")).alias("texts"), F.expr("length(content) div 65").alias("n"), F.sha2("content", 256).alias("_sha"))
@@ -71,7 +72,7 @@ def file_inventory(spark, sf):
 
 def feeds(rows, body):
     """Files, one per hundred projects, with one JSON text each; their folder."""
-    path = S.shared_folder(rows.sparkSession)
+    path = shared_folder(rows.sparkSession)
     rows.groupBy(F.expr("project_id div 100").alias("part")).agg(F.to_json(body).alias("value")).repartition("part").write.partitionBy("part").text(path)
     return f"{path}/*/*.txt"
 
@@ -103,7 +104,7 @@ def read_words(spark, sf):
 @query(with_views("v_cues", select="SELECT project_id::VARCHAR AS project_id, row_number() OVER (PARTITION BY project_id ORDER BY cue_no)::INT AS cue_no, start_ms, end_ms, text FROM v_cues"))
 def caption_bundle(spark, sf):
     """All captions written as a bundle and read back."""
-    path = S.shared_folder(spark)
+    path = shared_folder(spark)
     S.write_caption_bundle(S.render_srt(v_cues(spark, sf)), path)
     return S.parse_srt(S.read_caption_bundle(spark, path), "compose").select(F.col("path").alias("project_id"), "cue_no", "start_ms", "end_ms", "text")
 
@@ -111,7 +112,7 @@ def caption_bundle(spark, sf):
 @query(with_views("v_cues", select="SELECT project_id, count(*) AS n, sum(end_ms - start_ms)::BIGINT AS ms, md5(string_agg(text, '|' ORDER BY cue_no)) AS texts FROM v_cues GROUP BY project_id"))
 def snapshot_round_trip(spark, sf):
     """Cues written as a bucketed snapshot and summed up from it."""
-    path = S.shared_folder(spark)
+    path = shared_folder(spark)
     S.write_snapshot(v_cues(spark, sf), path, "project_id")
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_no", "text"))), lambda x: x["text"]), "|")
     return spark.read.parquet(path).groupBy("project_id").agg(F.count("*").alias("n"), F.sum(F.expr("end_ms - start_ms")).alias("ms"), F.md5(texts.cast("binary")).alias("texts"))
@@ -189,7 +190,7 @@ def stream_downsample_batch(spark, sf):
 def stream_ledger_batch(spark, sf):
     """Three batches of results, put into a ledger one after another, and what it then holds."""
     results = table(spark, sf, "orders").selectExpr("o_orderkey % 5003 as scene_id", "o_custkey % 5 as version", "o_orderstatus as state", "o_orderkey as run")
-    ledger = K.ledger_table(spark, S.shared_folder(spark), "scene_id bigint, version bigint, state string, run bigint")
+    ledger = K.ledger_table(spark, shared_folder(spark), "scene_id bigint, version bigint, state string, run bigint")
     for batch in range(3):
         K.put_results(ledger, results.where(f"run % 3 = {batch}"), batch)
     return ledger.rows()
@@ -199,7 +200,7 @@ def stream_ledger_batch(spark, sf):
 SELECT doc_id || '.txt' AS path, CASE WHEN doc_id % 2 = 0 AND h1 = sha256(text || '!') THEN sha256(text || '?') ELSE h1 END AS sha256 FROM a UNION ALL SELECT 'new' || doc_id || '.txt', sha256(text) FROM documents WHERE doc_id % 5 = 0""")
 def stream_changes_batch(spark, sf):
     """Two batches of change sets, every fourth of the first on a stale base, and the snapshot after them."""
-    docs, path = table(spark, sf, "documents"), S.shared_folder(spark)
+    docs, path = table(spark, sf, "documents"), shared_folder(spark)
     K.first_snapshot(docs.selectExpr("concat(doc_id, '.txt') as path", "sha2(text, 256) as sha256"), path)
     first = docs.selectExpr("doc_id as set_id", "concat(doc_id, '.txt') as path", "if(doc_id % 4 = 1, 'stale', sha2(text, 256)) as before_sha256", "concat(text, '!') as after_content")
     new = docs.where("doc_id % 5 = 0").selectExpr("doc_id + 1000000000 as set_id", "concat('new', doc_id, '.txt') as path", "cast(null as string) as before_sha256", "text as after_content")

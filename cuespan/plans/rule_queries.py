@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuespan.operators import aggs, picks as P, rules as R, state as S
 from cuespan.operators.joins import scene_words
 from cuespan.operators.windows import hand_motion_qa, transition_plan
-from cuespan.plans.agg_queries import WORDS, durations
+from cuespan.plans.agg_queries import WORDS
 from cuespan.plans.fixtures import COMPOSITIONS, table, v_art_new, v_art_old, v_asr, v_cues, v_elements, v_frames, v_scenes, v_words, with_views
 from cuespan.plans.frame_queries import _EVERY_RATE, phases_sql
 from cuespan.plans.registry import query

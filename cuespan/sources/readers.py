@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.window import Window
 
 from cuespan.functions.text import format_time_ms, parse_time_ms, strip_markup
-from cuespan.operators.tables import shared_folder, written
+from cuespan.operators.tables import written
 
 TIME = r"\d+:\d{1,2}:\d{1,2}[,.]\d{1,3}"
 CLOCK = r"(?:\d+:)?\d{1,2}:\d{1,2}[,.]\d{1,3}"
