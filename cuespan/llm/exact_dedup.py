@@ -12,6 +12,8 @@ from cuespan.llm.common import lookup_join, materialize, remove_folder, scratch
 BATCH_ROWS, BUCKET_ROWS = 1 << 26, 1 << 22
 #: Batches of a call at least, so that all but the first meet an index that holds rows.
 BATCHES = 4
+#: Buckets of an index of its own at least.
+LEAST_BUCKETS = 16
 
 
 class DigestIndex:
@@ -74,10 +76,13 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     """
     rows = materialize(digests(docs, id_col, text_col))
     n = rows.count()
-    index = index or DigestIndex(docs.sparkSession, buckets=max(64, n // BUCKET_ROWS + 1))
+    own = DigestIndex(docs.sparkSession, buckets=max(LEAST_BUCKETS, n // BUCKET_ROWS + 1)) if index is None else None
+    index = index or own
     for where in id_ranges(rows, max(batches, n // BATCH_ROWS + 1)):
         index.append(rows.where(where).groupBy("digest").agg(F.max("doc_id").alias("keep_id")))
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
     groups = materialize(sizes.join(index.rows(), "digest"))
+    if own:
+        own.close()
     out = lookup_join(rows, groups, "digest", "group_size", "doc_id")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -73,6 +73,12 @@ def test_exact_dedup_keeps_its_index(spark, docs, tmp_path):
     assert again.rows().count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count() > n
 
 
+def test_exact_dedup_forgets_its_own_index(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.exact_dedup(docs).count() == docs.count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_no_python_in_exact_dedup(spark, docs):
     assert "Python" not in exact_dedup.exact_dedup(docs)._jdf.queryExecution().toString()
 
