@@ -27,7 +27,7 @@ def parse_srt(files: DataFrame, mode: str = "tolerant") -> DataFrame:
     needs exact times, keeps line breaks, and names in rule_id empty texts, bad ranges and overlaps.
     """
     blocks = files.select("path", F.posexplode(F.split(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")), r"\n\s*\n")).alias("i", "block"))
-    lines = F.filter(F.transform(F.split("block", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     arrow = F.lit("-->") if mode == "tolerant" else F.lit(" --> ")
     at = F.array_position(F.transform("lines", lambda x: F.contains(x, arrow)), F.lit(True)).cast("int")
     df = blocks.withColumn("lines", lines).withColumn("at", at).where("at > 0").withColumn("t", F.regexp_extract_all(F.element_at("lines", F.col("at")), F.lit(f"({TIME})"), F.lit(1))).where("size(t) >= 2")
