@@ -178,7 +178,7 @@ def review_targets(projects: DataFrame, scenes: DataFrame, elements: DataFrame,
     w = Window.partitionBy("project_id")
     placed = cues.withColumns({"_i": F.row_number().over(w.orderBy("cue_no")) - 1, "_n": F.count("*").over(w)})
     placed = placed.where("_i = least(_n - 1, _n div 3) or _i = least(_n - 1, (2 * _n) div 3)")
-    parts.append(placed.select("project_id", target(F.floor((c("start_ms") + c("end_ms")) / 2), "caption-mid", say("caption-", F.lpad((c("_i") + 1).cast("string"), 2, "0"))).alias("t")))
+    parts.append(placed.select("project_id", target(F.floor((c("start_ms") + c("end_ms")) / 2), "caption-mid", say("caption-", F.when(c("_i") < 9, "0").otherwise(""), c("_i") + 1)).alias("t")))
     parts.append(projects.select("project_id", F.explode(F.array(target(F.lit(0), "first", F.lit("first-frame")), target(F.greatest(F.lit(0), c("duration_ms") - BEFORE_LAST_MS), "last", F.lit("last-frame")))).alias("t")))
     all_ = parts[0]
     for part in parts[1:]:
