@@ -36,12 +36,20 @@ def sample_interval_ms(duration_ms: str | Column) -> Column:
     return F.greatest(F.lit(LEAST_INTERVAL_MS), F.ceil(d / float(MOST_SAMPLES) / INTERVAL_STEP_MS) * INTERVAL_STEP_MS).cast("bigint")
 
 
+def nearest_millis(ts: str | Column) -> Column:
+    """A time as the nearest whole millisecond, half away from 1970."""
+    return F.round(F.unix_micros(ts) / 1000).cast("bigint")
+
+
 def _slots(frames: DataFrame, videos: DataFrame) -> DataFrame:
-    """Frames (video_id, ts, score) within their video with its interval and their slot, which count from the video's own start."""
-    at = F.unix_millis("ts") - F.unix_millis("start")
+    """Frames (video_id, ts, score) within their video with its interval and their slot, which count from the video's own start.
+
+    Slots go by times to the nearest millisecond; whether a frame is within its video, by the times as they are.
+    """
+    at, since = nearest_millis("ts") - nearest_millis("start"), F.unix_micros("ts") - F.unix_micros("start")
     df = frames.join(videos.select("video_id", "start", "duration_ms"), "video_id")
     df = df.withColumn("interval_ms", sample_interval_ms("duration_ms")).withColumn("slot", F.floor(at / F.col("interval_ms")).cast("bigint"))
-    return df.where((at >= 0) & (at < F.col("duration_ms")))
+    return df.where((since >= 0) & (since < F.col("duration_ms") * 1000))
 
 
 def downsample(frames: DataFrame, videos: DataFrame) -> DataFrame:
@@ -86,7 +94,7 @@ def stream_downsample(frames: DataFrame, videos: DataFrame, watermark: str = "10
     A key's state is its open slots, and goes with them.
     """
     df = _slots(frames, videos).withWatermark("ts", watermark)
-    ends = F.unix_millis("start") + (F.col("slot") + 1) * F.col("interval_ms")
+    ends = nearest_millis("start") + (F.col("slot") + 1) * F.col("interval_ms")
     df = df.select("video_id", "ts", F.col("score").cast("double").alias("score"), (F.col("slot") * F.col("interval_ms")).alias("slot_ms"), ends.alias("ends"))
     out = df.groupBy("video_id").transformWithStateInPandas(_FirstOfSlot(), "video_id long, slot_ms long, score double", "Append", "EventTime")
     return out.withColumn("score", F.col("score").cast(dict(frames.dtypes)["score"]))
