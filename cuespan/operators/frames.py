@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuespan.functions.text import norm_text
 
 # Milliseconds of the hand's release, frames of colour at least, and the safe frame as shares of the canvas.
 HAND_RELEASE_MS, MIN_COLOR_FRAMES = 180, 8
+# Shares of a budget for the frames before colour, the finish and the texture.
+BEFORE_SHARE, FINISH_SHARE, TEXTURE_SHARE = 0.20, 0.04, 0.15
 PRE_ACTION_MS, POST_ACTION_HOLD_MS, LEAVE_MS = 100, 250, 80
 PIXEL_EFFECTS = ("contour-indicate", "highlight-wash", "passing-flash")
 
 
 def half_even(c: Column) -> Column:
-    return F.bround(c.cast("double")).cast("bigint")
+    return F.rint(c.cast("double")).cast("bigint")
 
 
 def frame_span(start: Column, dur: Column, fps: int | Column) -> Column:
@@ -28,24 +32,18 @@ def phase_frames(total: Column, original: Column, has_texture: Column, fps: int
     Recognition and base colour are protected: what a shorter budget lacks is taken from the
     finish, then from texture.
     """
-    before = F.when(original < 8, F.lit(1)).otherwise(F.greatest(F.lit(3), half_even(original * 0.20)))
+    before = F.when(original < 8, F.lit(1)).otherwise(F.greatest(F.lit(3), half_even(original * BEFORE_SHARE)))
     release = F.greatest(F.lit(2), half_even(F.lit(fps * HAND_RELEASE_MS / 1000) if isinstance(fps, int) else fps * HAND_RELEASE_MS / 1000))
     base = F.greatest(F.lit(MIN_COLOR_FRAMES), before)
-    finish = F.greatest(release, half_even(original * 0.04))
-    texture = F.when(has_texture, half_even(original * 0.15)).otherwise(F.lit(0))
+    finish = F.greatest(release, half_even(original * FINISH_SHARE))
+    texture = F.when(has_texture, half_even(original * TEXTURE_SHARE)).otherwise(F.lit(0))
     recognition = original - before - finish - texture
-    extra = base - before
-    take1 = F.least(extra, finish - release)
-    take2 = F.least(extra - take1, texture)
-    lack = original - total
-    finish, texture = finish - take1, texture - take2
-    cut1 = F.least(lack, finish - release)
-    cut2 = F.least(lack - cut1, texture)
-    reason = (
-        F.when((total < 1) | (original < total), "invalid-budget").when((recognition < 1) | (extra - take1 - take2 > 0), "window-too-short").when(lack - cut1 - cut2 > 0, "protected-phases")
-    )
+    # What colour takes and what the budget lacks come out of the finish, then out of texture. A budget without length takes all.
+    extra, spare = base - before, finish - release + texture
+    taken = F.coalesce(extra + original - total, spare)
+    reason = F.when((total < 1) | (original < total), "invalid-budget").when((recognition < 1) | (extra > spare), "window-too-short").when(taken > spare, "protected-phases")
     value = lambda c: F.when(reason.isNull(), c).cast("bigint")
-    return F.struct(value(recognition).alias("recognition"), value(base).alias("base_color"), value(texture - cut2).alias("texture"), value(finish - cut1).alias("finalize"), reason.alias("reason"))
+    return F.struct(value(recognition).alias("recognition"), value(base).alias("base_color"), value(F.least(texture, spare - taken)).alias("texture"), value(F.greatest(release, finish - taken)).alias("finalize"), reason.alias("reason"))
 
 
 def compile_budget(elements: DataFrame, fps: int = 30) -> DataFrame:
@@ -56,15 +54,33 @@ def compile_budget(elements: DataFrame, fps: int = 30) -> DataFrame:
     return df.withColumns({"baseline": phase_frames(F.col("original_frames"), F.col("original_frames"), yes, fps), "phases": phase_frames(F.col("total_frames"), F.col("original_frames"), yes, fps)})
 
 
+def fits_all_fps(start: np.ndarray, dur: np.ndarray, original: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Whether the `phase_frames` of textured elements have no reason at any frame rate from `low` to `high`."""
+    out, left = np.zeros(len(start), bool), np.flatnonzero(original > 0)
+    for fps in range(low, high + 1):
+        # Only elements that fitted so far go on.
+        s, d, timed = start[left], dur[left], dur[left] > 0
+        first = np.rint(s * fps / 1000.0)
+        o, t = np.rint((s + original[left]) * fps / 1000.0) - first, np.rint((s + d) * fps / 1000.0) - first
+        before = np.where(o < 8, 1, np.maximum(3, np.rint(o * BEFORE_SHARE)))
+        release = max(2, round(fps * HAND_RELEASE_MS / 1000))
+        finish, texture = np.maximum(release, np.rint(o * FINISH_SHARE)), np.rint(o * TEXTURE_SHARE)
+        taken = np.maximum(MIN_COLOR_FRAMES - before, 0) + np.where(timed, o - t, 0)
+        left = left[(~timed | ((t >= 1) & (o >= t))) & (o - before - finish - texture >= 1) & (taken <= finish - release + texture)]
+    out[left] = True
+    return out
+
+
 def feasible_all_fps(elements: DataFrame, low: int = 8, high: int = 60) -> DataFrame:
     """Elements (start_ms, dur_ms, original_ms) with `feasible`: whether the phases fit at every frame rate from `low` to `high`."""
-    rows = elements.withColumn("_row", F.monotonically_increasing_id()).withColumn("_fps", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    span = lambda dur: frame_span(F.col("start_ms"), F.col(dur), F.col("_fps"))
-    rows = rows.withColumns({"_total": span("dur_ms"), "_original": span("original_ms")})
-    fits = phase_frames(F.col("_total"), F.col("_original"), F.lit(True), F.col("_fps"))["recognition"].isNotNull()
-    # A row's frame rates are in one task, so they are one row again before the shuffle.
-    one = rows.withColumn("_fits", fits).groupBy("_row").agg(F.any_value(F.struct(*elements.columns)).alias("_r"), F.bool_and("_fits").alias("feasible"))
-    return one.select("_r.*", "feasible")
+
+    @F.pandas_udf("boolean")
+    def fits(start: pd.Series, dur: pd.Series, original: pd.Series) -> pd.Series:
+        return pd.Series(fits_all_fps(start.to_numpy(), dur.to_numpy(), original.to_numpy(), low, high))
+
+    length = lambda c: F.when(F.col("start_ms").isNotNull(), F.col(c)).cast("double")
+    given = [F.coalesce(c, F.lit(0.0)) for c in (F.col("start_ms").cast("double"), length("dur_ms"), length("original_ms"))]
+    return elements.withColumn("feasible", fits(*given))
 
 
 def effective_reveal(elements: DataFrame, reservations: DataFrame, fps: int = 30) -> DataFrame:
