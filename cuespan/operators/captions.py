@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from cuespan.functions.text import CAPTION_PUNCTUATION, norm_text, visible_length
+from cuespan.functions.text import CAPTION_PUNCTUATION, letters as letters_of, norm_text, visible_length
 from cuespan.operators.folds import clause_atoms, pack_words
-from cuespan.operators.frames import char_timing
+from cuespan.operators.frames import char_timing, half_even
 from cuespan.operators.rules import violations
 from cuespan.operators.windows import monotone_clamp
 
@@ -30,10 +30,17 @@ FEW_BEFORE, FEW_AFTER = 5, 4
 BLANK, PUNCTUATION = r"[\p{Z}\t\n\x0B\f\r]", r"[^\P{P}_]"
 
 
+#: Letters that a task sorts at once, about: their rows are many times larger than what is shuffled of them.
+LETTERS_A_TASK = 500_000
+
+
+def tasks_for(letters: int | None) -> int:
+    return max(1, -(-(letters or 0) // LETTERS_A_TASK))
+
+
 def script_letters(scripts: DataFrame) -> DataFrame:
     """(project_id, pos, text, key) of scripts (project_id, text): their letters and digits in order."""
-    letters = F.filter(F.split("text", ""), lambda c: norm_text(c) != "")
-    return scripts.select("project_id", F.posexplode(letters).alias("pos", "text")).withColumn("key", F.lower("text"))
+    return scripts.select("project_id", F.posexplode(letters_of("text")).alias("pos", "text")).withColumn("key", F.lower("text"))
 
 
 def timed_letters(words: DataFrame) -> DataFrame:
@@ -43,7 +50,7 @@ def timed_letters(words: DataFrame) -> DataFrame:
     return df.select("project_id", place.alias("pos"), F.col("char").alias("key"), "start_ms", "end_ms")
 
 
-def anchor_runs(script: DataFrame, recognized: DataFrame, k: int, slack: int) -> DataFrame:
+def anchor_runs(script: DataFrame, recognized: DataFrame, k: int, slack: int, tasks: int) -> DataFrame:
     """(project_id, i0, i1, d): script places i0..i1 whose k letters stand d places further in the recognised letters, and once in both.
 
     Runs further than `slack` from the median shift of their neighbours, and runs that cross others, are left out.
@@ -52,9 +59,10 @@ def anchor_runs(script: DataFrame, recognized: DataFrame, k: int, slack: int) ->
 
     def once(df: DataFrame, at: str) -> DataFrame:
         grams = df.select("project_id", F.col("pos").alias(at), F.concat(*[F.lead("key", n).over(by_pos) for n in range(k)]).alias("_gram")).where("_gram is not null")
-        return grams.groupBy("project_id", "_gram").agg(F.count("*").alias("_n"), F.min(at).alias(at)).where("_n = 1").drop("_n")
+        found = grams.groupBy("project_id", "_gram").agg(F.count("*").alias("_n"), F.min(at).alias(at)).where("_n = 1").drop("_n")
+        return found.repartition(tasks, "project_id", "_gram")
 
-    df = once(script, "i").join(once(recognized, "j"), ["project_id", "_gram"]).select("project_id", "i", (F.col("j") - F.col("i")).alias("d"))
+    df = once(script, "i").join(once(recognized, "j"), ["project_id", "_gram"]).select("project_id", "i", (F.col("j") - F.col("i")).alias("d")).repartition(tasks, "project_id")
     w = Window.partitionBy("project_id").orderBy("i")
     new = F.coalesce((F.col("i") != F.lag("i").over(w) + 1) | (F.col("d") != F.lag("d").over(w)), F.lit(True)).cast("int")
     runs = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w)).groupBy("project_id", "_run", "d").agg(F.min("i").alias("i0"), F.max("i").alias("i1"))
@@ -73,15 +81,22 @@ def align_script(script: DataFrame, recognized: DataFrame, k: int = 12, slack: i
     Letters in a run of k or more that stands once in script and recognition take the recognised
     times. A run of others is spread evenly over the recognised letters between its neighbours, or
     if there are none over the time between them. Then starts and ends never go back. Projects
-    without recognised letters have no rows.
+    without recognised letters have no rows. Tasks grow in number with the script's letters, not in size.
     """
+    tasks = tasks_for(script.count())
+    script, recognized = script.repartition(tasks, "project_id"), recognized.repartition(tasks, "project_id")
     w, back = Window.partitionBy("project_id").orderBy("pos"), Window.partitionBy("project_id").orderBy(F.desc("pos"))
-    starts = anchor_runs(script, recognized, k, slack).select("project_id", F.col("i0").alias("pos"), F.struct("d", (F.col("i1") + k - 1).alias("end")).alias("_on"))
-    df = script.join(starts, ["project_id", "pos"], "left").withColumn("_on", F.last("_on", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.struct(F.col("d").cast("bigint").alias("d"), (F.col("i1") + k - 1).cast("bigint").alias("end"))
+    starts = anchor_runs(script, recognized, k, slack, tasks).select("project_id", F.col("i0").cast("int").alias("pos"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("key"), run.alias("_on"))
+    # A run's start stands before its first letter, so letters needn't be joined to runs.
+    both = script.select("project_id", "pos", "text", "key", F.lit(None).cast("struct<d:bigint,end:bigint>").alias("_on")).union(starts).repartition(tasks, "project_id")
+    on = F.last("_on", True).over(Window.partitionBy("project_id").orderBy("pos", F.col("_on").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    df = both.withColumn("_on", on).where("text is not null")
     df = df.select("project_id", "pos", "text", "key", F.when(F.col("pos") <= F.col("_on.end"), F.col("pos") + F.col("_on.d")).alias("_j"))
     times = recognized.select("project_id", F.col("pos").alias("_j"), "start_ms", "end_ms", F.lead("start_ms").over(w).alias("_next"), F.lag("end_ms").over(w).alias("_last"))
     bounds = recognized.groupBy("project_id").agg(F.min_by("start_ms", "pos").alias("_first"), F.max_by("end_ms", "pos").alias("_end"), F.max("pos").alias("_most"))
-    df = df.join(times, ["project_id", "_j"], "left").join(bounds, "project_id")
+    df = df.repartition(tasks, "project_id", "_j").join(times.repartition(tasks, "project_id", "_j"), ["project_id", "_j"], "left")
+    df = df.repartition(tasks, "project_id").join(bounds, "project_id")
     df = df.withColumns({
         "_left": F.last(F.when(F.col("_j").isNotNull(), F.struct("_j", "end_ms", "_next")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
         "_right": F.last(F.when(F.col("_j").isNotNull(), F.struct("_j", "start_ms", "_last")), True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
@@ -94,7 +109,7 @@ def align_script(script: DataFrame, recognized: DataFrame, k: int = 12, slack: i
         "_a": F.when(between, F.coalesce("_left._next", "_first")).otherwise(F.coalesce("_left.end_ms", "_first")),
         "_b": F.when(between, F.coalesce("_right._last", "_end")).otherwise(F.coalesce("_right.start_ms", "_end")),
     }).withColumn("_span", F.greatest("_n", F.col("_b") - F.col("_a")))
-    at = lambda i: F.bround(F.col("_a") + F.col("_span") * i / F.col("_n")).cast("bigint")
+    at = lambda i: half_even(F.col("_a") + F.col("_span") * i / F.col("_n"))
     start, end = at(F.col("_k")), F.greatest(at(F.col("_k")) + 1, at(F.col("_k") + 1))
     df = df.select("project_id", "pos", "text", "key", F.coalesce("start_ms", start).alias("start_ms"), F.when(F.col("_open"), end).otherwise(F.col("end_ms")).alias("end_ms"))
     return monotone_clamp(df, ["project_id"], ["pos"])
@@ -108,14 +123,16 @@ def split_long_atoms(atoms: DataFrame, letters: DataFrame, max_chars: int = 18,
     piece of a clause ends a sentence. Clauses beyond the aligned letters are left out.
     """
     # Letters find their clause in one pass over both, sorted by place; then each clause has its letters in one array.
-    clause = F.struct("atom_no", "text", "start_idx", "end_idx", "major")
+    # A clause's text stays with its own row: letters only carry its place.
+    clause = F.struct("atom_no", "start_idx", "end_idx", "major")
+    tasks = tasks_for(atoms.agg(F.sum(F.col("end_idx") - F.col("start_idx"))).first()[0])
     letter = F.struct(F.col("pos").cast("bigint").alias("pos"), "key", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    marks = atoms.select("project_id", F.col("start_idx").cast("bigint").alias("_p"), F.lit(0).alias("_kind"), clause.alias("_atom"), F.lit(None).cast("struct<pos:bigint,key:string,s:bigint,e:bigint>").alias("_x"))
-    rows = letters.select("project_id", F.col("pos").cast("bigint").alias("_p"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_atom"].dataType).alias("_atom"), letter.alias("_x"))
+    marks = atoms.select("project_id", F.col("start_idx").cast("bigint").alias("_p"), F.lit(0).alias("_kind"), clause.alias("_atom"), F.lit(None).cast("struct<pos:bigint,key:string,s:bigint,e:bigint>").alias("_x"), "text")
+    rows = letters.select("project_id", F.col("pos").cast("bigint").alias("_p"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_atom"].dataType).alias("_atom"), letter.alias("_x"), F.lit(None).cast("string").alias("text"))
     place = Window.partitionBy("project_id").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    own = marks.union(rows).withColumn("_atom", F.last("_atom", True).over(place)).where("_kind = 1 and _p < _atom.end_idx")
-    df = own.groupBy("project_id", F.col("_atom.atom_no").alias("_no")).agg(F.any_value("_atom").alias("_atom"), F.array_sort(F.collect_list("_x")).alias("_l"))
-    df = df.select("project_id", "_atom.*", "_l").where("size(_l) = end_idx - start_idx")
+    own = marks.union(rows).repartition(tasks, "project_id").withColumn("_atom", F.last("_atom", True).over(place)).where("_p < _atom.end_idx")
+    df = own.groupBy("project_id", F.col("_atom.atom_no").alias("_no")).agg(F.any_value("_atom").alias("_atom"), F.any_value("text", True).alias("text"), F.array_sort(F.collect_list("_x")).alias("_l"))
+    df = df.select("project_id", "_atom.*", "text", "_l").where("size(_l) = end_idx - start_idx")
     # Whether a connector begins at each letter, found once per letter from the few that follow.
     ahead = lambda i: F.array_join(F.transform(F.slice("_l", i + 1, max(map(len, connectors), default=1)), lambda x: x["key"]), "")
     joint = lambda text: functools.reduce(lambda a, word: a | F.startswith(text, F.lit(word)), connectors, F.lit(False))

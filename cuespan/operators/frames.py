@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cuespan.functions.text import norm_text
+from cuespan.functions.text import letters
 
 # Milliseconds of the hand's release, frames of colour at least, and the safe frame as shares of the canvas.
 HAND_RELEASE_MS, MIN_COLOR_FRAMES = 180, 8
@@ -153,8 +153,7 @@ def time_shift(timeline: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def char_timing(words: DataFrame) -> DataFrame:
     """(project_id, idx, pos, char, start_ms, end_ms): a word's time spread evenly over its letters and digits."""
-    letters = F.filter(F.split("text", ""), lambda c: norm_text(c) != "")
-    df = words.withColumn("_l", letters).where("size(_l) > 0").withColumn("_n", F.size("_l"))
+    df = words.withColumn("_l", letters("text")).where("_l is not null").withColumn("_n", F.size("_l"))
     df = df.withColumn("_span", F.greatest(F.col("start_ms") + F.col("_n"), F.col("end_ms")) - F.col("start_ms"))
     df = df.select("project_id", "idx", "start_ms", "_n", "_span", F.posexplode("_l").alias("pos", "char"))
     at = lambda i: half_even(F.col("start_ms") + F.col("_span") * i / F.col("_n"))
