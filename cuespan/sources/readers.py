@@ -113,31 +113,51 @@ def read_documents_json(spark: SparkSession, path: str, schema: T.StructType) ->
     return parse_documents_json(texts(spark, path), schema)
 
 
+#: Pixels that are compared at once; a larger image is one block.
+PIXELS_AT_ONCE = 1 << 17
+
+
 def board_runs(images: DataFrame, threshold: int = 42) -> tuple[DataFrame, DataFrame]:
     """Foreground runs (board_id, y, x0, x1) and corner samples (board_id, r, g, b) of images (board_id, width, height, channels, data BGR).
 
     A pixel is foreground if its colour is further than `threshold` from the median of the corners
-    (squares of a fiftieth of the shorter side, 4 pixels at least). Images are decoded once: both results read one
-    table in the shared folder.
+    (squares of a fiftieth of the shorter side, 4 pixels at least). Images are decoded once, many of one size together:
+    both results read their own column of one table in the shared folder, which has a row per image.
     """
 
+    def lists(rows, sizes, names):
+        values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, i], dtype=np.int32)) for i in range(3)], names)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+    def decoded(ids, height, width, channels, data):
+        px = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), height, width, channels)[:, :, :, 2::-1]
+        k = max(4, min(width, height) // 50)
+        n, planes = len(px), px.shape[3]
+        corners = np.concatenate([c.reshape(n, -1, planes) for c in (px[:, :k, :k], px[:, :k, -k:], px[:, -k:, :k], px[:, -k:, -k:])], axis=1)
+        far = np.zeros((n, height, width), np.float64)
+        for i, middle in enumerate(np.median(corners, axis=1).T):
+            far += np.square(px[:, :, :, i] - middle[:, None, None])
+        on = np.pad(np.sqrt(far) > threshold, ((0, 0), (0, 0), (1, 1)))
+        edge = np.flatnonzero(on[:, :, 1:] != on[:, :, :-1])  # a row's edges are starts and ends in turn
+        row, (a, b) = edge[::2] // (width + 1), (edge % (width + 1)).reshape(-1, 2).T
+        runs = np.stack([row % height, a, b], axis=1)
+        samples = corners.reshape(-1, planes)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), lists(runs, np.bincount(row // height, minlength=n), ["y", "x0", "x1"]), lists(samples, np.full(n, corners.shape[1]), ["r", "g", "b"])], ["board_id", "runs", "corners"])
+
     def both(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                px = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"])[:, :, 2::-1]
-                k = max(4, min(r["width"], r["height"]) // 50)
-                corners = np.concatenate([px[:k, :k], px[:k, -k:], px[-k:, :k], px[-k:, -k:]]).reshape(-1, 3)
-                on = np.sqrt(((px - np.median(corners, axis=0)) ** 2).sum(axis=2)) > threshold
-                edge = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-                (y, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-                rows = np.concatenate([np.stack([y, a, b], axis=1), corners]).astype(np.int32)
-                run = np.arange(len(rows)) < len(y)
-                yield pa.RecordBatch.from_arrays([pa.array([r["board_id"]] * len(rows), pa.string()), pa.array(run), *[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)]], ["board_id", "run", "a", "b", "c"])
+            ids, data = batch.column("board_id").to_pylist(), batch.column("data").to_pylist()
+            sizes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width", "channels")], axis=1)
+            for size in np.unique(sizes, axis=0):
+                own, step = np.nonzero((sizes == size).all(axis=1))[0], max(1, PIXELS_AT_ONCE // max(1, int(size[0] * size[1])))
+                for at in range(0, len(own), step):
+                    part = own[at : at + step]
+                    yield decoded([ids[i] for i in part], *map(int, size), [data[i] for i in part])
 
     src = images.select(F.col("board_id").cast("string").alias("board_id"), "width", "height", "channels", "data")
-    found = written(src.mapInArrow(both, "board_id string, run boolean, a int, b int, c int"))
-    named = lambda where, names: found.where(where).select("board_id", *[F.col(c).alias(n) for c, n in zip("abc", names, strict=True)])
-    return named("run", ("y", "x0", "x1")), named("not run", ("r", "g", "b"))
+    found = written(src.mapInArrow(both, "board_id string, runs array<struct<y:int,x0:int,x1:int>>, corners array<struct<r:int,g:int,b:int>>"))
+    rows = lambda c: found.select("board_id", F.explode(c).alias("_r")).select("board_id", "_r.*")
+    return rows("runs"), rows("corners")
 
 
 def read_board_runs(spark: SparkSession, path: str, threshold: int = 42) -> tuple[DataFrame, DataFrame]:
