@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -283,45 +286,64 @@ def layout_allocate(elements: DataFrame, cards: DataFrame) -> tuple[DataFrame, D
     return boxes.select("shot_id", "element_id", "template", "x", "y", "w", "h"), df.where("_bad is not null").select("shot_id", F.col("_bad").alias("rule_id")).distinct()
 
 
-def _order_statistics(segments: DataFrame) -> DataFrame:
-    """(board_id, element_id, low, high, n): percentiles of positions, where `n` pixels stand at each place from a to before b."""
-    w = Window.partitionBy("board_id", "element_id")
-    df = segments.withColumn("_m", F.col("n") * (F.col("b") - F.col("a")))
-    df = df.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_m").over(w)})
-
-    def at(share: float) -> dict[str, Column]:
-        rank = F.col("_all") - 1
-        lo = F.floor(rank * share)
-        held = lambda k: F.max(F.when((k >= F.col("_before")) & (k < F.col("_before") + F.col("_m")), F.col("a") + F.floor((k - F.col("_before")) / F.col("n"))))
-        return {"at": held(lo), "next": held(F.least(lo + 1, rank)), "part": F.max(rank * share - lo)}
-
-    low, high = at(FOCUS_LOW), at(FOCUS_HIGH)
-    out = df.groupBy("board_id", "element_id").agg(*[c.alias(f"_l{k}") for k, c in low.items()], *[c.alias(f"_h{k}") for k, c in high.items()], F.max("_all").alias("n"))
-    between = lambda p: F.col(f"_{p}at") + (F.col(f"_{p}next") - F.col(f"_{p}at")) * F.col(f"_{p}part")
-    return out.select("board_id", "element_id", between("l").alias("low"), between("h").alias("high"), "n")
+def focus_target(runs: DataFrame, elements: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
+    """`focus_of_masks` of runs (board_id, element_id, y, x0, x1), the rows of pixels an element owns; elements: board_id, element_id, x, y, w, h."""
+    key = ["board_id", "element_id"]
+    return focus_of_masks(elements.join(runs.groupBy(*key).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs")), key, "left"), width, height)
 
 
-def focus_target(runs: DataFrame, elements: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
+def focus_of_masks(elements: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
     """(board_id, element_id, x, y, w, h, confidence, source): the box that holds the middle 96 % of an element's own pixels each way.
 
-    runs: board_id, element_id, y, x0, x1, the rows of pixels an element owns; elements: board_id,
-    element_id, x, y, w, h. Pixels are clipped to the region and to what captions leave free. Too
+    elements: board_id, element_id, x, y, w, h and runs, an array of (y, x0, x1): the rows of pixels it owns, so nothing is shuffled.
+    Pixels are clipped to the region and to what captions leave free. Too
     few pixels, or no room within the margins, give the region itself with little confidence.
     """
     safe = max(1, int(height * CAPTIONS_TOP))
-    box = elements.select("board_id", "element_id", F.col("x").alias("rx0"), F.col("y").alias("ry0"), (F.col("x") + F.col("w")).alias("rx1"), (F.col("y") + F.col("h")).alias("ry1"))
+    box = elements.select("board_id", "element_id", F.col("x").alias("rx0"), F.col("y").alias("ry0"), (F.col("x") + F.col("w")).alias("rx1"), (F.col("y") + F.col("h")).alias("ry1"), "runs")
     clip = lambda c, lo, hi: F.greatest(F.lit(lo) if isinstance(lo, int) else lo, F.least(F.lit(hi), c))
     box = box.withColumns({"cx0": clip(F.col("rx0"), 0, width - 1), "cy0": clip(F.col("ry0"), 0, height - 1)})
     box = box.withColumns({"cx1": clip(F.least("rx1", F.lit(width)), F.col("cx0") + 1, width), "cy1": clip(F.least("ry1", F.lit(safe)), F.col("cy0") + 1, height)})
-    own = runs.join(box, ["board_id", "element_id"]).where("y >= cy0 and y < cy1 and x0 < cx1 and x1 > cx0")
-    own = own.select("board_id", "element_id", "y", F.greatest("x0", "cx0").alias("a"), F.least("x1", "cx1").alias("b"))
-    rows = own.groupBy("board_id", "element_id", F.col("y").alias("a")).agg(F.sum(F.col("b") - F.col("a")).alias("n")).withColumn("b", F.col("a") + 1)
-    step = lambda c, n: F.struct(F.col(c).alias("a"), F.lit(n).alias("n"))
-    ends = own.select("board_id", "element_id", F.explode(F.array(step("a", 1), step("b", -1))).alias("s")).groupBy("board_id", "element_id", "s.a").agg(F.sum("s.n").alias("n"))
-    w = Window.partitionBy("board_id", "element_id").orderBy("a")
-    columns = ends.withColumns({"n": F.sum("n").over(w), "b": F.lead("a").over(w)}).where("n > 0 and b is not null")
-    x, y = (_order_statistics(s).select("board_id", "element_id", F.col("low").alias(f"{c}l"), F.col("high").alias(f"{c}h"), "n") for c, s in (("x", columns), ("y", rows)))
-    df = box.join(x, ["board_id", "element_id"], "left").join(y.drop("n"), ["board_id", "element_id"], "left")
+    whole = ["rx0", "ry0", "rx1", "ry1", "cx0", "cy0", "cx1", "cy1"]
+    stats = ["xl", "xh", "yl", "yh"]
+    shares = FOCUS_LOW, FOCUS_HIGH
+
+    def percentiles(batches):
+        for batch in batches:
+            runs = batch.column("runs")
+            own = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False))
+            y, x0, x1 = (c.to_numpy(zero_copy_only=False) for c in runs.flatten().flatten())
+            cx0, cy0, cx1, cy1 = (batch.column(c).to_numpy(zero_copy_only=False)[own] for c in whole[4:])
+            a, b = np.maximum(x0, cx0), np.minimum(x1, cx1)
+            keep = (y >= cy0) & (y < cy1) & (a < b)
+            own, y, a, b = (c[keep].astype(np.int64) for c in (own, y, a, b))
+            # Columns: ends of runs in order, and how many runs there are from each to the next; rows: the runs themselves.
+            ends = np.concatenate([own * (width + 1) + a, own * (width + 1) + b])
+            order = np.argsort(ends, kind="stable")
+            ends, deep = ends[order], np.cumsum(np.where(order < len(own), 1, -1))[:-1]
+            some = (deep > 0) & (ends[1:] > ends[:-1])
+            first = np.argsort(own * (height + 1) + y, kind="stable")
+            columns = ends[:-1][some] % (width + 1), deep[some], (deep * np.diff(ends))[some]
+            rows = y[first], (b - a)[first], (b - a)[first]
+            total = np.bincount(own, weights=b - a, minlength=len(batch)).astype(np.int64)
+            before, none, out = np.cumsum(total) - total, total == 0, []
+            for at, n, size in (columns, rows):
+                upto = np.cumsum(size)
+
+                def held(k):
+                    i = np.minimum(np.searchsorted(upto, before + k, side="right"), len(upto) - 1)
+                    return at[i] + (before + k - (upto - size)[i]) // n[i] if len(upto) else np.zeros(len(batch))
+
+                for share in shares:
+                    rank = np.maximum(total - 1, 0)
+                    low = np.floor(rank * share).astype(np.int64)
+                    value = held(low)
+                    out.append(pa.array(value + (held(np.minimum(low + 1, rank)) - value) * (rank * share - low), pa.float64(), mask=none))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("board_id", "element_id", *whole)), *out, pa.array(total, mask=none)], ["board_id", "element_id", *whole, *stats, "n"])
+
+    key = ", ".join(f"{c} {box.schema[c].dataType.simpleString()}" for c in ("board_id", "element_id"))
+    df = box.select("board_id", "element_id", *[F.col(c).cast("bigint").alias(c) for c in whole], "runs")
+    df = df.mapInArrow(percentiles, f"{key}, {', '.join(f'{c} bigint' for c in whole)}, {', '.join(f'{c} double' for c in stats)}, n bigint")
     margin = max(LEAST_MARGIN, round(min(width, height) * FOCUS_MARGIN))
     whole = lambda c: F.bround(c).cast("bigint")
     df = df.withColumns({
