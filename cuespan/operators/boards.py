@@ -167,14 +167,30 @@ def fit_safe_area(boards: DataFrame, keep_layout: bool = False) -> DataFrame:
     df = df.withColumn("s", scale).withColumn("reason", F.when(F.col("x0").isNull(), "no-foreground").when(safe & (F.col("s") >= 0.985), "already-safe"))
     nearest = lambda c: F.bround(c).cast("bigint")
     if keep_layout:
-        def placed(scale: Column) -> Column:
-            dx, dy = nearest((F.col("tw") - F.col("width") * scale) / 2), nearest((F.col("th") - F.col("height") * scale) / 2)
-            inside = (nearest(F.col("x0") * scale + dx) >= F.col("l")) & (nearest(F.col("y0") * scale + dy) >= F.col("t")) & (nearest(F.col("x1") * scale + dx) <= F.col("r")) & (nearest(F.col("y1") * scale + dy) <= F.col("b"))
-            return F.struct(F.when(inside, scale).otherwise(scale * SHRINK).alias("s"), dx.alias("dx"), dy.alias("dy"), inside.alias("fits"))
-
-        first = F.struct(whole.alias("s"), F.lit(0).cast("bigint").alias("dx"), F.lit(0).cast("bigint").alias("dy"), F.lit(False).alias("fits"))
-        df = df.withColumn("p", F.when(F.col("reason").isNull(), F.aggregate(F.sequence(F.lit(1), F.lit(SHRINKS)), first, lambda p, i: F.when(p["fits"], p).otherwise(placed(p["s"])))))
-        scale, dx, dy = F.col("p.s"), F.col("p.dx"), F.col("p.dy")
+        names = ["tw", "th", "width", "height", "x0", "y0", "x1", "y1", "l", "t", "r", "b", "whole"]
+
+        def shrunk(batches):
+            # Boards of a batch shrink together, step by step as one by one; those that fit are left alone.
+            for batch in batches:
+                v = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in names])
+                s, place = v[-1].copy(), np.full((2, len(batch)), np.nan)
+                live = np.flatnonzero(batch.column("reason").is_null().to_numpy(zero_copy_only=False))
+                for _ in range(SHRINKS):
+                    if not len(live):
+                        break
+                    tw, th, width, height, x0, y0, x1, y1, left, top, right, bottom, _ = v[:, live]
+                    k = s[live]
+                    dx, dy = np.rint((tw - width * k) / 2), np.rint((th - height * k) / 2)
+                    place[:, live] = dx, dy
+                    inside = (np.rint(x0 * k + dx) >= left) & (np.rint(y0 * k + dy) >= top) & (np.rint(x1 * k + dx) <= right) & (np.rint(y1 * k + dy) <= bottom)
+                    live = live[~inside]
+                    s[live] *= SHRINK
+                out = [pa.array(s, mask=np.isnan(s)), *(pa.array(np.nan_to_num(c).astype(np.int64), mask=np.isnan(c)) for c in place)]
+                yield pa.RecordBatch.from_arrays([batch.column("board_id"), *out, batch.column("reason")], ["board_id", "s", "dx", "dy", "reason"])
+
+        key = df.schema["board_id"].dataType.simpleString()
+        df = df.withColumn("whole", whole.cast("double")).select("board_id", "reason", *names).mapInArrow(shrunk, f"board_id {key}, s double, dx bigint, dy bigint, reason string")
+        scale, dx, dy = F.col("s"), F.col("dx"), F.col("dy")
     else:
         shift = lambda lo, hi, a, b: nearest((F.col(lo) + F.col(hi)) / 2 - (F.col(a) + F.col(b)) / 2 * F.col("s"))
         scale, dx, dy = F.col("s"), shift("l", "r", "x0", "x1"), shift("t", "b", "y0", "y1")
