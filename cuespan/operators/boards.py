@@ -51,20 +51,21 @@ def mask_risk(owned: DataFrame, elements: DataFrame, band: int = 6, least: int =
 
     owned: board_id, y, x0, x1; elements: board_id, element_id, x, y, w, h.
     """
-    x1, y1 = F.col("x") + F.col("w"), F.col("y") + F.col("h")
-    box = lambda side, where, a, b, c, d: F.struct(F.lit(side).alias("side"), F.lit(where).alias("where"), a.alias("bx0"), b.alias("bx1"), c.alias("by0"), d.alias("by1"))
-    x, y = F.col("x"), F.col("y")
-    bands = F.array(
-        box("left", "inside", x, x + band, y, y1), box("left", "outside", x - band, x, y, y1), box("right", "inside", x1 - band, x1, y, y1), box("right", "outside", x1, x1 + band, y, y1),
-        box("top", "inside", x, x1, y, y + band), box("top", "outside", x, x1, y - band, y), box("bottom", "inside", x, x1, y1 - band, y1), box("bottom", "outside", x, x1, y1, y1 + band))
-    df = elements.select("board_id", "element_id", F.explode(bands).alias("b")).select("board_id", "element_id", "b.*")
-    # Bands meet the rows they reach by buckets of rows, as a board may hold many of both.
-    rows = owned.select("board_id", F.expr(f"floor(y / {ROW_BUCKET})").alias("_slot"), F.col("y").alias("ry"), "x0", "x1")
-    df = df.where("by0 < by1").withColumn("_slot", F.explode(F.expr(f"sequence(floor(by0 / {ROW_BUCKET}), floor((by1 - 1) / {ROW_BUCKET}))")))
-    hit = df.join(rows, ["board_id", "_slot"]).where("ry >= by0 and ry < by1 and x0 < bx1 and x1 > bx0")
-    n = F.least("x1", "bx1") - F.greatest("x0", "bx0")
-    part = lambda w: F.coalesce(F.sum(F.when(F.col("where") == w, n)), F.lit(0))
-    out = hit.groupBy("board_id", "element_id", "side").agg(part("inside").alias("inside"), part("outside").alias("outside"))
+    x, y, x1, y1 = F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    bands = {
+        "left": ((x, x + band, y, y1), (x - band, x, y, y1)), "right": ((x1 - band, x1, y, y1), (x1, x1 + band, y, y1)),
+        "top": ((x, x1, y, y + band), (x, x1, y - band, y)), "bottom": ((x, x1, y1 - band, y1), (x, x1, y1, y1 + band)),
+    }
+    # Elements meet the rows they reach by buckets of rows, as a board may hold many of both; the bands are told apart only then.
+    rows = owned.select("board_id", F.expr(f"floor(y / {ROW_BUCKET})").alias("_slot"), F.col("y").alias("ry"), F.col("x0").alias("rx0"), F.col("x1").alias("rx1"))
+    df = elements.select("board_id", "element_id", "x", "y", "w", "h", F.explode(F.sequence(F.floor((F.least(y, y1) - band) / ROW_BUCKET), F.floor((F.greatest(y, y1) + band - 1) / ROW_BUCKET))).alias("_slot"))
+    near = (F.col("rx0") < F.greatest(x, x1) + band) & (F.col("rx1") > F.least(x, x1) - band) & (F.col("ry") >= F.least(y, y1) - band) & (F.col("ry") < F.greatest(y, y1) + band)
+    hit = df.join(rows, ["board_id", "_slot"]).where(near)
+    n = lambda a, b, c, d: F.sum(F.when((F.col("ry") >= c) & (F.col("ry") < d) & (F.col("rx0") < b) & (F.col("rx1") > a), F.least("rx1", b) - F.greatest("rx0", a)))
+    sums = hit.groupBy("board_id", "element_id").agg(*[n(*b).alias(f"{side}_{i}") for side, both in bands.items() for i, b in enumerate(both)])
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_0").alias("inside"), F.col(f"{side}_1").alias("outside")) for side in bands])
+    out = sums.select("board_id", "element_id", F.explode(sides).alias("_b")).select("board_id", "element_id", "_b.*").where("inside is not null or outside is not null")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("inside", "outside")})
     return out.where((F.col("inside") >= least) & (F.col("outside") >= least))
 
 
