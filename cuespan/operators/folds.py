@@ -201,43 +201,50 @@ BLOCK = 256
 
 
 def _state_before(maps: DataFrame) -> DataFrame:
-    """(project_id, i, before): what was chosen before map i of (project_id, i, k, a, b), i from 0.
+    """Maps (project_id, i, k, a, b, …), i from 0, with what was chosen `before` each; what else a map has goes with it.
 
     A map takes the choice before it to `a` if that is `k`, else to `b`. Two maps one after another are such a map
     again, so BLOCK of them are put together at a time, and blocks of blocks, as long as there is more than one.
     """
     then = lambda m, x: F.when(x == m["k"], m["a"]).otherwise(m["b"])
-    blocks = maps.withColumn("block", F.floor(F.col("i") / BLOCK)).groupBy("project_id", "block").agg(F.array_sort(F.collect_list(F.struct("i", "k", "a", "b"))).alias("rows"))
+    blocks = maps.withColumn("block", F.floor(F.col("i") / BLOCK)).groupBy("project_id", "block").agg(F.array_sort(F.collect_list(F.struct("i", *[c for c in maps.columns if c not in ("project_id", "i")]))).alias("rows"))
     if (maps.agg(F.max("i")).first()[0] or 0) < BLOCK:
         blocks = blocks.withColumn("before", F.lit(""))
     else:
-        one = F.aggregate(F.expr("slice(rows, 2, size(rows))"), F.col("rows")[0], lambda m, x: F.struct(m["i"].alias("i"), m["k"].alias("k"), then(x, m["a"]).alias("a"), then(x, m["b"]).alias("b")))
+        first = F.struct(*[F.col("rows")[0][c].alias(c) for c in ("i", "k", "a", "b")])
+        one = F.aggregate(F.expr("slice(rows, 2, size(rows))"), first, lambda m, x: F.struct(m["i"].alias("i"), m["k"].alias("k"), then(x, m["a"]).alias("a"), then(x, m["b"]).alias("b")))
         whole = written(blocks.select("project_id", F.col("block").alias("i"), one.alias("m")).select("project_id", "i", "m.k", "m.a", "m.b"))
-        blocks = blocks.join(_state_before(whole).select("project_id", F.col("i").alias("block"), "before"), ["project_id", "block"])
+        blocks = blocks.join(_state_before(whole).select("project_id", F.col("i").alias("block"), "before").hint("merge"), ["project_id", "block"])
     steps = F.aggregate("rows", F.array(F.col("before")), lambda done, m: F.concat(done, F.array(then(m, F.element_at(done, -1)))))
-    out = blocks.select("project_id", F.explode(F.arrays_zip(F.expr("transform(rows, r -> r.i)").alias("i"), F.slice(steps, F.lit(1), F.size("rows")).alias("before"))).alias("z"))
-    return out.select("project_id", "z.i", "z.before")
+    out = blocks.select("project_id", F.explode(F.arrays_zip("rows", F.slice(steps, F.lit(1), F.size("rows")).alias("before"))).alias("z"))
+    return out.select("project_id", "z.rows.*", "z.before")
 
 
-def suggest_composition(scenes: DataFrame, rules: list[tuple[str, list[str]]], fallbacks: list[str]) -> DataFrame:
-    """(project_id, seq, composition, suggested): the first class whose terms occur and that is not the scene before's, else a rotating one.
-
-    scenes: project_id, seq, text, and where given composition, which stays unless it is blank. What a scene takes is a
-    map from what the one before took, with two values at most; maps are put together block by block,
-    so no array holds a project.
-    """
+def _choices(scenes: DataFrame, rules: list[tuple[str, list[str]]], fallbacks: list[str], *keep: str) -> DataFrame:
+    """(project_id, seq, i, composition, suggested, *keep) of `suggest_composition`; i is the scene's place in its project, from 0."""
     hits = F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains("text", t)), F.lit(name)) for name, terms in rules]))
     given = F.nullif(F.trim("composition"), F.lit("")) if "composition" in scenes.columns else F.lit(None).cast("string")
-    rows = scenes.select("project_id", "seq", hits.alias("hits"), given.alias("given"), F.lit(1).cast("bigint").alias("i"))
-    rows = running_totals(rows, "project_id", ["seq"], ["i"]).withColumn("i", F.col("i") - 1)
+    # Written first, so that the ranges are found by reading these rows and not by making the scenes once more.
+    placed = written(scenes.select("project_id", "seq", hits.alias("hits"), given.alias("given"), F.lit(1).cast("bigint").alias("i"), *keep))
+    rows = running_totals(placed, "project_id", ["seq"], ["i"]).withColumn("i", F.col("i") - 1)
     n, all_ = len(fallbacks), F.array(*map(F.lit, fallbacks))
     turn = (F.col("i") % n).cast("int")
     order = F.concat("hits", F.slice(all_, turn + 1, F.lit(n)), F.slice(all_, F.lit(1), turn))
     rows = rows.withColumn("_first", F.coalesce("given", order[0]))
     second = F.coalesce("given", F.get(F.filter(order, lambda c: c != F.col("_first")), F.lit(0)), F.lit(fallbacks[0]))
-    rows = written(rows.select("project_id", "seq", "i", F.col("_first").alias("k"), second.alias("a"), F.col("_first").alias("b"), F.col("given").isNull().alias("suggested")))
-    out = rows.join(_state_before(rows), ["project_id", "i"])
-    return out.select("project_id", "seq", F.when(F.col("before") == F.col("k"), F.col("a")).otherwise(F.col("b")).alias("composition"), "suggested")
+    rows = written(rows.select("project_id", "i", F.col("_first").alias("k"), second.alias("a"), F.col("_first").alias("b"), "seq", F.col("given").isNull().alias("suggested"), *keep))
+    dropped(placed)
+    return _state_before(rows).select("project_id", "seq", "i", F.when(F.col("before") == F.col("k"), F.col("a")).otherwise(F.col("b")).alias("composition"), "suggested", *keep)
+
+
+def suggest_composition(scenes: DataFrame, rules: list[tuple[str, list[str]]], fallbacks: list[str]) -> DataFrame:
+    """(project_id, seq, composition, suggested): the first class whose terms occur and that is not the scene before's, else a rotating one.
+
+    scenes: project_id, seq, text, and where given composition, which stays unless it is blank. What a scene takes is a
+    map from what the one before took, with two values at most; maps are put together block by block,
+    so no array holds a project.
+    """
+    return _choices(scenes, rules, fallbacks).drop("i")
 
 
 def compile_draft(scenes: DataFrame, elements: DataFrame, rules: list[tuple[str, list[str]]], fallbacks: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -249,23 +256,25 @@ def compile_draft(scenes: DataFrame, elements: DataFrame, rules: list[tuple[str,
     """
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     two = lambda c: F.lpad(c.cast("string"), F.greatest(F.lit(2), F.length(c.cast("string"))), F.lit("0"))
-    place = running_totals(scenes.select("project_id", "seq", F.lit(1).cast("bigint").alias("_place")), "project_id", ["seq"], ["_place"])
+    keys = ["project_id", "seq"]
     missing = F.coalesce("scene_id", F.lit("")) == ""
-    chosen = suggest_composition(scenes, rules, fallbacks)
-    filled = scenes.drop("composition").join(place, ["project_id", "seq"]).join(chosen, ["project_id", "seq"])
-    filled = filled.withColumn("_new", missing).withColumn("scene_id", F.when(missing, F.concat(F.lit("scene-"), two(F.col("_place")))).otherwise(F.trim("scene_id")))
+    scene_id = F.when(missing, F.concat(F.lit("scene-"), two(F.col("i") + 1))).otherwise(F.trim("scene_id"))
+    chosen = written(_choices(scenes, rules, fallbacks, "scene_id").select(*keys, scene_id.alias("scene_id"), "composition", "suggested", missing.alias("_new")))
+    # Written tables look small to Spark, as they are compressed; without the hint it would send them whole through the driver.
+    filled = scenes.drop("scene_id", "composition").join(chosen.hint("merge"), keys)
+    filled = filled.select(*keys, *[c for c in scenes.columns if c not in (*keys, "composition")], "composition")
 
     alias = F.when(~blank("triggerText"), F.lit("triggerText")).when(~blank("narrationEvidence"), F.lit("narrationEvidence"))
-    own = elements.join(filled.select("project_id", "seq", "scene_id"), ["project_id", "seq"])
-    own = own.withColumns({"_new": blank("element_id"), "_from": F.when(blank("trigger_text"), alias)})
-    own = own.withColumns({
-        "element_id": F.when(F.col("_new"), F.concat("scene_id", F.lit("-e"), two(F.col("element_no")))).otherwise(F.col("element_id")),
-        "trigger_text": F.when(F.col("_from") == "triggerText", F.trim("triggerText")).when(F.col("_from") == "narrationEvidence", F.trim("narrationEvidence")).otherwise(F.col("trigger_text")),
-    })
-    row = lambda df, no, change, value: df.select("project_id", "seq", no.cast("bigint").alias("element_no"), F.lit(change).alias("change"), value.alias("value"))
-    none = F.lit(None)
-    changes = row(filled.where("_new"), none, "generated-scene-id", F.col("scene_id"))
-    changes = changes.union(row(filled.where("suggested"), none, "selected-composition", F.col("composition")))
-    changes = changes.union(row(own.where("_new"), F.col("element_no"), "generated-element-id", F.col("element_id")))
-    changes = changes.union(row(own.where("_from is not null"), F.col("element_no"), "trigger-text-from", F.col("_from")))
-    return filled.drop("_new", "_place", "suggested"), own.drop("_new", "_from"), changes
+    # What can be told without the scene is told before the join, so that one text of an element is shuffled and not three.
+    own = elements.withColumns({"_new": blank("element_id"), "_from": F.when(blank("trigger_text"), alias)})
+    own = own.withColumn("trigger_text", F.when(F.col("_from") == "triggerText", F.trim("triggerText")).when(F.col("_from") == "narrationEvidence", F.trim("narrationEvidence")).otherwise(F.col("trigger_text")))
+    own = own.join(chosen.select(*keys, "scene_id").hint("merge"), keys)
+    own = own.withColumn("element_id", F.when(F.col("_new"), F.concat("scene_id", F.lit("-e"), two(F.col("element_no")))).otherwise(F.col("element_id")))
+
+    def changes(df, no, *said):
+        found = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(change).alias("change"), value.alias("value"))) for when, change, value in said]))
+        return df.select(*keys, no.cast("bigint").alias("element_no"), F.explode(found).alias("c")).select(*keys, "element_no", "c.*")
+
+    told = changes(chosen, F.lit(None), (F.col("_new"), "generated-scene-id", F.col("scene_id")), (F.col("suggested"), "selected-composition", F.col("composition")))
+    told = told.union(changes(own.where("_new or _from is not null"), F.col("element_no"), (F.col("_new"), "generated-element-id", F.col("element_id")), (F.col("_from").isNotNull(), "trigger-text-from", F.col("_from"))))
+    return filled, own.drop("_new", "_from"), told
