@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cuespan.functions.text import compact
-from cuespan.operators.joins import match_trigger
+from cuespan.operators.joins import placed_phrases
 from cuespan.operators.tables import dropped, written
 
 # The safe frame as shares of the canvas, and of it what a board may fill.
@@ -246,19 +246,16 @@ def resolve_beat_anchor(beats: DataFrame, words: DataFrame, scenes: DataFrame) -
     stands in the scene's words, across their borders, if it stands there once (`no-anchor`). White space and case make no difference.
     A scene that is not in `scenes` is `unknown-scene`.
     """
-    own = words.select("project_id", "word_id", F.col("scene_id").alias("_scene"), F.col("start_ms").alias("_own"))
-    df = beats.join(own, ["project_id", "word_id"], "left").join(scenes.select("project_id", "scene_id").distinct().withColumn("_in", F.lit(True)), ["project_id", "scene_id"], "left")
-    key = F.struct("project_id", "scene_id").alias("scene_key")
-    asked = df.where("_scene is null").select(key, "beat_no", "phrase").distinct()
-    found = match_trigger(asked, words.select(key, F.col("word_id").alias("idx"), "text", "start_ms", "end_ms"), compact).where("word_start is not null")
-    place = F.row_number().over(Window.partitionBy("project_id", "scene_id").orderBy("word_id")) - 1
-    at = words.select("project_id", "scene_id", F.col("word_id").alias("_word"), place.alias("word_start"))
-    found = found.select("scene_key.*", "beat_no", "word_start", F.col("start_ms").alias("_at")).join(at, ["project_id", "scene_id", "word_start"])
-    df = df.join(found, ["project_id", "scene_id", "beat_no"], "left")
-    inside = F.col("_scene") == F.col("scene_id")
-    anchor = F.when(F.col("_in").isNull(), F.lit(None)).when(F.col("_scene").isNull(), F.col("_word")).when(inside, F.col("word_id"))
-    rule = F.when(F.col("_in").isNull(), "unknown-scene").when(F.col("_scene").isNotNull() & ~inside, "outside-scene").when(anchor.isNull(), "no-anchor")
-    start = F.when(anchor.isNotNull(), F.coalesce("_own", "_at"))
+    # Beats and words meet as rows of one table, by word and then by scene, so that words which lie by project stay where they are.
+    rows = beats.select("project_id", "word_id", F.struct("scene_id", "beat_no", "phrase").alias("_b"))
+    rows = rows.unionByName(words.dropna(subset=["project_id", "word_id"]).select("project_id", "word_id", F.struct("scene_id", "start_ms").alias("_own")), allowMissingColumns=True)
+    df = rows.withColumn("_own", F.max("_own").over(Window.partitionBy("project_id", "word_id"))).where("_b is not null").select("project_id", "_b.*", "word_id", "_own")
+    asked = df.select("project_id", "scene_id", "beat_no", "word_id", "_own", F.when(F.col("_own").isNull(), F.col("phrase")).alias("phrase"))
+    df = placed_phrases(asked, words.select("project_id", "scene_id", F.col("word_id").alias("idx"), "text", "start_ms", "end_ms"), compact, ("project_id", "scene_id"), scenes.select("project_id", "scene_id"))
+    own, inside = F.col("_own").isNotNull(), F.col("_own.scene_id") == F.col("scene_id")
+    anchor = F.when(~F.col("known"), F.lit(None)).when(~own, F.col("idx")).when(inside, F.col("word_id"))
+    rule = F.when(~F.col("known"), "unknown-scene").when(own & ~inside, "outside-scene").when(anchor.isNull(), "no-anchor")
+    start = F.when(anchor.isNotNull(), F.when(own, F.col("_own.start_ms")).otherwise(F.col("start_ms")))
     return df.select("project_id", "scene_id", "beat_no", anchor.alias("anchor_id"), start.alias("start_ms"), rule.alias("rule_id"))
 
 
