@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from cuespan.functions.text import casefold, char_class_counts, compact, has_punct, normalize_language, safe_id, visible_length
-from cuespan.operators.aggs import repeat_ratio, thirds_language
+from cuespan.functions.text import casefold, char_class_counts, compact, has_punct, norm_text, normalize_language, safe_id, visible_length
 
 # Words of labels that name a connector, and relations one may stand for.
 CONNECTOR_LABELS = ("箭头", "关系线", "连接线", "流程线", "指向线", "arrow")
@@ -274,36 +273,46 @@ def transcript_gate(cues: DataFrame, tracks: DataFrame) -> DataFrame:
     Rules: language not known or not sure; Chinese letters in English, none in Chinese, as a whole or in
     a third of the time; for 30 seconds and more too few cues, too little said or covered (a warning where it
     is only thin); cues that repeat; words of promotion in a short transcript. Chinese is counted by letters, all else by words.
+    A project has one track at most. Cues are read once and grouped by project; no transcript is put together.
     """
-    tracks = tracks.withColumn("language", normalize_language("language", LANGUAGE_ALIASES))
-    whole = cues.withColumn("_c", char_class_counts("text")).groupBy("project_id").agg(
-        F.count("*").alias("n"), F.sum("_c.cjk").alias("cjk"), F.sum("_c.latin").alias("latin"), F.sum("_c.words").alias("words"),
-        F.min_by("start_ms", "cue_no").alias("_a"), F.max_by("end_ms", "cue_no").alias("_b"))
-    df = tracks.join(whole, "project_id")
+    tracks = tracks.select("project_id", "duration_ms", normalize_language("language", LANGUAGE_ALIASES).alias("language"), "probability", F.lit(True).alias("_track"))
+    df = cues.join(tracks, "project_id", "left")
+    # A phrase may run over several cues, each of a letter at least: as many before as its letters may matter, and of each its last ones.
+    most = max(map(len, PROMOTION)) - 1
+    df = df.withColumns({"_t": compact("text"), "_k": norm_text("text", "casefold"), "_c": char_class_counts("text")}).withColumns({"_blank": F.col("_t") == "", "_tail": F.right("_t", F.lit(most))})
+    earlier = F.collect_list("_tail").over(Window.partitionBy("project_id", "_blank").orderBy("cue_no", "_t").rowsBetween(-most, -1))
+    third = F.floor((F.col("start_ms") + F.col("end_ms")) / 2 / F.greatest(F.col("duration_ms") / 3.0, F.lit(1.0)))
+    df = df.select(
+        "project_id", "cue_no", "start_ms", "end_ms", "duration_ms", "language", "probability", "_track", F.nullif("_k", F.lit("")).alias("_k"), "_c.cjk", "_c.latin", "_c.words", third.alias("_third"),
+        F.concat(F.right(F.array_join(earlier, ""), F.lit(most)), "_t").alias("_spoken"),
+    ).withColumn("_promotes", F.exists(F.array(*map(F.lit, PROMOTION)), lambda m: F.contains("_spoken", m)))
+
+    # Cues that say the same are counted first, then projects.
+    sums = {"cjk": F.col("cjk"), "latin": F.col("latin"), "words": F.col("words")}
+    sums |= {f"_{c}{i}": F.when(F.col("_third") == i, F.col(c)) for i in range(3) for c in ("cjk", "latin")}
+    of_track = ["duration_ms", "language", "probability", "_track"]
+    same = df.groupBy("project_id", "_k").agg(
+        F.count("*").alias("n"), *[F.sum(v).alias(c) for c, v in sums.items()], F.min("cue_no").alias("_first"), F.max("cue_no").alias("_last"), F.min_by("start_ms", "cue_no").alias("_a"), F.max_by("end_ms", "cue_no").alias("_b"),
+        F.max("_promotes").alias("_promotes"), *[F.max(c).alias(c) for c in of_track])
+    df = same.groupBy("project_id").agg(
+        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums], F.min_by("_a", "_first").alias("_a"), F.max_by("_b", "_last").alias("_b"), F.max("_promotes").alias("_promotes"),
+        F.sum(F.when(F.col("_k").isNotNull(), F.col("n"))).alias("_keys"), F.count("_k").alias("_different"), *[F.max(c).alias(c) for c in of_track])
     df = df.withColumns({"units": F.when(F.col("language") == "zh", F.col("cjk")).otherwise(F.col("words")), "share": F.greatest(F.lit(0), F.col("_b") - F.col("_a")) / F.col("duration_ms")})
+
     long = F.col("duration_ms") >= LONG_MS
     english, chinese = F.col("language") == "en", F.col("language") == "zh"
-    foreign = lambda share: F.col("cjk") > F.greatest(F.lit(FOREIGN_LETTERS), F.bround(F.col("latin") * share))
-    only_latin = (F.col("cjk") == 0) & (F.col("latin") >= LATIN_LETTERS)
+    of = lambda c, i: F.col(f"_{c}{i}" if i else c)
+    foreign = lambda share, i="": of("cjk", i) > F.greatest(F.lit(FOREIGN_LETTERS), F.bround(of("latin", i) * share))
+    only_latin = lambda i="": (of("cjk", i) == 0) & (of("latin", i) >= LATIN_LETTERS)
     rate = F.col("units") / F.greatest(F.col("duration_ms") / 60000.0, F.lit(1 / 60))
-    found = violations(df, ["project_id"], {
-        "unknown-language": F.col("language") == "auto", "low-probability": F.col("probability") < LEAST_PROBABILITY,
-        "foreign-letters": english & foreign(FOREIGN), "no-chinese": chinese & only_latin,
-        "few-cues": long & (F.col("n") < F.greatest(F.lit(2), F.bround(F.col("duration_ms") / float(MS_PER_CUE)))),
-        "few-units": long & (rate < LEAST_UNITS), "low-coverage": long & (F.col("share") < COVERED),
-    })
-    thin = violations(df, ["project_id"], {"thin-coverage": long & (F.col("share") >= COVERED) & (F.col("share") < WELL_COVERED)}, severity="warning")
-
-    parts = thirds_language(cues, tracks.select("project_id", "duration_ms")).join(tracks.select("project_id", "language"), "project_id")
-    third = (F.col("third") + 1).cast("string")
-    parts = violations(parts, ["project_id"], {"third-foreign": english & foreign(FOREIGN_THIRD), "third-no-chinese": chinese & only_latin}, values={"third-foreign": third, "third-no-chinese": third})
-
-    repeats = repeat_ratio(cues, REPEAT_CUES, REPEATED)
-    repeats = violations(repeats, ["project_id"], {"repeats": F.col("flagged")})
-
-    # A phrase may run over several cues, so the whole text is put together, of short transcripts only.
-    short = df.where(F.col("units") < SHORT_UNITS).select("project_id")
-    spoken = cues.join(short, "project_id", "left_semi").withColumn("_t", compact("text")).where("_t <> ''")
-    spoken = spoken.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_no", "_t"))), lambda x: x["_t"]), "").alias("_t"))
-    promotion = violations(spoken, ["project_id"], {"promotion": F.exists(F.array(*map(F.lit, PROMOTION)), lambda m: F.contains("_t", m))})
-    return found.union(thin).union(parts).union(repeats).union(promotion)
+    found = [
+        ("unknown-language", F.col("language") == "auto"), ("low-probability", F.col("probability") < LEAST_PROBABILITY), ("foreign-letters", english & foreign(FOREIGN)), ("no-chinese", chinese & only_latin()),
+        ("few-cues", long & (F.col("n") < F.greatest(F.lit(2), F.bround(F.col("duration_ms") / float(MS_PER_CUE))))), ("few-units", long & (rate < LEAST_UNITS)), ("low-coverage", long & (F.col("share") < COVERED)),
+        ("thin-coverage", long & (F.col("share") >= COVERED) & (F.col("share") < WELL_COVERED)), ("repeats", (F.col("_keys") >= REPEAT_CUES) & ((F.col("_keys") - F.col("_different")) / F.col("_keys") > REPEATED)),
+        ("promotion", F.col("_track") & (F.col("units") < SHORT_UNITS) & F.col("_promotes")),
+    ]
+    row = lambda rule, severity="error", value=None: F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(value).cast("string").alias("value"))
+    hits = [F.when(cond, row(rule, "warning" if rule == "thin-coverage" else "error")) for rule, cond in found]
+    for i in range(3):
+        hits += [F.when(english & foreign(FOREIGN_THIRD, str(i)), row("third-foreign", value=str(i + 1))), F.when(chinese & only_latin(str(i)), row("third-no-chinese", value=str(i + 1)))]
+    return df.select("project_id", F.explode(F.array_compact(F.array(*hits))).alias("v")).select("project_id", "v.*")

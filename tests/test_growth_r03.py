@@ -2,7 +2,7 @@
 
 import re
 
-from cuespan.operators import folds, joins
+from cuespan.operators import folds, joins, rules
 from cuespan.plans import all_queries, fixtures  # noqa: F401  registers the queries
 from cuespan.plans.registry import QUERIES
 
@@ -43,3 +43,18 @@ def test_f33_phrases_without_words_or_scene(spark):
     got = {(r.scene_key, r.phrase): tuple(r)[2:] for r in joins.match_trigger(phrases, words).collect()}
     none = (None, None, None, None, "scene-window-no-words")
     assert got == {("a", "THE cat"): (0, 1, 0, 19, "exact-trigger-text"), ("a", "c"): (1, 1, 10, 19, "exact-trigger-text"), ("a", "t"): (None, None, 0, 19, "unresolved-semantic-trigger"), ("a", None): (None, None, 0, 19, "unresolved-semantic-trigger"), ("b", "cat"): none, (None, "cat"): none}
+
+
+def test_f21_promotion_over_many_cues_without_the_whole_text(spark):
+    words = "So, Like And Sub scribe now"
+    cues = [(1, 2 * i, i * 100, i * 100 + 90, c) for i, c in enumerate(words)] + [(1, 2 * i + 1, 5, 6, " ") for i in range(len(words))]
+    cues += [(2, 1, 0, 90, "like and sub"), (2, 2, 100, 190, "so"), (2, 3, 200, 290, "scribe")]
+    cues += [(3, 1, 0, 90, "请点"), (3, 2, 100, 190, None), (3, 3, 200, 290, "赞" * 50), (4, 1, 0, 90, "打赏")]
+    df = spark.createDataFrame(cues, "project_id int, cue_no int, start_ms bigint, end_ms bigint, text string").repartition(4)
+    tracks = spark.createDataFrame([(1, 9_000, "de", 0.9), (2, 9_000, "de", 0.9), (3, 9_000, "de", 0.9)], "project_id int, duration_ms bigint, language string, probability double")
+    gate = rules.transcript_gate(df, tracks)
+    got = [(r.project_id, r.rule_id) for r in gate.collect() if r.rule_id != "repeats"]
+    assert sorted(got) == [(1, "promotion"), (3, "promotion")]
+    # Cues are read and tracks are read, each once; nothing else is.
+    seen = plan(QUERIES["transcript_gate"](spark, "/root/testdata/sf0.001"))
+    assert seen.count("FileScan parquet") == 2
