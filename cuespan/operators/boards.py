@@ -102,7 +102,7 @@ def _nearest_touched(hulls: DataFrame, margin: int, leaders: bool) -> DataFrame:
     if leaders:
         held = held.groupBy(*key).agg(F.max_by("b", F.struct("b.area", "b.component_id")).alias("b"))
     asked = boxes.join(grids, "board_id").withColumn("_level", F.explode(F.expr("filter(_levels, l -> l >= _level)")))
-    hit = posted(asked, "_level").join(held, key)
+    hit = posted(asked, "_level").join(held.hint("merge"), key)
     touch = F.col("component_id") != F.col("b.component_id")
     for lo, hi in (("x0", "x1"), ("y0", "y1")):
         touch = touch & (F.col(lo) <= F.col(f"b.{hi}") + margin) & (F.col(f"b.{lo}") <= F.col(hi) + margin)
@@ -110,6 +110,24 @@ def _nearest_touched(hulls: DataFrame, margin: int, leaders: bool) -> DataFrame:
     return hit.groupBy("board_id", "component_id").agg(F.min("to").alias("to"))
 
 
+#: Groups of a board that are compared with one another, without a grid.
+FEW = 16
+
+
+def _nearest_of_few(hulls: DataFrame, margin: int) -> DataFrame:
+    """What `_nearest_touched` gives, for boards of FEW groups at most: they lie in one array, so no cell is shuffled."""
+    boards = hulls.groupBy("board_id").agg(F.collect_list(F.struct("component_id", "x0", "y0", "x1", "y1")).alias("all"))
+
+    def smaller(b: Column) -> Column:
+        out = b["component_id"] < F.col("a.component_id")
+        for lo, hi in (("x0", "x1"), ("y0", "y1")):
+            out = out & (F.col(f"a.{lo}") <= b[hi] + margin) & (b[lo] <= F.col(f"a.{hi}") + margin)
+        return out
+
+    to = F.array_min(F.transform(F.filter("all", smaller), lambda b: b["component_id"]))
+    return boards.select("board_id", "all", F.explode("all").alias("a")).select("board_id", "a.component_id", to.alias("to")).where("to is not null")
+
+
 def box_components(boxes: DataFrame, margin: int = 2) -> DataFrame:
     """(board_id, box_id, component_id): boxes that touch are one group, whose own box then may touch others, until nothing changes.
 
@@ -122,16 +140,21 @@ def box_components(boxes: DataFrame, margin: int = 2) -> DataFrame:
     live = written(boxes.select("board_id", "box_id", "x0", "y0", "x1", "y1", F.col("box_id").alias("component_id")))
     done = []
     while True:
-        hulls = live.groupBy("board_id", "component_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-        hulls = written(hulls)
-        crowded = written(hulls.groupBy("board_id").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("board_id"))
-        if crowded.isEmpty():
-            quick, step = None, written(_nearest_touched(hulls, margin, leaders=False))
+        # Dealt by board once, so that the groups and their number need no other shuffle.
+        hulls = live.repartition("board_id").groupBy("board_id", "component_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        hulls = written(hulls.withColumn("n", F.count("*").over(Window.partitionBy("board_id"))))
+        few, many = _nearest_of_few(hulls.where(F.col("n") <= FEW), margin), hulls.where(F.col("n") > FEW)
+        crowded = written(many.where(F.col("n") > CROWD).select("board_id").distinct())
+        if many.isEmpty():
+            quick, step = None, written(few)
+        elif crowded.isEmpty():
+            quick, step = None, written(few.union(_nearest_touched(many, margin, leaders=False)))
         else:
-            quick = written(_nearest_touched(hulls.join(crowded, "board_id", "left_semi"), margin, leaders=True))
-            rest = hulls.join(quick.select("board_id").distinct(), "board_id", "left_anti")
-            step = written(quick.union(_nearest_touched(rest, margin, leaders=False)))
-        moving = step.select("board_id").distinct()
+            quick = written(_nearest_touched(many.join(crowded.hint("merge"), "board_id", "left_semi"), margin, leaders=True))
+            rest = many.join(quick.select("board_id").distinct().hint("merge"), "board_id", "left_anti")
+            step = written(few.union(quick).union(_nearest_touched(rest, margin, leaders=False)))
+        # Written tables look small to Spark, as they are compressed; without the hint it would send them whole through the driver.
+        moving = step.select("board_id").distinct().hint("merge")
         done.append(written(live.join(moving, "board_id", "left_anti").select("board_id", "box_id", "component_id")))
         if step.isEmpty():
             dropped(live, hulls, crowded, quick, step)
@@ -139,8 +162,8 @@ def box_components(boxes: DataFrame, margin: int = 2) -> DataFrame:
         root = step
         for _ in range(JUMPS):
             again = root.select("board_id", F.col("component_id").alias("to"), F.col("to").alias("_to"))
-            root = root.join(again, ["board_id", "to"], "left").select("board_id", "component_id", F.coalesce("_to", "to").alias("to"))
-        moved = live.join(moving, "board_id", "left_semi").join(root, ["board_id", "component_id"], "left")
+            root = root.join(again.hint("merge"), ["board_id", "to"], "left").select("board_id", "component_id", F.coalesce("_to", "to").alias("to"))
+        moved = live.join(moving, "board_id", "left_semi").join(root.hint("merge"), ["board_id", "component_id"], "left")
         before, live = live, written(moved.select("board_id", "box_id", "x0", "y0", "x1", "y1", F.coalesce("to", "component_id").alias("component_id")))
         dropped(before, hulls, crowded, quick, step)
     out = done[0]
