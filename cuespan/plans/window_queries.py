@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuespan.operators import windows as W
 from cuespan.operators.joins import scene_words
-from cuespan.plans.fixtures import table, v_cues, v_elements, v_frames, v_motion, v_scenes, v_words, with_views
+from cuespan.plans.fixtures import table, v_cues, v_elements, v_frames, v_motion, v_scenes, v_words, with_views, words_and_scenes
 from cuespan.plans.registry import query
 
 #: Scene lengths by scene, for elements.
@@ -48,8 +48,8 @@ SELECT project_id, from_scene, to_scene, previous_end_ms, next_start_ms, gap_ms,
 CASE WHEN gap_ms >= 300 THEN next_start_ms - 60 - er END AS erase_start_ms, CASE WHEN gap_ms >= 300 THEN next_start_ms - 60 END AS clean_start_ms,
 CASE WHEN gap_ms IS NULL THEN 'missing-words' WHEN gap_ms < 300 THEN 'short-gap' END AS rule_id FROM _g"""))
 def transition_plan(spark, sf):
-    scenes = v_scenes(spark, sf)
-    return W.transition_plan(scene_words(v_words(spark, sf), scenes), scenes)
+    words, scenes = words_and_scenes(spark, sf)
+    return W.transition_plan(scene_words(words, scenes), scenes)
 
 
 _PACED = """+ _e AS (SELECT e.*, l.duration_ms, CASE WHEN scene_id % 50 = 0 AND seq = 1 THEN NULL ELSE start_ms END AS s0 FROM v_elements e JOIN _len l USING (scene_id)),
