@@ -41,3 +41,13 @@ def test_f29_f36_odd_words_and_scenes(spark):
         n[p, i] = n.get((p, i), 0) + (i is not None)
     want = [(p, i, "missing" if not n.get((p, i)) else "duplicate") for p, i, *_ in words if n.get((p, i), 0) != 1]
     assert got(joins.word_coverage(w, s), "project_id", "idx", "rule_id") == sorted(want, key=key)
+
+
+def test_f35_f37_events_stay_by_scene_and_rules_run_once(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "ROWS_A_TASK", 600)
+    df = QUERIES["check_plan_events"](spark, SMALL)
+    assert "target_id" not in " ".join(shuffles(df))
+    # A filter of the array of rules ran each of them twice more to see if it was empty.
+    broken = rules.violations(spark.range(4), ["id"], {"a": F.col("id") % 2 == 0, "b": F.col("id") > 2})
+    assert "isnotnull(lambda" not in plan(broken) and plan(broken).count("WHEN") == 2
+    assert rows(broken, "id", "rule_id") == [(0, "a"), (2, "a"), (3, "b")]
