@@ -51,3 +51,21 @@ def test_f35_f37_events_stay_by_scene_and_rules_run_once(spark, monkeypatch):
     broken = rules.violations(spark.range(4), ["id"], {"a": F.col("id") % 2 == 0, "b": F.col("id") > 2})
     assert "isnotnull(lambda" not in plan(broken) and plan(broken).count("WHEN") == 2
     assert rows(broken, "id", "rule_id") == [(0, "a"), (2, "a"), (3, "b")]
+
+
+def test_f27_words_and_beats_of_shots_stay_in_place(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "DOCS_A_TASK", 50)
+    # Words were shuffled by first and last word, beats by shot; now only the shots are, once.
+    found = shuffles(QUERIES["check_shots"](spark, SMALL))
+    assert found.count("doc_id") == 3 and len(found) <= 4
+
+
+def test_f27_shots_twice_and_beyond_their_words(spark):
+    words = spark.createDataFrame([(1, i, i * 1000, i * 1000 + 900) for i in range(20)] + [(None, 0, 0, 900)], "project_id int, idx int, start_ms bigint, end_ms bigint")
+    look = ("a_host", "a_host", None, True, "focus", "text-card")
+    shot = lambda no, f, z, a, b, p=1: (p, no, f"s{no}", *look, f, z, a, b, False, True, 1, "native")
+    data = [shot(1, 0, 13, 0, 13_900), shot(1, 0, 13, 0, 13_900), shot(2, 14, 25, 14_000, 25_900), shot(3, None, 19, 1, 2), shot(4, 0, 0, 0, 900, None), shot(5, 0, 1, 0, 3000, 9)]
+    shots = spark.createDataFrame(data, "project_id int, shot_no int, shot_id string, requested_type string, shot_type string, fallback_type string, has_assets boolean, template string, composition string, first_idx int, last_idx int, start_ms bigint, end_ms bigint, short_allowed boolean, planned boolean, regions int, mode string")
+    beats = spark.createDataFrame([(1, 1, 1, "opening-anchor", 700), (1, 1, 2, "word", 800), (None, 4, 1, "opening-anchor", 900), (1, 7, 1, "word", 5)], "project_id int, shot_no int, beat_no int, mapping string, start_ms bigint")
+    got = sorted((str(r.project_id), r.shot_no, r.rule_id) for r in plan_rules.check_shots(shots, words, beats).collect() if r.rule_id in ("late-opening", "long-without-beat", "bad-range", "not-at-words", "duplicate-id"))
+    assert got == sorted([("1", 1, "late-opening")] * 2 + [("1", 1, "duplicate-id")] * 2 + [("1", 2, "bad-range"), ("1", 3, "bad-range"), ("None", 4, "bad-range"), ("9", 5, "bad-range")])
