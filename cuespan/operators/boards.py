@@ -28,19 +28,17 @@ def mask_ownership(runs: DataFrame, selections: DataFrame) -> tuple[DataFrame, D
     rows of each element's mask. Of overlapping selections the smaller region owns a pixel, then the
     smaller id. Rows are split at all ends of runs and selections, so pieces have one set of claims.
     """
-    span = lambda x: F.struct(x["x0"].alias("x0"), x["x1"].alias("x1"))
-    claim = F.struct("x0", "x1", "area", "element_id").alias("c")
+    # A claim begins with what it is ranked by, so that the least one owns.
+    claim = F.struct("area", "element_id", "x0", "x1").alias("c")
     both = runs.select("board_id", "y", F.struct("x0", "x1").alias("f")).unionByName(selections.select("board_id", "y", claim), allowMissingColumns=True)
     # A row of pixels at a time: all its runs and claims are in two arrays, and no piece is joined with anything.
     rows = both.groupBy("board_id", "y").agg(F.collect_list("f").alias("fg"), F.collect_list("c").alias("claims")).where("size(fg) > 0")
-    ends = F.array_sort(F.array_distinct(F.flatten(F.transform(F.concat("fg", F.transform("claims", span)), lambda x: F.array(x["x0"], x["x1"])))))
-    rows = rows.withColumn("ends", ends)
-    pieces = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda i: F.struct(F.col("ends")[i - 1].alias("x0"), F.col("ends")[i].alias("x1")))
-    over = lambda p: lambda x: (x["x0"] <= p["x0"]) & (p["x1"] <= x["x1"])
-    rows = rows.select("board_id", "y", "fg", "claims", F.explode(pieces).alias("p")).where(F.exists("fg", over(F.col("p"))))
-    rows = rows.select("board_id", "y", "p.x0", "p.x1", F.filter("claims", over(F.col("p"))).alias("hit"))
-    owner = F.array_min(F.transform("hit", lambda x: F.struct(x["area"].alias("area"), x["element_id"].alias("element_id"))))["element_id"]
-    owned = rows.select("board_id", "y", "x0", "x1", owner.alias("element_id"), F.size(F.array_distinct(F.transform("hit", lambda x: x["element_id"]))).alias("claims"))
+    rows = rows.withColumn("ends", F.sort_array(F.array_distinct(F.concat("fg.x0", "fg.x1", "claims.x0", "claims.x1"))))
+    pieces = F.arrays_zip(F.slice("ends", F.lit(1), F.size("ends") - 1).alias("x0"), F.slice("ends", F.lit(2), F.size("ends") - 1).alias("x1"))
+    over = lambda x: (x["x0"] <= F.col("p.x0")) & (F.col("p.x1") <= x["x1"])
+    rows = rows.select("board_id", "y", "fg", "claims", F.explode_outer(pieces).alias("p")).where(F.exists("fg", over))
+    rows = rows.select("board_id", "y", "p.x0", "p.x1", F.filter("claims", over).alias("hit"))
+    owned = rows.select("board_id", "y", "x0", "x1", F.array_min("hit")["element_id"].alias("element_id"), F.size(F.array_distinct("hit.element_id")).alias("claims"))
     size = F.col("x1") - F.col("x0")
     counts = owned.groupBy("board_id", "element_id").agg(F.sum(size).alias("pixels"), F.sum(F.when(F.col("claims") > 1, size).otherwise(0)).alias("contested"))
     return owned, counts

@@ -69,3 +69,12 @@ def test_f27_shots_twice_and_beyond_their_words(spark):
     beats = spark.createDataFrame([(1, 1, 1, "opening-anchor", 700), (1, 1, 2, "word", 800), (None, 4, 1, "opening-anchor", 900), (1, 7, 1, "word", 5)], "project_id int, shot_no int, beat_no int, mapping string, start_ms bigint")
     got = sorted((str(r.project_id), r.shot_no, r.rule_id) for r in plan_rules.check_shots(shots, words, beats).collect() if r.rule_id in ("late-opening", "long-without-beat", "bad-range", "not-at-words", "duplicate-id"))
     assert got == sorted([("1", 1, "late-opening")] * 2 + [("1", 1, "duplicate-id")] * 2 + [("1", 2, "bad-range"), ("1", 3, "bad-range"), ("None", 4, "bad-range"), ("9", 5, "bad-range")])
+
+
+def test_f30_pieces_are_made_once_and_ranked_as_before(spark):
+    runs = spark.createDataFrame([(1, 0, 0, 10), (1, 0, 12, 12), (1, 1, 5, 5)], "board_id int, y int, x0 int, x1 int")
+    claims = spark.createDataFrame([(1, "b", 9, 0, 0, 6), (1, "a", 9, 0, 4, 11), (1, "c", 3, 0, 5, 6), (1, "c", 3, 0, 5, 7)], "board_id int, element_id string, area int, y int, x0 int, x1 int")
+    owned, counts = boards.mask_ownership(runs, claims)
+    assert "array_sort" not in plan(counts)
+    assert rows(owned, "x0", "x1", "element_id", "claims") == [(0, 4, "b", 1), (4, 5, "a", 2), (5, 6, "c", 3), (6, 7, "c", 2), (7, 10, "a", 1)]
+    assert rows(counts, "element_id", "pixels", "contested") == [("a", 4, 1), ("b", 4, 0), ("c", 2, 2)]
