@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cuespan.functions.text import letters
 
 # Milliseconds of the hand's release, frames of colour at least, and the safe frame as shares of the canvas.
 HAND_RELEASE_MS, MIN_COLOR_FRAMES = 180, 8
@@ -153,8 +152,9 @@ def time_shift(timeline: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def char_timing(words: DataFrame) -> DataFrame:
     """(project_id, idx, pos, char, start_ms, end_ms): a word's time spread evenly over its letters and digits."""
-    df = words.withColumn("_l", letters("text")).where("_l is not null").withColumn("_n", F.size("_l"))
-    df = df.withColumn("_span", F.greatest(F.col("start_ms") + F.col("_n"), F.col("end_ms")) - F.col("start_ms"))
-    df = df.select("project_id", "idx", "start_ms", "_n", "_span", F.posexplode("_l").alias("pos", "char"))
+    # Empty words go only when they are letters: a filter before that would split each word once more to see if it is empty.
+    df = words.select("project_id", "idx", "start_ms", "end_ms", F.split(F.regexp_replace("text", r"[^\p{L}\p{N}_]", ""), "").alias("_l"))
+    df = df.withColumn("_n", F.size("_l")).withColumn("_span", F.greatest(F.col("start_ms") + F.col("_n"), F.col("end_ms")) - F.col("start_ms"))
+    df = df.select("project_id", "idx", "start_ms", "_n", "_span", F.posexplode_outer("_l").alias("pos", "char")).where("char <> ''")
     at = lambda i: half_even(F.col("start_ms") + F.col("_span") * i / F.col("_n"))
     return df.select("project_id", "idx", "pos", F.lower("char").alias("char"), at(F.col("pos")).alias("start_ms"), F.greatest(at(F.col("pos")) + 1, at(F.col("pos") + 1)).alias("end_ms"))

@@ -78,3 +78,10 @@ def test_f30_pieces_are_made_once_and_ranked_as_before(spark):
     assert "array_sort" not in plan(counts)
     assert rows(owned, "x0", "x1", "element_id", "claims") == [(0, 4, "b", 1), (4, 5, "a", 2), (5, 6, "c", 3), (6, 7, "c", 2), (7, 10, "a", 1)]
     assert rows(counts, "element_id", "pixels", "contested") == [("a", 4, 1), ("b", 4, 0), ("c", 2, 2)]
+
+
+def test_f26_words_are_split_once(spark):
+    words = spark.createDataFrame([(1, 0, "aß!", 0, 10), (1, 1, "--", 10, 20), (1, 2, None, 20, 30), (1, 3, "", 30, 40), (1, 4, "𝒳y", 40, 50)], "project_id int, idx int, text string, start_ms bigint, end_ms bigint")
+    timed = frames.char_timing(words)
+    assert plan(timed).count("regexp_replace") == 1
+    assert rows(timed, "idx", "pos", "char", "start_ms", "end_ms") == [(0, 0, "a", 0, 5), (0, 1, "ß", 5, 10), (4, 0, "𝒳", 40, 45), (4, 1, "y", 45, 50)]
