@@ -211,7 +211,7 @@ def build_cues(scripts: DataFrame, words: DataFrame, max_chars: int = 18, max_ms
 
 def punctuation_offsets(scripts: DataFrame) -> DataFrame:
     """(project_id, at): how many letters of the script stand before each of its punctuation marks; none at the start."""
-    parts = scripts.select("project_id", F.posexplode(F.split("text", PUNCTUATION)).alias("i", "part"))
+    parts = scripts.select("project_id", F.posexplode_outer(F.split("text", PUNCTUATION)).alias("i", "part"))
     w = Window.partitionBy("project_id").orderBy("i")
     df = parts.withColumns({"at": F.sum(visible_length("part")).over(w), "_more": F.lead("i").over(w).isNotNull()})
     return df.where("_more and at > 0").select("project_id", "at").distinct()
@@ -224,12 +224,15 @@ def caption_space_check(cues: DataFrame, scripts: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("project_id").orderBy("cue_no")
     start = F.coalesce(F.sum(visible_length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = cues.withColumn("_start", start).select("project_id", "cue_no", "_start", F.posexplode(F.split("text", BLANK)).alias("i", "part"))
+    parts = cues.withColumn("_start", start).select("project_id", "cue_no", "_start", F.posexplode_outer(F.split("text", BLANK)).alias("i", "part"))
     inside = Window.partitionBy("project_id", "cue_no").orderBy("i")
     df = parts.withColumns({"at": F.col("_start") + F.sum(visible_length("part")).over(inside), "_next": F.lead("part").over(inside)})
     ascii_words = F.regexp_like("part", F.lit("[A-Za-z0-9]$")) & F.regexp_like("_next", F.lit("^[A-Za-z0-9]"))
     blanks = df.where(F.col("_next").isNotNull() & ~ascii_words).select("project_id", "cue_no", "i", "at")
-    return blanks.join(punctuation_offsets(scripts), ["project_id", "at"], "left_anti").select("project_id", "cue_no", "at", F.lit("blank-without-punctuation").alias("rule_id"))
+    # Blanks and punctuation meet as rows of one table: those that lie by project already aren't shuffled by their place.
+    marks = punctuation_offsets(scripts).dropna().withColumn("_mark", F.lit(True))
+    both = blanks.unionByName(marks, allowMissingColumns=True).withColumn("_any", F.max("_mark").over(Window.partitionBy("project_id", "at")))
+    return both.where("_any is null").select("project_id", "cue_no", "at", F.lit("blank-without-punctuation").alias("rule_id"))
 
 
 def caption_contract(cues: DataFrame, scripts: DataFrame, max_chars: int = 18) -> DataFrame:
@@ -238,13 +241,12 @@ def caption_contract(cues: DataFrame, scripts: DataFrame, max_chars: int = 18) -
     Errors: texts that together differ from the script's letters and digits, several lines, punctuation,
     and blanks without punctuation in the script. Warnings: particles at the end or the start, too many letters.
     """
-    whole = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, norm_text("text", "casefold").alias("t")))), lambda x: x["t"]), "")
-    said = cues.groupBy("project_id").agg(whole("cue_no").alias("_said"))
+    said = cues.groupBy("project_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("cue_no", norm_text("text", "casefold").alias("t"))))["t"], "").alias("_said"))
     differs = scripts.join(said, "project_id").where(norm_text("text", "casefold") != F.col("_said"))
     differs = differs.select("project_id", F.lit(None).cast(dict(cues.dtypes)["cue_no"]).alias("cue_no"), F.lit("text-differs").alias("rule_id"), F.lit("error").alias("severity"))
     compact = F.trim(F.regexp_replace("text", "\n", ""))
     soft = {"ends-in-particle": F.right(compact, F.lit(1)).isin(*BAD_ENDINGS), "starts-with-particle": F.left(compact, F.lit(1)).isin(*BAD_STARTS), "too-many-letters": visible_length("text") > max_chars}
     hard = {"several-lines": F.contains("text", F.lit("\n")), "punctuation": F.regexp_like("text", F.lit(r"\p{P}"))}
-    found = [violations(cues, ["project_id", "cue_no"], rules, severity).drop("value") for rules, severity in ((hard, "error"), (soft, "warning"))]
+    found = violations(cues, ["project_id", "cue_no"], hard | soft).drop("value").withColumn("severity", F.when(F.col("rule_id").isin(*soft), "warning").otherwise("error"))
     blanks = caption_space_check(cues, scripts).select("project_id", "cue_no", "rule_id", F.lit("error").alias("severity")).distinct()
-    return differs.union(found[0]).union(found[1]).union(blanks)
+    return differs.union(found).union(blanks)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuespan.operators import captions as C
 from cuespan.operators.folds import clause_atoms
-from cuespan.plans.fixtures import table, v_asr, v_cues, with_views
+from cuespan.plans.fixtures import v_asr, v_cues, v_docs, with_views
 from cuespan.plans.registry import query
 
 _LETTER = "regexp_matches({}, '[\\p{{L}}\\p{{N}}_]')"
@@ -69,7 +69,8 @@ def letters(spark, sf):
 
 
 def scripts(spark, sf):
-    return table(spark, sf, "documents").selectExpr("doc_id as project_id", "text")
+    # Dealt as the words are, so that a project's script and cues lie in one task.
+    return v_docs(spark, sf).selectExpr("doc_id as project_id", "text")
 
 
 @query(with_views("v_asr", select=f"+ {_ALIGN}\n=\nSELECT project_id, pos, text, start_ms, end_ms FROM _al"))

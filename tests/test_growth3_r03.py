@@ -85,3 +85,12 @@ def test_f26_words_are_split_once(spark):
     timed = frames.char_timing(words)
     assert plan(timed).count("regexp_replace") == 1
     assert rows(timed, "idx", "pos", "char", "start_ms", "end_ms") == [(0, 0, "a", 0, 5), (0, 1, "ß", 5, 10), (4, 0, "𝒳", 40, 45), (4, 1, "y", 45, 50)]
+
+
+def test_f23_cues_and_scripts_of_a_project_stay_in_place(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "DOCS_A_TASK", 50)
+    found = shuffles(QUERIES["caption_contract"](spark, SMALL))
+    assert set(found) == {"doc_id"}
+    cues = spark.createDataFrame([(1, 1, "a 的 b"), (1, 2, None), (None, 1, "的 x")], "project_id int, cue_no int, text string")
+    scripts = spark.createDataFrame([(1, "a，的b"), (None, "的，x"), (2, None)], "project_id int, text string")
+    assert sorted((str(r.project_id), r.cue_no, r["at"]) for r in captions.caption_space_check(cues, scripts).collect()) == [("1", 1, 2), ("None", 1, 1)]
