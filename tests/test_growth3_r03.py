@@ -4,8 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cuespan.functions.text import CAPTION_PUNCTUATION
-from cuespan.operators import boards, captions, folds, frames, joins, plan_rules, rules
+from cuespan.operators import boards, captions, frames, joins, plan_rules, rules
 from cuespan.plans import all_queries, fixtures  # noqa: F401  registers the queries
 from cuespan.plans.registry import QUERIES
 from tests.test_growth_r03 import plan, shuffles
@@ -71,6 +70,13 @@ def test_f27_shots_twice_and_beyond_their_words(spark):
     assert got == sorted([("1", 1, "late-opening")] * 2 + [("1", 1, "duplicate-id")] * 2 + [("1", 2, "bad-range"), ("1", 3, "bad-range"), ("None", 4, "bad-range"), ("9", 5, "bad-range")])
 
 
+def test_f26_words_are_split_once(spark):
+    words = spark.createDataFrame([(1, 0, "aß!", 0, 10), (1, 1, "--", 10, 20), (1, 2, None, 20, 30), (1, 3, "", 30, 40), (1, 4, "𝒳y", 40, 50)], "project_id int, idx int, text string, start_ms bigint, end_ms bigint")
+    timed = frames.char_timing(words)
+    assert plan(timed).count("regexp_replace") == 1
+    assert rows(timed, "idx", "pos", "char", "start_ms", "end_ms") == [(0, 0, "a", 0, 5), (0, 1, "ß", 5, 10), (4, 0, "𝒳", 40, 45), (4, 1, "y", 45, 50)]
+
+
 def test_f30_pieces_are_made_once_and_ranked_as_before(spark):
     runs = spark.createDataFrame([(1, 0, 0, 10), (1, 0, 12, 12), (1, 1, 5, 5)], "board_id int, y int, x0 int, x1 int")
     claims = spark.createDataFrame([(1, "b", 9, 0, 0, 6), (1, "a", 9, 0, 4, 11), (1, "c", 3, 0, 5, 6), (1, "c", 3, 0, 5, 7)], "board_id int, element_id string, area int, y int, x0 int, x1 int")
@@ -80,13 +86,6 @@ def test_f30_pieces_are_made_once_and_ranked_as_before(spark):
     assert rows(counts, "element_id", "pixels", "contested") == [("a", 4, 1), ("b", 4, 0), ("c", 2, 2)]
 
 
-def test_f26_words_are_split_once(spark):
-    words = spark.createDataFrame([(1, 0, "aß!", 0, 10), (1, 1, "--", 10, 20), (1, 2, None, 20, 30), (1, 3, "", 30, 40), (1, 4, "𝒳y", 40, 50)], "project_id int, idx int, text string, start_ms bigint, end_ms bigint")
-    timed = frames.char_timing(words)
-    assert plan(timed).count("regexp_replace") == 1
-    assert rows(timed, "idx", "pos", "char", "start_ms", "end_ms") == [(0, 0, "a", 0, 5), (0, 1, "ß", 5, 10), (4, 0, "𝒳", 40, 45), (4, 1, "y", 45, 50)]
-
-
 def test_f23_cues_and_scripts_of_a_project_stay_in_place(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "DOCS_A_TASK", 50)
     found = shuffles(QUERIES["caption_contract"](spark, SMALL))
