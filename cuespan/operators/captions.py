@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cuespan.functions.text import CAPTION_PUNCTUATION, letters as letters_of, norm_text, visible_length
+from cuespan.operators import alignment as A
 from cuespan.operators.folds import clause_atoms, pack_words
-from cuespan.operators.frames import char_timing, half_even
+from cuespan.operators.frames import char_timing
 from cuespan.operators.rules import violations
-from cuespan.operators.windows import monotone_clamp
 
 # Words a long clause is rather cut before, and letters a caption should not end or start with.
 CONNECTORS = ("但是", "不过", "所以", "因此", "同时", "而且", "然后", "另外", "其实", "也可能", "或者", "再加上", "想停")
@@ -50,29 +50,38 @@ def timed_letters(words: DataFrame) -> DataFrame:
     return df.select("project_id", place.alias("pos"), F.col("char").alias("key"), "start_ms", "end_ms")
 
 
-def anchor_runs(script: DataFrame, recognized: DataFrame, k: int, slack: int, tasks: int) -> DataFrame:
-    """(project_id, i0, i1, d): script places i0..i1 whose k letters stand d places further in the recognised letters, and once in both.
+def project_rows(tasks: int | None = None, **kinds: DataFrame | None) -> DataFrame:
+    """Scripts' texts, recognised words and clauses as rows of one table, sorted by project, kind and place; rows that lie by project already stay.
 
-    Runs further than `slack` from the median shift of their neighbours, and runs that cross others, are left out.
+    script and spoken: project_id, _i, text and, if spoken, a and b, the times; clause: project_id,
+    _i, text, marks (the text with NUL for all but letters and digits), a, b and major. Dealt to `tasks` if that is given.
     """
-    by_pos = Window.partitionBy("project_id").orderBy("pos")
+    parts = [df.dropna(subset=["project_id"]).withColumn("_kind", F.lit(n)) for n, df in ((A.SCRIPT, kinds.get("script")), (A.SPOKEN, kinds.get("spoken")), (A.CLAUSE, kinds.get("clause"))) if df is not None]
+    kind = {"_i": "bigint", "text": "string", "marks": "string", "a": "bigint", "b": "bigint", "major": "boolean"}
+    full = [df.select("project_id", "_kind", *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kind.items()]) for df in parts]
+    rows = functools.reduce(DataFrame.union, [df.repartition(tasks, "project_id") if tasks else df for df in full])
+    # The window asks for a project's rows in one task, whatever way they came; the sort is the window's own.
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("project_id").orderBy("_kind", "_i")))
+    return rows.sortWithinPartitions("project_id", "_at").drop("_at")
 
-    def once(df: DataFrame, at: str) -> DataFrame:
-        grams = df.select("project_id", F.col("pos").alias(at), F.concat(*[F.lead("key", n).over(by_pos) for n in range(k)]).alias("_gram")).where("_gram is not null")
-        found = grams.groupBy("project_id", "_gram").agg(F.count("*").alias("_n"), F.min(at).alias(at)).where("_n = 1").drop("_n")
-        return found.repartition(tasks, "project_id", "_gram")
 
-    df = once(script, "i").join(once(recognized, "j"), ["project_id", "_gram"]).select("project_id", "i", (F.col("j") - F.col("i")).alias("d")).repartition(tasks, "project_id")
-    w = Window.partitionBy("project_id").orderBy("i")
-    new = F.coalesce((F.col("i") != F.lag("i").over(w) + 1) | (F.col("d") != F.lag("d").over(w)), F.lit(True)).cast("int")
-    runs = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w)).groupBy("project_id", "_run", "d").agg(F.min("i").alias("i0"), F.max("i").alias("i1"))
-    w = Window.partitionBy("project_id").orderBy("i0")
-    runs = runs.withColumn("_near", F.percentile("d", F.lit(0.5)).over(w.rowsBetween(-10, 10))).where(F.abs(F.col("d") - F.col("_near")) <= slack)
-    before = F.max(F.col("i1") + F.col("d")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    behind = F.min(F.col("i0") + F.col("d")).over(Window.partitionBy("project_id").orderBy(F.desc("i0")).rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumns({"_before": before, "_behind": behind})
-    apart = F.coalesce(F.col("i0") + F.col("d") > F.col("_before"), F.lit(True)) & F.coalesce(F.col("i1") + F.col("d") < F.col("_behind"), F.lit(True))
-    return runs.where(apart).select("project_id", "i0", "i1", "d")
+def _clauses(atoms: DataFrame) -> DataFrame:
+    marks = F.regexp_replace("text", r"[^\p{L}\p{N}_]", "\0")
+    return atoms.select("project_id", F.col("atom_no").alias("_i"), "text", marks.alias("marks"), F.col("start_idx").alias("a"), F.col("end_idx").alias("b"), "major")
+
+
+def _texts(df: DataFrame, *more) -> DataFrame:
+    """Texts without what is no letter or digit."""
+    return df.select("project_id", *more, F.regexp_replace("text", r"[^\p{L}\p{N}_]", "").alias("text"))
+
+
+def _spoken(words: DataFrame) -> DataFrame:
+    return _texts(words, F.col("idx").alias("_i"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
+
+
+def _aligned(rows: DataFrame, split: bool, k: int, slack: int) -> DataFrame:
+    kind = dict(rows.dtypes)["project_id"]
+    return rows.mapInArrow(functools.partial(A.align_rows, split=split, k=k, slack=slack), f"project_id {kind}, pos int, text string, key string, start_ms bigint, end_ms bigint")
 
 
 def align_script(script: DataFrame, recognized: DataFrame, k: int = 12, slack: int = 40) -> DataFrame:
@@ -83,36 +92,21 @@ def align_script(script: DataFrame, recognized: DataFrame, k: int = 12, slack: i
     if there are none over the time between them. Then starts and ends never go back. Projects
     without recognised letters have no rows. Tasks grow in number with the script's letters, not in size.
     """
-    tasks = tasks_for(script.count())
-    script, recognized = script.repartition(tasks, "project_id"), recognized.repartition(tasks, "project_id")
-    w, back = Window.partitionBy("project_id").orderBy("pos"), Window.partitionBy("project_id").orderBy(F.desc("pos"))
-    run = F.struct(F.col("d").cast("bigint").alias("d"), (F.col("i1") + k - 1).cast("bigint").alias("end"))
-    starts = anchor_runs(script, recognized, k, slack, tasks).select("project_id", F.col("i0").cast("int").alias("pos"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("key"), run.alias("_on"))
-    # A run's start stands before its first letter, so letters needn't be joined to runs.
-    both = script.select("project_id", "pos", "text", "key", F.lit(None).cast("struct<d:bigint,end:bigint>").alias("_on")).union(starts).repartition(tasks, "project_id")
-    on = F.last("_on", True).over(Window.partitionBy("project_id").orderBy("pos", F.col("_on").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    df = both.withColumn("_on", on).where("text is not null")
-    df = df.select("project_id", "pos", "text", "key", F.when(F.col("pos") <= F.col("_on.end"), F.col("pos") + F.col("_on.d")).alias("_j"))
-    times = recognized.select("project_id", F.col("pos").alias("_j"), "start_ms", "end_ms", F.lead("start_ms").over(w).alias("_next"), F.lag("end_ms").over(w).alias("_last"))
-    bounds = recognized.groupBy("project_id").agg(F.min_by("start_ms", "pos").alias("_first"), F.max_by("end_ms", "pos").alias("_end"), F.max("pos").alias("_most"))
-    df = df.repartition(tasks, "project_id", "_j").join(times.repartition(tasks, "project_id", "_j"), ["project_id", "_j"], "left")
-    df = df.repartition(tasks, "project_id").join(bounds, "project_id")
-    df = df.withColumns({
-        "_left": F.last(F.when(F.col("_j").isNotNull(), F.struct("_j", "end_ms", "_next")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "_right": F.last(F.when(F.col("_j").isNotNull(), F.struct("_j", "start_ms", "_last")), True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
-        "_run": F.count("_j").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_open": F.col("_j").isNull(),
-    })
-    run = Window.partitionBy("project_id", "_run", "_open")
-    df = df.withColumns({"_n": F.count("*").over(run), "_k": F.row_number().over(run.orderBy("pos")) - 1})
-    between = F.coalesce("_right._j", F.col("_most") + 1) - F.coalesce("_left._j", F.lit(-1)) > 1
-    df = df.withColumns({
-        "_a": F.when(between, F.coalesce("_left._next", "_first")).otherwise(F.coalesce("_left.end_ms", "_first")),
-        "_b": F.when(between, F.coalesce("_right._last", "_end")).otherwise(F.coalesce("_right.start_ms", "_end")),
-    }).withColumn("_span", F.greatest("_n", F.col("_b") - F.col("_a")))
-    at = lambda i: half_even(F.col("_a") + F.col("_span") * i / F.col("_n"))
-    start, end = at(F.col("_k")), F.greatest(at(F.col("_k")) + 1, at(F.col("_k") + 1))
-    df = df.select("project_id", "pos", "text", "key", F.coalesce("start_ms", start).alias("start_ms"), F.when(F.col("_open"), end).otherwise(F.col("end_ms")).alias("end_ms"))
-    return monotone_clamp(df, ["project_id"], ["pos"])
+    spoken = recognized.select("project_id", F.col("pos").alias("_i"), F.col("key").alias("text"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
+    rows = project_rows(tasks_for(script.count()), script=script.select("project_id", F.col("pos").alias("_i"), "text"), spoken=spoken)
+    return _aligned(rows, False, k, slack)
+
+
+def align_texts(scripts: DataFrame, words: DataFrame, k: int = 12, slack: int = 40) -> DataFrame:
+    """`align_script` of whole texts, scripts (project_id, text) and words (project_id, idx, text, start_ms, end_ms): no letter is a row before it has its times."""
+    return _aligned(project_rows(script=_texts(scripts, F.lit(0).alias("_i")), spoken=_spoken(words)), True, k, slack)
+
+
+def _pieces(rows: DataFrame, work: Callable, max_chars: int, max_ms: int, connectors: tuple[str, ...], **more) -> DataFrame:
+    kind = dict(rows.dtypes)["project_id"]
+    how = dict(max_chars=max_chars, max_ms=max_ms, connectors=tuple(connectors), worth=(PAUSE_WORTH, CONNECTOR_WORTH, SHORT_COST), **more)
+    out = rows.mapInArrow(functools.partial(work, **how), f"project_id {kind}, atom_no int, piece_no int, text string, start_idx bigint, end_idx bigint, major boolean, start_ms bigint, end_ms bigint")
+    return out.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
 
 
 def split_long_atoms(atoms: DataFrame, letters: DataFrame, max_chars: int = 18, max_ms: int = 3600, connectors: tuple[str, ...] = CONNECTORS) -> DataFrame:
@@ -122,52 +116,15 @@ def split_long_atoms(atoms: DataFrame, letters: DataFrame, max_chars: int = 18,
     pause, connector and length together are worth most, the later place on a tie. Only the last
     piece of a clause ends a sentence. Clauses beyond the aligned letters are left out.
     """
-    # Letters find their clause in one pass over both, sorted by place; then each clause has its letters in one array.
-    # A clause's text stays with its own row: letters only carry its place.
-    clause = F.struct("atom_no", "start_idx", "end_idx", "major")
     tasks = tasks_for(atoms.agg(F.sum(F.col("end_idx") - F.col("start_idx"))).first()[0])
-    letter = F.struct(F.col("pos").cast("bigint").alias("pos"), "key", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    marks = atoms.select("project_id", F.col("start_idx").cast("bigint").alias("_p"), F.lit(0).alias("_kind"), clause.alias("_atom"), F.lit(None).cast("struct<pos:bigint,key:string,s:bigint,e:bigint>").alias("_x"), "text")
-    rows = letters.select("project_id", F.col("pos").cast("bigint").alias("_p"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_atom"].dataType).alias("_atom"), letter.alias("_x"), F.lit(None).cast("string").alias("text"))
-    place = Window.partitionBy("project_id").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    own = marks.union(rows).repartition(tasks, "project_id").withColumn("_atom", F.last("_atom", True).over(place)).where("_p < _atom.end_idx")
-    df = own.groupBy("project_id", F.col("_atom.atom_no").alias("_no")).agg(F.any_value("_atom").alias("_atom"), F.any_value("text", True).alias("text"), F.array_sort(F.collect_list("_x")).alias("_l"))
-    df = df.select("project_id", "_atom.*", "text", "_l").where("size(_l) = end_idx - start_idx")
-    # Whether a connector begins at each letter, found once per letter from the few that follow.
-    ahead = lambda i: F.array_join(F.transform(F.slice("_l", i + 1, max(map(len, connectors), default=1)), lambda x: x["key"]), "")
-    joint = lambda text: functools.reduce(lambda a, word: a | F.startswith(text, F.lit(word)), connectors, F.lit(False))
-    df = df.withColumn("_l", F.transform("_l", lambda x, i: x.withField("joint", F.element_at(F.transform(F.array(ahead(i)), joint), 1))))
-    n = F.size("_l")
-    letter = lambda i: F.element_at("_l", i + 1)
-
-    def once(value: Column, body: Callable[[Column], Column]) -> Column:
-        """body(value), with value computed once however often the body names it."""
-        return F.element_at(F.transform(F.array(value), body), 1)
-
-    def next_cut(s: Column) -> Column:
-        """The end of the piece that starts at letter s of the clause."""
-        reach = F.filter(F.sequence(s + 1, F.least(n, s + max_chars)), lambda f: (f == s + 1) | (letter(f - 1)["e"] - letter(s)["s"] <= max_ms))
-        return once(F.array_max(reach), lambda far: F.when(far >= n, n).otherwise(best_cut(s, far)))
-
-    def best_cut(s: Column, far: Column) -> Column:
-        def worth(b: Column) -> Column:
-            gain = PAUSE_WORTH * (letter(b)["s"] - letter(b - 1)["e"]) + F.when(letter(b)["joint"], CONNECTOR_WORTH).otherwise(0) - SHORT_COST * (far - b)
-            return F.struct(gain.alias("gain"), b.alias("at"))
-
-        return F.array_max(F.transform(F.sequence(F.least(far, s + max(4, max_chars // 3)), far), worth))["at"]
-
-    fold = lambda cuts, i: F.when(F.element_at(cuts, -1) < n, F.concat(cuts, F.array(once(F.element_at(cuts, -1), next_cut)))).otherwise(cuts)
-    fits = (n <= max_chars) & (letter(n - 1)["e"] - letter(F.lit(0))["s"] <= max_ms)
-    cuts = F.when(fits, F.array(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), fold))
-    seen = F.when(~fits, F.array_compact(F.transform(F.split("text", ""), lambda c, i: F.when(norm_text(c) != "", i + 1))))
-    df = df.withColumns({"_c": cuts, "_v": seen})
-    df = df.withColumn("_c", F.arrays_zip(F.slice("_c", 1, F.size("_c") - 1).alias("a"), F.slice("_c", 2, F.size("_c") - 1).alias("b")))
-    df = df.select("project_id", "atom_no", "text", "start_idx", "major", "_v", n.alias("_n"), F.posexplode(F.transform("_c", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), letter(c["a"])["s"].alias("s"), letter(c["b"] - 1)["e"].alias("e")))).alias("piece_no", "c"))
-    a = F.when(F.col("c.a") == 0, F.lit(1)).otherwise(F.element_at("_v", F.col("c.a") + 1))
-    b = F.when(F.col("c.b") >= F.col("_n"), F.char_length("text")).otherwise(F.element_at("_v", F.col("c.b")))
-    piece = F.regexp_replace(F.substring(F.col("text"), a, b - a + 1), r"^\s+|\s+$", "")
-    at = lambda c: F.col("start_idx") + F.col(c)
-    return df.select("project_id", "atom_no", "piece_no", piece.alias("text"), at("c.a").alias("start_idx"), at("c.b").alias("end_idx"), (F.col("major") & (F.col("c.b") == F.col("_n"))).alias("major"), F.col("c.s").alias("start_ms"), F.col("c.e").alias("end_ms"))
+    spoken = letters.select("project_id", F.col("pos").alias("_i"), F.col("key").alias("text"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
+    return _pieces(project_rows(tasks, spoken=spoken, clause=_clauses(atoms)), A.piece_rows, max_chars, max_ms, connectors)
+
+
+def script_pieces(scripts: DataFrame, words: DataFrame, max_chars: int = 18, max_ms: int = 3600, k: int = 12, slack: int = 40, connectors: tuple[str, ...] = CONNECTORS) -> DataFrame:
+    """`split_long_atoms` of the scripts' clauses on the words' times: no letter is ever a row."""
+    rows = project_rows(script=_texts(scripts, F.lit(0).alias("_i")), spoken=_spoken(words), clause=_clauses(clause_atoms(scripts)))
+    return _pieces(rows, A.script_piece_rows, max_chars, max_ms, connectors, k=k, slack=slack)
 
 
 def pack_sentence(pieces: DataFrame, max_chars: int = 18, max_ms: int = 3600) -> DataFrame:
@@ -201,8 +158,7 @@ def build_cues(scripts: DataFrame, words: DataFrame, max_chars: int = 18, max_ms
     scripts: project_id, text; words: project_id, idx, text, start_ms, end_ms. Projects whose script
     has no letter, or no row, get captions packed from the words alone.
     """
-    letters = align_script(script_letters(scripts), timed_letters(words), k)
-    groups = pack_sentence(split_long_atoms(clause_atoms(scripts), letters, max_chars, max_ms), max_chars, max_ms)
+    groups = pack_sentence(script_pieces(scripts, words, max_chars, max_ms, k), max_chars, max_ms)
     text = F.trim(F.regexp_replace(F.trim(F.translate("text", CAPTION_PUNCTUATION, "")), "[ \t]+", " "))
     cues = groups.select("project_id", (F.col("group_no") + 1).alias("cue_no"), "start_ms", "end_ms", text.alias("text"))
     spoken = scripts.where(visible_length("text") > 0).select("project_id")

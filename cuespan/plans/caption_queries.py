@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuespan.operators import captions as C
-from cuespan.operators.folds import clause_atoms
 from cuespan.plans.fixtures import v_asr, v_cues, v_docs, with_views
 from cuespan.plans.registry import query
 
@@ -65,7 +64,7 @@ _pg AS (SELECT k.project_id, r.g, min(k.start_ms) AS start_ms, max(k.end_ms) AS
 
 
 def letters(spark, sf):
-    return C.align_script(C.script_letters(scripts(spark, sf)), C.timed_letters(v_asr(spark, sf)))
+    return C.align_texts(scripts(spark, sf), v_asr(spark, sf))
 
 
 def scripts(spark, sf):
@@ -80,7 +79,7 @@ def align_script(spark, sf):
 
 @query(with_views("v_asr", recursive=True, select=f"+ {_ALIGN}, {_ATOMS}, {_SPLIT}\n=\nSELECT project_id, atom_no, piece_no, text, start_idx, end_idx, major FROM _pc"))
 def split_long_atoms(spark, sf):
-    return C.split_long_atoms(clause_atoms(scripts(spark, sf)), letters(spark, sf)).drop("start_ms", "end_ms")
+    return C.script_pieces(scripts(spark, sf), v_asr(spark, sf)).drop("start_ms", "end_ms")
 
 
 @query(with_views("v_asr", recursive=True, select=f"+ {_ALIGN}, {_ATOMS}, {_SPLIT}, {_PACK}\n=\n" + "SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY g) AS cue_no, start_ms, end_ms, trim(regexp_replace(trim(translate(text, '，。！？；：、,.!?;:《》“”‘’（）()【】[]—…', '')), '[ \\t]+', ' ', 'g')) AS text FROM _pg"))
