@@ -126,7 +126,7 @@ def running_before(df: DataFrame, part: str, key: str, order: list[str], value:
     before = Window.partitionBy(part).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(part, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(part, "_slice").orderBy(key, *order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.join(sums, [part, "_slice"])
+    df = df.join(sums.hint("merge"), [part, "_slice"])  # rows are sorted by slice after that anyway, and compressed ones look small enough to be broadcast
     df = df.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0)))
     return df.drop("_slice", "_before")
 

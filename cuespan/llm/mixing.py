@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,37 @@ def permute(index: np.ndarray, size: np.ndarray, key: int) -> np.ndarray:
 SLOT_SCHEMA = "_stratum string, shard long, slot long, block long, epoch long"
 
 
+def drawn_slots(names: list[str], quota: np.ndarray, blocks: np.ndarray, slots: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work: the slots of the output shards whose numbers it is given.
+
+    A shard's draw depends on those before, so each task draws them all, which takes less than a
+    second, and fills its own; no list of draws goes through the driver.
+    """
+
+    def expand(batches):
+        wanted = {n for batch in batches for n in batch.column(0).to_pylist()}
+        drawn = np.zeros(len(names), dtype=np.int64)
+        for shard, count in enumerate(draw_shards(quota, slots, seed)):
+            if not wanted:
+                return
+            if shard in wanted:
+                wanted.discard(shard)
+                starts, width = np.cumsum(count) - count, int(count.sum())
+                for i in np.nonzero(count)[0]:
+                    for lo in range(0, int(count[i]), 1 << 16):
+                        n = min(int(count[i]) - lo, 1 << 16)
+                        j = drawn[i] + np.arange(lo, lo + n, dtype=np.int64)
+                        at = starts[i] + np.arange(lo, lo + n, dtype=np.int64)
+                        yield pa.RecordBatch.from_pydict({
+                            "_stratum": pa.repeat(pa.scalar(names[i]), n), "shard": np.full(n, shard),
+                            "slot": permute(at, width, seed + 7919 * (shard + 1)),
+                            "block": permute(j % blocks[i], blocks[i], seed + 104729 * (int(i) + 1)), "epoch": j // blocks[i],
+                        })
+            drawn += count
+
+    return expand
+
+
 def mix(docs: DataFrame, block: int = 64, seed: int = 42, slots: int = 4096, max_shards: int = 4096, weights=WEIGHTS, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> dict[str, DataFrame]:
     """Mixes the sources: `slots` (the mixture), `pieces` (words of documents in blocks) and `documents`.
 
@@ -103,27 +134,8 @@ def mix(docs: DataFrame, block: int = 64, seed: int = 42, slots: int = 4096, max
     blocks = np.array([-(-totals[s] // block) for s in names], dtype=np.int64)
     quota = np.array([min(2 * b, int(goal[s] / totals[s] * b + 0.5)) if b else 0 for s, b in zip(names, blocks)], dtype=np.int64)
     slots = max(slots, -(-int(quota.sum()) // max_shards))
-    drawn, plan = np.zeros(len(names), dtype=np.int64), []
-    for shard, count in enumerate(draw_shards(quota, slots, seed)):
-        starts = np.concatenate([[0], np.cumsum(count)[:-1]])
-        plan += [(names[i], int(i), shard, int(drawn[i]), int(count[i]), int(starts[i]), int(count.sum()), int(blocks[i])) for i in np.nonzero(count)[0]]
-        drawn += count
-
-    def expand(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                for lo in range(0, r["n"], 1 << 16):
-                    j = r["first"] + np.arange(lo, min(r["n"], lo + (1 << 16)), dtype=np.int64)
-                    at = r["at"] + np.arange(lo, lo + len(j), dtype=np.int64)
-                    yield pa.RecordBatch.from_pydict({
-                        "_stratum": pa.array([r["_stratum"]] * len(j)), "shard": np.full(len(j), r["shard"]),
-                        "slot": permute(at, r["width"], seed + 7919 * (r["shard"] + 1)),
-                        "block": permute(j % r["blocks"], r["blocks"], seed + 104729 * (r["i"] + 1)), "epoch": j // r["blocks"],
-                    })
-
-    schema = "_stratum string, i long, shard long, first long, n long, at long, width long, blocks long"
-    jobs = spark.createDataFrame(plan, schema)
-    mixture = jobs.repartition(max(1, min(len(plan), spark.sparkContext.defaultParallelism * 4)), "_stratum", "shard").mapInArrow(expand, SLOT_SCHEMA)
+    shards = -(-int(quota.sum()) // slots)
+    mixture = spark.range(0, shards, 1, max(1, min(shards, spark.sparkContext.defaultParallelism * 4))).mapInArrow(drawn_slots(names, quota, blocks, slots, seed), SLOT_SCHEMA)
 
     placed = running_before(base, "_stratum", "_key", ["doc_id", "size"], "size", "_start")
     filled = placed.where("size > 0").select(
@@ -133,7 +145,8 @@ def mix(docs: DataFrame, block: int = 64, seed: int = 42, slots: int = 4096, max
     pieces = filled.withColumn("first", F.greatest(F.lit(0), F.col("block") * block - F.col("_start")))
     pieces = pieces.withColumn("words", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("_start")) - F.col("first"))
 
-    uses = mixture.groupBy("_stratum", "block").agg(F.count("*").alias("_uses"))
+    # Few numbers of shards become many slots and blocks, which Spark doesn't foresee: the join is told to merge, so that none goes through the driver.
+    uses = mixture.groupBy("_stratum", "block").agg(F.count("*").alias("_uses")).hint("merge")
     taken = pieces.join(uses, ["_stratum", "block"], "left").groupBy("doc_id", "source", "size", "_stratum", "_start")
     taken = taken.agg(F.coalesce(F.sum(F.col("words") * F.col("_uses")), F.lit(0)).alias("taken"))
     taken = taken.select("doc_id", "source", "size", "_stratum", "taken")
