@@ -80,7 +80,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     taken = mix(rows, id_col="_id")["documents"].where("taken > 0").groupBy("doc_id").agg((F.sum("taken") / F.max("size")).alias("_share"))
     taken = materialize(taken.select(F.col("doc_id").alias("_id"), F.floor(F.col("_share") + share).cast("int").alias("_times")).where("_times > 0"))
     # A set, though nearly always of one row: different rows may share a hash.
-    rows = rows.groupBy("_id").agg(F.collect_set(F.struct(*COLUMNS)).alias("_rows")).join(taken, "_id")
+    # Compressed, the table looks small enough to go through the driver, so the join is told to merge.
+    rows = rows.groupBy("_id").agg(F.collect_set(F.struct(*COLUMNS)).alias("_rows")).join(taken.hint("merge"), "_id")
     rows = rows.select("_times", F.explode("_rows").alias("_row")).withColumn("_copy", F.explode(F.expr("sequence(1, _times)")))
     return rows.select(*[f"_row.{c}" for c in COLUMNS])
 
