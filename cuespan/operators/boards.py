@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cuespan.functions.text import compact
-from cuespan.operators.joins import placed_phrases
+from cuespan.operators.joins import placed_in
 from cuespan.operators.tables import dropped, written
 
 # The safe frame as shares of the canvas, and of it what a board may fill.
@@ -259,20 +259,26 @@ def reconcile_ids(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return df.select("scene_id", "z.a.place", F.col("z.a.id").alias("actual_id"), found.alias("element_id"), F.coalesce("rule", F.when(found.isNull(), "unresolved")).alias("rule_id"))
 
 
-def resolve_beat_anchor(beats: DataFrame, words: DataFrame, scenes: DataFrame) -> DataFrame:
+def resolve_beat_anchor(beats: DataFrame, words: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
     """Beats with the word they begin at: anchor_id, start_ms and rule_id.
 
     beats: project_id, scene_id, beat_no, word_id, phrase; words: project_id, scene_id, word_id, text, start_ms, end_ms. A word id of the
     project decides, and must lie in the beat's scene (`outside-scene`); if there is no such word, the phrase does, wherever it
     stands in the scene's words, across their borders, if it stands there once (`no-anchor`). White space and case make no difference.
-    A scene that is not in `scenes` is `unknown-scene`.
+    A scene that is not in `scenes` (without: of no word) is `unknown-scene`.
     """
-    # Beats and words meet as rows of one table, by word and then by scene, so that words which lie by project stay where they are.
-    rows = beats.select("project_id", "word_id", F.struct("scene_id", "beat_no", "phrase").alias("_b"))
-    rows = rows.unionByName(words.dropna(subset=["project_id", "word_id"]).select("project_id", "word_id", F.struct("scene_id", "start_ms").alias("_own")), allowMissingColumns=True)
-    df = rows.withColumn("_own", F.max("_own").over(Window.partitionBy("project_id", "word_id"))).where("_b is not null").select("project_id", "_b.*", "word_id", "_own")
-    asked = df.select("project_id", "scene_id", "beat_no", "word_id", "_own", F.when(F.col("_own").isNull(), F.col("phrase")).alias("phrase"))
-    df = placed_phrases(asked, words.select("project_id", "scene_id", F.col("word_id").alias("idx"), "text", "start_ms", "end_ms"), compact, ("project_id", "scene_id"), scenes.select("project_id", "scene_id"))
+    # Beats and words meet as rows of one table, by word and then by scene, so that words which lie by project stay where they are and are made once.
+    scene = "project_id", "scene_id"
+    known = F.col("project_id").isNotNull() & F.col("word_id").isNotNull()
+    word = F.struct(F.col("word_id").alias("idx"), compact("text").alias("token"), "start_ms", "end_ms").alias("_w")
+    rows = beats.select(*scene, "word_id", F.struct("beat_no", "phrase").alias("_b")).unionByName(words.select(*scene, "word_id", word, F.when(known, F.struct("scene_id", "start_ms")).alias("_own")), allowMissingColumns=True)
+    rows = rows.withColumn("_own", F.max("_own").over(Window.partitionBy("project_id", "word_id"))).where("_b is not null or project_id is not null and scene_id is not null")
+    phrase = F.when(F.col("_own").isNull(), F.col("_b.phrase"))
+    asked = F.struct(*scene, F.col("_b.beat_no").alias("beat_no"), "word_id", "_own", phrase.alias("phrase"), compact(phrase).alias("_needle"))
+    rows = rows.select(*scene, F.when(F.col("_b").isNotNull(), asked).alias("_p"), "_w")
+    if scenes is not None:
+        rows = rows.unionByName(scenes.dropna(subset=scene).select(*scene).distinct().withColumn("_in", F.lit(True)), allowMissingColumns=True)
+    df = placed_in(rows, [*scene, "beat_no", "word_id", "_own", "phrase"], scene, (F.max("_in") if scenes is not None else F.max(F.when(F.col("_w").isNotNull(), 1))).isNotNull())
     own, inside = F.col("_own").isNotNull(), F.col("_own.scene_id") == F.col("scene_id")
     anchor = F.when(~F.col("known"), F.lit(None)).when(~own, F.col("idx")).when(inside, F.col("word_id"))
     rule = F.when(~F.col("known"), "unknown-scene").when(own & ~inside, "outside-scene").when(anchor.isNull(), "no-anchor")
